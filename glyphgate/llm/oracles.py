@@ -2,6 +2,89 @@
 
 from __future__ import annotations
 
+from glyphgate.llm import quality, secrets
+
+_SPACE = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def top_k() -> str:
+    return """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
+
+
+def secret_scan() -> str:
+    kinds = " UNION ALL ".join(
+        f"SELECT rid, {no} AS no, {_quoted(kind)} AS kind, i, gaps[i] AS gap, matches[i] AS match FROM (SELECT rid, string_split_regex(t, p) AS gaps, regexp_extract_all(t, p) AS matches "
+        f"FROM (SELECT rid, t, {_quoted(pattern)} AS p FROM d) WHERE regexp_matches(t, p)), range(1, len(gaps) + 1) AS r(i)"
+        for no, (kind, pattern) in enumerate(secrets.RULES)
+    )
+    value = secrets.VALUE
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+        m AS ({kinds}),
+        p AS (
+          SELECT *, coalesce(sum(length(gap) + coalesce(length(match), 0)) OVER (
+            PARTITION BY rid, no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS b FROM m),
+        s AS (
+          SELECT rid, no, kind, b::BIGINT AS b, (b + length(match))::BIGINT AS e FROM p
+          WHERE match IS NOT NULL AND (no > 0 OR length(regexp_extract(match, {_quoted(value)}, 1)) >= {secrets.LEAST_VALUE})),
+        g AS (
+          SELECT rid, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+            string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) AS spans,
+            string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, no) FILTER (no < 3) AS base
+          FROM s GROUP BY rid)
+        SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+          sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (rid)"""
+
+
+def quality_rules() -> str:
+    q = quality
+    return rf"""
+        WITH d AS (
+          SELECT doc_id, row_number() OVER () AS rid, coalesce('0' || source, '1') AS host, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT rid, t, regexp_extract_all(t, '{_WORD}') AS words FROM d),
+        x AS (
+          SELECT rid, i, array_to_string(words[i:i + {q.WINDOW - 1}], ' ') AS win
+          FROM w, range(1, len(words) - {q.WINDOW - 2}) AS r(i)),
+        y AS (SELECT rid, i FROM x QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
+        z AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM y, range(0, {q.WINDOW}) AS r(k) GROUP BY rid),
+        l AS (SELECT rid, host, t, unnest(string_split(t, chr(10))) AS line FROM d),
+        wl AS (
+          SELECT rid, host, t, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+            trim(regexp_replace(regexp_replace(lower(line), '{_SPACE}+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm
+          FROM l WHERE regexp_matches(line, '{_WORD}')),
+        dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM wl GROUP BY rid),
+        f AS (
+          SELECT host, norm FROM wl JOIN (SELECT host, count(DISTINCT t) AS of FROM d GROUP BY host) USING (host)
+          GROUP BY host, norm, of HAVING count(DISTINCT t) > {q.LINE_LEAST} AND count(DISTINCT t) > of * {q.LINE_SHARE}),
+        lost AS (SELECT rid, sum(n) AS lost FROM wl JOIN f USING (host, norm) GROUP BY rid),
+        b AS (
+          SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(d.t, '{_SPACE}+', '', 'g'))::BIGINT AS word_chars,
+            len(regexp_extract_all(d.t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words
+          FROM d JOIN w USING (rid) LEFT JOIN z USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN lost USING (rid)),
+        j AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+          NOT base_failed AND n_lost_words <= n_words * {q.LOST_SHARE} AS kept, n_lost_words
+        FROM j"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_pivot_top_k": top_k(),
+        "op5_secret_ledger": secret_scan(),
+        "op7_quality_rules": quality_rules(),
+    }

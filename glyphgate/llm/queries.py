@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgate.llm import mixing, sharding, simhash, topk
+from glyphgate.llm import mixing, quality, secrets, sharding, simhash, topk
 from glyphgate.llm.common import read_table
 
 
@@ -31,10 +31,20 @@ def op4_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_feistel_sharding": op2_feistel_sharding,
         "op3_source_mixing": op3_source_mixing,
         "op4_pivot_top_k": op4_pivot_top_k,
+        "op5_secret_ledger": op5_secret_ledger,
+        "op7_quality_rules": op7_quality_rules,
     }
