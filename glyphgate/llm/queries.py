@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgate.llm import mixing, quality, secrets, sharding, simhash, topk
+from glyphgate.llm import bytebpe, classifier, licenses, mixing, quality, repair, secrets, sharding, simhash, topk
 from glyphgate.llm.common import read_table
 
 
@@ -35,10 +36,28 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bytebpe.digests(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op10_grammar_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -46,5 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mixing": op3_source_mixing,
         "op4_pivot_top_k": op4_pivot_top_k,
         "op5_secret_ledger": op5_secret_ledger,
+        "op6_license_templates": op6_license_templates,
         "op7_quality_rules": op7_quality_rules,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_byte_bpe": op9_byte_bpe,
+        "op10_grammar_token_files": op10_grammar_token_files,
     }
