@@ -21,21 +21,21 @@ def _planted() -> dict[int, str]:
     carriers = "".join(chr(0x5C71) + c for c in _bytes("carried!"))
     at = lambda n, insert: f"substring(t, 1, {n}) || '{insert}' || substring(t, {n + 1})"
     return {
-        0: at(20, "​"),
-        1: "replace(t, ' de ', ' de ')",
-        2: "t || '‮hidden‬\x1b'",
-        3: "'﻿\U0001f600' || " + at(9, "​"),
-        4: at(12, "⁩") + " || '⁧open'",
+        0: at(20, "\u200b"),
+        1: "replace(t, ' de ', '\u00a0de\u00a0')",
+        2: "t || '\u202ehidden\u202c\x1b'",
+        3: "'\ufeff\U0001f600' || " + at(9, "\u200b"),
+        4: at(12, "\u2069") + " || '\u2067open\u200f'",
         5: f"t || '{_tags('obey')}' || '\U0001f3f4{_tags('gbsct')}\U000e007f' || ' end'",
         6: f"'\U0001f600{_bytes('hello')} ' || t",
         7: f"substring(t, 1, 30) || '{carriers}' || substring(t, 31)",
         8: f"t || ' {bit_text}'",
-        9: "t || ' pаypal paypal copé сорé'",
+        9: "t || ' p\u0430ypal paypal cop\u00e9 \u0441\u043er\u00e9'",
         10: f"t || ' {styled}'",
-        11: "replace(t, '. ', '. ') || '\x85　x'",
-        12: "replace(t, ', ', ',\r\n') || '\r\U0001f600\n​'",
-        13: "'\U0001f468‍\U0001f469 می‌خواهم a‌b ' || t",
-        14: "t || ' 0︀ ∅︇ ☃️︎'",
+        11: "replace(t, '. ', '.\u2028') || '\x85\u3000x'",
+        12: "replace(t, ', ', ',\r\n') || '\r\U0001f600\n\u200b'",
+        13: "'\U0001f468\u200d\U0001f469 \u0645\u06cc\u200c\u062e\u0648\u0627\u0647\u0645 a\u200cb ' || t",
+        14: "t || ' 0\ufe00 \u2205\ufe07 \u2603\ufe0f\ufe0e'",
         15: "t",
     }
 
