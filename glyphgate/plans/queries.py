@@ -16,6 +16,7 @@ from glyphgate.functions import text as X
 from glyphgate.operators import analytics, confusables, decode, events, policy, repair, reports, rules, styled
 from glyphgate.plans.corpora import planted
 from glyphgate.plans.scan import scan
+from glyphgate.plans.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACE = ("doc_id", "rule", "severity", "start_idx", "end_idx", "start_off", "end_off", "start_line", "start_col")
@@ -34,7 +35,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_findings(docs: DataFrame) -> DataFrame:
     """Findings of single characters and of tags."""
-    located = events.located(docs)
+    located = materialize(events.located(docs), "events")
     found = rules.single_characters(located).unionByName(decode.tag_smuggling(decode.tag_runs(located)))
     return found.withColumn("fixable", F.lit(True))
 
@@ -67,7 +68,7 @@ def _on_planted(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    return decode.selector_runs(events.located(docs))
+    return materialize(decode.selector_runs(events.located(docs)), "runs")
 
 
 def _hex(cps: str) -> Column:

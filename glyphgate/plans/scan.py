@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from glyphgate.operators import confusables, decode, rules, styled
 from glyphgate.operators.events import located
+from glyphgate.plans.storage import materialize
 
 
 def scan(docs: DataFrame, code: bool = False, folder: str | None = None) -> DataFrame:
-    """Findings of ``docs`` (doc_id, text). Rows without a character beyond plain text are dropped first."""
+    """Findings of ``docs`` (doc_id, text). Rows without a character beyond plain text are dropped first.
+
+    The located events are written once: they are few, and five rules read them instead of the texts.
+    """
     docs = docs.select("doc_id", "text")
-    events = located(docs)
+    events = materialize(located(docs), "events")
     parts = [
         rules.single_characters(events),
         rules.bidi_unbalanced(events),
