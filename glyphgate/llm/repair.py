@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from glyphgate.llm.bytebpe import mapped
 from glyphgate.llm.common import arrow_map, new_path, running_total
 
 BLOCK = 1 << 20
@@ -45,7 +46,7 @@ BLOCK = 1 << 20
 ROUNDS, PAIRS, LEAST = 4, 4_096, 4
 SYMBOLS = 1 << 16
 #: Pieces that one worker keeps, and the longest of them.
-KEPT, KEPT_LENGTH = 600_000, 64
+KEPT, KEPT_LENGTH = 700_000, 64
 
 
 # Between a letter and an ASCII character that is none, and between a single line break after a printable character and
@@ -80,6 +81,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.parts = _Kept(self._ids)
         self.spaced = _Kept(self._spaced)  # pieces with a space before them
         self.odd = re.compile(r"\s ").search
@@ -87,9 +89,13 @@ class Encoder:
     def _ids(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """A space and letters are one pre-token, so the model alone gives its ids."""
+        return array("I", [t.id for t in self.model.tokenize(mapped(b" ") + (word if word.isascii() else mapped(word.encode())))]).tobytes()
+
     def _spaced(self, piece: str) -> bytes:
         if piece.isalpha():
-            return self._ids(" " + piece)
+            return self._word(piece)
         if piece[:-1].isalpha() and piece[-1] in ".,":
             return self.spaced[piece[:-1]] + self.parts[piece[-1]]
         if "<|" in piece:  # may be a special token
@@ -143,12 +149,15 @@ def compress(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         pairs = _frequent(keys, min(PAIRS, SYMBOLS - n))
         if not len(pairs):
             break
-        lefts = np.zeros(SYMBOLS, bool)
-        lefts[pairs >> np.uint32(16)] = True
-        at = np.flatnonzero(lefts[body[:-1]])
-        which = np.searchsorted(pairs, keys[at])
-        hit = pairs[np.minimum(which, len(pairs) - 1)] == keys[at]
-        at, which = at[hit], which[hit]
+        # A table of left and right symbols of the chosen pairs finds a pair by two reads.
+        left, right = np.unique(pairs >> np.uint32(16), return_inverse=True), np.unique(pairs & np.uint32(0xFFFF), return_inverse=True)
+        row, column = np.full(SYMBOLS, -1, np.int32), np.full(SYMBOLS, -1, np.int32)
+        row[left[0]], column[right[0]] = np.arange(len(left[0])), np.arange(len(right[0]))
+        table = np.full(len(left[0]) * len(right[0]), -1, np.int32)
+        table[left[1] * len(right[0]) + right[1]] = np.arange(len(pairs))
+        at = np.flatnonzero((row[body[:-1]] >= 0) & (column[body[1:]] >= 0))
+        which = table[row[body[at]] * len(right[0]) + column[body[at + 1]]]
+        at, which = at[which >= 0], which[which >= 0]
         # Neighbouring places overlap: of each run of them every second one is taken.
         run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
         offset = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
