@@ -17,6 +17,7 @@ def _planted() -> dict[int, str]:
     """Text by doc_id modulo 16; ``t`` is the document's text."""
     bits = "".join(f"{ord(c):08b}" for c in "meet at 9")
     bit_text = "".join("w" + (chr(0xFE0F) if b == "1" else chr(0xFE0E)) for b in bits)
+    zero_width = "".join("\u2060" if b == "1" else "\u200b" for c in "run at dawn" for b in f"{ord(c):08b}")
     styled = "".join(chr(0x1D41A + ord(c) - 97) if c.isalpha() else c for c in "read the hidden note")
     carriers = "".join(chr(0x5C71) + c for c in _bytes("carried!"))
     at = lambda n, insert: f"substring(t, 1, {n}) || '{insert}' || substring(t, {n + 1})"
@@ -24,7 +25,7 @@ def _planted() -> dict[int, str]:
         0: at(20, "\u200b"),
         1: "replace(t, ' de ', '\u00a0de\u00a0')",
         2: "t || '\u202ehidden\u202c\x1b'",
-        3: "'\ufeff\U0001f600' || " + at(9, "\u200b"),
+        3: "'\ufeff\U0001f600' || " + at(9, "\u00ad") + f" || '{zero_width}'",
         4: at(12, "\u2069") + " || '\u2067open\u200f'",
         5: f"t || '{_tags('obey')}' || '\U0001f3f4{_tags('gbsct')}\U000e007f' || ' end'",
         6: f"'\U0001f600{_bytes('hello')} ' || t",

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
 from glyphgate.functions import text as X
-from glyphgate.operators import analytics, confusables, decode, events, policy, repair, reports, rules, styled
+from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules, styled
 from glyphgate.plans.corpora import planted
 from glyphgate.plans.scan import scan
 from glyphgate.plans.storage import materialize
@@ -159,6 +159,11 @@ def _census(docs: DataFrame, found: DataFrame) -> DataFrame:
     return reports.census_rows(docs, found).select("doc_id", "source", "lang", "n")
 
 
+def _payload_audit(docs: DataFrame) -> DataFrame:
+    located = materialize(events.located(docs), "events")
+    return payloads.payload_audit(payloads.decoded_payloads(located, docs), scan(docs))
+
+
 def queries() -> dict[str, Query]:
     a = analytics
     return {
@@ -212,6 +217,8 @@ def queries() -> dict[str, Query]:
         "source_stats": _over_findings(a.source_stats),
         "manifest_digest": lambda spark, sf_dir: a.manifest_digest(_docs(spark, sf_dir)),
         "context": _over_findings(a.context),
+        "zero_width_payloads": _on_planted(payloads.zero_width_payloads),
+        "payload_audit": _on_planted(_payload_audit),
         "inspection": _over_findings(a.inspection),
         "report_annotations": _over_findings(_annotations),
         "report_json": _over_findings(lambda d, f: reports.json_lines(f)),
