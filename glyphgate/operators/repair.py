@@ -76,7 +76,9 @@ def sanitize(docs: DataFrame, mode: str = "remove", disabled: tuple[str, ...] =
     todo = docs.where(F.col("text").rlike(P.UNPLAIN)).select("*", F.lit(0).cast("long").alias("fixed"))
     done = [clean]
     for no in range(PASSES):
-        found = scan(todo).where(~F.col("rule").isin(*disabled)) if disabled else scan(todo)
+        found = scan(todo, visible=False)
+        if disabled:
+            found = found.where(~F.col("rule").isin(*disabled))
         if allowed:
             found = found.where(~F.forall("code_points", lambda c: c.isin(*allowed)))
         after = materialize(one_pass(todo, found, mode, allowed).withColumn("fixed", F.col("fixed") + F.col("__fixed")), "pass")

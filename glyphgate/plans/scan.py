@@ -10,10 +10,11 @@ from glyphgate.operators.events import located
 from glyphgate.plans.storage import materialize
 
 
-def scan(docs: DataFrame, code: bool = False, folder: str | None = None) -> DataFrame:
+def scan(docs: DataFrame, code: bool = False, folder: str | None = None, visible: bool = True) -> DataFrame:
     """Findings of ``docs`` (doc_id, text). Rows without a character beyond plain text are dropped first.
 
     The located events are written once: they are few, and five rules read them instead of the texts.
+    ``visible`` false leaves out lookalikes and styled text, which no repair changes.
     """
     docs = docs.select("doc_id", "text")
     events = materialize(located(docs), "events")
@@ -22,9 +23,9 @@ def scan(docs: DataFrame, code: bool = False, folder: str | None = None) -> Data
         rules.bidi_unbalanced(events),
         decode.tag_smuggling(decode.tag_runs(events)),
         decode.with_nested(decode.selector_findings(decode.selector_runs(events, folder))),
-        confusables.confusable_words(docs, code, folder),
-        styled.styled_text(docs),
     ]
+    if visible:
+        parts += [confusables.confusable_words(docs, code, folder), styled.styled_text(docs)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -5,9 +5,11 @@ Everything is a projection of Spark's ``binaryFile`` source, so it reads whateve
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphgate.functions.shipping import ship
 from glyphgate.operators.policy import glob_pattern
 
 LARGEST = 5 * 1024 * 1024
@@ -37,23 +39,36 @@ def encoding(content: Column) -> Column:
     return F.when(start == "FFFE", "utf-16le").when(start == "FEFF", "utf-16be").otherwise("utf-8")
 
 
-def looks_binary(content: Column) -> Column:
-    """A NUL in the first bytes, or over 30 % control bytes but tab, line breaks and escape; UTF-16 by its characters."""
-    head = F.decode(F.substr(content, F.lit(1), F.lit(SNIFFED)), "ISO-8859-1")
-    wide = F.decode(F.substr(content, F.lit(3), F.lit(SNIFFED - 2)), "UTF-16LE")
-    wide_be = F.decode(F.substr(content, F.lit(3), F.lit(SNIFFED - 2)), "UTF-16BE")
-    seen = F.when(encoding(content) == "utf-16le", wide).when(encoding(content) == "utf-16be", wide_be).otherwise(head)
-    odd = F.regexp_count(seen, F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"))
-    return (F.length(seen) > 0) & (seen.contains("\0") | (odd > F.length(seen) * 0.3))
+def looks_binary(head: Column) -> Column:
+    """Of a file's first characters: a NUL, or over 30 % control characters but tab, line breaks and escape."""
+    odd = F.regexp_count(head, F.lit(r"[\x00-\x08\x0E-\x1A\x1C-\x1F]"))
+    return (F.length(head) > 0) & (head.contains("\0") | (odd > F.length(head) * 0.3))
 
 
-def decoded(content: Column) -> Column:
-    """Text of a file by its byte-order mark; null where it is malformed. A UTF-8 mark stays, a UTF-16 mark goes."""
-    body = F.substr(content, F.lit(3), F.octet_length(content))
-    text = F.when(encoding(content) == "utf-16le", F.decode(body, "UTF-16LE")).when(encoding(content) == "utf-16be", F.decode(body, "UTF-16BE"))
-    fatal = (encoding(content) != "utf-8") & ((F.octet_length(content) % 2 != 0) | text.contains("\ufffd"))
-    utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
-    return F.when(fatal, F.lit(None).cast("string")).when(encoding(content) == "utf-8", utf8).otherwise(text)
+def _utf16():
+    """Strict decoding without the byte-order mark; null where malformed. Spark's own decode would stop the job."""
+
+    def text(raw: bytes, kind: str) -> str | None:
+        try:
+            return bytes(raw)[2:].decode(kind)
+        except UnicodeDecodeError:
+            return None
+
+    return F.pandas_udf(lambda contents, kinds: pd.Series([text(c, k) for c, k in zip(contents, kinds)], dtype=object), "string")
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """Add encoding, text and binary to files with ``content``; text is null where it is malformed. A UTF-8 mark stays.
+
+    Only files with a UTF-16 mark go through a pandas function; they are judged by their characters, others by bytes.
+    """
+    ship(files.sparkSession)
+    marked = files.withColumn("encoding", encoding(F.col("content")))
+    narrow = marked.where("encoding = 'utf-8'").withColumn("text", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string")))
+    narrow = narrow.withColumn("binary", looks_binary(F.decode(F.substr("content", F.lit(1), F.lit(SNIFFED)), "ISO-8859-1")))
+    wide = marked.where("encoding <> 'utf-8'").withColumn("text", _utf16()("content", "encoding"))
+    wide = wide.withColumn("binary", F.coalesce(looks_binary(F.left("text", F.lit(SNIFFED // 2))), F.lit(False)))
+    return narrow.unionByName(wide)
 
 
 def encoded(text: Column, kind: Column) -> Column:
@@ -72,8 +87,8 @@ def read_files(spark: SparkSession, root: str, ignore: list[str] | None = None)
     folders = r"(^|/)(" + "|".join(f.replace(".", r"\.") for f in IGNORED_FOLDERS) + ")/"
     out = F.when(F.col("path").rlike(folders) | ignored(F.col("path"), ignore_rules(ignore or [])), "ignored").when(F.col("length") > LARGEST, "too large")
     judged = named.withColumn("reason", out)
-    kept = judged.where("reason IS NULL").withColumn("binary", looks_binary(F.col("content")))
-    text = kept.where("NOT binary").select("path", encoding(F.col("content")).alias("encoding"), decoded(F.col("content")).alias("text"))
+    kept = decoded(judged.where("reason IS NULL"))
+    text = kept.where("NOT binary").select("path", "encoding", "text")
     skipped = judged.where("reason IS NOT NULL").select("path", "reason").unionByName(kept.where("binary").select("path", F.lit("binary").alias("reason")))
     errors = text.where("text IS NULL").select("path", F.concat(F.lit("malformed "), F.col("encoding")).alias("reason"))
     return text.where("text IS NOT NULL").withColumn("doc_id", F.xxhash64("path")), skipped, errors

@@ -42,7 +42,7 @@ CASES = {
     "stray": (u(0x2205, 0xFE07), [("variation-selector-stray", 0, 2, None)]),
     "second selector": (u(0x2205, 0xFE00, 0xFE00), [("variation-selector-stray", 0, 3, None)]),
     "bytes": (u(0x1F600) + selectors("hello"), [("variation-selector-smuggling", 0, 12, "hello")]),
-    "nested": ("x" + selectors("y" + selectors("see the plan")), [("variation-selector-smuggling", 0, 101, "ysee the plan")]),
+    "nested": ("x" + selectors("y" + selectors("see the plan")), [("variation-selector-smuggling", 0, 99, "ysee the plan")]),
     "carriers too few": ("".join(u(0x5C71) + selectors(c) for c in "attacks"), [("variation-selector-stray", 3 * i, 3 * i + 3, c) for i, c in enumerate("attacks")]),
     "zero width": (f"pay{u(0x200B)}pal", [("invisible", 3, 4, None)]),
     "mark at start": (u(0xFEFF) + "x", []),
@@ -64,7 +64,7 @@ CASES = {
     "two forms": (f"caf{u(0xE9)} cafe{u(0x301)}", []),
     "dotless": (f"adm{u(0x131)}n admin", [("confusable", 0, 5, None), ("confusable", 6, 11, None)]),
     "ascii pairs": ("modern rnodern l1 I1", []),
-    "escape": ("\\n" + u(0x3B1, 0x3B2) + "x y", []),
+    "escape": ("\\n" + u(0x3B1, 0x3B2) + " y", []),
     "styled": (f"say {BOLD('HELLO')} {BOLD('ALL')} now", [("styled-text", 4, 21, "HELLO ALL")]),
     "styled short": (f"a {BOLD('OK')}", []),
     "circled digits": (u(0x2460, 0x2461, 0x2462, 0x2463), []),
