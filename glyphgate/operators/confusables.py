@@ -19,6 +19,7 @@ from glyphgate.functions import text as X
 from glyphgate.functions.shipping import ship
 from glyphgate.functions.unicode_data import confusables, imitated, scripts_of
 from glyphgate.operators.rules import finding
+from glyphgate.plans.storage import materialize
 
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}][\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]*"
 CODE_TOKEN = r"[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$\x{200C}\x{200D}]*"
@@ -120,12 +121,12 @@ def words(docs: DataFrame, code: bool = False) -> DataFrame:
 
 
 def word_facts(tokens: DataFrame, folder: str | None = None) -> DataFrame:
-    """Add ascii, skeleton, nfd, mixed, signature, styled and turkic."""
+    """Add ascii, skeleton, nfd, mixed, signature, styled and turkic; written once, as several steps read it."""
     ship(tokens.sparkSession)
     tokens = tokens.withColumn("ascii", ~F.col("token").rlike(BEYOND_ASCII))
     plain = tokens.where("ascii").select("*", ascii_skeleton(F.col("token")).alias("skeleton"), F.col("token").alias("nfd"), F.lit(False).alias("mixed"), F.lit("Latin").alias("signature"), F.lit(False).alias("styled"), F.lit(False).alias("turkic"))
     other = tokens.where(~F.col("ascii")).withColumn("f", _word_facts(folder)("token"))
-    return plain.unionByName(other.select("doc_id", "token", "ascii", "f.*"))
+    return materialize(plain.unionByName(other.select("doc_id", "token", "ascii", "f.*")), "words")
 
 
 def collisions(facts: DataFrame, code: bool = False) -> DataFrame:
