@@ -1,12 +1,14 @@
 """Lookalike words: tokens, skeletons, mixed-script words and collisions within a document.
 
-Only documents with a character beyond ASCII are split into tokens, and each distinct token of a document is looked at
-once. ASCII tokens get their skeleton by replacements in the plan; others by a small function over the few distinct
-ones. Collisions group by (document, skeleton). Offsets are computed last, only for documents with a finding.
+One pattern finds the tokens that hold a character beyond ASCII, and each distinct one of a document is looked at once
+by a small function. An ASCII token has an ASCII skeleton, so ASCII tokens are looked for only in documents where a token
+beyond ASCII has one too; their skeletons are replacements in the plan. Collisions group by (document, skeleton).
+Offsets are computed last, only for documents with a finding.
 """
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -24,6 +26,8 @@ from glyphgate.plans.storage import materialize
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}][\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]*"
 CODE_TOKEN = r"[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$\x{200C}\x{200D}]*"
 BEYOND_ASCII = r"[^\x00-\x7F]"
+# The tokens of text mode that go beyond ASCII: ASCII word characters, from the first of them, and then another; or another at once.
+BEYOND_TOKEN = r"(?<![0-9A-Za-z_])(?:[0-9A-Za-z_]++[\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]+|(?=[^\x00-\x7F])" + TOKEN + ")"
 # Script sets that may share a word.
 EAST_ASIAN_SETS = (frozenset({"Latin", "Han", "Hiragana", "Katakana"}), frozenset({"Latin", "Han", "Bopomofo"}), frozenset({"Latin", "Han", "Hangul"}))
 RECOMMENDED = frozenset(
@@ -33,6 +37,8 @@ RECOMMENDED = frozenset(
 PASS_FOR_LATIN = frozenset({"Cyrillic", "Greek"})
 #: Distinct words of one script that make a document one that is written in it.
 WRITTEN_IN = 10
+#: Words whose facts a worker keeps.
+KEPT_WORDS = 200_000
 
 
 def skeleton(token: str, folder: str | None = None) -> str:
@@ -86,20 +92,20 @@ def signature(token: str, folder: str | None = None) -> str:
     return next(iter(common)) if len(common) == 1 else "+".join(sorted(frozenset().union(*sets))) or "Latin"
 
 
-def _word_facts(folder: str | None):
-    """Facts of distinct tokens beyond ASCII, for a pandas function."""
+@functools.lru_cache(maxsize=KEPT_WORDS)
+def word_fact(token: str, folder: str | None = None) -> tuple[str, str, bool, str, bool, bool]:
+    """skeleton, nfd, mixed, signature, styled and turkic of a token beyond ASCII."""
+    beyond = [c for c in token if ord(c) > 0x7F]
+    styled = all(ord(c) in P.SMALL_CAPITALS or any(lo <= ord(c) <= hi for lo, hi in P.STYLED) for c in beyond)
+    turkic = any(c in "ıİ" for c in beyond) and all(c in "ıİ" or "Latin" in scripts_of(c, folder) for c in beyond)
+    return skeleton(token, folder), unicodedata.normalize("NFD", token), is_mixed(token, folder), signature(token, folder), styled, turkic
 
-    def styled(token: str) -> bool:
-        beyond = [c for c in token if ord(c) > 0x7F]
-        return all(ord(c) in P.SMALL_CAPITALS or any(lo <= ord(c) <= hi for lo, hi in P.STYLED) for c in beyond)
 
-    def turkic(token: str) -> bool:
-        beyond = [c for c in token if ord(c) > 0x7F]
-        return any(c in "ıİ" for c in beyond) and all(c in "ıİ" or "Latin" in scripts_of(c, folder) for c in beyond)
+def _word_facts(folder: str | None):
+    """``word_fact`` as a pandas function."""
 
     def facts(tokens: pd.Series) -> pd.DataFrame:
-        rows = [(skeleton(t, folder), unicodedata.normalize("NFD", t), is_mixed(t, folder), signature(t, folder), styled(t), turkic(t)) for t in tokens]
-        return pd.DataFrame(rows, columns=["skeleton", "nfd", "mixed", "signature", "styled", "turkic"])
+        return pd.DataFrame([word_fact(t, folder) for t in tokens], columns=["skeleton", "nfd", "mixed", "signature", "styled", "turkic"])
 
     return F.pandas_udf(facts, "skeleton string, nfd string, mixed boolean, signature string, styled boolean, turkic boolean")
 
@@ -110,47 +116,58 @@ def ascii_skeleton(token: Column) -> Column:
     return token
 
 
-def words(docs: DataFrame, code: bool = False) -> DataFrame:
-    """(doc_id, token) for each distinct token of the documents with a character beyond ASCII."""
-    pattern = CODE_TOKEN if code else TOKEN
-    some = docs.where(F.col("text").rlike(BEYOND_ASCII))
+def _tokens(docs: DataFrame, pattern: str, code: bool) -> DataFrame:
+    """(doc_id, token) for each distinct match in the documents."""
     # The letter of an escape such as backslash-n is no part of the word that follows it.
     text = F.regexp_replace("text", r"\\[ntrfvb](?=[^\x00-\x7F])", "  ")
-    found = some.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("token"))
+    # Outer, as the optimizer would test an inner one's array for emptiness below, by the same search again.
+    found = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("token")).where("token IS NOT NULL")
     return found if code else found.where(X.utf16_length(F.col("token")) > 1)
 
 
+def words(docs: DataFrame, code: bool = False) -> DataFrame:
+    """(doc_id, token) for each distinct token that holds a character beyond ASCII."""
+    some = docs.where(F.col("text").rlike(BEYOND_ASCII))
+    return _tokens(some, CODE_TOKEN, True).where(F.col("token").rlike(BEYOND_ASCII)) if code else _tokens(some, BEYOND_TOKEN, False)
+
+
+def ascii_words(docs: DataFrame, facts: DataFrame, code: bool = False) -> DataFrame:
+    """(doc_id, skeleton, token) of the ASCII tokens that share their skeleton with a token of ``facts`` in their document."""
+    wanted = materialize(facts.where(~F.col("skeleton").rlike(BEYOND_ASCII)).select("doc_id", "skeleton").distinct(), "ascii_skeletons")
+    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    plain = _tokens(some, CODE_TOKEN if code else TOKEN, code).where(~F.col("token").rlike(BEYOND_ASCII))
+    return plain.withColumn("skeleton", ascii_skeleton(F.col("token"))).join(wanted, ["doc_id", "skeleton"], "left_semi")
+
+
 def word_facts(tokens: DataFrame, folder: str | None = None) -> DataFrame:
-    """Add ascii, skeleton, nfd, mixed, signature, styled and turkic; written once, as several steps read it."""
+    """Add skeleton, nfd, mixed, signature, styled and turkic; written once, as several steps read it."""
     ship(tokens.sparkSession)
-    tokens = tokens.withColumn("ascii", ~F.col("token").rlike(BEYOND_ASCII))
-    plain = tokens.where("ascii").select("*", ascii_skeleton(F.col("token")).alias("skeleton"), F.col("token").alias("nfd"), F.lit(False).alias("mixed"), F.lit("Latin").alias("signature"), F.lit(False).alias("styled"), F.lit(False).alias("turkic"))
-    other = tokens.where(~F.col("ascii")).withColumn("f", _word_facts(folder)("token"))
-    return materialize(plain.unionByName(other.select("doc_id", "token", "ascii", "f.*")), "words")
+    return materialize(tokens.withColumn("f", _word_facts(folder)("token")).select("doc_id", "token", "f.*"), "words")
 
 
-def collisions(facts: DataFrame, code: bool = False) -> DataFrame:
+def collisions(docs: DataFrame, facts: DataFrame, code: bool = False) -> DataFrame:
     """(doc_id, token, skeleton) of the distinct tokens that another spelling in their document collides with."""
-    other = facts.where(~F.col("ascii"))
-    if not code:
-        other = other.where(~F.col("styled"))
-    # ASCII tokens only where a token beyond ASCII has their skeleton.
-    near = facts.where("ascii").join(other.select("doc_id", "skeleton").distinct(), ["doc_id", "skeleton"], "left_semi")
-    both = near.select("doc_id", "skeleton", "token", "ascii", "nfd", "signature", "turkic").unionByName(other.select("doc_id", "skeleton", "token", "ascii", "nfd", "signature", "turkic"))
+    other = facts if code else facts.where(~F.col("styled"))
+    other = other.select("doc_id", "skeleton", "token", F.lit(False).alias("ascii"), "nfd", "signature", "turkic")
+    near = ascii_words(docs, other, code)
+    near = near.select("doc_id", "skeleton", "token", F.lit(True).alias("ascii"), F.col("token").alias("nfd"), F.lit("Latin").alias("signature"), F.lit(False).alias("turkic"))
+    both = near.unionByName(other)
     foreign = (F.col("signature") != "Latin") & ~F.col("signature").contains("+")
     written = other.where(foreign).groupBy("doc_id", F.col("signature").alias("in_script")).agg(F.count_distinct("token").alias("n")).where(F.col("n") >= WRITTEN_IN)
     written = written.groupBy("doc_id").agg(F.collect_set("in_script").alias("written"))
     turkish = other.where("turkic").groupBy("doc_id").agg((F.count_distinct("token") >= WRITTEN_IN).alias("turkish"))
     rows = both.join(written, "doc_id", "left").join(turkish, "doc_id", "left")
     ordinary = F.col("ascii") | F.coalesce(F.array_contains("written", F.col("signature")), F.lit(False)) | (F.col("turkic") & F.coalesce("turkish", F.lit(False)))
+    # Least and greatest tell whether there are several, without an aggregate of distinct values.
+    several = lambda c: F.min(c) != F.max(c)
     groups = rows.groupBy("doc_id", "skeleton").agg(
-        F.count_distinct("token").alias("spellings"), F.count_distinct("nfd").alias("forms"), F.count_distinct("signature").alias("signatures"),
-        F.first("signature").alias("one"), F.bool_or(~F.col("ascii")).alias("beyond"), F.bool_and(ordinary).alias("plain"), F.collect_set("token").alias("tokens"),
+        several("token").alias("spelt"), several("nfd").alias("formed"), several("signature").alias("signed"), F.first("signature").alias("one"),
+        F.bool_or(~F.col("ascii")).alias("beyond"), F.bool_and(ordinary).alias("plain"), F.collect_set("token").alias("tokens"),
     )
-    hit = (F.col("spellings") >= 2) & F.col("beyond")
+    hit = F.col("spelt") & F.col("beyond")
     if not code:
-        shared = (F.col("signatures") == 1) & (F.col("one") != "Latin") & ~F.col("one").contains("+")
-        hit = hit & (F.col("forms") >= 2) & ~shared & ~F.col("plain")
+        shared = ~F.col("signed") & (F.col("one") != "Latin") & ~F.col("one").contains("+")
+        hit = hit & F.col("formed") & ~shared & ~F.col("plain")
     return groups.where(hit).select("doc_id", "skeleton", F.explode("tokens").alias("token"))
 
 
@@ -160,7 +177,7 @@ def occurrences(docs: DataFrame, flagged: DataFrame, code: bool = False) -> Data
     some = docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi")
     text = F.regexp_replace("text", r"\\[ntrfvb](?=[^\x00-\x7F])", "  ")
     cut = some.select("doc_id", F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token")).alias("z"))
-    each = cut.select("doc_id", F.posexplode("z").alias("k", "z")).select("doc_id", "k", "z.gap", "z.token")
+    each = cut.select("doc_id", F.posexplode_outer("z").alias("k", "z")).where("k IS NOT NULL").select("doc_id", "k", "z.gap", "z.token")
     so_far = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     token = F.coalesce("token", F.lit(""))
     units = X.utf16_length(F.col("gap")) + X.utf16_length(token)
@@ -185,5 +202,5 @@ def confusable_words(docs: DataFrame, code: bool = False, folder: str | None = N
     """Mixed-script words (warning) and collisions (error) as findings."""
     facts = word_facts(words(docs, code), folder)
     mixed = facts.where("mixed").select("doc_id", "token", F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("skeleton"))
-    clash = collisions(facts, code).select("doc_id", "token", F.lit("error").alias("severity"), "skeleton")
+    clash = collisions(docs, facts, code).select("doc_id", "token", F.lit("error").alias("severity"), "skeleton")
     return occurrences(docs, mixed.unionByName(clash), code)

@@ -17,16 +17,23 @@ def fast_path(docs: DataFrame) -> DataFrame:
 def char_events(docs: DataFrame, wanted: str = P.EVENT_CLASS) -> DataFrame:
     """(doc_id, idx, ch, cp, prev_cp, next_cp, prev_ch, next_ch) of each wanted character; idx counts code points from 0.
 
-    The array of characters is carried through the explode and dropped in the same stage, after the filter, so the
-    neighbours cost two array reads for each event and no window over all characters.
+    A text is cut at its wanted characters, so only they become rows: the k-th stands after the k-th gap, and its
+    neighbours are the ends of the gaps beside it, or the wanted character beyond an empty gap. Nothing is made for the
+    characters inside the gaps. ``doc_id`` is unique.
     """
-    chars = fast_path(docs).select("doc_id", F.split("text", "").alias("a"))
-    each = chars.select("doc_id", "a", F.posexplode("a").alias("i", "ch"))
-    # No wanted character is printable ASCII; the comparison spares nearly all characters the regular expression.
-    each = each.where(((F.col("ch") < " ") | (F.col("ch") > "~")) & F.col("ch").rlike(wanted))
-    before, after = F.get("a", F.col("i") - 1), F.get("a", F.col("i") + 1)
-    points = [F.ascii(c).cast("long").alias(n) for c, n in ((F.col("ch"), "cp"), (before, "prev_cp"), (after, "next_cp"))]
-    return each.select("doc_id", F.col("i").cast("long").alias("idx"), "ch", *points, before.alias("prev_ch"), after.alias("next_ch"))
+    # No wanted character is printable ASCII; the lookahead spares nearly all characters the test of the whole class.
+    pattern = r"(?=[^\x20-\x7E])" + wanted
+    cut = fast_path(docs).select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))
+    # The outer form, as the optimizer would test an inner one's array for emptiness below, by the same search again.
+    each = cut.select("doc_id", "gaps", "found", F.posexplode_outer("found").alias("k", "ch")).where("k IS NOT NULL")
+    gap, following = F.get("gaps", F.col("k")), F.get("gaps", F.col("k") + 1)
+    before = F.when(gap != "", F.right(gap, F.lit(1))).otherwise(F.get("found", F.col("k") - 1))
+    after = F.when(following != "", F.left(following, F.lit(1))).otherwise(F.get("found", F.col("k") + 1))
+    each = each.select("doc_id", "k", "ch", F.length(gap).cast("long").alias("gap"), before.alias("prev_ch"), after.alias("next_ch"))
+    # The gaps up to a character and the k wanted ones before it.
+    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    points = [F.ascii(c).cast("long").alias(n) for c, n in (("ch", "cp"), ("prev_ch", "prev_cp"), ("next_ch", "next_cp"))]
+    return each.select("doc_id", (F.sum("gap").over(upto) + F.col("k")).alias("idx"), "ch", *points, "prev_ch", "next_ch")
 
 
 def positions(events: DataFrame) -> DataFrame:

@@ -16,6 +16,8 @@ from glyphgate.operators.rules import finding
 
 STYLED_CLASS = "[" + P.char_class(P.STYLED, tuple(P.SMALL_CAPITALS)) + "]"
 PASSAGE = STYLED_CLASS + r"+(?:[^\p{L}\p{N}]{1,3}" + STYLED_CLASS + "+)*"
+#: A lookahead before the class spares ASCII characters the test of all its ranges.
+BEYOND = r"(?=[^\x00-\x7F])"
 LEAST_LETTERS = 3
 
 
@@ -47,9 +49,9 @@ def read_passage(passage: str) -> tuple[str, int]:
 
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, k, gap, passage, before, after) of each passage; only documents with a styled character are split."""
-    some = docs.where(F.col("text").rlike(STYLED_CLASS))
-    cut = some.select("doc_id", F.split("text", PASSAGE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(PASSAGE), F.lit(0)).alias("found"))
-    each = cut.select("doc_id", F.posexplode(F.arrays_zip("gaps", "found")).alias("k", "z"), "gaps")
+    some = docs.where(F.col("text").rlike(BEYOND + STYLED_CLASS))
+    cut = some.select("doc_id", F.split("text", BEYOND + PASSAGE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(BEYOND + PASSAGE), F.lit(0)).alias("found"))
+    each = cut.select("doc_id", F.posexplode_outer(F.arrays_zip("gaps", "found")).alias("k", "z"), "gaps").where("k IS NOT NULL")
     return each.select("doc_id", "k", F.col("z.gaps").alias("gap"), F.col("z.found").alias("passage"), F.right("z.gaps", F.lit(1)).alias("before"), F.left(F.get("gaps", F.col("k") + 1), F.lit(1)).alias("after"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphgate.plans.storage import spread
+
 
 def _tags(text: str) -> str:
     return "".join(chr(0xE0000 + ord(c)) for c in text)
@@ -48,5 +50,5 @@ def planted_sql(documents: str = "documents") -> str:
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/documents.parquet").createOrReplaceTempView("planted_source")
+    spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")).createOrReplaceTempView("planted_source")
     return spark.sql(planted_sql("planted_source"))

@@ -93,11 +93,11 @@ def _facts(docs: DataFrame) -> DataFrame:
 
 
 def _skeleton(docs: DataFrame) -> DataFrame:
-    return _facts(docs).where(~F.col("ascii")).select("token", "skeleton").distinct()
+    return _facts(docs).select("token", "skeleton").distinct()
 
 
 def _collision(docs: DataFrame) -> DataFrame:
-    found = confusables.collisions(_facts(docs))
+    found = confusables.collisions(docs, _facts(docs))
     return found.groupBy("doc_id", "skeleton").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
 
 

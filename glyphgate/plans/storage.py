@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -22,6 +23,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Documents read from files, dealt evenly where the files hold fewer pieces than there are cores.
+
+    A small table in one row group would be read, and all its texts searched, by one task. Only then is it worth a
+    shuffle; a table with twice as many splits as cores is left as it is, without a look at its rows.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.isStreaming or docs.rdd.getNumPartitions() >= 2 * cores:
+        return docs
+    # Needs no column of the files, only the row counts in their footers.
+    filled = docs.select(F.spark_partition_id().alias("part")).distinct().count()
+    return docs if filled >= cores else docs.repartition(cores)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; this cuts the lineage."""
     path = new_path(df.sparkSession, label)
