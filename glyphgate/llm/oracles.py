@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from glyphgate.llm import quality, secrets
+import re
+import string
+
+from glyphgate.llm import licenses, quality, secrets
 
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +53,35 @@ def secret_scan() -> str:
         FROM d LEFT JOIN g USING (rid)"""
 
 
+def _template_pattern(template: str) -> str:
+    """The regular expression of a template over space-joined words that begin and end with a space."""
+    out = re.sub(r"\s*<<opt ([^>]*)>>", lambda m: f"(?: {m[1]})?", " " + template)
+    return re.sub(r"\s*<<var (\d+)>>", lambda m: f"(?: [^ ]+){{0,{m[1]}}}", out) + " "
+
+
+def license_scan() -> str:
+    places = [
+        f"list_filter(range(1, len(words) + 1), lambda i: {' AND '.join(f'words[i + {k}] = {_quoted(w)}' for k, w in enumerate(phrase.split()))})"
+        for phrase, _ in licenses.PHRASES
+    ]
+    base = [(label, f"len(p{no}) > 0", len(phrase.split()) / 10) for no, (phrase, label) in enumerate(licenses.PHRASES)]
+    method = [(a.label, f"regexp_matches(joined, {_quoted(_template_pattern(t))})", a.weight) for a, (_, t) in zip(licenses.AUTOMATA, licenses.TEMPLATES)]
+    case = lambda rows, value: ", ".join(f"CASE WHEN {test} THEN {value(label, weight)} END" for label, test, weight in rows)
+    labels = lambda rows: f"array_to_string(list_sort(list_distinct(list_filter([{case(rows, lambda label, _: _quoted(label))}], lambda x: x IS NOT NULL))), ',')"
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return rf"""
+        WITH w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        p AS (
+          SELECT doc_id, len(words)::BIGINT AS n_words, ' ' || array_to_string(words, ' ') || ' ' AS joined,
+            {", ".join(f"{place} AS p{no}" for no, place in enumerate(places))} FROM w),
+        a AS (SELECT *, {" || ".join(f"p{no}" for no in range(len(places)))} AS every FROM p)
+        SELECT doc_id, n_words, len(every)::BIGINT AS n_base, (list_min(every) - 1)::BIGINT AS first_word, (list_max(every) - 1)::BIGINT AS last_word,
+          {labels(base)} AS base_labels, {labels(base + method)} AS labels,
+          coalesce(list_max([{case(base + method, lambda _, weight: f"{weight}::DOUBLE")}]), 0.0::DOUBLE) AS score
+        FROM a"""
+
+
 def quality_rules() -> str:
     q = quality
     return rf"""
@@ -86,5 +118,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_pivot_top_k": top_k(),
         "op5_secret_ledger": secret_scan(),
+        "op6_license_templates": license_scan(),
         "op7_quality_rules": quality_rules(),
     }
