@@ -159,6 +159,26 @@ def _pass(piece: str) -> str:
       LEFT JOIN (SELECT doc_id, count(*) AS fixed FROM found GROUP BY doc_id) USING (doc_id)"""
 
 
+def _escaped(text: str) -> str:
+    return f"array_to_string([CASE WHEN regexp_matches(c, '{X.HIDDEN_CLASS}') THEN '\\u{{' || printf('%04X', unicode(c)) || '}}' ELSE c END for c in string_split({text}, '')], '')"
+
+
+def _context(around: int = 40) -> str:
+    low = f"greatest(0, start_idx - {around})"
+    parts = [f"substring(text, ({low} + 1)::INT, (start_idx - {low})::INT)", "substring(text, (start_idx + 1)::INT, (end_idx - start_idx)::INT)", f"substring(text, (end_idx + 1)::INT, {around})"]
+    before, inside, after = map(_escaped, parts)
+    return f"SELECT doc_id, start_off, rule, {before} || '[[' || {inside} || ']]' || {after} AS context FROM found JOIN planted USING (doc_id)"
+
+
+def _annotations() -> str:
+    data = lambda x: f"replace(replace(replace({x}, '%', '%25'), chr(13), '%0D'), chr(10), '%0A')"
+    prop = lambda x: f"replace(replace({data(x)}, ':', '%3A'), ',', '%2C')"
+    message = f"rule || ': ' || array_to_string([{_names()} for cp in cps[1:3]], ', ') || CASE WHEN decoded IS NULL THEN '' ELSE ' reads as ' || {_escaped('decoded')} END"
+    return f"""SELECT doc_id, start_off, rule, '::' || CASE severity WHEN 'info' THEN 'notice' ELSE severity END || ' file=' || {prop("concat_ws('/', source, lang, doc_id)")} || ',line=' || start_line
+      || ',col=' || start_col || ',title=' || {prop("'glyphgate: ' || rule")} || '::' || {data(message)} AS line
+      FROM (SELECT f.* EXCLUDE (cp), p.source, p.lang FROM found f JOIN planted p USING (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     single = {q: _over(f"SELECT {PLACE} FROM singles WHERE rule = '{r}'", f"{EVENTS}, {SINGLES}") for q, r in (("bidi_control", "bidi-control"), ("bidi_mark", "bidi-mark"), ("invisible", "invisible"), ("unusual_whitespace", "unusual-whitespace"), ("control_character", "control-character"))}
     off = ", ".join(f"'{r}'" for r, v in Q.OVERRIDES.items() if v is False)
@@ -213,6 +233,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS idx, unicode(ch)::BIGINT AS cp FROM planted) GROUP BY doc_id) USING (doc_id)""",
             f"planted AS MATERIALIZED ({planted_sql()})",
         ),
+        "context": _over(_context()),
+        "report_annotations": _over(_annotations()),
         "policy_allow": _over(f"SELECT {PLACE} FROM found WHERE {allowed}"),
         "policy_override": _over(f"SELECT {overridden} FROM found WHERE rule NOT IN ({off})"),
         "policy_by_path": _over(_path_policy()),
