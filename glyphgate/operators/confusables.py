@@ -149,9 +149,12 @@ def collisions(docs: DataFrame, facts: DataFrame, code: bool = False) -> DataFra
     """(doc_id, token, skeleton) of the distinct tokens that another spelling in their document collides with."""
     other = facts if code else facts.where(~F.col("styled"))
     other = other.select("doc_id", "skeleton", "token", F.lit(False).alias("ascii"), "nfd", "signature", "turkic")
-    near = ascii_words(docs, other, code)
+    near = materialize(ascii_words(docs, other, code), "ascii_words")
     near = near.select("doc_id", "skeleton", "token", F.lit(True).alias("ascii"), F.col("token").alias("nfd"), F.lit("Latin").alias("signature"), F.lit(False).alias("turkic"))
     both = near.unionByName(other)
+    # Nearly all skeletons have one token: a count leaves them out before anything is joined or collected.
+    shared_by = both.groupBy("doc_id", "skeleton").agg(F.count("*").alias("n"), F.bool_or(~F.col("ascii")).alias("beyond")).where("n >= 2 AND beyond").select("doc_id", "skeleton")
+    both = both.join(materialize(shared_by, "shared_skeletons"), ["doc_id", "skeleton"], "left_semi")
     foreign = (F.col("signature") != "Latin") & ~F.col("signature").contains("+")
     written = other.where(foreign).groupBy("doc_id", F.col("signature").alias("in_script")).agg(F.count_distinct("token").alias("n")).where(F.col("n") >= WRITTEN_IN)
     written = written.groupBy("doc_id").agg(F.collect_set("in_script").alias("written"))
