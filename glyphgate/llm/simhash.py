@@ -15,6 +15,19 @@ Defined results. Null text: as an empty text. Fewer than 3 words: the whole sequ
 fingerprint 0, linked as any other. Ties and repeated rows: rows with one text share a class. Null doc_id: never the
 smallest; a component with null ids only has a null id. An empty table gives an empty result. Other columns of the
 input are ignored by ``near_duplicates`` and kept by ``deduplicate``.
+
+``deduplicate``, the pipeline's stage, links by another rule: 5-word shingle sets with a Jaccard similarity of 0.8 or
+more. The bits between two such texts are not bounded, so no radius of fingerprints finds them all; the links are found
+exactly instead (``similar``), and only the components are shared with the above.
+
+1. Equal sets form one class. Any one order of all shingles will do: two sets of that similarity share a shingle among
+   the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with frequent shingles (estimated on an
+   eighth of the texts, which changes the cost only) last.
+2. In a bucket (classes that share such a shingle) of over ``CROWD`` classes, all are compared with one of them first.
+   The components of these links need no comparison inside, so a group of near copies is no square.
+3. In each bucket, classes outside its largest component meet all classes of other components; sizes and the number of
+   buckets that two classes share bound their common shingles, and what may reach 0.8 is decided by the whole sets.
+Texts without words form one class; with fewer than 5 words, the whole sequence is the one shingle.
 """
 
 from __future__ import annotations
@@ -32,25 +45,35 @@ from glyphgate.llm.common import arrow_map, discard, materialize
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: For ``deduplicate``: words of a shingle, classes that a bucket compares without a first round, frequent shingles put last.
+COPY_SHINGLE = 5
+CROWD = 64
+LAST = 20_000
 #: Fingerprints in one tile; two of them take 1 MB.
 TILE = 65_536
 #: Rows and columns of one exclusive-or inside a pair of tiles.
 SLICE = 1_024
 
 
-def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
-    """The SimHash of one UTF-8 text. ``bytes.lower`` and ``bytes.split`` know only ASCII, as wanted."""
+def shingle_hashes(text: bytes | None, size: int) -> list[int]:
+    """XXH64 of each shingle, repeats included. ``bytes.lower`` and ``bytes.split`` know only ASCII, as wanted."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+        return [digest(joined, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
+
+
+def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
+    """The SimHash of one UTF-8 text."""
+    hashes = shingle_hashes(text, size)
+    if not hashes:
+        return 0
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         block = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
@@ -195,16 +218,109 @@ def hex_fingerprint(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
 
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, COPY_SHINGLE), dtype=np.uint64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def shingled(docs: DataFrame, last: np.ndarray | None = None) -> DataFrame:
+    """doc_id, __mark, node (a digest of the text's shingle set), n (its size) and prefix (its first shingles in order)."""
+    late = np.sort(np.array([], np.uint64) if last is None else last)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
+            first = [x[np.argsort(np.isin(x, late), kind="stable")][: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), _lists(first)], ["doc_id", "__mark", "node", "n", "prefix"])
+
+    narrow = docs.select("doc_id", "__mark", F.col("text").cast("binary").alias("__text"))
+    return arrow_map(narrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __mark long, node long, n int, prefix array<long>")
+
+
+def _keyed(df: DataFrame, at: str = "") -> DataFrame:
+    """Columns that say the same as doc_id and __mark and are never null."""
+    return df.withColumn("__none", F.col(f"{at}doc_id").isNull()).withColumn("__key", F.coalesce(F.xxhash64(f"{at}doc_id"), F.lit(0).cast("long"))).withColumn("__text_mark", F.col(f"{at}__mark"))
+
+
+KEYS = ["__none", "__key", "__text_mark"]
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, tokens) for the (node, keeper) rows of ``wanted``, whose keeper names a row of ``docs`` that has the set."""
+    held = _keyed(docs.select("doc_id", "__mark", "text")).join(_keyed(wanted, "keeper.").select("node", *KEYS), KEYS)
+    narrow = held.dropDuplicates(KEYS).select("node", F.col("text").cast("binary").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t.as_py()) for t in batch.column(1)])], ["node", "tokens"])
+
+    return arrow_map(narrow, run, "node long, tokens array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose whole sets have a similarity of 0.8 or more."""
+    ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = materialize(shingle_sets(docs, materialize(nodes.select("node", "keeper").join(ends, "node"), "wanted")), "sets")
+    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u")
+    both = left.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    found = materialize(both.where(9 * common >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "similar")
+    discard(sets)
+    return found
+
+
+def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows (u, v) of ``nodes`` that connect exactly what links of a similarity of 0.8 or more connect."""
+    rows = nodes.select("node", "n", F.explode("prefix").alias("token"))
+    shared = materialize(rows.groupBy("token").agg(F.min("node").alias("one"), F.count("*").alias("held")).where("held > 1"), "shared")
+    held = materialize(rows.join(shared, "token"), "held")
+    # Any true links do here, so only pairs that share much of their prefixes are tried.
+    crowds = held.where((F.col("held") > CROWD) & (F.col("node") > F.col("one")))
+    star = crowds.groupBy(F.col("node").alias("u"), F.col("one").alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    star = materialize(star.where(20 * F.col("c") >= F.col("n")).select("u", "v"), "star")
+    near = star if star.isEmpty() else _verified(star, docs, nodes)
+    parted = materialize(held.drop("one", "held").join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
+    discard(held)
+    most = parted.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts"))
+    mixed = materialize(parted.join(materialize(most.where("parts > 1").select("token", F.col("m.part").alias("main")), "most"), "token"), "mixed")
+    discard(parted)
+    x = mixed.where("part <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "part")])
+    y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "part")])
+    once = (F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
+    sizes = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
+    met = x.join(y, "token").where(once & sizes).groupBy(F.greatest("x_node", "y_node").alias("u"), F.least("x_node", "y_node").alias("v"))
+    met = met.agg(F.count("*").alias("c"), F.first(F.greatest("x_n", "y_n")).alias("large"), F.first(F.col("x_n") + F.col("y_n")).alias("both"))
+    # What two sets share beyond their prefixes' common shingles lies behind one of the prefixes: ceil(0.8 n) - 1 at most.
+    met = materialize(met.where(9 * (F.col("c") + F.ceil(4 * F.col("large") / 5) - 1) >= 4 * F.col("both")).select("u", "v"), "met")
+    discard(mixed)
+    return near.union(_verified(met, docs, nodes))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, __mark, root and component_id for each row of ``docs`` (doc_id, text, __mark)."""
+    some = shingled(docs.where(F.pmod("__mark", F.lit(8)) == 0)).dropDuplicates(["node"]).select(F.explode("prefix").alias("token"))
+    often = some.groupBy("token").count().where(F.col("count") > CROWD // 8).orderBy(F.desc("count"), "token").limit(LAST).collect()
+    marked = materialize(shingled(docs, np.array([r["token"] for r in often], np.int64).view(np.uint64)), "shingled")
+    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
+    found = components(similar(docs, nodes))
+    rooted = materialize(nodes.select("node", "least_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    members = rooted.join(materialize(named, "named"), "root").select("node", "root", "component_id")
+    return marked.select("doc_id", "__mark", "node").join(materialize(members, "members"), "node")
+
+
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component: the row with its smallest doc_id, all columns kept.
+    """One document of each component of near copies: the row with its smallest doc_id, all columns kept.
 
     Rows that repeat an id within one component count as one document.
     """
     mark = F.xxhash64(F.col("text"))
-    narrow = docs.select("doc_id", "text", mark.alias("__mark"))
-    found = near_duplicates(narrow, ["doc_id", "__mark"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "__mark")).alias("s")).select(F.col("s.doc_id").alias("__id"), F.col("s.__mark").alias("__mark"))
-    stay = materialize(stay, "stay")
-    joined = docs.withColumn("__mark", mark).withColumn("__id", F.col("doc_id"))
-    kept = joined.join(stay.select(F.col("__id").alias("__i"), F.col("__mark").alias("__m")), F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    return kept.dropDuplicates(["__id", "__mark"]).select(*docs.columns)
+    found = near_copies(docs.select("doc_id", "text", mark.alias("__mark"))).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "__mark")).alias("s")).select("s.doc_id", "s.__mark")
+    stay = materialize(_keyed(stay).select(*KEYS), "stay")
+    return _keyed(docs.withColumn("__mark", mark)).join(stay, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
