@@ -7,9 +7,11 @@ count once, so a group of copies cannot turn its own lines into boilerplate. A l
 ``LINE_SHARE`` of the host's distinct documents, and more than ``LINE_LEAST`` of them, hold it. A document that loses
 more than ``LOST_SHARE`` of its words is rejected as depleted.
 
-At a share of 0.2, a host can have at most 5 times its mean number of lines as frequent ones, so that table is small;
-it still joins by shuffle unless Spark has measured it below its broadcast threshold. A line that every document of a
-hot host holds is counted by (host, line, text) first and then by (host, line), so no task gets the line's rows whole.
+On hosts of up to 10,000 distinct documents the count decides: any line held by 11 or more goes. On larger ones the
+share of 0.001 keeps short lines that independent documents hold by chance. The frequent lines may be many; they meet the
+documents in joins on (host, line) and, for the places to cut, on (host, text), never as one list for a host. A line that
+every document of a hot host holds is counted by (host, line, text) first and then by (host, line), so no task gets the
+line's rows whole.
 
 Defined results. Null text: as an empty text, which fails. Null source: a host of its own. Repeated rows and copies on
 one host share a verdict. Lines without a word are never counted nor removed. Empty table: no rows. Other columns are
@@ -26,7 +28,7 @@ from glyphgate.llm.common import WORD, materialize
 WINDOW = 8
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
-LINE_SHARE = 0.2
+LINE_SHARE = 0.001
 LINE_LEAST = 10
 LOST_SHARE = 0.5
 
@@ -73,11 +75,13 @@ def _with_repeats(rows: DataFrame) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One narrow row for each document: base figures, host, text hash, and the hash and words of each worded line."""
+    """One narrow row for each document: base figures, host, text hash, and the hash, words and place of each worded line."""
     text = _text()
     rows = docs.select("doc_id", host_of().alias("host"), text.alias("body"), F.sha2(text, 256).alias("blob"))
     rows = rows.withColumn("words", F.filter(F.split("body", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""))
     rows = rows.withColumn("lines", worded_lines(F.col("body")))
+    places = F.transform(F.split("body", "\n", -1), lambda x, i: F.when(x.rlike(WORD), i))
+    rows = rows.withColumn("places", F.filter(places, lambda i: i.isNotNull()))
     rows = _with_repeats(rows)
     return rows.select(
         "doc_id",
@@ -88,7 +92,7 @@ def measured(docs: DataFrame) -> DataFrame:
         F.regexp_count("body", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
-        F.transform("lines", lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"))).alias("lines"),
+        F.transform("lines", lambda x, k: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.get("places", k).alias("place"))).alias("lines"),
     )
 
 
@@ -101,46 +105,42 @@ def frequent_lines(table: DataFrame, share: float = LINE_SHARE, least: int = LIN
 
 
 def lost_words(table: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(host, blob, lost): how many words stand in frequent lines, for texts that have any."""
-    once = table.select("host", "blob", F.posexplode("lines").alias("at", "x"))
-    rows = once.select("host", "blob", "at", F.col("x.line").alias("line"), F.col("x.n").alias("n"))
+    """(host, blob, lost, cut): how many words stand in frequent lines and the places of these lines, for texts that have any."""
+    once = table.select("host", "blob", F.explode("lines").alias("x"))
+    rows = once.select("host", "blob", F.col("x.place").alias("place"), F.col("x.line").alias("line"), F.col("x.n").alias("n"))
     held = rows.join(frequent, ["host", "line"], "left_semi")
     # Copies have the same lines at the same places: each counts once.
-    return held.groupBy("host", "blob", "at").agg(F.max("n").alias("n")).groupBy("host", "blob").agg(F.sum("n").alias("lost"))
+    once = held.groupBy("host", "blob", "place").agg(F.max("n").alias("n"))
+    return once.groupBy("host", "blob").agg(F.sum("n").alias("lost"), F.collect_list("place").alias("cut"))
 
 
-def judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The narrow table with base_failed, lost and kept; and the frequent lines."""
+def judged(docs: DataFrame) -> DataFrame:
+    """The narrow table with base_failed, lost, cut (null where no line goes) and kept."""
     table = materialize(measured(docs), "measured")
     frequent = frequent_lines(table)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     if frequent.isEmpty():
-        joined = table.withColumn("lost", F.lit(0).cast("long"))
+        joined = table.withColumn("lost", F.lit(0).cast("long")).withColumn("cut", F.lit(None).cast("array<int>"))
     else:
         joined = table.join(materialize(lost_words(table, frequent), "lost"), ["host", "blob"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
     joined = joined.withColumn("base_failed", failed)
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * LOST_SHARE)), frequent
+    return joined.withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= F.col("n_words") * LOST_SHARE))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base figures, base_failed and kept of each row."""
-    found, _ = judged(docs)
+    found = judged(docs)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("lost").alias("n_lost_words"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that stay, without their frequent lines; all columns kept, ``n_chars``, if there, brought up to date."""
-    found, frequent = judged(docs)
-    out = materialize(found.where(~F.col("kept")).select(F.col("host").alias("__host"), F.col("blob").alias("__blob")).distinct(), "rejected")
+    found = judged(docs).where(~F.col("kept") | F.col("cut").isNotNull())
+    # Copies on one host share a verdict.
+    fate = materialize(found.groupBy(F.col("host").alias("__h"), F.col("blob").alias("__b")).agg(F.min("kept").alias("__kept"), F.first("cut").alias("__cut")), "fate")
     marked = docs.withColumn("__h", host_of()).withColumn("__b", F.sha2(_text(), 256))
-    stay = marked.join(out, (F.col("__h") == F.col("__host")) & (F.col("__b") == F.col("__blob")), "left_anti")
-    # One row for each host; the number of its frequent lines is bounded by the share.
-    per_host = materialize(frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__lines")), "per_host")
-    if per_host.isEmpty():
-        return stay.select(*docs.columns)
-    joined = stay.join(per_host, F.col("__h") == F.col("__host"), "left")
-    left = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("__lines", F.xxhash64(normal_line(x))) | ~x.rlike(WORD))
-    new = F.when(F.col("__lines").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text"))
-    joined = joined.withColumn("__text", new)
+    joined = marked.join(fate, ["__h", "__b"], "left").where(F.coalesce("__kept", F.lit(True)))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__cut", i))
+    joined = joined.withColumn("__text", F.when(F.col("__cut").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.select(*columns)
