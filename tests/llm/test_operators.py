@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -408,21 +409,44 @@ def test_byte_bpe_forgets(monkeypatch):
 
 def test_grammar_blocks():
     rng = np.random.default_rng(6)
-    for ids in ([], [5], [7] * 1_001, rng.integers(0, 50, 5_000), np.tile(rng.integers(0, 50_000, 90), 40), rng.integers(0, 200_000, 300_000)):
+    copies = np.tile(rng.integers(0, 50_000, 1_000), 200)
+    for ids in ([], [5], [7] * 1_001, [1, 1, 2] * 400, rng.integers(0, 50, 5_000), rng.integers(0, 2, 3_000), np.tile(rng.integers(0, 50_000, 90), 40), rng.integers(0, 200_000, 300_000), copies):
         ids = np.array(ids, np.uint32)
-        alphabet, rules, sizes, body = repair.compress(ids)
-        assert (repair.expand(alphabet, rules, body) == ids).all() and len(body) <= len(ids)
+        alphabet, rules, sizes, body = repair.unpack(repair.pack(*repair.compress(ids)))
+        assert (repair.expand(alphabet, rules, sizes, body) == ids).all() and len(body) <= len(ids)
         for _ in range(20):
             a, b = sorted(rng.integers(0, len(ids) + 1, 2).tolist())
             assert (repair.decode_range(alphabet, rules, sizes, body, a, b) == ids[a:b]).all()
-    assert len(repair.compress(np.array([7] * 1_024, np.uint32))[3]) < 128
-
-
-def test_token_files(spark, docs, rows, empty, tmp_path):
+        # No frequent pair is left: places of one pair that overlap (aaa) count once in two.
+        left, at = {}, 0
+        while at + 1 < len(body):
+            pair = (int(body[at]), int(body[at + 1]))
+            left[pair] = left.get(pair, 0) + 1
+            at += 2 if pair[0] == pair[1] and at + 2 < len(body) and body[at + 2] == pair[0] else 1
+        assert max(left.values(), default=0) < repair.LEAST
+    assert len(repair.compress(np.array([7] * 1_024, np.uint32))[3]) <= 8
+    assert len(repair.compress(copies.astype(np.uint32))[3]) <= 8
+
+
+def test_token_files(spark, docs, rows, empty, tmp_path, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, encoder = Tokenizer.from_file(path), repair.Encoder(path)
-    for text in [*ODD, "<|endoftext|> hi <|endoftext|>x y<|endoftext|> "]:
-        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    rng = random.Random(8)
+    alphabet = ["a", "Zé", "ß", "日", "\u0301", "\u0660", "²", "'s", "'", ".", ",", "<|", "endoftext", "|>", " ", " ", "  ", "\n", "\t", "\x1c", "\x00", "\x85", "\u00a0", "\u2003", "\U0001f389", "7", "#", "ǆ", "İ"]
+    odd = [*ODD, "<|endoftext|> hi <|endoftext|>x y<|endoftext|> ", *["".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(3_000)]]
+    want = [tokenizer.encode(text, add_special_tokens=False).ids for text in odd]
+    for kept in (repair.KEPT, 20):
+        monkeypatch.setattr(repair, "KEPT", kept)
+        for at in range(0, len(odd), 700):
+            ids, counts = encoder.encode(pa.array(odd[at : at + 700], pa.string()))
+            assert counts.tolist() == list(map(len, want[at : at + 700])) and ids.tolist() == [x for w in want[at : at + 700] for x in w]
+    monkeypatch.undo()
+    monkeypatch.setattr(repair, "LONG", 50)
+    long = " ".join(rng.choices(["word", "naïve", "x\n", "", "1.5"], k=200))
+    assert "".join(repair._chunks(long)) == long and len(repair._chunks(long)) > 5
+    ids, _ = encoder.encode(pa.array(repair._chunks(long)))
+    assert ids.tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+    monkeypatch.undo()
     repair.write(docs, str(tmp_path / "files"), path, 2, block=300)
     got = sorted(map(tuple, repair.read(spark, str(tmp_path / "files")).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == sorted((r.doc_id for r in rows), key=lambda d: (d is not None, d or 0))
@@ -433,4 +457,6 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         assert start == at
         at += n
     assert spark.read.parquet(str(tmp_path / "files")).count() > 5
+    some = {r.doc_id: r.ids for r in repair.fetch(spark, str(tmp_path / "files"), [10, 8, 12_345]).collect()}
+    assert some == {8: [2], 10: [*tokenizer.encode(LONG, add_special_tokens=False).ids, 2]}
     assert repair.round_trip(empty, path, 2).count() == 0
