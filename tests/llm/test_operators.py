@@ -196,19 +196,33 @@ def test_top_k(spark):
     assert topk.top_k(topk.integer_vectors(table.limit(0)), F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_pivots_stop_early():
+@pytest.mark.parametrize("spread", [1.0, 0.02])
+def test_pivots_eliminate(spark, monkeypatch, spread):
+    """Many blocks; with clusters the pivots leave few candidates, without them nearly all, and the result is exact."""
+    monkeypatch.setattr(topk, "CANDIDATES", 400)
+    monkeypatch.setattr(topk, "QUERIES", 30)
     rng = np.random.default_rng(5)
-    c = np.concatenate([rng.normal(0, 1, (4_000, 8)), np.full((30, 8), 200.0)]).round()
-    q = np.full(8, 200.0)
-    norms, seen = (c**2).sum(1), []
-    bounds = ((q**2).sum() + norms - np.abs(np.sqrt(norms) - np.sqrt((q**2).sum())) ** 2) / 2 + 1
-    real = topk._products
-    topk._products = lambda a, b: seen.append(len(b)) or real(a, b)
-    try:
-        at, scores = topk.best_of(q, -1, bounds, np.arange(len(c)), np.arange(len(c)), c, 20)
-    finally:
-        topk._products = real
-    assert sum(seen) < len(c) / 2 and at.tolist() == list(range(4_000, 4_020)) and (scores == 8 * 200 * 200).all()
+    centres = rng.normal(0, 1, (25, 12))
+    v = centres[rng.integers(0, 25, 3_000)] * (spread < 1) + rng.normal(0, spread, (3_000, 12))
+    v[1_000:2_000] = v[1_000]  # a third of all rows alike
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(table)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") % 20 == 0).collect())
+    whole = np.floor(64 * v).astype(np.int64)
+    want = []
+    for i in range(0, 3_000, 20):
+        scores = whole @ whole[i]
+        order = [j for j in np.lexsort((np.arange(3_000), -scores)) if j != i][:20]
+        want += [(i, n + 1, int(j), int(scores[j])) for n, j in enumerate(order)]
+    assert got == want
+    share = topk.found_pairs(vectors, F.col("vec_id") % 20 == 0).agg(F.sum("evaluated")).first()[0] / (150 * 3_000)
+    assert share < 0.5 if spread < 1 else share > 0.5
+
+
+def test_choose_pivots():
+    sample = np.array([[0.0, 0], [10, 0], [0, 0], [10, 1], [5, 5]])
+    assert len(topk.choose_pivots(sample, 3)) == 3 and len(topk.choose_pivots(np.zeros((5, 2)), 3)) == 1
+    assert topk.choose_pivots(sample, 5)[0].tolist() == [0, 0] and len(topk.choose_pivots(sample[:0], 5)) == 0
 
 
 SECRET = (
