@@ -6,6 +6,8 @@ are parameters: ``functions.unicode_data`` reads the public data files, or deriv
 
 from __future__ import annotations
 
+import re
+
 Ranges = tuple[tuple[int, int], ...]
 
 # Unicode character properties and code points.
@@ -180,6 +182,11 @@ def single_rule(d: Dialect) -> str:
         WHEN {control_predicate()} THEN 'control-character' END"""
 
 
+def of_event(predicate: str, name: str) -> str:
+    """A predicate over event columns as one over the fields of the lambda variable ``name``."""
+    return re.sub(r"\b(cp|idx|prev_cp|next_cp|prev_ch|next_ch)\b", rf"{name}.\1", predicate)
+
+
 SINGLE_SEVERITY = f"CASE WHEN rule = 'bidi-control' OR cp = {ESCAPE} THEN 'error' ELSE 'warning' END"
 #: Characters that can start or end a finding, break a line or take two UTF-16 units.
 EVENT_CLASS = "[" + char_class(((0x00, 0x08), (0x0A, 0x1F), (0x7F, 0xA0), *INVISIBLE, *EXPLICIT_BIDI, *BIDI_MARKS, *SELECTORS[:1], (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x2800, 0x2800), (0x3000, 0x3000), (0x10000, 0x10FFFF))) + "]"

@@ -13,6 +13,8 @@ import functools
 import os
 import unicodedata
 
+from glyphgate.functions.properties import char_class, merged
+
 # Well-known doubles of Latin letters and the ASCII sources.
 ASCII_SOURCES = {'"': "''", "%": "º/₀", "0": "O", "1": "l", "I": "l", "`": "'", "m": "rn", "|": "l"}
 DOUBLES = {
@@ -72,6 +74,20 @@ def scripts_of(ch: str, folder: str | None = None) -> tuple[str, ...]:
     return tuple(s for s in found if s not in ("Common", "Inherited", "Unknown", "Zyyy", "Zinh", "Zzzz"))
 
 
+@functools.cache
+def script_classes(spark, folder: str | None = None) -> dict[str, str]:
+    """The inside of a character class for each script: the engine's own, or the ranges of the data files with extensions."""
+    known = _script_file(folder)
+    if known is None:
+        names = [str(s) for s in spark.sparkContext._jvm.java.lang.Character.UnicodeScript.values()]
+        return {name.title(): rf"\p{{Is{name}}}" for name in sorted(names)}
+    points: dict[str, set[int]] = {}
+    for cp in known.keys() | _extensions(folder).keys():
+        for name in _extensions(folder).get(cp) or (known.get(cp, "Unknown"),):
+            points.setdefault(name, set()).add(cp)
+    return {name: char_class(merged(found)) for name, found in sorted(points.items())}
+
+
 @functools.cache
 def confusables(folder: str | None = None) -> dict[str, str]:
     """Character to the text that it looks like."""

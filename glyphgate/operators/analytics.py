@@ -1,17 +1,20 @@
 """Corpus analytics over findings: counts, shares, classifications, audits, coverage and differences.
 
-Findings may be far more than documents, so every rollup aggregates them before it joins anything.
+``findings`` are exploded findings; ``rows`` are documents with the array ``findings`` (``plans.scan.scanned``), so what
+needs both reads one row and joins nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphgate.functions import properties as P
 from glyphgate.functions import text as X
-from glyphgate.operators.repair import merge_spans
+from glyphgate.functions.rows import computed, matches, touched
+from glyphgate.functions.shipping import ship
+from glyphgate.operators.repair import merged_spans
 
 SEVERITY_ORDER = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
 # Probe classes that are independent of the rules, as code point ranges.
@@ -36,6 +39,7 @@ PROBES: dict[str, P.Ranges] = {
     "unusual-spaces": ((0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)),
     "noncharacter": ((0xFDD0, 0xFDEF), (0xFFFE, 0xFFFF)),
 }
+# Characters of the probes by pattern.
 _LETTERS = r"[\x{370}-\x{3FF}\x{400}-\x{4FF}\x{530}-\x{58F}]"
 _ZERO = r"[\x{AD}\x{34F}\x{200B}-\x{200D}\x{2060}-\x{2064}\x{FEFF}\x{180B}-\x{180E}\x{17B4}\x{17B5}\x{3164}\x{FFA0}\x{115F}\x{1160}]"
 PROBE_PATTERNS = {name: f"[{P.char_class(r)}]+" for name, r in PROBES.items()} | {
@@ -74,17 +78,15 @@ def top_share(findings: DataFrame, top: int = 10) -> DataFrame:
     return whole.crossJoin(F.broadcast(first)).select(F.round(F.col("top") / F.col("total"), 4).alias("share"), "largest", "total")  # one row each
 
 
-def strata(docs: DataFrame, findings: DataFrame, by: str) -> DataFrame:
-    """Per stratum: documents, flagged ones, and ones with an error."""
-    flags = findings.groupBy("doc_id").agg(F.bool_or(F.col("severity") == "error").alias("has_error"))
-    joined = docs.select("doc_id", by).join(flags, "doc_id", "left")
-    return joined.groupBy(by).agg(F.count("*").alias("docs"), F.count("has_error").alias("flagged"), F.count_if(F.coalesce("has_error", F.lit(False))).alias("error_docs"))
+def strata(rows: DataFrame, by: str) -> DataFrame:
+    """Per stratum of documents with ``findings``: documents, flagged ones, and ones with an error."""
+    error = F.exists("findings", lambda f: f["severity"] == "error")
+    return rows.groupBy(by).agg(F.count("*").alias("docs"), F.count_if(F.size("findings") > 0).alias("flagged"), F.count_if(error).alias("error_docs"))
 
 
-def split_rates(docs: DataFrame, findings: DataFrame, condition: str) -> DataFrame:
+def split_rates(rows: DataFrame, condition: str) -> DataFrame:
     """Documents and flagged ones on either side of a condition."""
-    flagged = findings.select("doc_id").distinct().withColumn("hit", F.lit(1))
-    return docs.select("doc_id", F.expr(condition).alias("side")).join(flagged, "doc_id", "left").groupBy("side").agg(F.count("*").alias("docs"), F.count("hit").alias("flagged"))
+    return rows.groupBy(F.expr(condition).alias("side")).agg(F.count("*").alias("docs"), F.count_if(F.size("findings") > 0).alias("flagged"))
 
 
 #: The first rule that holds labels a finding: (label, condition).
@@ -129,40 +131,40 @@ def audit_sample(findings: DataFrame, size: int = 100, seed: int = 1) -> DataFra
     return findings.orderBy(F.xxhash64("doc_id", "rule", "start_off", F.lit(seed)), "doc_id", "start_off", "rule").limit(size)
 
 
-def probe_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, probe, start, end) of every run of a probe class, in code points; only texts beyond ASCII are read."""
-    some = docs.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    rows = []
-    for name, pattern in PROBE_PATTERNS.items():
-        hit = some.where(F.col("text").rlike(pattern)).select("doc_id", F.lit(name).alias("probe"), F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("run")).alias("z"))
-        rows.append(hit)
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    each = out.select("doc_id", "probe", F.posexplode("z").alias("k", "z"))
-    so_far = Window.partitionBy("doc_id", "probe").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.length("z.gap") + F.coalesce(F.length("z.run"), F.lit(0))).over(so_far), F.lit(0)) + F.length("z.gap")
-    placed = each.withColumn("start", begin).where(F.col("z.run").isNotNull())
-    return placed.select("doc_id", F.when((F.col("probe") == "zero-width-and-joiners") & (F.col("start") == 0) & (F.col("z.run") == chr(P.BOM)), "bom-at-start").otherwise(F.col("probe")).alias("probe"), "start", (F.col("start") + F.length("z.run")).alias("end"))
-
-
-def probe_classes(runs: DataFrame) -> DataFrame:
+def probed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``probes``: (probe, start, end) of every run of a probe class, in code points; only texts beyond ASCII are read."""
+    ship(rows.sparkSession)
+    text = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), F.col("text"))
+    kept, names = rows.columns, list(PROBE_PATTERNS)
+    cut = matches(rows.withColumn("__text", text), {f"__p{i}": (F.col("__text"), PROBE_PATTERNS[n], F.col("__text").rlike(PROBE_PATTERNS[n])) for i, n in enumerate(names)})
+    parts = [F.transform(f"__p{i}", _probe(name)) for i, name in enumerate(names)]
+    return computed(cut, {"probes": F.concat(*parts)}).select(*kept, "probes")
+
+
+def _probe(name: str):
+    def one(x: Column) -> Column:
+        label = F.when((x["start"] == 0) & (x["hit"] == chr(P.BOM)), "bom-at-start").otherwise(name) if name == "zero-width-and-joiners" else F.lit(name)
+        return F.struct(label.alias("probe"), x["start"].alias("start"), (x["start"] + F.length(x["hit"])).alias("end"))
+
+    return one
+
+
+def probe_classes(rows: DataFrame) -> DataFrame:
+    """Per probe of ``probed`` rows: runs, characters and documents."""
+    runs = rows.select("doc_id", F.explode("probes").alias("p")).select("doc_id", "p.*")
     return runs.groupBy("probe").agg(F.count("*").alias("runs"), F.sum(F.col("end") - F.col("start")).alias("chars"), F.count_distinct("doc_id").alias("docs"))
 
 
-def coverage(runs: DataFrame, findings: DataFrame, pad: int = 2) -> DataFrame:
-    """Per probe: runs, those that a finding's span widened by ``pad`` touches, and documents with one that none does.
+def coverage(rows: DataFrame, pad: int = 2) -> DataFrame:
+    """Per probe of ``probed`` rows with ``findings``: runs, those that a finding's span widened by ``pad`` touches, and documents with one that none does.
 
-    Spans are merged first, so a run meets one of them at most and the join stays linear within a document.
+    Spans are merged first, so a run meets one of them at most and the search stays near linear within a document.
     """
-    spans = merge_spans(findings.select("doc_id", F.col("start_idx").alias("start"), F.col("end_idx").alias("end")), pad)
-    spans = spans.withColumnsRenamed({"start": "a", "end": "b"})
-    # As-of: the last span that begins at or before the end of the run.
-    events = runs.select("doc_id", F.col("end").alias("at"), F.lit(1).alias("kind"), "probe", "start", F.lit(None).cast("long").alias("b")).unionByName(spans.select("doc_id", F.col("a").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("string").alias("probe"), F.lit(None).cast("long").alias("start"), "b"))
-    order = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("last", F.last("b", ignorenulls=True).over(order)).where("kind = 1")
-    hit = seen.withColumn("covered", F.coalesce(F.col("last") >= F.col("start"), F.lit(False)))
-    return hit.groupBy("probe").agg(F.count("*").alias("runs"), F.count_if("covered").alias("covered_runs"), F.count_distinct(F.when(~F.col("covered"), F.col("doc_id"))).alias("docs_uncovered"))
+    spans = rows.withColumn("__spans", merged_spans(pad))
+    field = lambda column, name: F.transform(column, lambda x: x[name])
+    hit = spans.withColumn("__hit", touched(field("probes", "start"), field("probes", "end"), field("__spans", "start"), field("__spans", "end")))
+    each = hit.select("doc_id", F.explode(F.arrays_zip(F.col("probes").alias("p"), F.col("__hit").alias("covered"))).alias("x")).select("doc_id", "x.p.probe", "x.covered")
+    return each.groupBy("probe").agg(F.count("*").alias("runs"), F.count_if("covered").alias("covered_runs"), F.count_distinct(F.when(~F.col("covered"), F.col("doc_id"))).alias("docs_uncovered"))
 
 
 def scan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -172,36 +174,63 @@ def scan_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return joined.where("o IS NULL OR n IS NULL").select(*key, F.when(F.col("o").isNull(), "only_new").otherwise("only_old").alias("side"))
 
 
-def source_stats(docs: DataFrame, findings: DataFrame, by: str = "source") -> DataFrame:
-    flagged = findings.groupBy("doc_id").agg(F.count("*").alias("n"))
-    joined = docs.select("doc_id", by, F.octet_length("text").cast("long").alias("bytes")).join(flagged, "doc_id", "left")
-    return joined.groupBy(by).agg(F.count("*").alias("documents"), F.sum("bytes").alias("bytes"), F.count("n").alias("flagged"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
+def source_stats(rows: DataFrame, by: str = "source") -> DataFrame:
+    size = F.size("findings")
+    return rows.groupBy(by).agg(F.count("*").alias("documents"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count_if(size > 0).alias("flagged"), F.sum(size).alias("findings"))
+
 
+#: Hexadecimal digits of the prefixes, from the longest; a digest has 4,096 parts below it at most.
+LEVELS = (6, 3)
 
-def manifest_digest(docs: DataFrame, by: str = "source") -> DataFrame:
-    """Per source: SHA-256 over the sorted SHA-256 of its documents.
 
-    The hashes of one source meet in one group as an ordered list; a first level of digests by hash prefix keeps each
-    list to a 256th of a source, and the digest is over those.
+def manifest_digest(docs: DataFrame, by: str = "source", levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """Per source: documents, and a SHA-256 over the sorted SHA-256 of its distinct texts, each with how often it stands.
+
+    Copies are counted before anything is listed. Hashes are digested by prefix, level by level, so that no list grows
+    with a source: the first has a 16,777,216th of a source, each other 4,096 digests at most.
     """
-    hashed = docs.select(by, F.sha2("text", 256).alias("h"))
-    first = hashed.groupBy(by, F.substr("h", F.lit(1), F.lit(2)).alias("p")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n")
-    return first.groupBy(by).agg(F.sum("n").alias("documents"), F.sha2(lines, 256).alias("digest"))
+    rows = docs.select(by, F.sha2("text", 256).alias("p")).groupBy(by, "p").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("d", F.concat_ws(" ", "p", F.col("n").cast("string")))
+    for digits in (*levels, 0):
+        lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "\n")
+        rows = rows.groupBy(by, F.left("p", F.lit(digits)).alias("p")).agg(F.sum("n").alias("n"), F.sha2(lines, 256).alias("d"))
+    return rows.select(by, F.col("n").alias("documents"), F.col("d").alias("digest"))
 
 
-def context(docs: DataFrame, findings: DataFrame, around: int = 40) -> DataFrame:
+def context(rows: DataFrame, around: int = 40) -> DataFrame:
     """(doc_id, start_off, rule, context): the text around each finding, the finding in double brackets, hidden characters escaped."""
-    some = findings.select("doc_id", "rule", "start_idx", "end_idx", "start_off").join(docs.select("doc_id", "text"), "doc_id")
+    some = rows.select("doc_id", "text", F.explode("findings").alias("f")).select("doc_id", "text", "f.rule", "f.start_idx", "f.end_idx", "f.start_off")
     part = lambda a, n: X.diagnostic_text(F.substr("text", (a + 1).cast("int"), n.cast("int")))
     low = F.greatest(F.lit(0), F.col("start_idx") - around)
     whole = F.concat(part(low, F.col("start_idx") - low), F.lit("[["), part(F.col("start_idx"), F.col("end_idx") - F.col("start_idx")), F.lit("]]"), part(F.col("end_idx"), F.lit(around)))
     return some.select("doc_id", "start_off", "rule", whole.alias("context"))
 
 
-def inspection(docs: DataFrame, findings: DataFrame, first: int = 300) -> DataFrame:
+def inspection(rows: DataFrame, first: int = 300) -> DataFrame:
     """Per document: code points, findings in all, and places of the first ones."""
-    order = Window.partitionBy("doc_id").orderBy("start_off", "rule")
-    some = findings.withColumn("n", F.row_number().over(order))
-    rolled = some.groupBy("doc_id").agg(F.count("*").alias("findings"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= first, F.struct("n", "start_off")))), lambda x: x["start_off"].cast("string")), ",").alias("places"))
-    return docs.select("doc_id", F.length("text").cast("long").alias("code_points")).join(rolled, "doc_id", "left").select("doc_id", "code_points", F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("places", F.lit("")).alias("places"))
+    places = F.array_join(F.transform(F.slice("findings", 1, first), lambda f: f["start_off"].cast("string")), ",")
+    return rows.select("doc_id", F.length("text").cast("long").alias("code_points"), F.size("findings").cast("long").alias("findings"), places.alias("places"))
+
+
+def inspection_bundle(rows: DataFrame, first: int = 300, preview: int = 10_000, left: int = 20) -> DataFrame:
+    """Per document, what a reader needs to judge it: counts by severity, the first findings, the repaired text, and a preview that cuts no finding.
+
+    ``rows`` are documents with ``findings``; the result has their other columns. ``remaining`` are the first findings
+    that a repair leaves: those that no repair changes.
+    """
+    from glyphgate.operators.repair import revealed, sanitize
+
+    of = lambda severity: F.size(F.filter("findings", lambda f: f["severity"] == severity)).cast("long").alias(f"n_{severity}")
+    counts = [of(s) for s in ("error", "warning", "info")]
+    beyond = F.get("findings", F.lit(first))["start_idx"]
+    cut = F.least(F.length("text").cast("long"), F.lit(preview).cast("long"), F.coalesce(beyond, F.lit(preview).cast("long")))
+    back = F.aggregate(F.reverse("findings"), cut, lambda end, f: F.when((f["start_idx"] < end) & (f["end_idx"] > end), f["start_idx"]).otherwise(end))
+    shown = computed(rows.withColumn("__end", back), {"__preview": F.filter("findings", lambda f: f["end_idx"] <= F.col("__end"))})
+    shown = shown.withColumn("preview", revealed(F.left("text", F.col("__end").cast("int")), "__preview")).drop("__preview", "__end")
+    repaired = sanitize(shown.withColumn("__whole", F.col("text")).withColumnRenamed("findings", "__findings")).withColumnRenamed("__findings", "findings")
+    kept = [c for c in rows.columns if c not in ("text", "findings")]
+    remaining = F.filter("findings", lambda f: ~f["fixable"])
+    return repaired.select(
+        *kept, F.length("__whole").cast("long").alias("code_points"), F.size("findings").cast("long").alias("n_findings"), *counts, F.slice("findings", 1, first).alias("findings"),
+        "preview", F.col("text").alias("sanitized"), F.slice(remaining, 1, left).alias("remaining"),
+    )

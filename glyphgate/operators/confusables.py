@@ -1,9 +1,8 @@
-"""Lookalike words: tokens, skeletons, mixed-script words and collisions within a document.
+"""Lookalike words: tokens, skeletons, mixed-script words and collisions within a document, as arrays of the row.
 
-One pattern finds the tokens that hold a character beyond ASCII, and each distinct one of a document is looked at once
-by a small function. An ASCII token has an ASCII skeleton, so ASCII tokens are looked for only in documents where a token
-beyond ASCII has one too; their skeletons are replacements in the plan. Collisions group by (document, skeleton).
-Offsets are computed last, only for documents with a finding.
+Scripts are character classes, so all tests of a word are regular expressions: a word may mix scripts where one of the
+permitted classes covers it. Only the normal forms of tokens beyond ASCII come from an Arrow function; ASCII tokens are
+looked at only where a token beyond ASCII has an ASCII skeleton. Collisions are groups in a sorted array.
 """
 
 from __future__ import annotations
@@ -11,33 +10,32 @@ from __future__ import annotations
 import functools
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from glyphgate.functions import properties as P
+from glyphgate.functions import rows
 from glyphgate.functions import text as X
-from glyphgate.functions.shipping import ship
-from glyphgate.functions.unicode_data import confusables, imitated, scripts_of
-from glyphgate.operators.rules import finding
-from glyphgate.plans.storage import materialize
+from glyphgate.functions.unicode_data import confusables, imitated, script_classes, scripts_of
+from glyphgate.operators.rules import span
 
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}][\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]*"
 CODE_TOKEN = r"[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$\x{200C}\x{200D}]*"
 BEYOND_ASCII = r"[^\x00-\x7F]"
-# The tokens of text mode that go beyond ASCII: ASCII word characters, from the first of them, and then another; or another at once.
-BEYOND_TOKEN = r"(?<![0-9A-Za-z_])(?:[0-9A-Za-z_]++[\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]+|(?=[^\x00-\x7F])" + TOKEN + ")"
-# Script sets that may share a word.
-EAST_ASIAN_SETS = (frozenset({"Latin", "Han", "Hiragana", "Katakana"}), frozenset({"Latin", "Han", "Bopomofo"}), frozenset({"Latin", "Han", "Hangul"}))
-RECOMMENDED = frozenset(
-    "Arabic Armenian Bengali Bopomofo Cyrillic Devanagari Ethiopic Georgian Greek Gujarati Gurmukhi Hangul Han Hebrew Hiragana Kannada Katakana Khmer Lao Latin "
-    "Malayalam Myanmar Oriya Sinhala Tamil Telugu Thaana Thai Tibetan".split()
+#: ASCII characters that no token of text mode holds.
+_APART = r"[\x00-/:-@\[-\^`{-\x7F]+"
+# Script sets that may share a word, and scripts that Latin may be joined by.
+EAST_ASIAN_SETS = (("Latin", "Han", "Hiragana", "Katakana"), ("Latin", "Han", "Bopomofo"), ("Latin", "Han", "Hangul"))
+WITH_LATIN = tuple(
+    "Arabic Armenian Bengali Bopomofo Devanagari Ethiopic Georgian Gujarati Gurmukhi Hangul Han Hebrew Hiragana Kannada Katakana Khmer Lao Malayalam Myanmar Oriya "
+    "Sinhala Tamil Telugu Thaana Thai Tibetan".split()
 )
-PASS_FOR_LATIN = frozenset({"Cyrillic", "Greek"})
+_NEUTRAL = r"\p{IsCommon}\p{IsInherited}\p{IsUnknown}"
 #: Distinct words of one script that make a document one that is written in it.
 WRITTEN_IN = 10
-#: Words whose facts a worker keeps.
+#: Tokens whose normal forms a worker keeps.
 KEPT_WORDS = 200_000
 
 
@@ -46,68 +44,85 @@ def skeleton(token: str, folder: str | None = None) -> str:
     return unicodedata.normalize("NFD", "".join(table.get(c, c) for c in unicodedata.normalize("NFD", token)))
 
 
-def _sets(word: str, folder: str | None) -> list[frozenset[str]]:
-    return [s for s in (frozenset(scripts_of(c, folder)) for c in word) if s]
+@functools.lru_cache(maxsize=KEPT_WORDS)
+def forms(token: str, folder: str | None = None) -> dict:
+    """Skeleton, normal form D, and the distinct script sets of the characters that have one."""
+    sets = sorted({tuple(sorted(s)) for c in token if (s := scripts_of(c, folder))})
+    return {"skeleton": skeleton(token, folder), "nfd": unicodedata.normalize("NFD", token), "sets": sets}
 
 
-def may_mix(sets: list[frozenset[str]]) -> bool:
-    """True if one script, an East Asian set, or Latin with one recommended script covers every character."""
-    covered = lambda allowed: all(s & allowed for s in sets)
-    present = frozenset().union(*sets)
-    return not sets or any(covered({s}) for s in present) or any(map(covered, EAST_ASIAN_SETS)) or any(covered({"Latin", s}) for s in (present & RECOMMENDED) - PASS_FOR_LATIN - {"Latin"})
+_FORMS = pa.struct([("skeleton", pa.string()), ("nfd", pa.string()), ("sets", pa.list_(pa.list_(pa.string())))])
+_SETS = T.ArrayType(T.ArrayType(T.StringType()))
 
 
-def holds_lookalike(word: str, folder: str | None = None) -> bool:
-    table, foreign = confusables(folder), [c for c in word if ord(c) > 0x7F]
-    for c in foreign:
-        target = table.get(c, "")
-        if target.isascii() and target.isalnum() and "Latin" not in scripts_of(c, folder):
-            return True
-    ascii_ = [c for c in word if c.isascii() and c.isalnum()]
-    if len(ascii_) >= len(foreign):
-        return False
-    counts: dict[str, int] = {}
-    for c in foreign:
-        for s in set(scripts_of(c, folder)) - {"Latin"}:
-            counts[s] = counts.get(s, 0) + 1
-    main = {s for s, n in counts.items() if 2 * n >= len(foreign)}
-    return any(imitated(folder).get(c, frozenset()) & main for c in ascii_)
+@functools.cache
+def spell(folder: str | None = None):
+    """``forms`` of each token of a list, as an Arrow function."""
 
+    def spelled(lists: pa.Array) -> pa.Array:
+        return pa.array([[forms(t, folder) for t in x] for x in lists.to_pylist()], pa.list_(_FORMS))
 
-def is_mixed(token: str, folder: str | None = None) -> bool:
-    words, word = [], ""
-    for c in token:
-        if unicodedata.category(c) == "Pc":
-            words.append(word)
-            word = ""
-        else:
-            word += c
-    return any(not may_mix(_sets(w, folder)) and holds_lookalike(w, folder) for w in [*words, word])
+    return F.arrow_udf(spelled, T.ArrayType(T.StructType([*[T.StructField(n, T.StringType()) for n in ("skeleton", "nfd")], T.StructField("sets", _SETS)])))
 
 
-def signature(token: str, folder: str | None = None) -> str:
-    """The one script common to all characters, else all their scripts joined; Latin for none."""
-    sets = _sets(token, folder)
-    common = frozenset.intersection(*sets) if sets else frozenset()
-    return next(iter(common)) if len(common) == 1 else "+".join(sorted(frozenset().union(*sets))) or "Latin"
+def _indexes(tokens: pa.Array, flagged: pa.Array) -> pa.Array:
+    out = []
+    for some, names in zip(tokens.to_pylist(), flagged.to_pylist()):
+        at = {name: i for i, name in enumerate(names or ())}
+        out.append([at.get(t) for t in some or ()])
+    return pa.array(out, pa.list_(pa.int32()))
 
 
-@functools.lru_cache(maxsize=KEPT_WORDS)
-def word_fact(token: str, folder: str | None = None) -> tuple[str, str, bool, str, bool, bool]:
-    """skeleton, nfd, mixed, signature, styled and turkic of a token beyond ASCII."""
-    beyond = [c for c in token if ord(c) > 0x7F]
-    styled = all(ord(c) in P.SMALL_CAPITALS or any(lo <= ord(c) <= hi for lo, hi in P.STYLED) for c in beyond)
-    turkic = any(c in "ıİ" for c in beyond) and all(c in "ıİ" or "Latin" in scripts_of(c, folder) for c in beyond)
-    return skeleton(token, folder), unicodedata.normalize("NFD", token), is_mixed(token, folder), signature(token, folder), styled, turkic
+#: For each token of a list, its index among other tokens.
+indexes = F.arrow_udf(_indexes, T.ArrayType(T.IntegerType()))
+
+
+class Scripts:
+    """Tests of words by the script classes of an engine or of a folder of data files."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.folder, self.classes = folder, script_classes(spark, folder)
+        self.neutral = _NEUTRAL if folder is None else "".join(self.classes.get(n, "") for n in ("Common", "Inherited", "Unknown"))
+        self.own = {n: c for n, c in self.classes.items() if n not in ("Common", "Inherited", "Unknown")}
+
+    def _only(self, *sets: tuple[str, ...]) -> str:
+        """A pattern for words that one of the sets of scripts covers."""
+        return "^(?:" + "|".join("[" + "".join(self.own[n] for n in names if n in self.own) + self.neutral + "]*" for names in sets) + ")$"
+
+    def permitted(self, word: Column) -> Column:
+        """One script, an East Asian set, or Latin with one script that may join it covers all characters."""
+        return word.rlike(self._only(*((n,) for n in self.own), *EAST_ASIAN_SETS, *(("Latin", n) for n in WITH_LATIN)))
+
+    def holds_lookalike(self, word: Column) -> Column:
+        """A character that passes for ASCII stands in the word, or, among more others than ASCII, an ASCII one that passes for one of their script."""
+        passing = [c for c, to in confusables(self.folder).items() if ord(c) > 0x7F and to.isascii() and to.isalnum() and "Latin" not in scripts_of(c, self.folder)]
+        foreign, ascii_ = F.regexp_count(word, F.lit(BEYOND_ASCII)), F.regexp_count(word, F.lit("[0-9A-Za-z]"))
+        doubles: dict[str, list[str]] = {}
+        for target, names in imitated(self.folder).items():
+            for name in names - {"Latin"}:
+                doubles.setdefault(name, []).append(target)
+        reverse = F.lit(False)
+        for name in sorted(doubles):
+            if name in self.own:
+                most = 2 * F.regexp_count(word, F.lit(f"[{self.own[name]}]")) >= foreign
+                reverse = reverse | (most & word.rlike("[" + "".join(sorted(doubles[name])) + "]"))
+        return word.rlike("[" + P.char_class((), tuple(map(ord, passing))) + "]") | ((ascii_ < foreign) & reverse)
 
+    def mixed(self, token: Column) -> Column:
+        """True if a word between connectors mixes scripts and holds a lookalike."""
+        each = F.exists(F.split(token, r"\p{Pc}+"), lambda w: ~self.permitted(w) & self.holds_lookalike(w))
+        return F.when(token.rlike(self._only(("Latin",))), False).otherwise(each)
 
-def _word_facts(folder: str | None):
-    """``word_fact`` as a pandas function."""
+    def turkic(self, token: Column) -> Column:
+        """A Latin token with a dotless or dotted i."""
+        return token.rlike("[ıİ]") & token.rlike(f"^[\\x00-\\x7F{self.own['Latin']}]*$")
 
-    def facts(tokens: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([word_fact(t, folder) for t in tokens], columns=["skeleton", "nfd", "mixed", "signature", "styled", "turkic"])
 
-    return F.pandas_udf(facts, "skeleton string, nfd string, mixed boolean, signature string, styled boolean, turkic boolean")
+def signature(sets: Column) -> Column:
+    """The one script that all script sets share, else all scripts joined; Latin for none."""
+    shared = F.aggregate(sets, F.flatten(sets), lambda all_, s: F.array_intersect(all_, s))
+    joined = F.array_join(F.array_sort(F.array_distinct(F.flatten(sets))), "+")
+    return F.when(F.size(sets) == 0, "Latin").when(F.size(shared) == 1, F.get(shared, F.lit(0))).otherwise(joined)
 
 
 def ascii_skeleton(token: Column) -> Column:
@@ -116,94 +131,95 @@ def ascii_skeleton(token: Column) -> Column:
     return token
 
 
-def _tokens(docs: DataFrame, pattern: str, code: bool) -> DataFrame:
-    """(doc_id, token) for each distinct match in the documents."""
-    # The letter of an escape such as backslash-n is no part of the word that follows it.
-    text = F.regexp_replace("text", r"\\[ntrfvb](?=[^\x00-\x7F])", "  ")
-    # Outer, as the optimizer would test an inner one's array for emptiness below, by the same search again.
-    found = docs.select("doc_id", F.explode_outer(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))).alias("token")).where("token IS NOT NULL")
-    return found if code else found.where(X.utf16_length(F.col("token")) > 1)
-
-
-def words(docs: DataFrame, code: bool = False) -> DataFrame:
-    """(doc_id, token) for each distinct token that holds a character beyond ASCII."""
-    some = docs.where(F.col("text").rlike(BEYOND_ASCII))
-    return _tokens(some, CODE_TOKEN, True).where(F.col("token").rlike(BEYOND_ASCII)) if code else _tokens(some, BEYOND_TOKEN, False)
-
-
-def ascii_words(docs: DataFrame, facts: DataFrame, code: bool = False) -> DataFrame:
-    """(doc_id, skeleton, token) of the ASCII tokens that share their skeleton with a token of ``facts`` in their document."""
-    wanted = materialize(facts.where(~F.col("skeleton").rlike(BEYOND_ASCII)).select("doc_id", "skeleton").distinct(), "ascii_skeletons")
-    some = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    plain = _tokens(some, CODE_TOKEN if code else TOKEN, code).where(~F.col("token").rlike(BEYOND_ASCII))
-    return plain.withColumn("skeleton", ascii_skeleton(F.col("token"))).join(wanted, ["doc_id", "skeleton"], "left_semi")
-
-
-def word_facts(tokens: DataFrame, folder: str | None = None) -> DataFrame:
-    """Add skeleton, nfd, mixed, signature, styled and turkic; written once, as several steps read it."""
-    ship(tokens.sparkSession)
-    return materialize(tokens.withColumn("f", _word_facts(folder)("token")).select("doc_id", "token", "f.*"), "words")
-
-
-def collisions(docs: DataFrame, facts: DataFrame, code: bool = False) -> DataFrame:
-    """(doc_id, token, skeleton) of the distinct tokens that another spelling in their document collides with."""
-    other = facts if code else facts.where(~F.col("styled"))
-    other = other.select("doc_id", "skeleton", "token", F.lit(False).alias("ascii"), "nfd", "signature", "turkic")
-    near = materialize(ascii_words(docs, other, code), "ascii_words")
-    near = near.select("doc_id", "skeleton", "token", F.lit(True).alias("ascii"), F.col("token").alias("nfd"), F.lit("Latin").alias("signature"), F.lit(False).alias("turkic"))
-    both = near.unionByName(other)
-    # Nearly all skeletons have one token: a count leaves them out before anything is joined or collected.
-    shared_by = both.groupBy("doc_id", "skeleton").agg(F.count("*").alias("n"), F.bool_or(~F.col("ascii")).alias("beyond")).where("n >= 2 AND beyond").select("doc_id", "skeleton")
-    both = both.join(materialize(shared_by, "shared_skeletons"), ["doc_id", "skeleton"], "left_semi")
-    foreign = (F.col("signature") != "Latin") & ~F.col("signature").contains("+")
-    written = other.where(foreign).groupBy("doc_id", F.col("signature").alias("in_script")).agg(F.count_distinct("token").alias("n")).where(F.col("n") >= WRITTEN_IN)
-    written = written.groupBy("doc_id").agg(F.collect_set("in_script").alias("written"))
-    turkish = other.where("turkic").groupBy("doc_id").agg((F.count_distinct("token") >= WRITTEN_IN).alias("turkish"))
-    rows = both.join(written, "doc_id", "left").join(turkish, "doc_id", "left")
-    ordinary = F.col("ascii") | F.coalesce(F.array_contains("written", F.col("signature")), F.lit(False)) | (F.col("turkic") & F.coalesce("turkish", F.lit(False)))
-    # Least and greatest tell whether there are several, without an aggregate of distinct values.
-    several = lambda c: F.min(c) != F.max(c)
-    groups = rows.groupBy("doc_id", "skeleton").agg(
-        several("token").alias("spelt"), several("nfd").alias("formed"), several("signature").alias("signed"), F.first("signature").alias("one"),
-        F.bool_or(~F.col("ascii")).alias("beyond"), F.bool_and(ordinary).alias("plain"), F.collect_set("token").alias("tokens"),
-    )
-    hit = F.col("spelt") & F.col("beyond")
-    if not code:
-        shared = ~F.col("signed") & (F.col("one") != "Latin") & ~F.col("one").contains("+")
-        hit = hit & F.col("formed") & ~shared & ~F.col("plain")
-    return groups.where(hit).select("doc_id", "skeleton", F.explode("tokens").alias("token"))
-
-
-def occurrences(docs: DataFrame, flagged: DataFrame, code: bool = False) -> DataFrame:
-    """Findings at every place of the flagged (doc_id, token, severity, skeleton)."""
-    pattern = CODE_TOKEN if code else TOKEN
-    some = docs.join(flagged.select("doc_id").distinct(), "doc_id", "left_semi")
-    text = F.regexp_replace("text", r"\\[ntrfvb](?=[^\x00-\x7F])", "  ")
-    cut = some.select("doc_id", F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("token")).alias("z"))
-    each = cut.select("doc_id", F.posexplode_outer("z").alias("k", "z")).where("k IS NOT NULL").select("doc_id", "k", "z.gap", "z.token")
-    so_far = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    token = F.coalesce("token", F.lit(""))
-    units = X.utf16_length(F.col("gap")) + X.utf16_length(token)
-    last = F.element_at(F.split(F.regexp_replace("gap", r"\r\n?", "\n"), "\n"), -1)
-    placed = each.withColumn("idx", F.coalesce(F.sum(F.length("gap") + F.length(token)).over(so_far), F.lit(0)) + F.length("gap"))
-    placed = placed.withColumn("start_off", F.coalesce(F.sum(units).over(so_far), F.lit(0)) + X.utf16_length(F.col("gap")))
-    breaks = F.regexp_count("gap", F.lit(r"\n|\r(?!\n)"))
-    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("start_line", 1 + F.sum(breaks).over(upto)).withColumn("line_off", F.max(F.when(breaks > 0, F.col("start_off") - X.utf16_length(last))).over(upto))
-    found = placed.join(flagged, ["doc_id", "token"])
-    return finding(
-        found.select(
-            "doc_id", F.lit("confusable").alias("rule"), "severity", F.col("idx").cast("long").alias("start_idx"), (F.col("idx") + F.length("token")).cast("long").alias("end_idx"),
-            "start_off", (F.col("start_off") + X.utf16_length(F.col("token"))).alias("end_off"), F.col("start_line").cast("long").alias("start_line"),
-            (F.col("start_off") - F.coalesce("line_off", F.lit(0)) + 1).alias("start_col"),
-            F.transform(F.split("token", ""), lambda c: F.ascii(c).cast("long")).alias("code_points"), "skeleton",
-        )
-    )
-
-
-def confusable_words(docs: DataFrame, code: bool = False, folder: str | None = None) -> DataFrame:
-    """Mixed-script words (warning) and collisions (error) as findings."""
-    facts = word_facts(words(docs, code), folder)
-    mixed = facts.where("mixed").select("doc_id", "token", F.lit("warning").alias("severity"), F.lit(None).cast("string").alias("skeleton"))
-    clash = collisions(docs, facts, code).select("doc_id", "token", F.lit("error").alias("severity"), "skeleton")
-    return occurrences(docs, mixed.unionByName(clash), code)
+def readable() -> Column:
+    """The text, in which the letter of an escape such as backslash-n is no part of the word that follows it."""
+    return F.when(F.contains("text", F.lit("\\")), F.regexp_replace("text", r"\\[ntrfvb](?=[^\x00-\x7F])", "  ")).otherwise(F.col("text"))
+
+
+def _extracted(pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(readable(), F.lit(pattern), F.lit(0)))
+
+
+def beyond_tokens(code: Column) -> Column:
+    """The row's distinct tokens that hold a character beyond ASCII; in text mode one of a single UTF-16 unit is none."""
+    # Words without a character beyond ASCII go before the pattern of tokens is tried.
+    foreign = F.array_join(F.filter(F.split(readable(), _APART), lambda w: w.rlike(BEYOND_ASCII)), " ")
+    found = F.array_distinct(F.regexp_extract_all(foreign, F.lit(TOKEN), F.lit(0)))
+    prose = F.filter(found, lambda t: t.rlike(BEYOND_ASCII) & (X.utf16_length(t) > 1))
+    names = F.filter(_extracted(CODE_TOKEN), lambda t: t.rlike(BEYOND_ASCII))
+    return F.when(F.col("text").rlike(BEYOND_ASCII), F.when(code, names).otherwise(prose)).otherwise(F.array().cast("array<string>"))
+
+
+def ascii_tokens(code: Column) -> Column:
+    plain = lambda found: F.filter(found, lambda t: ~t.rlike(BEYOND_ASCII))
+    return F.when(code, plain(_extracted(CODE_TOKEN))).otherwise(F.filter(plain(_extracted(TOKEN)), lambda t: F.length(t) > 1))
+
+
+def with_words(df: DataFrame) -> DataFrame:
+    """Add ``__words``: (skeleton, token, nfd, sets) of each token of the array ``__tokens``, from its ``__forms``."""
+    both = F.arrays_zip(F.col("__tokens").alias("token"), F.col("__forms").alias("f"))
+    return rows.computed(df, {"__words": F.transform(both, lambda x: F.struct(x["f"]["skeleton"].alias("skeleton"), x["token"].alias("token"), x["f"]["nfd"].alias("nfd"), x["f"]["sets"].alias("sets")))}).drop("__forms")
+
+
+def with_collisions(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
+    """Add ``__clashes``: (skeleton, token) of the tokens that another spelling in the row collides with; needs ``__words``, ``text``."""
+    styled = "^[\\x00-\\x7F" + P.char_class(P.STYLED, tuple(P.SMALL_CAPITALS)) + "]*$"
+    df = rows.computed(df, {"__other": F.filter("__words", lambda w: code | ~w["token"].rlike(styled))})
+    known = F.transform(ascii_tokens(code), lambda t: F.struct(ascii_skeleton(t).alias("skeleton"), t.alias("token"), t.alias("nfd"), F.array().cast("array<array<string>>").alias("sets")))
+    meets_ascii = F.exists("__other", lambda w: ~w["skeleton"].rlike(BEYOND_ASCII))
+    df = rows.computed(df, {"__sorted": F.array_sort(F.when(meets_ascii, F.concat("__other", known)).otherwise(F.col("__other")))})
+    # Nearly all skeletons have one token: only those beside an equal one go on.
+    near = F.arrays_zip(F.col("__sorted").alias("w"), rows.beside(F.col("__sorted"), -1).alias("a"), rows.beside(F.col("__sorted"), 1).alias("b"))
+    same = lambda x, side: F.coalesce(x["w"]["skeleton"] == x[side]["skeleton"], F.lit(False))
+    df = rows.computed(df, {"__shared": F.transform(F.filter(near, lambda x: same(x, "a") | same(x, "b")), lambda x: x["w"])}).drop("__sorted")
+    shared = F.col("__shared")
+    beside = F.arrays_zip(shared.alias("w"), rows.beside(shared, -1).alias("a"))
+    df = rows.computed(df, {"__heads": F.filter(F.transform(beside, lambda x, i: F.when(~same(x, "a"), i)), lambda i: i.isNotNull())})
+    bounds = F.arrays_zip(F.col("__heads").alias("a"), rows.beside(F.col("__heads"), 1).alias("b"))
+    signed = lambda w: F.struct(*[w[c].alias(c) for c in ("skeleton", "token", "nfd")], (~w["token"].rlike(BEYOND_ASCII)).alias("ascii"), signature(w["sets"]).alias("signature"), scripts.turkic(w["token"]).alias("turkic"))
+    groups = F.transform(bounds, lambda h: F.transform(F.slice(shared, h["a"] + 1, F.coalesce(h["b"], F.size(shared)) - h["a"]), signed))
+    foreign = F.filter(F.transform("__other", lambda w: signature(w["sets"])), lambda s: (s != "Latin") & ~F.contains(s, F.lit("+")))
+    some = F.size(shared) > 0
+    turkish = F.when(some, F.size(F.filter("__other", lambda w: scripts.turkic(w["token"]))) >= WRITTEN_IN)
+    df = rows.computed(df, {"__groups": F.filter(groups, lambda g: F.exists(g, lambda w: ~w["ascii"])), "__foreign": F.when(some, foreign), "__turkish": turkish})
+    written = F.filter(F.array_distinct("__foreign"), lambda s: F.size(F.filter("__foreign", lambda x: x == s)) >= WRITTEN_IN)
+    df = rows.computed(df, {"__written": F.coalesce(written, F.array().cast("array<string>"))})
+
+    def clashes(g: Column) -> Column:
+        first = F.get(g, F.lit(0))
+        formed = F.exists(g, lambda w: w["nfd"] != first["nfd"])
+        one = F.forall(g, lambda w: w["signature"] == first["signature"]) & (first["signature"] != "Latin") & ~F.contains(first["signature"], F.lit("+"))
+        ordinary = F.forall(g, lambda w: w["ascii"] | F.array_contains("__written", w["signature"]) | (w["turkic"] & F.coalesce("__turkish", F.lit(False))))
+        return code | (formed & ~one & ~ordinary)
+
+    hits = F.flatten(F.transform(F.filter("__groups", clashes), lambda g: F.transform(g, lambda w: F.struct(w["skeleton"].alias("skeleton"), w["token"].alias("token")))))
+    return rows.computed(df, {"__clashes": hits}).drop("__other", "__shared", "__heads", "__groups", "__foreign", "__turkish", "__written")
+
+
+def with_flagged(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
+    """Add ``__flagged``: (token, skeleton, severity) of the row's mixed and colliding tokens; needs ``__words`` and ``text``."""
+    df = with_collisions(df, code, scripts)
+    mixed = F.filter("__words", lambda w: scripts.mixed(w["token"]))
+    warned = F.transform(mixed, lambda w: F.struct(w["token"].alias("token"), F.lit(None).cast("string").alias("skeleton"), F.lit("warning").alias("severity")))
+    clash = F.transform("__clashes", lambda c: F.struct(c["token"].alias("token"), c["skeleton"].alias("skeleton"), F.lit("error").alias("severity")))
+    return rows.computed(df, {"__flagged": F.concat(warned, clash)}).drop("__clashes")
+
+
+def with_occurrences(df: DataFrame, code: Column) -> DataFrame:
+    """Add ``__confusables``: spans of every place of a flagged token."""
+    graded = ("warning", "error")
+    of = lambda grade: F.filter("__flagged", lambda x: x["severity"] == grade)
+    df = rows.computed(df, {f"__{s}": of(s) for s in graded})
+    some = F.size("__flagged") > 0
+    # One of the two patterns matches, as a row is prose or code.
+    hits = F.concat("____prose_hits", "____names_hits")
+    at = {f"__{s}_at": indexes(F.when(F.size(f"__{s}") > 0, hits), F.transform(f"__{s}", lambda x: x["token"])) for s in graded}
+    df = rows.matches(df, {"__prose": (readable(), TOKEN, some & ~code), "__names": (readable(), CODE_TOKEN, some & code)}, at)
+    df = rows.computed(df, {"__places": F.concat("__prose", "__names")})
+
+    def spans(grade: str) -> Column:
+        one = lambda x: span("confusable", grade, x["m"]["start"], x["m"]["start"] + F.length(x["m"]["hit"]), rows.code_points(x["m"]["hit"]), skeleton=F.get(f"__{grade}", x["i"])["skeleton"])
+        return F.transform(F.filter(F.arrays_zip(F.col("__places").alias("m"), F.col(f"__{grade}_at").alias("i")), lambda x: x["i"].isNotNull()), one)
+
+    df = rows.computed(df, {"__confusables": F.concat(*map(spans, graded))})
+    return df.drop("__places", "__prose", "__names", "__flagged", *[c for s in graded for c in (f"__{s}", f"__{s}_at")])

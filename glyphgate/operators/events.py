@@ -1,12 +1,18 @@
-"""From documents to the few characters that rules look at, with their neighbours and positions."""
+"""From documents to the few characters that rules look at, with their neighbours and positions, as arrays of the row."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from glyphgate.functions import properties as P
+from glyphgate.functions import rows
+from glyphgate.functions.shipping import ship
+
+# A text is cut after each event; the last piece is empty, and the one before it may have no event at its end. Runs of
+# printable ASCII are taken first, which spares nearly all characters the test of the whole class.
+_ENDS = P.EVENT_CLASS + r"\z"
+_PIECE = r"(?:[\x20-\x7E]++|[^\x20-\x7E" + P.EVENT_CLASS[1:-1] + "])*+(?:" + P.EVENT_CLASS + r"|\z)"
 
 
 def fast_path(docs: DataFrame) -> DataFrame:
@@ -14,41 +20,47 @@ def fast_path(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").rlike(P.UNPLAIN))
 
 
-def char_events(docs: DataFrame, wanted: str = P.EVENT_CLASS) -> DataFrame:
-    """(doc_id, idx, ch, cp, prev_cp, next_cp, prev_ch, next_ch) of each wanted character; idx counts code points from 0.
-
-    A text is cut at its wanted characters, so only they become rows: the k-th stands after the k-th gap, and its
-    neighbours are the ends of the gaps beside it, or the wanted character beyond an empty gap. Nothing is made for the
-    characters inside the gaps. ``doc_id`` is unique.
-    """
-    # No wanted character is printable ASCII; the lookahead spares nearly all characters the test of the whole class.
-    pattern = r"(?=[^\x20-\x7E])" + wanted
-    cut = fast_path(docs).select("doc_id", F.split("text", pattern, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("found"))
-    # The outer form, as the optimizer would test an inner one's array for emptiness below, by the same search again.
-    each = cut.select("doc_id", "gaps", "found", F.posexplode_outer("found").alias("k", "ch")).where("k IS NOT NULL")
-    gap, following = F.get("gaps", F.col("k")), F.get("gaps", F.col("k") + 1)
-    before = F.when(gap != "", F.right(gap, F.lit(1))).otherwise(F.get("found", F.col("k") - 1))
-    after = F.when(following != "", F.left(following, F.lit(1))).otherwise(F.get("found", F.col("k") + 1))
-    each = each.select("doc_id", "k", "ch", F.length(gap).cast("long").alias("gap"), before.alias("prev_ch"), after.alias("next_ch"))
-    # The gaps up to a character and the k wanted ones before it.
-    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    points = [F.ascii(c).cast("long").alias(n) for c, n in (("ch", "cp"), ("prev_ch", "prev_cp"), ("next_ch", "next_cp"))]
-    return each.select("doc_id", (F.sum("gap").over(upto) + F.col("k")).alias("idx"), "ch", *points, "prev_ch", "next_ch")
-
-
-def positions(events: DataFrame) -> DataFrame:
-    """Add off (UTF-16 units from 0), line and col (from 1) to events that include all line breaks and astral characters.
-
-    One window for each document over its events only.
-    """
-    so_far = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    is_break = (F.col("cp") == 0x0A) | ((F.col("cp") == 0x0D) & ~F.col("next_cp").eqNullSafe(F.lit(0x0A)))
-    off = F.col("idx") + F.coalesce(F.sum((F.col("cp") > 0xFFFF).cast("long")).over(so_far), F.lit(0))
-    placed = events.withColumn("off", off).withColumn("__break", is_break)
-    line = 1 + F.coalesce(F.sum(F.col("__break").cast("long")).over(so_far), F.lit(0))
-    last = F.coalesce(F.max(F.when(F.col("__break"), F.col("off"))).over(so_far), F.lit(-1))
-    return placed.withColumn("line", line).withColumn("col", F.col("off") - last).drop("__break")
+def pieces(text: Column) -> Column:
+    """The text cut after each event; empty for a null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0)), F.array().cast("array<string>"))
+
+
+def upto(found: str) -> Column:
+    """Where each piece ends, by an Arrow function."""
+    return rows.running(F.transform(found, lambda x: F.length(x).cast("long")))
+
+
+def events(found: str, ends: str) -> Column:
+    """The events of pieces as array of (idx, ch, cp, prev_ch, next_ch, prev_cp, next_cp); idx counts code points from 0."""
+    col = F.col(found)
+    n = F.size(col) - 1
+    n = F.when(n < 1, 0).otherwise(n - F.when(F.get(col, n - 1).rlike(_ENDS), 0).otherwise(1))
+    each = F.arrays_zip(
+        F.slice(col, F.lit(1), n).alias("p"), F.slice(ends, F.lit(1), n).alias("end"),
+        F.slice(F.concat(F.array(F.lit(None).cast("string")), col), F.lit(1), n).alias("last"), F.slice(col, F.lit(2), n).alias("next"),
+    )
+    point = lambda c, name: F.ascii(c).cast("long").alias(name)
+    before = lambda x: F.when(F.length(x["p"]) > 1, F.substr(x["p"], F.length(x["p"]) - 1, F.lit(1))).otherwise(F.right(x["last"], F.lit(1)))
+    after = lambda x: F.when(x["next"] != "", F.left(x["next"], F.lit(1)))
+    own = lambda x: F.right(x["p"], F.lit(1))
+    near = F.transform(each, lambda x: F.struct((x["end"] - 1).alias("idx"), own(x).alias("ch"), point(own(x), "cp"), before(x).alias("prev_ch"), after(x).alias("next_ch")))
+    return F.transform(near, lambda e: F.struct(*[e[c].alias(c) for c in ("idx", "ch", "cp", "prev_ch", "next_ch")], point(e["prev_ch"], "prev_cp"), point(e["next_ch"], "next_cp")))
+
+
+def with_events(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__events``; an event is a character that can start or end a finding, break a line or is astral."""
+    ship(docs.sparkSession)
+    cut = rows.computed(docs, {"__pieces": pieces(F.when(F.col("text").rlike(P.UNPLAIN), F.col("text")))})
+    return rows.computed(cut.withColumn("__upto", upto("__pieces")), {"__events": events("__pieces", "__upto")}).drop("__pieces", "__upto")
+
+
+def place(points: Column) -> Column:
+    """(off, line, col) of code point places of the row: UTF-16 units from 0, line and column from 1."""
+    return rows.located(points, F.transform("__events", lambda e: e["idx"]), F.transform("__events", lambda e: e["cp"]))
 
 
 def located(docs: DataFrame) -> DataFrame:
-    return positions(char_events(docs))
+    """Other columns of ``docs``, then idx, ch, cp, off, line and col of each event."""
+    placed = with_events(docs).withColumn("__at", place(F.transform("__events", lambda e: e["idx"])))
+    each = placed.select(*[c for c in docs.columns if c != "text"], F.explode(F.arrays_zip(F.col("__events").alias("e"), F.col("__at").alias("p"))).alias("x"))
+    return each.select(*[c for c in docs.columns if c != "text"], "x.e.idx", "x.e.ch", "x.e.cp", "x.p.off", "x.p.line", "x.p.col")

@@ -1,68 +1,58 @@
-"""Payloads decoded apart from the rules, and an audit of which of them the findings report.
+"""Payloads read without the rules, and how many of them findings tell.
 
-Zero-width binary: two of the zero-width characters as bits, eight to a byte; every ordered pair of the four commonest
-is tried, others are ignored. Only texts with 64 such characters or more reach the pandas function.
+Zero-width binary is read here only: some texts carry bits as a pair of zero-width characters. The carriers are
+extracted; their counts order them; each ordered pair of the four commonest is a row whose bits become hexadecimal digits
+and then strict UTF-8, all in DataFrame functions, over the few texts that have 64 carriers or more.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
-from glyphgate.functions.shipping import ship
+from glyphgate.functions import text as X
+from glyphgate.functions.rows import computed
 from glyphgate.operators import decode
 
 # Characters that carry bits.
 ZERO_WIDTH = "\u200b\u200c\u200d\u2060\ufeff"
-LEAST_BITS = 64
-
-
-def zero_width_text(carriers: str) -> str | None:
-    """The first readable text that a pair of the commonest carriers spells."""
-    commonest = sorted(sorted(set(carriers)), key=carriers.count, reverse=True)[:4]
-    for zero, one in permutations(commonest, 2):
-        bits = [str(int(c == one)) for c in carriers if c in (zero, one)]
-        raw = bytes(int("".join(bits[i : i + 8]), 2) for i in range(0, len(bits) - 7, 8))
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if text and all(c.isprintable() or c in "\t\n\r" for c in text) and len(set(text)) > 1:
-            return text
-    return None
+LEAST_BITS, COMMONEST = 64, 4
 
 
 def zero_width_payloads(docs: DataFrame) -> DataFrame:
-    """(doc_id, payload) of texts that hide binary in zero-width characters."""
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("string")
-    def read(found: pd.Series) -> pd.Series:
-        return found.map(zero_width_text)
-
-    wanted = F.lit(f"[{P.char_class((), tuple(map(ord, ZERO_WIDTH)))}]")
-    some = docs.where(F.regexp_count("text", wanted) >= LEAST_BITS)
-    carriers = F.array_join(F.regexp_extract_all("text", wanted, F.lit(0)), "")
-    return some.select("doc_id", read(carriers).alias("payload")).where(F.col("payload").isNotNull())
-
-
-def decoded_payloads(events: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, payload) of texts that hide binary in zero-width characters: the first pair of carriers that spells a text.
+
+    Pairs are tried by how common their first and then their second carrier is, equally common ones by code point. A
+    text counts if it is printable but for tab and line breaks and has more than one distinct character.
+    """
+    wanted = f"[{P.char_class((), tuple(map(ord, ZERO_WIDTH)))}]"
+    some = docs.where(F.regexp_count("text", F.lit(wanted)) >= LEAST_BITS)
+    carriers = F.array_join(F.regexp_extract_all("text", F.lit(wanted), F.lit(0)), "")
+    count = lambda c: F.length("carriers") - F.length(F.replace("carriers", F.lit(c), F.lit("")))
+    rows = computed(some.select("doc_id", carriers.alias("carriers")), {"counts": F.array(*[F.struct((-count(c)).alias("n"), F.lit(c).alias("c")) for c in ZERO_WIDTH])})
+    best = F.transform(F.slice(F.array_sort(F.filter("counts", lambda x: x["n"] < 0)), 1, COMMONEST), lambda x: x["c"])
+    rows = computed(rows, {"best": best})
+    pairs = F.flatten(F.transform("best", lambda zero: F.transform(F.filter("best", lambda one: one != zero), lambda one: F.struct(zero.alias("zero"), one.alias("one")))))
+
+    def spelled(pair):
+        bits = F.replace(F.replace("carriers", pair["zero"], F.lit("0")), pair["one"], F.lit("1"))
+        octets = F.regexp_extract_all(F.regexp_replace(bits, "[^01]", ""), F.lit("[01]{8}"), F.lit(0))
+        return X.strict_utf8(F.array_join(F.transform(octets, lambda o: F.lpad(F.conv(o, 2, 16), 2, "0")), ""))
+
+    readable = lambda t: ~t.rlike(r"[^\t\n\r\P{C}]|[^\t\n\r\x20\P{Z}]") & (F.size(F.array_distinct(F.split(t, ""))) > 1) & (t != "")
+    payload = F.get(F.filter(F.transform(pairs, spelled), lambda t: t.isNotNull() & readable(t)), F.lit(0))
+    return rows.select("doc_id", payload.alias("payload")).where(F.col("payload").isNotNull())
+
+
+def decoded_payloads(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, payload) of tags, selector bytes, selector bits and zero-width binary."""
-    runs = decode.selector_runs(events)
-    parts = [
-        decode.tag_runs(events).where("NOT valid AND decoded <> ''").select("doc_id", F.lit("tag-characters").alias("kind"), F.col("decoded").alias("payload")),
-        runs.where("n > 1 AND decoded IS NOT NULL").select("doc_id", F.lit("selector-bytes").alias("kind"), F.col("decoded").alias("payload")),
-        decode.bit_streams(runs).where("start = stream_start").select("doc_id", F.lit("selector-bits").alias("kind"), F.col("text").alias("payload")),
-        zero_width_payloads(docs).select("doc_id", F.lit("zero-width-binary").alias("kind"), "payload"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    runs = decode.with_runs(docs)
+    tags = F.transform(F.filter("__tags", lambda r: ~r["valid"] & (r["decoded"] != "")), lambda r: F.struct(F.lit("tag-characters").alias("kind"), r["decoded"].alias("payload")))
+    told = F.transform(F.filter("__selectors", lambda r: (r["n"] > 1) & r["decoded"].isNotNull()), lambda r: F.struct(F.lit("selector-bytes").alias("kind"), r["decoded"].alias("payload")))
+    bits = F.transform(F.filter("__selectors", lambda r: r["bit_text"].isNotNull() & (r["start"] == r["bit_start"])), lambda r: F.struct(F.lit("selector-bits").alias("kind"), r["bit_text"].alias("payload")))
+    found = runs.select("doc_id", F.explode(F.concat(tags, told, bits)).alias("x")).select("doc_id", "x.kind", "x.payload")
+    return found.unionByName(zero_width_payloads(docs).select("doc_id", F.lit("zero-width-binary").alias("kind"), "payload"))
 
 
 def payload_audit(payloads: DataFrame, findings: DataFrame) -> DataFrame:

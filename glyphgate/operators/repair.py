@@ -1,127 +1,170 @@
-"""Repairs: cutting or replacing flagged spans until nothing flagged is left, and showing what is hidden."""
+"""Repairs: cutting or replacing flagged spans until nothing flagged is left, and showing what is hidden.
+
+Each works on the row that has the text, so rows with null or repeated ids are repaired like any others.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from glyphgate.functions import properties as P
+from glyphgate.functions import rows
 from glyphgate.functions import text as X
-from glyphgate.plans.scan import scan
+from glyphgate.functions.shipping import ship
+from glyphgate.plans.scan import scanned
 from glyphgate.plans.storage import materialize
 
 MODES = ("remove", "normalize", "keep")
-PASSES = 12
 
 
-def merge_spans(spans: DataFrame, pad: int = 0) -> DataFrame:
-    """(doc_id, start, end) of maximal unions of spans that overlap or touch, each widened by ``pad`` first."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    wide = spans.select("doc_id", (F.col("start") - pad).alias("start"), (F.col("end") + pad).alias("end"))
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opened = wide.withColumn("opens", (reach.isNull() | (F.col("start") > reach)).cast("long"))
-    return opened.withColumn("island", F.sum("opens").over(order)).groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+def merged_spans(pad: int = 0, findings: str = "findings") -> Column:
+    """(start, end) of maximal unions of a row's findings that overlap or touch, each widened by ``pad`` first."""
+    return rows.merged(F.transform(findings, lambda f: f["start_idx"] - pad), F.transform(findings, lambda f: f["end_idx"] + pad))
 
 
-def _spliced(docs: DataFrame, spans: DataFrame, keep: tuple[int, ...] = ()) -> DataFrame:
-    """(doc_id, text, spliced): ``text`` with each (doc_id, a, b, new) of disjoint ``spans`` replaced; kept characters stay.
+def splice(text: str, spans: list[dict], kept: str = "") -> str:
+    """``text`` with each (start, end, new) replaced; of what spans cut, the characters of ``kept`` stay. Spans may overlap."""
+    out, at = [], 0
+    for start, end, new in sorted((s["start"], s["end"], s["new"]) for s in spans):
+        out.append(text[at:start] if start > at else "")
+        out.append(new if new or not kept else "".join(c for c in text[max(at, start) : end] if c in kept))
+        at = max(at, end)
+    return "".join([*out, text[at:]])
 
-    The characters between two spans are one slice of the character array, so the work is linear in the text. The
-    columns ``chars`` and ``spans`` are used more than once, so no step is evaluated again for each span.
-    """
-    per_doc = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("a", "b", "new"))).alias("spans"))
-    rows = docs.select("doc_id", "text").join(per_doc, "doc_id", "left").withColumn("chars", F.when(F.col("spans").isNotNull(), F.split("text", "")))
-    between = lambda low, high: F.slice("chars", (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
 
-    def piece(s: Column, i: Column) -> Column:
-        last = F.coalesce(F.get("spans", i - 1)["b"], F.lit(0).cast("long"))
-        stay = [F.filter(between(s["a"], s["b"]), lambda c: c.isin(*map(chr, keep)))] if keep else []
-        return F.concat(between(last, s["a"]), *stay, F.array(s["new"]))
+def _spliced(texts: pa.Array, spans: pa.Array, kept: pa.Array) -> pa.Array:
+    return pa.array([splice(t, s, k) if s else t for t, s, k in zip(texts.to_pylist(), spans.to_pylist(), kept.to_pylist())], pa.string())
+
 
-    rest = between(F.element_at("spans", -1)["b"], F.size("chars").cast("long"))
-    whole = F.array_join(F.concat(F.flatten(F.transform("spans", piece)), rest), "")
-    return rows.select("doc_id", "text", F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text")).alias("spliced"))
+#: ``splice`` as an Arrow function of (text, spans, kept).
+spliced = F.arrow_udf(_spliced, T.StringType())
 
 
-def one_pass(docs: DataFrame, findings: DataFrame, mode: str = "remove", allowed: tuple[int, ...] = ()) -> DataFrame:
-    """``docs`` with the removal spans of fixable findings cut, and ``__fixed``, how many findings there were.
+def _removable(f: Column, allowed: tuple[int, ...]) -> Column:
+    """True for a fixable finding that would remove a character which is not allowed."""
+    n = (f["removal_end"] - f["removal_start"]).cast("int")
+    cut = F.slice(f["code_points"], F.size(f["code_points"]) - n + 1, n)
+    return f["fixable"] & (F.exists(cut, lambda c: ~c.isin(*allowed)) if allowed else F.lit(True))
 
-    Mode keep leaves unusual spaces; normalize makes them a space, or a line break where they break lines.
+
+def one_pass(found: DataFrame, mode: str = "remove", disabled: tuple[str, ...] = (), allowed: tuple[int, ...] = ()) -> DataFrame:
+    """Documents with ``findings``, their texts repaired once; ``__fixed`` counts the findings repaired.
+
+    Characters of ``allowed`` stay, also inside other spans. Mode normalize makes an unusual space a space, or a line
+    break where it breaks lines; mode keep repairs nothing.
     """
-    fix = findings.where("fixable")
-    space = F.col("rule") == "unusual-whitespace"
-    if mode == "keep":
-        fix = fix.where(~space)
-    cut = merge_spans((fix.where(~space) if mode == "normalize" else fix).select("doc_id", F.col("removal_start").alias("start"), F.col("removal_end").alias("end")))
-    spans = cut.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"), F.lit("").alias("new"))
-    if mode == "normalize":
-        new = F.when(F.get("code_points", F.lit(0)).isin(*P.LINE_MAKERS), "\n").otherwise(" ")
-        spans = spans.unionByName(fix.where(space).select("doc_id", F.col("removal_start").alias("a"), F.col("removal_end").alias("b"), new.alias("new")))
-    counts = fix.groupBy("doc_id").agg(F.count("*").alias("__fixed"))
-    new_text = _spliced(docs, spans, allowed).select("doc_id", "spliced")
-    joined = docs.join(new_text, "doc_id").join(counts, "doc_id", "left")
-    columns = [F.col("spliced").alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.coalesce("__fixed", F.lit(0)).cast("long").alias("__fixed"))
+    ship(found.sparkSession)
+    wanted = F.filter("findings", lambda f: _removable(f, allowed) & ~f["rule"].isin(*disabled) if disabled else _removable(f, allowed)) if mode != "keep" else F.slice("findings", 1, 0)
+    todo = rows.computed(found, {"__todo": wanted})
+
+    def cut(f: Column) -> Column:
+        space = F.when(F.get(f["code_points"], F.lit(0)).isin(*P.LINE_MAKERS), "\n").otherwise(" ")
+        new = F.when(f["rule"] == "unusual-whitespace", space).otherwise("") if mode == "normalize" else F.lit("")
+        return F.struct(f["removal_start"].alias("start"), f["removal_end"].alias("end"), new.alias("new"))
+
+    some = F.size("__todo") > 0
+    done = spliced(F.col("text"), F.when(some, F.transform("__todo", cut)), F.lit("".join(map(chr, allowed))))
+    out = todo.withColumns({"__text": done, "__fixed": F.size("__todo").cast("long")})
+    columns = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in found.columns if c != "findings"]
+    return out.select(*columns, "__fixed")
 
 
 def sanitize(docs: DataFrame, mode: str = "remove", disabled: tuple[str, ...] = (), allowed: tuple[int, ...] = ()) -> DataFrame:
     """``docs`` repaired to the fixpoint, with ``fixed`` (findings repaired over all passes) and ``passes``.
 
-    Each pass scans only the documents that the one before changed; it removes a character for each, so it ends.
+    Each pass scans only the rows that the one before changed; it removes or replaces a flagged character of each, so it
+    ends. Every row comes back once, in its other columns as it was.
     """
     if mode not in MODES:
         raise ValueError(mode)
-    clean = docs.where(~F.coalesce(F.col("text").rlike(P.UNPLAIN), F.lit(False))).select("*", F.lit(0).cast("long").alias("fixed"), F.lit(0).alias("passes"))
-    todo = docs.where(F.col("text").rlike(P.UNPLAIN)).select("*", F.lit(0).cast("long").alias("fixed"))
-    done = [clean]
-    for no in range(PASSES):
-        found = scan(todo, visible=False)
-        if disabled:
-            found = found.where(~F.col("rule").isin(*disabled))
-        if allowed:
-            found = found.where(~F.forall("code_points", lambda c: c.isin(*allowed)))
-        after = materialize(one_pass(todo, found, mode, allowed).withColumn("fixed", F.col("fixed") + F.col("__fixed")), "pass")
-        same = after.where("__fixed = 0").drop("__fixed").withColumn("passes", F.lit(no))
-        done.append(same)
-        todo = after.where("__fixed > 0").drop("__fixed")
-        if todo.isEmpty():
+    begun = docs.withColumns({"fixed": F.lit(0).cast("long"), "passes": F.lit(0)})
+    if mode == "keep":
+        return begun
+    odd = F.coalesce(F.col("text").rlike(P.UNPLAIN), F.lit(False))
+    done, todo, no = [begun.where(~odd)], begun.where(odd), 0
+    while True:
+        after = materialize(one_pass(scanned(todo, visible=False), mode, disabled, allowed), "pass")
+        done.append(after.where("__fixed = 0").drop("__fixed"))
+        changed = after.where("__fixed > 0")
+        if changed.isEmpty():
             break
+        no += 1
+        todo = changed.withColumns({"fixed": F.col("fixed") + F.col("__fixed"), "passes": F.lit(no)}).drop("__fixed")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out if no < PASSES - 1 else out.unionByName(todo.withColumn("passes", F.lit(PASSES)))
+    return out
 
 
-def reveal(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """(doc_id, revealed): each hidden span replaced by a label in white brackets, followed by what it decodes to."""
-    shown = findings.where(~F.col("rule").isin(*P.NOT_FIXABLE))
-    longest = Window.partitionBy("doc_id", "start_idx").orderBy(F.desc("end_idx"), "rule")
-    shown = shown.withColumn("n", F.row_number().over(longest)).where("n = 1")
+def revealed(text: Column, findings: str = "findings") -> Column:
+    """The text with each hidden span as a label in white brackets, followed by what it decodes to; a span inside another is not shown."""
+    hidden = F.filter(findings, lambda f: ~f["rule"].isin(*P.NOT_FIXABLE))
+    longest = F.array_sort(F.transform(hidden, lambda f: F.struct(f["start_idx"].alias("start"), (-f["end_idx"]).alias("less"), f["seq"].alias("seq"), f.alias("f"))))
     short = F.create_map(*[F.lit(x) for item in sorted(P.ABBREVIATIONS.items()) for x in item])
     say = lambda c: F.concat(X.u_label(c), F.lit(" "), F.coalesce(F.element_at(short, c.cast("int")), X.unicode_name(c)))
-    many = F.concat(say(F.get("code_points", F.lit(0))), F.lit(" .. "), say(F.element_at("code_points", -1)), F.lit(" ("), F.size("code_points").cast("string"), F.lit(" code points)"))
-    label = F.when(F.size("code_points") > 4, many).otherwise(F.array_join(F.transform("code_points", say), " "))
-    quoted = X.diagnostic_text(F.regexp_extract(F.to_json(F.struct(F.col("decoded").alias("d"))), r'^\{"d":(.*)\}$', 1))
-    chip = F.concat(F.lit("⟦"), label, F.lit("⟧"), F.when(F.col("decoded").isNotNull(), F.concat(F.lit(" → "), quoted)).otherwise(""))
-    spans = shown.select("doc_id", F.col("start_idx").alias("a"), F.col("end_idx").alias("b"), chip.alias("new"))
-    return _spliced(docs, spans).select("doc_id", F.col("spliced").alias("revealed"))
 
+    def chip(f: Column) -> Column:
+        points = f["code_points"]
+        many = F.concat(say(F.get(points, F.lit(0))), F.lit(" .. "), say(F.element_at(points, -1)), F.lit(" ("), F.size(points).cast("string"), F.lit(" code points)"))
+        label = F.when(F.size(points) > 4, many).otherwise(F.array_join(F.transform(points, say), " "))
+        quoted = X.diagnostic_text(F.regexp_extract(F.to_json(F.struct(f["decoded"].alias("d"))), r'^\{"d":(.*)\}$', 1))
+        told = F.when(F.coalesce(f["decoded"], F.lit("")) != "", F.concat(F.lit(" → "), quoted)).otherwise("")
+        return F.struct(f["start_idx"].alias("start"), f["end_idx"].alias("end"), F.concat(F.lit("⟦"), label, F.lit("⟧"), told).alias("new"))
+
+    return shown(text, F.when(F.size(hidden) > 0, F.transform(longest, lambda x: chip(x["f"]))))
+
+
+def _shown(texts: pa.Array, spans: pa.Array) -> pa.Array:
+    def one(text: str, chips: list[dict] | None) -> str:
+        apart, at = [], 0
+        for c in chips or ():
+            if c["start"] >= at:
+                apart.append(c)
+                at = c["end"]
+        return splice(text, apart)
 
-def fix_preview(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(doc_id, line, old, new) of lines that a repair changes; lines pair up where their number stays, else what lies
-    between the common first and last lines is one change."""
+    return pa.array([t if t is None else one(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+
+#: A text with its spans, in order, replaced; one that begins within an earlier one is left out.
+shown = F.arrow_udf(_shown, T.StringType())
+
+
+def reveal(found: DataFrame) -> DataFrame:
+    """Other columns of documents with ``findings``, and ``revealed``."""
+    ship(found.sparkSession)
+    return found.withColumn("revealed", revealed(F.col("text"))).drop("text", "findings")
+
+
+def _changed(before: pa.Array, after: pa.Array) -> pa.Array:
+    """(line, old, new) of changed lines: what lies between the common first and last lines of two lists is one change."""
+    out = []
+    for a, b in zip(before.to_pylist(), after.to_pylist()):
+        head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        most = min(len(a), len(b)) - head
+        tail = next((i for i in range(most) if a[-1 - i] != b[-1 - i]), most)
+        out.append([{"line": head + 1, "old": "\n".join(a[head : len(a) - tail]), "new": "\n".join(b[head : len(b) - tail])}])
+    return pa.array(out, pa.list_(pa.struct([("line", pa.int64()), ("old", pa.string()), ("new", pa.string())])))
+
+
+_CHANGES = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("old", T.StringType()), T.StructField("new", T.StringType())]))
+changed_block = F.arrow_udf(_changed, _CHANGES)
+
+
+def fix_preview(pairs: DataFrame) -> DataFrame:
+    """Other columns of ``pairs`` (before, after), and line, old and new of the lines that a repair changes.
+
+    Lines pair up where their number stays, else what lies between the common first and last lines is one change.
+    """
+    ship(pairs.sparkSession)
+    kept = [c for c in pairs.columns if c not in ("before", "after")]
     lines = lambda c: F.split(c, r"\r\n|\r|\n", -1)
-    both = before.select("doc_id", lines(F.col("text")).alias("a")).join(after.select("doc_id", lines(F.col("text")).alias("b")), "doc_id").where("a <> b")
-    pairs = both.where(F.size("a") == F.size("b")).select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("i", "z"))
-    paired = pairs.where("z.a <> z.b").select("doc_id", (F.col("i") + 1).cast("long").alias("line"), F.col("z.a").alias("old"), F.col("z.b").alias("new"))
-    other = both.where(F.size("a") != F.size("b"))
-    head = lambda x, y: F.size(F.filter(F.transform(F.sequence(F.lit(1), F.least(F.size(x), F.size(y))), lambda i: F.slice(x, 1, i) == F.slice(y, 1, i)), lambda e: e))
-    other = other.withColumn("p", head(F.col("a"), F.col("b")))
-    rest_a, rest_b = F.reverse(F.slice("a", F.col("p") + 1, F.size("a"))), F.reverse(F.slice("b", F.col("p") + 1, F.size("b")))
-    other = other.withColumn("ra", rest_a).withColumn("rb", rest_b)
-    tail = F.when((F.size("ra") > 0) & (F.size("rb") > 0), head(F.col("ra"), F.col("rb"))).otherwise(0)
-    other = other.withColumn("t", tail)
-    joined = lambda r: F.array_join(F.reverse(F.slice(r, F.col("t") + 1, F.size(r))), "\n")
-    changed = other.select("doc_id", (F.col("p") + 1).cast("long").alias("line"), joined(F.col("ra")).alias("old"), joined(F.col("rb")).alias("new"))
-    return paired.unionByName(changed)
+    both = rows.computed(pairs.where("before <> after"), {"__a": lines("before"), "__b": lines("after")})
+    paired = F.filter(F.transform(F.arrays_zip(F.col("__a").alias("a"), F.col("__b").alias("b")), lambda z, i: F.struct((i + 1).cast("long").alias("line"), z["a"].alias("old"), z["b"].alias("new"))), lambda x: x["old"] != x["new"])
+    none = F.array().cast("array<string>")
+    uneven = F.size("__a") != F.size("__b")
+    both = both.withColumn("__block", changed_block(F.when(uneven, F.col("__a")).otherwise(none), F.when(uneven, F.col("__b")).otherwise(none)))
+    return both.select(*kept, F.explode(F.when(uneven, F.col("__block")).otherwise(paired)).alias("x")).select(*kept, "x.line", "x.old", "x.new")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from glyphgate.functions import text as X
 
 TOOL = "glyphgate"
-# SARIF levels and schema.
-LEVELS = {"error": "error", "warning": "warning", "info": "note"}
+# Fixed value: the SARIF schema.
 SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schemas/sarif-schema-2.1.0.json"
 
 
@@ -53,13 +52,51 @@ def sarif_results(findings: DataFrame, path: Column) -> DataFrame:
     """(doc_id, start_off, rule, result): the SARIF result object of each finding."""
     level = F.when(F.col("severity") == "info", "note").otherwise(F.col("severity"))
     uri = F.array_join(F.transform(F.split(path, "/"), lambda p: F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))), "/")
-    region = F.struct(F.col("start_line").alias("startLine"), F.col("start_col").alias("startColumn"))
+    region = F.struct(F.col("start_line").alias("startLine"), F.col("start_col").alias("startColumn"), F.col("end_line").alias("endLine"), F.col("end_col").alias("endColumn"))
     place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule").alias("ruleId"), level.alias("level"), F.struct(message().alias("text")).alias("message"), F.array(place).alias("locations"))
     return findings.select("doc_id", "start_off", "rule", F.to_json(result).alias("result"))
 
 
-def census_rows(docs: DataFrame, findings: DataFrame) -> DataFrame:
+def sarif_logs(results: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """(doc_id, log): a whole SARIF log for each document of ``sarif_results``; ``rules`` describes each rule."""
+    about = F.array(*[F.struct(F.lit(r).alias("id"), F.struct(F.lit(text).alias("text")).alias("shortDescription")) for r, text in sorted(rules.items())])
+    rolled = results.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_off", "rule", "result"))), lambda x: x["result"]), ",").alias("all"))
+    driver = F.to_json(F.struct(F.struct(F.lit(TOOL).alias("name"), about.alias("rules")).alias("driver")))
+    log = F.concat(F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'), driver, F.lit(',"results":['), F.col("all"), F.lit("]}]}"))
+    return rolled.select("doc_id", log.alias("log"))
+
+
+def summary_lines(groups: DataFrame) -> DataFrame:
+    """(doc_id, line) of the groups of ``analytics.summary_groups``: one readable line for each kind of finding of a document."""
+    place = lambda which: F.col(f"{which}_line").cast("string")
+    where = F.when(F.col("n") == 1, F.concat(F.lit("line "), place("first"))).otherwise(F.concat(F.lit("lines "), place("first"), F.lit(" to "), place("last")))
+    what = F.when(F.col("cp").isNotNull(), F.concat(F.lit(" "), X.unicode_name(F.col("cp")))).otherwise("")
+    told = F.when(F.col("decoded") != "", F.concat(F.lit(", reads as "), X.diagnostic_text(F.col("decoded")))).otherwise("")
+    return groups.select("doc_id", F.concat(F.col("severity"), F.lit(" "), F.col("rule"), what, F.lit(" x"), F.col("n").cast("string"), F.lit(", "), where, told).alias("line"))
+
+
+def excerpt(text: Column, start: Column, end: Column, around: int = 32, most: int = 80) -> Column:
+    """The line around a span, its ends cut to ``around`` characters, the span (its ends, if long) in double brackets, hidden characters escaped."""
+    before = F.regexp_extract(F.left(text, start.cast("int")), r"([^\r\n]*)\z", 1)
+    after = F.regexp_extract(F.substr(text, (end + 1).cast("int")), r"\A([^\r\n]*)", 1)
+    inside = F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
+    half = F.lit(most // 2)
+    some = F.concat(X.diagnostic_text(F.left(inside, half)), F.lit(" ... "), X.diagnostic_text(F.right(inside, half)))
+    middle = F.when(F.length(inside) > most, some).otherwise(X.diagnostic_text(inside))
+    left = F.concat(F.when(F.length(before) > around, "... ").otherwise(""), X.diagnostic_text(F.right(before, F.lit(around))))
+    right = F.concat(X.diagnostic_text(F.left(after, F.lit(around))), F.when(F.length(after) > around, " ...").otherwise(""))
+    return F.concat(left, F.lit("[["), middle, F.lit("]]"), right)
+
+
+def pretty(rows: DataFrame) -> DataFrame:
+    """(doc_id, seq, line): a readable line for each finding of documents with ``findings``: place, severity, rule, excerpt."""
+    each = rows.select("doc_id", "text", F.explode("findings").alias("f")).select("doc_id", "text", "f.*")
+    at = lambda end: F.concat(F.col(f"{end}_line").cast("string"), F.lit(":"), F.col(f"{end}_col").cast("string"))
+    line = F.concat(at("start"), F.lit("-"), at("end"), F.lit(" "), F.col("severity"), F.lit(" "), message(), F.lit(" | "), excerpt(F.col("text"), F.col("start_idx"), F.col("end_idx")))
+    return each.select("doc_id", "seq", line.alias("line"))
+
+
+def census_rows(rows: DataFrame) -> DataFrame:
     """Per document with findings: its stratum and findings as an array, the shape of a census file."""
-    rolled = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_off", "rule", "severity", "end_off", "start_line", "code_points", "decoded", "skeleton"))).alias("findings"))
-    return docs.select("doc_id", "source", "lang").join(rolled, "doc_id").withColumn("n", F.size("findings").cast("long"))
+    return rows.where(F.size("findings") > 0).select("doc_id", "source", "lang", "findings", F.size("findings").cast("long").alias("n"))

@@ -1,80 +1,96 @@
-"""Detection rules over single characters, and the balance of bidirectional controls.
+"""Findings, detection rules over single characters, and the balance of bidirectional controls.
 
-A finding is (doc_id, rule, severity, start_idx, end_idx, start_off, end_off, start_line, start_col, code_points, decoded,
-skeleton, removal_start, removal_end): idx counts code points, off UTF-16 units, ends are exclusive; removal is the span
-that a repair deletes.
+A rule makes an array of spans of its row: (rule, severity, start_idx, end_idx, code_points, decoded, skeleton,
+removal_start, removal_end); idx counts code points, ends are exclusive, removal is what a repair deletes. Positions are
+added to all spans of a row at once, in ``placed``, which makes them findings.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphgate.functions import properties as P
-from glyphgate.functions.shipping import ship
 
+SPANS = (
+    "array<struct<rule:string,severity:string,start_idx:bigint,end_idx:bigint,code_points:array<bigint>,decoded:string,skeleton:string,"
+    "removal_start:bigint,removal_end:bigint>>"
+)
+#: The columns of a finding; seq is its place in its document's order.
 FINDING = (
-    "doc_id", "rule", "severity", "start_idx", "end_idx", "start_off", "end_off", "start_line", "start_col", "code_points", "decoded", "skeleton", "removal_start",
-    "removal_end",
+    "seq", "rule", "severity", "start_idx", "end_idx", "start_off", "end_off", "start_line", "start_col", "end_line", "end_col", "code_points", "decoded", "skeleton",
+    "removal_start", "removal_end", "fixable",
 )
 
 
-def finding(df: DataFrame) -> DataFrame:
-    """The columns of a finding in order; absent ones are null, removal is the whole span."""
-    have = set(df.columns)
-    defaults = {"decoded": F.lit(None).cast("string"), "skeleton": F.lit(None).cast("string"), "removal_start": F.col("start_idx"), "removal_end": F.col("end_idx")}
-    return df.select(*[F.col(c) if c in have else defaults[c].alias(c) for c in FINDING])
-
-
-def _span_of_event(events: DataFrame) -> DataFrame:
-    width = F.when(F.col("cp") > 0xFFFF, 2).otherwise(1)
-    return events.select(
-        "*", F.col("idx").alias("start_idx"), (F.col("idx") + 1).alias("end_idx"), F.col("off").alias("start_off"), (F.col("off") + width).alias("end_off"),
-        F.col("line").alias("start_line"), F.col("col").alias("start_col"), F.array("cp").alias("code_points"),
+def span(rule: Column | str, severity: Column | str, start: Column, end: Column, points: Column, decoded: Column | None = None, skeleton: Column | None = None, removal: Column | None = None) -> Column:
+    """One span; its removal begins with it unless ``removal`` is given."""
+    named = lambda x, name: (F.lit(x) if isinstance(x, str) else x).cast("string").alias(name)
+    return F.struct(
+        named(rule, "rule"), named(severity, "severity"), start.cast("long").alias("start_idx"), end.cast("long").alias("end_idx"), points.cast("array<long>").alias("code_points"),
+        named(F.lit(None) if decoded is None else decoded, "decoded"), named(F.lit(None) if skeleton is None else skeleton, "skeleton"),
+        (start if removal is None else removal).cast("long").alias("removal_start"), end.cast("long").alias("removal_end"),
     )
 
 
-def single_characters(events: DataFrame) -> DataFrame:
-    """bidi-control, bidi-mark, invisible, unusual-whitespace and control-character findings, in one pass."""
-    flagged = events.withColumn("rule", F.expr(P.single_rule(P.SPARK))).where(F.col("rule").isNotNull())
-    return finding(_span_of_event(flagged).withColumn("severity", F.expr(P.SINGLE_SEVERITY)))
+def single_characters(found: str = "__events") -> Column:
+    """bidi-control, bidi-mark, invisible, unusual-whitespace and control-character spans of the row's events."""
+    rule = P.of_event(P.single_rule(P.SPARK), "e")
+    ruled = F.expr(f"filter(transform({found}, e -> named_struct('idx', e.idx, 'cp', e.cp, 'rule', {rule})), e -> e.rule IS NOT NULL)")
+    graded = lambda e: F.when((e["rule"] == "bidi-control") | (e["cp"] == P.ESCAPE), "error").otherwise("warning")
+    return F.transform(ruled, lambda e: span(e["rule"], graded(e), e["idx"], e["idx"] + 1, F.array(e["cp"])))
 
 
-def unbalanced_at(points: list[int]) -> list[int]:
-    """Positions in one line's explicit controls that open or close nothing.
+def unbalanced(points: list[int]) -> list[bool]:
+    """Which of a text's explicit controls and line breaks are controls that open or close nothing on their line.
 
-    Open entries wait on a stack; an isolate also notes how deep it stands, so that its end closes what it encloses.
+    ``depth`` holds the open places of a line; an isolate also notes how deep it stands, so its end closes all inside it.
     """
-    loose, opened, isolates = [], [], []
-    for at, cp in enumerate(points):
-        if cp == P.POP_EMBEDDING:
-            if opened and (not isolates or len(opened) - 1 > isolates[-1]):
-                opened.pop()
-            else:
-                loose.append(at)
+    loose, depth, isolates = [False] * len(points), [], []
+
+    def end_line() -> None:
+        for place in depth:
+            loose[place] = True
+        depth.clear()
+        isolates.clear()
+
+    for place, cp in enumerate(points):
+        if cp in (0x0A, 0x0D):
+            end_line()
         elif cp == P.POP_ISOLATE:
+            loose[place] = not isolates
             if isolates:
-                del opened[isolates.pop() :]
-            else:
-                loose.append(at)
+                del depth[isolates.pop() :]
+        elif cp == P.POP_EMBEDDING:
+            inside = len(depth) > (isolates[-1] + 1 if isolates else 0)
+            loose[place] = not inside
+            if inside:
+                depth.pop()
         else:
-            if 0x2066 <= cp <= 0x2068:
-                isolates.append(len(opened))
-            opened.append(at)
-    return sorted(loose + opened)
+            if P.ISOLATES[0][0] <= cp <= P.ISOLATES[0][1]:
+                isolates.append(len(depth))
+            depth.append(place)
+    end_line()
+    return loose
+
+
+def _loose(lists: pa.Array) -> pa.Array:
+    return pa.array([unbalanced(x) if x else [] for x in lists.to_pylist()], pa.list_(pa.bool_()))
+
+
+loose_controls = F.arrow_udf(_loose, T.ArrayType(T.BooleanType()))
 
 
-def bidi_unbalanced(events: DataFrame) -> DataFrame:
-    """Explicit controls without a partner on their line; one group is one line's controls."""
-    ship(events.sparkSession)
+def bidi_controls(found: str = "__events") -> Column:
+    """The row's explicit controls with the line breaks between them; empty without a control."""
+    explicit = lambda e: e["cp"].between(*P.EXPLICIT_BIDI[0]) | e["cp"].between(*P.EXPLICIT_BIDI[1])
+    some = F.filter(found, lambda e: explicit(e) | e["cp"].isin(0x0A, 0x0D))
+    return F.when(F.exists(found, explicit), some).otherwise(F.slice(found, 1, 0))
 
-    @F.pandas_udf("array<int>")
-    def loose(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda points: unbalanced_at(list(points)))
 
-    controls = events.where(P.within("cp", P.EXPLICIT_BIDI))
-    lines = controls.groupBy("doc_id", "line").agg(F.array_sort(F.collect_list(F.struct("idx", "cp", "off", "col"))).alias("c"))
-    picked = lines.withColumn("at", F.explode(loose(F.transform("c", lambda x: x["cp"])))).select("doc_id", "line", F.get("c", "at").alias("x"))
-    found = picked.select("doc_id", "line", F.col("x.idx").alias("idx"), F.col("x.cp").alias("cp"), F.col("x.off").alias("off"), F.col("x.col").alias("col"))
-    return finding(_span_of_event(found).withColumn("rule", F.lit("bidi-unbalanced")).withColumn("severity", F.lit("error")))
+def bidi_unbalanced(controls: Column, loose: Column) -> Column:
+    """Spans of the controls that ``loose_controls`` marks."""
+    marked = F.filter(F.arrays_zip(controls.alias("e"), loose.alias("loose")), lambda x: x["loose"])
+    return F.transform(marked, lambda x: span("bidi-unbalanced", "error", x["e"]["idx"], x["e"]["idx"] + 1, F.array(x["e"]["cp"])))

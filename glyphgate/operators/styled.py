@@ -1,18 +1,17 @@
-"""Passages in styled alphabets that read as plain text."""
+"""Passages in styled alphabets that read as plain text, as arrays of the row."""
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from glyphgate.functions import properties as P
-from glyphgate.functions import text as X
-from glyphgate.functions.shipping import ship
-from glyphgate.operators.rules import finding
+from glyphgate.functions import rows
+from glyphgate.operators.rules import span
 
 STYLED_CLASS = "[" + P.char_class(P.STYLED, tuple(P.SMALL_CAPITALS)) + "]"
 PASSAGE = STYLED_CLASS + r"+(?:[^\p{L}\p{N}]{1,3}" + STYLED_CLASS + "+)*"
@@ -47,40 +46,30 @@ def read_passage(passage: str) -> tuple[str, int]:
     return "".join(out), letters
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, gap, passage, before, after) of each passage; only documents with a styled character are split."""
-    some = docs.where(F.col("text").rlike(BEYOND + STYLED_CLASS))
-    cut = some.select("doc_id", F.split("text", BEYOND + PASSAGE, -1).alias("gaps"), F.regexp_extract_all("text", F.lit(BEYOND + PASSAGE), F.lit(0)).alias("found"))
-    each = cut.select("doc_id", F.posexplode_outer(F.arrays_zip("gaps", "found")).alias("k", "z"), "gaps").where("k IS NOT NULL")
-    return each.select("doc_id", "k", F.col("z.gaps").alias("gap"), F.col("z.found").alias("passage"), F.right("z.gaps", F.lit(1)).alias("before"), F.left(F.get("gaps", F.col("k") + 1), F.lit(1)).alias("after"))
-
-
-def styled_text(docs: DataFrame) -> DataFrame:
-    ship(docs.sparkSession)
-
-    @F.pandas_udf("plain string, letters long")
-    def read(found: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([read_passage(x or "") for x in found], columns=["plain", "letters"])
-
-    so_far = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    passage = F.coalesce("passage", F.lit(""))
-    breaks = F.regexp_count("gap", F.lit(r"\n|\r(?!\n)")) + F.coalesce(F.lag(F.regexp_count(passage, F.lit(r"\n|\r(?!\n)"))).over(Window.partitionBy("doc_id").orderBy("k")), F.lit(0))
-    p = passages(docs)
-    p = p.withColumn("idx", F.coalesce(F.sum(F.length("gap") + F.length(passage)).over(so_far), F.lit(0)) + F.length("gap"))
-    p = p.withColumn("off", F.coalesce(F.sum(X.utf16_length(F.col("gap")) + X.utf16_length(passage)).over(so_far), F.lit(0)) + X.utf16_length(F.col("gap")))
-    p = p.withColumn("breaks", breaks).withColumn("line", 1 + F.sum("breaks").over(upto))
-    last = F.element_at(F.split(F.concat(F.coalesce(F.lag(passage).over(Window.partitionBy("doc_id").orderBy("k")), F.lit("")), F.col("gap")), r"\r\n|\n|\r"), -1)
-    p = p.withColumn("line_off", F.max(F.when(F.col("breaks") > 0, F.col("off") - X.utf16_length(last))).over(upto))
-    p = p.where(F.col("passage").isNotNull()).withColumn("r", read("passage")).where(F.col("r.letters") >= LEAST_LETTERS)
-    wide = F.forall(F.filter(F.split("passage", ""), lambda c: c.rlike(STYLED_CLASS)), lambda c: F.ascii(c).between(0xFF00, 0xFFEF))
+_READ = pa.struct([("plain", pa.string()), ("letters", pa.int64())])
+
+
+def _read(lists: pa.Array) -> pa.Array:
+    return pa.array([[dict(zip(("plain", "letters"), read_passage(p))) for p in x] for x in lists.to_pylist()], pa.list_(_READ))
+
+
+read = F.arrow_udf(_read, T.ArrayType(T.StructType([T.StructField("plain", T.StringType()), T.StructField("letters", T.LongType())])))
+
+
+def wanted(far: Column) -> tuple[Column, str, Column]:
+    """Arguments of ``rows.matches`` for passages of texts with the far characters ``far``."""
+    return F.col("text"), BEYOND + PASSAGE, far.rlike(STYLED_CLASS)
+
+
+def styled_text(found: Column, plain: Column) -> Column:
+    """Spans of the passages ``found`` with what ``read`` made of them; fullwidth ones beside East Asian text are none."""
     east = "[" + P.char_class(P.STYLED_EAST_ASIAN) + "]"
-    beside = F.coalesce(F.col("before").rlike(east), F.lit(False)) | F.coalesce(F.col("after").rlike(east), F.lit(False))
-    return finding(
-        p.where(~(wide & beside)).select(
-            "doc_id", F.lit("styled-text").alias("rule"), F.lit("warning").alias("severity"), F.col("idx").cast("long").alias("start_idx"),
-            (F.col("idx") + F.length("passage")).cast("long").alias("end_idx"), F.col("off").alias("start_off"), (F.col("off") + X.utf16_length(F.col("passage"))).alias("end_off"),
-            F.col("line").cast("long").alias("start_line"), (F.col("off") - F.coalesce("line_off", F.lit(0)) + 1).alias("start_col"),
-            F.transform(F.split("passage", ""), lambda c: F.ascii(c).cast("long")).alias("code_points"), F.col("r.plain").alias("decoded"),
-        )
-    )
+    near = lambda c: F.coalesce(c.rlike(east), F.lit(False))
+
+    def reported(x: Column) -> Column:
+        styled = F.regexp_replace(x["m"]["hit"], "[^" + STYLED_CLASS[1:-1] + "]", "")
+        wide = styled.rlike("^[" + P.char_class(P.FULLWIDTH) + "]*$")
+        return (x["p"]["letters"] >= LEAST_LETTERS) & ~(wide & (near(x["m"]["before"]) | near(x["m"]["after"])))
+
+    kept = F.filter(F.arrays_zip(found.alias("m"), plain.alias("p")), reported)
+    return F.transform(kept, lambda x: span("styled-text", "warning", x["m"]["start"], x["m"]["start"] + F.length(x["m"]["hit"]), rows.code_points(x["m"]["hit"]), x["p"]["plain"]))

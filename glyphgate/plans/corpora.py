@@ -49,6 +49,10 @@ def planted_sql(documents: str = "documents") -> str:
     return f"SELECT doc_id, CASE doc_id % 16 {cases} END AS text, source, lang FROM (SELECT doc_id, text AS t, source, lang FROM {documents})"
 
 
+def planted_in(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, source, lang) with something planted."""
+    return docs.sparkSession.sql(planted_sql("{docs}"), docs=spread(docs.select("doc_id", "text", "source", "lang")))
+
+
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang")).createOrReplaceTempView("planted_source")
-    return spark.sql(planted_sql("planted_source"))
+    return planted_in(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -190,7 +190,7 @@ def oracle_sql() -> dict[str, str]:
     return single | {
         "fast_path": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{P.UNPLAIN}')",
         "code_point_count": "SELECT doc_id, length(text)::BIGINT AS code_points, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS units FROM documents",
-        "positions": _over("SELECT doc_id, idx, cp, off, line, col FROM ev WHERE cp >= 8192 AND regexp_matches(ch, '" + P.EVENT_CLASS + "')", EVENTS),
+        "positions": _over("SELECT doc_id, idx, cp, off, line, col FROM ev WHERE regexp_matches(ch, '" + P.EVENT_CLASS + "')", EVENTS),
         "tag_runs": _over("""SELECT doc_id, start, "end", has_base, valid, array_to_string(list_transform(tags, lambda c: printf('%X', c)), ' ') AS tags, decoded, off, line, col FROM runs""", f"{EVENTS}, {TAG_RUNS}"),
         "tag_smuggling": _over(f"SELECT {PLACE}, decoded, removal_start FROM tags", f"{EVENTS}, {TAG_RUNS}, {TAG_FINDINGS}"),
         "vs_runs": _over("SELECT doc_id, start, n, base_cp, hex, CASE WHEN NOT regexp_matches(t, '^[\\x00-\\x1F]*$') THEN t END AS decoded, recognized_first, ordinary, off FROM vs", vs),
@@ -265,7 +265,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "scan_diff": _over(f"SELECT doc_id, start_off, rule, CASE WHEN o.x IS NULL THEN 'only_new' ELSE 'only_old' END AS side FROM (SELECT DISTINCT doc_id, start_off, rule, 1 AS x FROM found WHERE rule <> 'control-character') o FULL JOIN (SELECT DISTINCT doc_id, start_off, rule, 1 AS x FROM found WHERE {allowed}) n USING (doc_id, start_off, rule) WHERE o.x IS NULL OR n.x IS NULL"),
         "source_stats": _over("SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(n) AS flagged, coalesce(sum(n), 0)::BIGINT AS findings FROM planted LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id) GROUP BY source"),
-        "manifest_digest": "WITH h AS (SELECT source, sha256(text) AS h FROM documents), d AS (SELECT source, h[1:2] AS p, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY ALL) SELECT source, sum(n)::BIGINT AS documents, sha256(string_agg(d, chr(10) ORDER BY p)) AS digest FROM d GROUP BY source",
+        "manifest_digest": """WITH t AS (SELECT source, sha256(text) AS p, count(*) AS n FROM documents GROUP BY ALL),
+            a AS (SELECT source, left(p, 6) AS q, sum(n) AS n, sha256(string_agg(p || ' ' || n, chr(10) ORDER BY p)) AS d FROM t GROUP BY ALL),
+            b AS (SELECT source, left(q, 3) AS r, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY q)) AS d FROM a GROUP BY ALL)
+          SELECT source, sum(n)::BIGINT AS documents, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM b GROUP BY source""",
         "inspection": _over("SELECT doc_id, length(text)::BIGINT AS code_points, coalesce(n, 0)::BIGINT AS findings, coalesce(places, '') AS places FROM planted LEFT JOIN (SELECT doc_id, max(c) AS n, string_agg(start_off::VARCHAR, ',' ORDER BY r) FILTER (r <= 300) AS places FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_off, rule) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM found) GROUP BY doc_id) USING (doc_id)"),
         "census_rows": _over("SELECT doc_id, source, lang, count(*) AS n FROM found JOIN planted USING (doc_id) GROUP BY ALL"),
     }

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgate.functions import properties as P
+from glyphgate.functions import rows
 from glyphgate.functions import text as X
-from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules, styled
-from glyphgate.plans.corpora import planted
-from glyphgate.plans.scan import scan
+from glyphgate.functions.shipping import ship
+from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules
+from glyphgate.plans.corpora import planted, planted_in
+from glyphgate.plans.scan import exploded, placed, scan, scanned
 from glyphgate.plans.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,54 +34,89 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def base_rows(docs: DataFrame) -> DataFrame:
+    """Documents with the findings of single characters and of tags."""
+    df = decode.with_runs(docs)
+    spans = rows.computed(df, {"__spans": F.concat(rules.single_characters(), decode.tag_smuggling(F.col("__tags")))})
+    return placed(spans, "__spans").select(*docs.columns, "findings")
+
+
 def base_findings(docs: DataFrame) -> DataFrame:
-    """Findings of single characters and of tags."""
-    located = materialize(events.located(docs), "events")
-    found = rules.single_characters(located).unionByName(decode.tag_smuggling(decode.tag_runs(located)))
-    return found.withColumn("fixable", F.lit(True))
+    return exploded(base_rows(events.fast_path(docs)), "doc_id", *[c for c in ("source", "lang") if c in docs.columns])
 
 
 def path_of() -> Column:
     return F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
 
 
-def _with_path(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    return findings.join(docs.select("doc_id", path_of().alias("path")), "doc_id")
+def _rule_findings(docs: DataFrame, spans: Column) -> DataFrame:
+    return exploded(placed(rows.computed(docs, {"__spans": spans}), "__spans"))
 
 
 def _one_rule(rule: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rules.single_characters(events.located(planted(spark, sf_dir))).where(F.col("rule") == rule).select(*PLACE)
+        some = events.with_events(events.fast_path(planted(spark, sf_dir)))
+        return _rule_findings(some, F.filter(rules.single_characters(), lambda s: s["rule"] == rule)).select(*PLACE)
 
     return query
 
 
-def _over_findings(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = planted(spark, sf_dir)
-        return f(docs, base_findings(docs))
+def _over_findings(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(base_findings(planted(spark, sf_dir)))
 
-    return query
+
+def _over_rows(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(base_rows(planted(spark, sf_dir)))
 
 
 def _on_planted(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(planted(spark, sf_dir))
 
 
-def _runs(docs: DataFrame) -> DataFrame:
-    return materialize(decode.selector_runs(events.located(docs)), "runs")
+def _hex(cps: Column) -> Column:
+    return F.array_join(F.transform(cps, lambda c: F.hex(c)), " ")
+
 
+def _each(docs: DataFrame, array: str) -> DataFrame:
+    return docs.select("doc_id", F.explode(array).alias("x")).select("doc_id", "x.*")
 
-def _hex(cps: str) -> Column:
-    return F.array_join(F.transform(cps, lambda c: F.hex(c)), " ")
+
+def _with_places(df: DataFrame, array: str) -> DataFrame:
+    """One row for each run, with the position of its start."""
+    at = df.withColumn("__at", events.place(F.transform(array, lambda r: r["start"])))
+    return at.select("doc_id", F.explode(F.arrays_zip(F.col(array).alias("r"), F.col("__at").alias("p"))).alias("x")).select("doc_id", "x.r.*", "x.p.*")
 
 
 def _tag_runs(docs: DataFrame) -> DataFrame:
-    return decode.tag_runs(events.located(docs)).select("doc_id", "start", "end", "has_base", "valid", _hex("tags").alias("tags"), "decoded", "off", "line", "col")
+    return _with_places(decode.with_runs(events.fast_path(docs)), "__tags").withColumn("tags", _hex("tags"))
 
 
 def _vs_runs(docs: DataFrame) -> DataFrame:
-    return _runs(docs).select("doc_id", "start", "n", "base_cp", F.lower("hex").alias("hex"), "decoded", "recognized_first", "ordinary", "off")
+    found = _with_places(decode.with_runs(events.fast_path(docs)), "__selectors")
+    return found.select("doc_id", "start", "n", "base_cp", F.lower("hex").alias("hex"), "decoded", "recognized_first", "ordinary", "off")
+
+
+def _streams(kind: str) -> Callable[[DataFrame], DataFrame]:
+    def query(docs: DataFrame) -> DataFrame:
+        found = _each(decode.with_runs(events.fast_path(docs)), "__selectors").where(F.col(f"{kind}_text").isNotNull())
+        return found.select("doc_id", "start", F.col(f"{kind}_start").alias("stream_start"), F.col(f"{kind}_text").alias("text"))
+
+    return query
+
+
+def _vs_findings(docs: DataFrame) -> DataFrame:
+    df = decode.with_runs(events.fast_path(docs))
+    return _rule_findings(df, decode.selector_findings(F.col("__selectors"))).select(*PLACE, "decoded", "removal_start")
+
+
+def _tag_smuggling(docs: DataFrame) -> DataFrame:
+    return _rule_findings(decode.with_runs(events.fast_path(docs)), decode.tag_smuggling(F.col("__tags"))).select(*PLACE, "decoded", "removal_start")
+
+
+def _bidi_unbalanced(docs: DataFrame) -> DataFrame:
+    df = rows.computed(events.with_events(events.fast_path(docs)), {"__controls": rules.bidi_controls()})
+    df = df.withColumn("__loose", rules.loose_controls(F.transform("__controls", lambda e: e["cp"])))
+    return _rule_findings(df, rules.bidi_unbalanced(F.col("__controls"), F.col("__loose"))).select(*PLACE)
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
@@ -88,34 +124,40 @@ def _tokens(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size(found).cast("long").alias("tokens"), F.size(F.array_distinct(found)).cast("long").alias("spellings"))
 
 
-def _facts(docs: DataFrame) -> DataFrame:
-    return confusables.word_facts(confusables.words(docs))
+def _worded(docs: DataFrame) -> DataFrame:
+    """Documents with ``__words``."""
+    ship(docs.sparkSession)
+    df = rows.computed(docs, {"__tokens": confusables.beyond_tokens(F.lit(False))})
+    return confusables.with_words(df.withColumn("__forms", confusables.spell()("__tokens")))
 
 
 def _skeleton(docs: DataFrame) -> DataFrame:
-    return _facts(docs).select("token", "skeleton").distinct()
+    return _each(_worded(docs), "__words").select("token", "skeleton").distinct()
 
 
-def _collision(docs: DataFrame) -> DataFrame:
-    found = confusables.collisions(docs, _facts(docs))
-    return found.groupBy("doc_id", "skeleton").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
+def _mixed(docs: DataFrame) -> DataFrame:
+    scripts = confusables.Scripts(docs.sparkSession)
+    found = _each(_worded(docs), "__words").where(scripts.mixed(F.col("token")))
+    return found.select("doc_id", "token", confusables.signature(F.col("sets")).alias("signature"))
 
 
-def _code_mode(docs: DataFrame) -> DataFrame:
-    return confusables.confusable_words(docs, code=True).select(*PLACE, "skeleton")
+def _collision(docs: DataFrame) -> DataFrame:
+    df = confusables.with_collisions(_worded(docs), F.lit(False), confusables.Scripts(docs.sparkSession))
+    found = _each(df, "__clashes")
+    return found.groupBy("doc_id", "skeleton").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
 
 
-def _styled(docs: DataFrame) -> DataFrame:
-    return styled.styled_text(docs).select("doc_id", "start_idx", "end_idx", "start_off", "end_off", "decoded")
+def _of_rule(rule: str, code: bool = False) -> Callable[[DataFrame], DataFrame]:
+    return lambda docs: scan(docs, code=code).where(F.col("rule") == rule)
 
 
 def _names(docs: DataFrame) -> DataFrame:
-    found = events.char_events(docs).select("cp").distinct()
+    found = events.located(docs.select("doc_id", "text")).select("cp").distinct()
     return found.select("cp", X.unicode_name(F.col("cp")).alias("name"))
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    return events.located(docs).where("cp >= 8192").select("doc_id", "idx", "cp", "off", "line", "col")
+    return events.located(docs.select("doc_id", "text")).select("doc_id", "idx", "cp", "off", "line", "col")
 
 
 def _sanitized(mode: str) -> Callable[[DataFrame], DataFrame]:
@@ -123,45 +165,53 @@ def _sanitized(mode: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def _fix_preview(docs: DataFrame) -> DataFrame:
-    before = docs.select("doc_id", "text")
-    return repair.fix_preview(before, repair.one_pass(before, base_findings(before)).select("doc_id", "text"))
+    found = base_rows(docs.select("doc_id", "text")).withColumn("before", F.col("text"))
+    return repair.fix_preview(repair.one_pass(found).select("doc_id", "before", F.col("text").alias("after")))
 
 
 def _one_pass(mode: str) -> Callable[[DataFrame], DataFrame]:
-    def query(docs: DataFrame) -> DataFrame:
-        docs = docs.select("doc_id", "text")
-        return repair.one_pass(docs, base_findings(docs), mode).select("doc_id", F.sha2("text", 256).alias("digest"), F.col("__fixed").alias("fixed"))
+    def query(found: DataFrame) -> DataFrame:
+        repaired = repair.one_pass(found.select("doc_id", "text", "findings"), mode)
+        return repaired.select("doc_id", F.sha2("text", 256).alias("digest"), F.col("__fixed").alias("fixed"))
 
     return query
 
 
-def _merged(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return repair.merge_spans(found.select("doc_id", F.col("start_idx").alias("start"), F.col("end_idx").alias("end")), 2)
+def _merged(found: DataFrame) -> DataFrame:
+    return _each(found.withColumn("__spans", repair.merged_spans(2)), "__spans")
 
 
-def _allowed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return policy.allow(found, list(ALLOWED)).select(*PLACE)
+def _with_path(found: DataFrame) -> DataFrame:
+    return found.withColumn("path", path_of())
 
 
-def _by_path(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return policy.by_path(_with_path(docs, found), BLOCKS).select("path", *PLACE)
+def _by_path(found: DataFrame) -> DataFrame:
+    return policy.by_path(_with_path(found), BLOCKS).select("path", *PLACE)
 
 
-def _diff(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _diff(found: DataFrame) -> DataFrame:
     return analytics.scan_diff(found.where("rule <> 'control-character'"), policy.allow(found, list(ALLOWED)))
 
 
-def _annotations(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return reports.annotations(_with_path(docs, found), F.col("path"))
+def _inspection_bundle(docs: DataFrame) -> DataFrame:
+    found = analytics.inspection_bundle(scanned(docs.select("doc_id", "text")))
+    return found.select("doc_id", "code_points", "n_findings", "n_error", "n_warning", "n_info", "preview", "sanitized", F.size("remaining").alias("n_remaining"))
 
 
-def _census(docs: DataFrame, found: DataFrame) -> DataFrame:
-    return reports.census_rows(docs, found).select("doc_id", "source", "lang", "n")
+def _payload_audit(docs: DataFrame) -> DataFrame:
+    return payloads.payload_audit(payloads.decoded_payloads(docs), scan(docs))
 
 
-def _payload_audit(docs: DataFrame) -> DataFrame:
-    located = materialize(events.located(docs), "events")
-    return payloads.payload_audit(payloads.decoded_payloads(located, docs), scan(docs))
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with something planted, their ids as doc_id."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("source"), F.lit("html").alias("lang"))
+    return planted_in(pages)
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns with something planted; a turn is a document whose id repeats within its conversation."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "text", F.col("role").alias("source"), F.col("turn").alias("lang"))
+    return planted_in(turns).withColumnRenamed("lang", "turn")
 
 
 def queries() -> dict[str, Query]:
@@ -175,56 +225,59 @@ def queries() -> dict[str, Query]:
         "invisible": _one_rule("invisible"),
         "unusual_whitespace": _one_rule("unusual-whitespace"),
         "control_character": _one_rule("control-character"),
-        "bidi_unbalanced": _on_planted(lambda d: rules.bidi_unbalanced(events.located(d)).select(*PLACE)),
+        "bidi_unbalanced": _on_planted(_bidi_unbalanced),
         "tag_runs": _on_planted(_tag_runs),
-        "tag_smuggling": _on_planted(lambda d: decode.tag_smuggling(decode.tag_runs(events.located(d))).select(*PLACE, "decoded", "removal_start")),
+        "tag_smuggling": _on_planted(_tag_smuggling),
         "vs_runs": _on_planted(_vs_runs),
-        "vs_byte_stream": _on_planted(lambda d: decode.byte_streams(_runs(d))),
-        "vs_bit_stream": _on_planted(lambda d: decode.bit_streams(_runs(d))),
-        "vs_findings": _on_planted(lambda d: decode.with_nested(decode.selector_findings(_runs(d))).select(*PLACE, "decoded", "removal_start")),
+        "vs_byte_stream": _on_planted(_streams("byte")),
+        "vs_bit_stream": _on_planted(_streams("bit")),
+        "vs_findings": _on_planted(_vs_findings),
         "tokens": _on_planted(_tokens),
         "skeleton": _on_planted(_skeleton),
-        "confusable_mixed": _on_planted(lambda d: _facts(d).where("mixed").select("doc_id", "token", "signature")),
+        "confusable_mixed": _on_planted(_mixed),
         "confusable_collision": _on_planted(_collision),
-        "confusable_findings": _on_planted(lambda d: confusables.confusable_words(d).select(*PLACE, "skeleton")),
-        "code_mode": _on_planted(_code_mode),
-        "styled_text": _on_planted(_styled),
+        "confusable_findings": _on_planted(lambda d: _of_rule("confusable")(d).select(*PLACE, "skeleton")),
+        "code_mode": _on_planted(lambda d: _of_rule("confusable", True)(d).select(*PLACE, "skeleton")),
+        "styled_text": _on_planted(lambda d: _of_rule("styled-text")(d).select("doc_id", "start_idx", "end_idx", "start_off", "end_off", "decoded")),
         "names": _on_planted(_names),
         "diagnostic_text": _on_planted(lambda d: d.select("doc_id", X.diagnostic_text(F.col("text")).alias("shown"))),
-        "policy_allow": _over_findings(_allowed),
-        "policy_override": _over_findings(lambda d, f: policy.override(f, OVERRIDES).select(*PLACE)),
+        "policy_allow": _over_findings(lambda f: policy.allow(f, list(ALLOWED)).select(*PLACE)),
+        "policy_override": _over_findings(lambda f: policy.override(f, OVERRIDES).select(*PLACE)),
         "policy_by_path": _over_findings(_by_path),
-        "merge_spans": _over_findings(_merged),
-        "remove_pass": _on_planted(_one_pass("remove")),
-        "normalize_pass": _on_planted(_one_pass("normalize")),
+        "merge_spans": _over_rows(_merged),
+        "remove_pass": _over_rows(_one_pass("remove")),
+        "normalize_pass": _over_rows(_one_pass("normalize")),
         "sanitize": _on_planted(_sanitized("remove")),
         "sanitize_normalize": _on_planted(_sanitized("normalize")),
-        "reveal": _over_findings(lambda d, f: repair.reveal(d, f)),
+        "reveal": _over_rows(lambda r: repair.reveal(r.select("doc_id", "text", "findings"))),
         "fix_preview": _on_planted(_fix_preview),
-        "severity_counts": _over_findings(lambda d, f: a.severity_counts(f)),
-        "summary_groups": _over_findings(lambda d, f: a.summary_groups(f)),
-        "census_rule_severity": _over_findings(lambda d, f: a.rule_severity(f)),
-        "census_top_share": _over_findings(lambda d, f: a.top_share(f)),
-        "census_strata": _over_findings(lambda d, f: a.strata(d, f, "lang")),
-        "split_rates": _over_findings(lambda d, f: a.split_rates(d, f, "CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END")),
-        "classify": _over_findings(lambda d, f: a.classify(f).groupBy("label", "rule").agg(F.count("*").alias("n"))),
-        "label_shares": _over_findings(lambda d, f: a.label_shares(a.classify(f))),
-        "harmless_errors": _over_findings(lambda d, f: a.harmless_errors(a.classify(f))),
-        "audit_sample": _over_findings(lambda d, f: a.audit_sample(f).select(*PLACE)),
-        "probe_classes": _on_planted(lambda d: a.probe_classes(a.probe_runs(d))),
-        "coverage": _over_findings(lambda d, f: a.coverage(a.probe_runs(d), f)),
+        "severity_counts": _over_findings(a.severity_counts),
+        "summary_groups": _over_findings(a.summary_groups),
+        "census_rule_severity": _over_findings(a.rule_severity),
+        "census_top_share": _over_findings(lambda f: a.top_share(materialize(f.select("doc_id"), "findings"))),
+        "census_strata": _over_rows(lambda r: a.strata(r, "lang")),
+        "split_rates": _over_rows(lambda r: a.split_rates(r, "CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END")),
+        "classify": _over_findings(lambda f: a.classify(f).groupBy("label", "rule").agg(F.count("*").alias("n"))),
+        "label_shares": _over_findings(lambda f: a.label_shares(a.classify(materialize(f.select("doc_id", "rule", "severity", "decoded"), "findings")))),
+        "harmless_errors": _over_findings(lambda f: a.harmless_errors(a.classify(f))),
+        "audit_sample": _over_findings(lambda f: a.audit_sample(f).select(*PLACE)),
+        "probe_classes": _on_planted(lambda d: a.probe_classes(a.probed(d))),
+        "coverage": _over_rows(lambda r: a.coverage(a.probed(r))),
         "scan_diff": _over_findings(_diff),
-        "source_stats": _over_findings(a.source_stats),
+        "source_stats": _over_rows(a.source_stats),
         "manifest_digest": lambda spark, sf_dir: a.manifest_digest(_docs(spark, sf_dir)),
-        "context": _over_findings(a.context),
+        "context": _over_rows(a.context),
         "zero_width_payloads": _on_planted(payloads.zero_width_payloads),
         "payload_audit": _on_planted(_payload_audit),
-        "inspection": _over_findings(a.inspection),
-        "report_annotations": _over_findings(_annotations),
-        "report_json": _over_findings(lambda d, f: reports.json_lines(f)),
-        "report_sarif": _over_findings(lambda d, f: reports.sarif_results(_with_path(d, f), F.col("path"))),
-        "census_rows": _over_findings(_census),
+        "inspection": _over_rows(a.inspection),
+        "report_annotations": _over_findings(lambda f: reports.annotations(_with_path(f), F.col("path"))),
+        "report_json": _over_findings(reports.json_lines),
+        "report_sarif": _over_findings(lambda f: reports.sarif_results(_with_path(f), F.col("path"))),
+        "census_rows": _over_rows(lambda r: reports.census_rows(r).select("doc_id", "source", "lang", "n")),
         "scan": _on_planted(lambda d: scan(d).select(*PLACE, "decoded", "skeleton", "fixable")),
-        "scan_pages": lambda spark, sf_dir: scan(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))).select(*PLACE, "decoded", "skeleton"),
-        "scan_conversations": lambda spark, sf_dir: scan(spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")).select(*PLACE, "decoded", "skeleton"),
+        "scan_pages": lambda spark, sf_dir: scan(_pages(spark, sf_dir)).select(*PLACE, "decoded", "skeleton"),
+        "scan_conversations": lambda spark, sf_dir: scan(_turns(spark, sf_dir), keep=("doc_id", "turn")).select("turn", *PLACE, "decoded", "skeleton"),
+        "inspection_bundle": _on_planted(_inspection_bundle),
+        "summary_lines": _over_findings(lambda f: reports.summary_lines(a.summary_groups(f))),
+        "report_pretty": _over_rows(reports.pretty),
     }

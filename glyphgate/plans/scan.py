@@ -1,32 +1,62 @@
-"""The whole scan: documents to findings, as the union of all rules."""
+"""The whole scan: documents to findings, by all rules, in one pass over each text and without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgate.operators import confusables, decode, rules, styled
-from glyphgate.operators.events import located
-from glyphgate.plans.storage import materialize
+from glyphgate.functions import properties as P
+from glyphgate.functions import rows
+from glyphgate.operators import confusables, decode, events, rules, styled
+from glyphgate.operators.rules import FINDING
 
 
-def scan(docs: DataFrame, code: bool = False, folder: str | None = None, visible: bool = True) -> DataFrame:
-    """Findings of ``docs`` (doc_id, text). Rows without a character beyond plain text are dropped first.
+def placed(df: DataFrame, spans: str) -> DataFrame:
+    """``df`` with ``findings``: the array ``spans`` with positions and nested payloads, in the order of (start, rule, place in ``spans``)."""
+    points = F.concat(F.transform(spans, lambda s: s["start_idx"]), F.transform(spans, lambda s: s["end_idx"]))
+    df = df.withColumns({"__at": events.place(points), "__inner": decode.nested(spans)})
+    n = F.size(spans)
+    both = F.arrays_zip(decode.told(F.col(spans), F.col("__inner")).alias("s"), F.slice("__at", F.lit(1), n).alias("a"), F.slice("__at", n + 1, n).alias("b"))
+    first = F.array_sort(F.transform(both, lambda x, i: F.struct(x["a"]["off"].alias("off"), x["s"]["rule"].alias("rule"), i.alias("i"), x["s"].alias("s"), x["a"].alias("a"), x["b"].alias("b"))))
+    one = lambda x, i: F.struct(
+        i.cast("long").alias("seq"), *[x["s"][c].alias(c) for c in ("rule", "severity", "start_idx", "end_idx")], x["a"]["off"].alias("start_off"), x["b"]["off"].alias("end_off"),
+        x["a"]["line"].alias("start_line"), x["a"]["col"].alias("start_col"), x["b"]["line"].alias("end_line"), x["b"]["col"].alias("end_col"),
+        *[x["s"][c].alias(c) for c in ("code_points", "decoded", "skeleton", "removal_start", "removal_end")], (~x["s"]["rule"].isin(*P.NOT_FIXABLE)).alias("fixable"),
+    )
+    return df.withColumn("findings", F.transform(first, one)).drop("__at", "__inner")
 
-    The located events are written once: they are few, and five rules read them instead of the texts.
-    ``visible`` false leaves out lookalikes and styled text, which no repair changes.
+
+def exploded(df: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep`` (doc_id unless given) and one row for each of ``findings``."""
+    each = df.select(*(keep or ("doc_id",)), F.explode("findings").alias("__f"))
+    return each.select(*(keep or ("doc_id",)), *[F.col("__f")[c].alias(c) for c in FINDING])
+
+
+def scanned(docs: DataFrame, code: bool | Column = False, folder: str | None = None, visible: bool = True) -> DataFrame:
+    """``docs`` with ``findings``, the array of a row's findings in the order of (start, rule, sequence).
+
+    Every row stays as it is, whatever its id: the array is made from the row's text alone. A null or plain text has none.
+    ``code`` says for all rows, or as a column for each, whether tokens are identifiers. ``folder`` holds Unicode data
+    files. ``visible`` false leaves out lookalikes and styled text, which no repair changes.
     """
-    docs = docs.select("doc_id", "text")
-    events = materialize(located(docs), "events")
-    parts = [
-        rules.single_characters(events),
-        rules.bidi_unbalanced(events),
-        decode.tag_smuggling(decode.tag_runs(events)),
-        decode.with_nested(decode.selector_findings(decode.selector_runs(events, folder))),
-    ]
+    code = F.lit(code) if isinstance(code, bool) else F.coalesce(code, F.lit(False))
+    df, more = docs, {}
     if visible:
-        parts += [confusables.confusable_words(docs, code, folder), styled.styled_text(docs)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.withColumn("fixable", ~F.col("rule").isin("confusable", "styled-text"))
+        more["__passages"] = styled.wanted(F.col("__far"))
+        df = rows.computed(df, {"__code": code, "__tokens": confusables.beyond_tokens(code)})
+    df = rows.computed(decode.with_runs(df, folder, more), {"__controls": rules.bidi_controls()})
+    read = {"__loose": rules.loose_controls(F.transform("__controls", lambda e: e["cp"]))}
+    if visible:
+        read |= {"__read": styled.read(F.transform("__passages", lambda x: x["hit"])), "__forms": confusables.spell(folder)("__tokens")}
+    df = df.withColumns(read)
+    parts = [rules.single_characters(), rules.bidi_unbalanced(F.col("__controls"), F.col("__loose")), decode.tag_smuggling(F.col("__tags")), decode.selector_findings(F.col("__selectors"))]
+    if visible:
+        df = confusables.with_flagged(confusables.with_words(df), F.col("__code"), confusables.Scripts(docs.sparkSession, folder))
+        df = confusables.with_occurrences(df, F.col("__code"))
+        parts += [F.col("__confusables"), styled.styled_text(F.col("__passages"), F.col("__read"))]
+    return placed(rows.computed(df, {"__spans": F.concat(*parts)}), "__spans").select(*[F.col(c) for c in docs.columns], "findings")
+
+
+def scan(docs: DataFrame, code: bool | Column = False, folder: str | None = None, visible: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` of ``docs`` and one row for each finding. Rows of plain text are dropped first."""
+    return exploded(scanned(events.fast_path(docs), code, folder, visible), *keep)

@@ -1,7 +1,7 @@
 """The scan over a stream of documents: each micro-batch is scanned as a table of its own.
 
-Rules look at one document at a time, so no state is kept between batches; ``foreachBatch`` lets the same plan run, with
-its windows and joins within a document. Batches are written under their number, so one that runs again replaces itself.
+Rules look at one document at a time and the scan groups and joins nothing, so no state is kept between batches. Batches
+are written under their number, so one that runs again replaces itself.
 """
 
 from __future__ import annotations

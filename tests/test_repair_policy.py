@@ -6,7 +6,7 @@ import pytest
 
 from glyphgate.functions import properties as P
 from glyphgate.operators import policy, repair
-from glyphgate.plans.scan import scan
+from glyphgate.plans.scan import scan, scanned
 from glyphgate.sources import files
 
 
@@ -29,7 +29,29 @@ def test_modes(spark, mode, want):
 
 
 def test_allowed_inside_a_run(spark):
-    assert fixed(spark, u(0x1F600, 0xE0158, 0xE0159), allowed=(0xE0158,)).text == u(0x1F600, 0xE0158)
+    row = fixed(spark, u(0x1F600, 0xE0158, 0xE0159), allowed=(0xE0158,))
+    assert (row.text, row.fixed, row.passes) == (u(0x1F600, 0xE0158), 1, 1)
+
+
+def test_keep_changes_nothing(spark):
+    row = fixed(spark, f"a{u(0x202E)}b", mode="keep")
+    assert (row.text, row.fixed, row.passes) == (f"a{u(0x202E)}b", 0, 0)
+
+
+def test_many_passes(spark):
+    """Each pass lays bare what the next removes: a joiner is legitimate only while its neighbour stands."""
+    text = ":" + u(0x200B) + u(0x61C, 0x200C) * 15 + u(0x644)
+    row = fixed(spark, text)
+    assert row.text == ":" + u(0x644) and scan(spark.createDataFrame([(1, row.text)], "doc_id long, text string")).count() == 0
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    rows = [(None, f"a{u(0x200B)}b", 1), (5, f"c{u(0x200B)}d", 2), (5, f"e{u(0x200B)}f", 3), (6, "g", 4), (None, None, 5), (5, f"c{u(0x200B)}d", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fixed long")
+    got = sorted((str(r.doc_id), r.text or "") for r in repair.sanitize(docs).collect())
+    assert got == sorted([("None", "ab"), ("5", "cd"), ("5", "ef"), ("6", "g"), ("None", ""), ("5", "cd")])
+    shown = sorted(r.revealed or "" for r in repair.reveal(scanned(docs.drop("fixed"))).collect())
+    assert shown == ["", "a⟦U+200B ZWSP⟧b", "c⟦U+200B ZWSP⟧d", "c⟦U+200B ZWSP⟧d", "e⟦U+200B ZWSP⟧f", "g"]
 
 
 def test_disabled(spark):
@@ -56,20 +78,22 @@ def test_random_texts_reach_a_fixpoint(spark):
 
 def test_reveal(spark):
     docs = spark.createDataFrame([(1, f"a{u(0x202E)}b"), (2, "x"), (3, "z" + "".join(chr(0xE0000 + ord(c)) for c in "obey!"))], "doc_id long, text string")
-    got = dict(repair.reveal(docs, scan(docs)).collect())
+    got = dict(repair.reveal(scanned(docs)).collect())
     assert got[1] == "a⟦U+202E RLO⟧b" and got[2] == "x"
     assert got[3] == 'z⟦U+E006F TAG o .. U+E0021 TAG ! (5 code points)⟧ → "obey!"'
 
 
 def test_fix_preview(spark):
-    before = spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, "same")], "doc_id long, text string")
-    after = spark.createDataFrame([(1, "a\nB\nc"), (2, "a\nc\nd"), (3, "same")], "doc_id long, text string")
-    assert sorted(map(tuple, repair.fix_preview(before, after).collect())) == [(1, 2, "b", "B"), (2, 2, "b", "")]
+    pairs = spark.createDataFrame([(1, "a\nb\nc", "a\nB\nc"), (2, "a\nb\nc\nd", "a\nc\nd"), (3, "same", "same"), (4, "x\ny", "")], "doc_id long, before string, after string")
+    assert sorted(map(tuple, repair.fix_preview(pairs).collect())) == [(1, 2, "b", "B"), (2, 2, "b", ""), (4, 1, "x\ny", "")]
 
 
 def test_merge(spark):
-    spans = spark.createDataFrame([(1, 0, 2), (1, 2, 3), (1, 5, 9), (1, 6, 7), (2, 0, 1)], "doc_id long, start long, end long")
-    assert sorted(map(tuple, repair.merge_spans(spans).collect())) == [(1, 0, 3), (1, 5, 9), (2, 0, 1)]
+    kind = "doc_id long, findings array<struct<start_idx:long,end_idx:long>>"
+    rows = spark.createDataFrame([(1, [(5, 9), (0, 2), (2, 3), (6, 7)]), (2, [(0, 1)]), (2, []), (None, [(4, 5), (5, 6)])], kind)
+    got = [(r.doc_id, [tuple(s) for s in r.m]) for r in rows.select("doc_id", repair.merged_spans().alias("m")).collect()]
+    assert got == [(1, [(0, 3), (5, 9)]), (2, [(0, 1)]), (2, []), (None, [(4, 6)])]
+    assert [[tuple(s) for s in r.m] for r in rows.select(repair.merged_spans(2).alias("m")).collect()][0] == [(-2, 11)]
 
 
 def test_policy_file(spark):

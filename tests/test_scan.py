@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
-from glyphgate.operators.rules import unbalanced_at
-from glyphgate.plans.scan import scan
+from glyphgate.operators.events import located
+from glyphgate.operators.rules import unbalanced
+from glyphgate.plans.scan import scan, scanned
 
 
 def u(*points: int) -> str:
@@ -73,6 +77,59 @@ CASES = {
 NAMES = list(CASES)
 
 
+def walked(text: str, idx: int) -> tuple[int, int, int]:
+    """off, line and col of a place by walking the text."""
+    off, line, col = 0, 1, 1
+    for i, c in enumerate(text[:idx]):
+        width = 1 + (ord(c) > 0xFFFF)
+        off, col = off + width, col + width
+        if c == "\n" or (c == "\r" and text[i + 1 : i + 2] != "\n"):
+            line, col = line + 1, 1
+    return off, line, col
+
+
+def test_positions_of_random_texts_with_null_and_repeated_ids(spark):
+    rng = random.Random(4)
+    alphabet = ["a", "é", "\n", "\r", "\r\n", "\U0001f600", "\u200b", "\u2028", "\u0085", "\u202e", "\ufe00", "\U000e0041", "pаy", "ｆｕｌｌ"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 40))) for _ in range(300)]
+    rows = [(None if i % 3 == 0 else 7, i, t) for i, t in enumerate(texts)] + [(None, -1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, no long, text string").repartition(3)
+    for r in located(docs).collect():
+        text = texts[r.no]
+        assert text[r.idx] == r.ch and (r.off, r.line, r.col) == walked(text, r.idx)
+    got = scan(docs, keep=("doc_id", "no")).collect()
+    assert len(got) > 500
+    order = {}
+    for r in got:
+        text = texts[r.no]
+        assert (r.start_off, r.start_line, r.start_col) == walked(text, r.start_idx) and (r.end_off, r.end_line, r.end_col) == walked(text, r.end_idx)
+        assert r.doc_id == (None if r.no % 3 == 0 else 7)
+        order.setdefault(r.no, []).append((r.seq, r.start_off, r.rule))
+    for found in order.values():
+        found.sort()
+        assert [f[0] for f in found] == list(range(len(found))) and [f[1:] for f in found] == sorted(f[1:] for f in found)
+
+
+def test_every_row_stays(spark):
+    docs = spark.createDataFrame([(5, "a\u200bb"), (5, "cc\n\u200b"), (None, "x"), (None, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text or "", len(r.findings)) for r in scanned(docs).collect())
+    assert got == [("5", "a\u200bb", 1), ("5", "cc\n\u200b", 1), ("None", "", 0), ("None", "x", 0)]
+    assert sorted(r.start_idx for r in scan(docs).collect()) == [1, 3]
+    plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_code_by_row(spark):
+    docs = spark.createDataFrame([(1, "café cafe\u0301", True), (2, "café cafe\u0301", False), (3, "café cafe\u0301", None)], "doc_id long, text string, is_code boolean")
+    assert [r.doc_id for r in scan(docs, code=F.col("is_code")).collect()] == [1, 1]
+
+
+def test_written_in_turkish(spark):
+    words = " ".join(f"kap{u(0x131)}{c}" for c in "abcdefghijkl")
+    docs = spark.createDataFrame([(1, f"adm{u(0x131)}n admin {words}"), (2, f"adm{u(0x131)}n admin")], "doc_id long, text string")
+    assert {r.doc_id for r in scan(docs).collect()} == {2}
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     docs = spark.createDataFrame([(i, CASES[n][0]) for i, n in enumerate(NAMES)] + [(900, BITS), (901, "".join(u(0x5C71) + selectors(c) for c in "attackers"))], "doc_id long, text string")
@@ -117,8 +174,10 @@ def test_removal_leaves_bases(found):
         ([0x2066, 0x202C, 0x2069], [1]),
         ([0x202A, 0x2066, 0x202C, 0x2069, 0x202C], [2]),
         ([0x2066, 0x2067, 0x2069], [0]),
+        ([0x202A, 0x0A, 0x202C], [0, 2]),
+        ([0x2066, 0x202A, 0x0D, 0x2069], [0, 1, 3]),
         ([], []),
     ],
 )
 def test_balance(points, loose):
-    assert unbalanced_at(points) == loose
+    assert [i for i, x in enumerate(unbalanced(points)) if x] == loose
