@@ -5,15 +5,15 @@
 2. Each source gets a target: its share by weight of the sizes of all sources, at most ``CAP`` times its own size, the
    excess reshared by weight. The level at which the shares settle needs only two sums for each step.
 3. A source's target is so many complete epochs of all its documents, then a fraction, filled in key order up to the
-   word budget. The prefix sums come in two steps: keys fall into ``BUCKETS`` ranges for each source, whose sums give
-   each range's start; only rows in the one range that the budget ends in are sorted, so a source with a third of all
-   rows is never sorted in one task.
+   word budget. All rows, without texts, are range-partitioned by source and key, so that every range is about as large
+   whatever the keys and sizes are. The prefix sums come in two steps: the ranges' sums give where each range of a source
+   begins; only rows in the one range that a source's budget ends in are summed one by one.
 
 Quality weight: 1 / (1 + |c - 6.5| / 6.5) for c characters a word, so prose weighs most; 0.01 without words.
 
 Defined results. Null or empty text: size 0, never fills a budget, taken 0. Null source: a source of its own, last in
-order. Ties of keys: by doc_id, nulls first, then text hash. Repeated rows: each counts. Empty table: no rows. Other
-columns of the input are kept by ``mix_rows`` and ignored by ``mix``.
+order. Ties of keys: by doc_id, nulls first, then text hash, then row. Repeated rows: each counts, and they may fall into
+several ranges. Empty table: no rows. Other columns of the input are kept by ``mix_rows`` and ignored by ``mix``.
 """
 
 from __future__ import annotations
@@ -22,19 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphgate.llm.common import WORD, materialize, number_rows, running_total
+from glyphgate.llm.common import WORD, discard, materialize, number_rows, running_total
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
-#: Ranges of keys for each source.
-BUCKETS = 1_024
 SEED = 7
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with the row id ``__uid``; it holds once it is written."""
+    return docs.withColumn("__uid", F.monotonically_increasing_id())
+
+
 def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, mark (hash of the text), source_key, size, key and bucket of each document."""
+    """__uid, doc_id, mark (hash of the text), source_key, size and key of each numbered document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
+        "__uid",
         F.col("doc_id"),
         F.xxhash64(text).alias("mark"),
         # A string never null: nulls sort last, other sources by code point.
@@ -44,9 +48,7 @@ def keyed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "mark", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     weight = F.when(F.col("size") > 0, 1 / (1 + F.abs(F.col("chars") / F.col("size") - 6.5) / 6.5)).otherwise(F.lit(0.01))
-    rows = rows.withColumn("key", -F.log(u) / weight).drop("chars")
-    bucket = F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
-    return rows.withColumn("bucket", bucket)
+    return rows.withColumn("key", -F.log(u) / weight).drop("chars")
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -68,43 +70,40 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float
 
 
 def mix_keyed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """doc_id, mark, source_key, size, source_size, target and times (how often the mix takes it) of each document."""
+    """__uid, doc_id, size, source_size, target and times (how often the mix takes it) of each numbered document."""
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("__uid")]
     rows = materialize(keyed(docs, seed), "keyed")
-    sums = materialize(rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    sources = sums.groupBy("source_key").agg(F.sum("bucket_size").alias("source_size"))
+    ranged = rows.repartitionByRange(F.col("source_key"), *order).withColumn("range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    discard(rows)
+    sums = materialize(ranged.groupBy("source_key", "range").agg(F.sum("size").alias("range_size")), "sums")
+    sources = sums.groupBy("source_key").agg(F.sum("range_size").alias("source_size"))
     goal = targets(sources, weights, cap)
-    # One row for each source and bucket: at most BUCKETS rows of a source meet in one window.
-    starts = running_total(sums, ["source_key"], ["bucket"], "bucket_size", "start").join(goal, "source_key")
+    # One row for each source and range: a source has as many as there are partitions at most.
+    starts = running_total(sums, ["source_key"], ["range"], "range_size", "start").join(goal, "source_key")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     starts = starts.withColumn("epochs", epochs.cast("long")).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    starts = materialize(starts.select("source_key", "bucket", "bucket_size", "start", "source_size", "target", "epochs", "budget"), "starts")
-    placed = rows.join(starts, ["source_key", "bucket"])
-    ends_here = (F.col("start") < F.col("budget")) & (F.col("start") + F.col("bucket_size") > F.col("budget"))
+    starts = materialize(starts.select("source_key", "range", "range_size", "start", "source_size", "target", "epochs", "budget"), "starts")
+    placed = ranged.join(starts, ["source_key", "range"])
+    ends_here = (F.col("start") < F.col("budget")) & (F.col("start") + F.col("range_size") > F.col("budget"))
     clear = placed.where(~ends_here).withColumn("extra", ((F.col("start") < F.col("budget")) & (F.col("size") > 0)).cast("long"))
     # Here the prefix sum decides: a document is taken if more than half of it lies within the budget.
-    before = Window.partitionBy("source_key", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "mark").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source_key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     edge = placed.where(ends_here).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(before), F.lit(0)))
     edge = edge.withColumn("extra", ((F.col("at") + F.col("size") / 2 <= F.col("budget")) & (F.col("size") > 0)).cast("long")).drop("at")
     both = clear.unionByName(edge)
-    return both.select("doc_id", "mark", "source_key", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("times"))
+    return both.select("__uid", "doc_id", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).alias("times"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document."""
-    return mix_keyed(docs, **options).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+    found = mix_keyed(numbered(docs.select("doc_id", "source", "text")), **options)
+    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all columns of ``docs``."""
-    times = mix_keyed(docs, **options).groupBy("doc_id", "mark", "source_key").agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    times = materialize(times.withColumnsRenamed({"doc_id": "__id", "mark": "__mark", "source_key": "__source"}), "times")
-    marked = docs.withColumn("__m", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    source = F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")) & (source == F.col("__source"))
-    # Rows alike in id, source and text share what they are taken for: the first of them take one more.
-    single = marked.join(times.where("__rows = 1"), same).withColumn("__each", F.col("__times"))
-    repeated = marked.join(times.where("__rows > 1"), same)
-    no = F.row_number().over(Window.partitionBy("__id", "__mark", "__source").orderBy("__m"))
-    repeated = repeated.withColumn("__each", F.floor(F.col("__times") / F.col("__rows")) + (no <= F.col("__times") % F.col("__rows")).cast("long"))
-    both = single.unionByName(repeated).where("__each > 0")
-    return both.withColumn("__no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each")))).select(*docs.columns)
+    rows = materialize(numbered(docs), "numbered")
+    times = materialize(mix_keyed(rows, **options).where("times > 0").select("__uid", F.col("times").alias("__times")), "times")
+    each = rows.join(times, "__uid").withColumn("__no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return each.select(*docs.columns)
