@@ -4,7 +4,8 @@ Every text is a blob, addressed by its SHA-256. A ledger is a Parquet table of (
 that a rule version has seen, with what it found. A scan takes the distinct blobs of the input (copies are dropped
 before the shuffle), leaves out those whose pair of blob and rule version the ledger has, scans the rest, appends them
 to the ledger, and joins the ledger's findings back to every row. A later scan of the same history with the same rules
-reads no text twice; changed rules get another version and so scan again.
+reads no text twice; changed rules get another version and so scan again. Unseen blobs are found by address, and only
+their bodies are moved. ``scan_versions`` does this for all versions of a set of paths.
 
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the pieces between matches and the matches
 alternate, so a match starts where the lengths before it end. Both walk leftmost and non-overlapping.
@@ -25,7 +26,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgate.llm.common import new_path
+from glyphgate.llm.common import materialize, new_path
 
 # The base kinds, with letters in either case spelled out so that only ASCII letters match.
 _NAMES = ("password", "passwd", "secret", "token")
@@ -34,6 +35,8 @@ _LEAD = rf"(?:{_WORD})[\"']?\x20*[:=]\x20*[\"']?"
 ASSIGN = rf"{_LEAD}[A-Za-z0-9+/_.=-]+"
 VALUE = rf"^{_LEAD}([A-Za-z0-9+/_.=-]+)$"
 LEAST_VALUE = 8
+#: Unseen addresses that are broadcast at most, about 100 bytes each.
+FEW = 200_000
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 # This method's own kinds.
@@ -87,7 +90,10 @@ def update_ledger(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION
     known = seen.where(F.col("rule_version") == rule_version).select("blob")
     fresh = _addressed(docs)
     if not known.isEmpty():
-        fresh = fresh.join(known, "blob", "left_anti")
+        # Addresses alone are compared; a bounded number of unseen ones is sent to the texts, more meet them in a shuffle.
+        unseen = materialize(fresh.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        few = unseen.limit(FEW + 1).count() <= FEW
+        fresh = fresh.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
     # Copies go before the shuffle: the first text of each blob is combined within each task.
     fresh = fresh.groupBy("blob").agg(F.first("body").alias("body"))
     scanned = fresh.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("body")).alias("spans"))
@@ -100,17 +106,13 @@ def with_spans(docs: DataFrame, ledger: str | None = None, rule_version: str = R
     ledger = ledger or new_path(docs.sparkSession, "ledger")
     found = update_ledger(docs, ledger, rule_version)
     hits = found.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("__hit"), F.col("spans").alias("__spans"))
-    # Two scans that overlap in time may both add a blob.
-    hits = hits.dropDuplicates(["__hit"]) if _repeats(hits) else hits
+    # Two scans that overlap in time may both add a blob; the join below needs this partitioning anyhow.
+    hits = hits.dropDuplicates(["__hit"])
     named = docs.withColumn("__blob", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     joined = named.join(hits, F.col("__blob") == F.col("__hit"), "left").drop("__hit")
     return joined.withColumn("__spans", F.coalesce(F.col("__spans"), F.array().cast(SPANS)))
 
 
-def _repeats(hits: DataFrame) -> bool:
-    return not hits.groupBy("__hit").count().where("count > 1").isEmpty()
-
-
 def listed(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -129,6 +131,13 @@ def scan(docs: DataFrame, ledger: str | None = None) -> DataFrame:
     )
 
 
+def scan_versions(files: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """path, version, kind, start and end of every finding of ``files`` (path, version, text): each blob is scanned once,
+    whatever paths and versions have it, and its findings come back with all of them."""
+    found = with_spans(files.select("path", "version", "text"), ledger, rule_version)
+    return found.select("path", "version", F.explode("__spans").alias("s")).select("path", "version", "s.kind", "s.start", "s.end")
+
+
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced; spans that overlap give one mark. ``n_chars``, if there, is brought up to date."""
     found = with_spans(docs, ledger)
