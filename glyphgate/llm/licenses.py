@@ -9,8 +9,11 @@ Words are ASCII-lower-cased runs of digits, ASCII letters and all characters bey
 templates and counted at every place. Each automaton begins with mandatory words, so a text's places for it are found
 by a byte search, and only there does it run.
 
-Score: the share of the matched labels' weight: 1 for a label whose template has ten mandatory words or more, else its
-mandatory words / 10; the largest of a text's labels, 0 without any.
+Templates are whole notices and license bodies, which get a label of their own, and opening sentences and references, by
+which a text names a license without giving its terms.
+
+Score: the largest weight of a text's matches, 0 without any. A whole text weighs 1; a reference its mandatory words / 20,
+half at most.
 
 Defined results. Null text: as an empty text: no words, nothing found. Repeated rows: each its own row. Null doc_id:
 kept. Empty table: no rows. Other columns are ignored.
@@ -31,8 +34,62 @@ from glyphgate.llm.common import arrow_map
 # The base phrases.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# This method's templates: well-known public notices.
-TEMPLATES = (
+# Public license texts, as words, with optional and replaceable regions.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the "
+    "software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+    "and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+    "<<opt including the next paragraph>> shall be included in all copies or substantial portions of the software the software is provided as is without warranty of "
+    "any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall "
+    "the <<var 8>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the "
+    "software or the use or other dealings in the software"
+)
+_BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt 1>> "
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt 2>> redistributions in binary "
+    "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the "
+    "distribution "
+)
+_BSD_NAMES = (
+    "<<opt 3>> neither the name of <<var 12>> nor the names of <<opt its>> <<opt any>> contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission "
+)
+_BSD_END = (
+    "this software is provided by <<var 10>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed in no event shall <<var 10>> be liable for any direct indirect incidental special exemplary or consequential damages "
+    "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of "
+    "liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the "
+    "possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify <<opt and>> <<opt or>> distribute this software for any purpose with or without fee is hereby granted provided that the above "
+    "copyright notice and this permission notice appear in all copies the software is provided as is and <<var 4>> disclaims all warranties with regard to this software "
+    "including all implied warranties of merchantability and fitness in no event shall <<var 4>> be liable for any special direct indirect or consequential damages or "
+    "any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in "
+    "connection with the use or performance of this software"
+)
+_APACHE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http<<opt s>> <<opt www>> apache org licenses license 2 0 <<opt txt>> unless required by applicable law or agreed to in writing software distributed under the "
+    "license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language "
+    "governing permissions and limitations under the license"
+).replace("http<<opt s>>", "<<opt http>> <<opt https>>")
+_GNU = (
+    "this program is free software <<opt you can>> redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software "
+    "foundation either version {} of the license or at your option any later version this program is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {} general public license for more details"
+)
+
+#: Label, template, and whether it is a whole text.
+WHOLE = (
+    ("mit-text", _MIT),
+    ("bsd-2-text", _BSD_START + _BSD_END),
+    ("bsd-3-text", _BSD_START + _BSD_NAMES + _BSD_END),
+    ("isc-text", _ISC),
+    ("apache-2-notice", _APACHE),
+    *((f"{kind}gpl-{n}-notice", _GNU.format(*([word, n, word] if word else ["", n, ""])).replace("gnu  general", "gnu general")) for kind, word in (("", ""), ("l", "lesser"), ("a", "affero")) for n in ("2", "3")),
+)
+REFERENCES = (
     ("mit", "released under <<opt the terms of>> the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 <<opt 0>>"),
@@ -82,7 +139,7 @@ class Automaton:
         return last in states
 
 
-def compile_template(label: str, template: str) -> Automaton:
+def compile_template(label: str, template: str, whole: bool = False) -> Automaton:
     edges: list[list[tuple[bytes | None, int]]] = [[]]
     skips: list[list[int]] = [[]]
 
@@ -114,10 +171,11 @@ def compile_template(label: str, template: str) -> Automaton:
                 skips[s].append(now)
     if not lead:
         raise ValueError(f"a template begins with mandatory words: {template}")
-    return Automaton(label, b" ".join(lead), tuple(map(tuple, edges)), tuple(map(tuple, skips)), min(1.0, mandatory / 10))
+    return Automaton(label, b" ".join(lead), tuple(map(tuple, edges)), tuple(map(tuple, skips)), 1.0 if whole else min(0.5, mandatory / 20))
 
 
-AUTOMATA = tuple(compile_template(*x) for x in TEMPLATES)
+TEMPLATES = (*WHOLE, *REFERENCES)
+AUTOMATA = tuple(compile_template(*x, whole=x in WHOLE) for x in TEMPLATES)
 
 
 def places(joined: bytes, phrase: bytes) -> Iterator[int]:
@@ -138,7 +196,7 @@ def scan_text(text: bytes | None) -> tuple[int, int, int | None, int | None, str
         if found := list(places(joined, phrase.encode())):
             at += found
             base.add(label)
-            labels[label] = max(labels.get(label, 0.0), len(phrase.split()) / 10)
+            labels[label] = max(labels.get(label, 0.0), len(phrase.split()) / 20)
     for a in AUTOMATA:
         if labels.get(a.label, 0.0) < a.weight and any(a.accepts(words, i) for i in places(joined, a.lead)):
             labels[a.label] = a.weight
