@@ -9,6 +9,8 @@ their labels, weighted by the similarity to the power ``SHARPNESS``.
 
 Neither labels, lang, source nor doc_id is an input of a score; doc_id only says which labelled rows may be used.
 
+Similarities are compared to five decimal places, as sums in another order may differ beyond them.
+
 Defined results. Null text: as an empty text, which has a length feature only. Several labels of one id: their mean,
 rounded half up; null labels are left out, as are labels without a document. Several documents with one id: the
 smallest text is used for fitting, and each row is scored. No usable label: score 0.5 for all. Ties of similarity: the
@@ -36,6 +38,7 @@ SAMPLE = 2_048
 NEIGHBOURS = 5
 SHARPNESS = 4
 THRESHOLD = 0.3
+DECIMALS = 5
 FOLDS = 5
 #: Documents whose cosines are computed at a time.
 BLOCK = 256
@@ -70,10 +73,13 @@ class Space:
         if not len(self.labels):
             return np.full(len(rows), 0.5)
         k = min(NEIGHBOURS, len(self.labels))
-        cosines = self.project(rows) @ self.vectors.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k] if k < len(self.labels) else np.broadcast_to(np.arange(k), cosines.shape)
-        weights = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS + 1e-9
-        return (weights * self.labels[near]).sum(1) / weights.sum(1)
+        cosines = np.round(self.project(rows) @ self.vectors.T, DECIMALS)
+        least = np.partition(cosines, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+        above, equal = cosines > least, cosines == least
+        # Of the labelled texts that tie for the last places the first ones, which have the smaller ids, vote.
+        near = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)))
+        weights = np.where(near, np.maximum(cosines, 0).astype(np.float64) ** SHARPNESS + 1e-9, 0)
+        return (weights * self.labels).sum(1) / weights.sum(1)
 
 
 def fit_space(rows: np.ndarray, labels: np.ndarray) -> Space:
