@@ -176,6 +176,21 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix_rows(empty).columns == empty.columns
 
 
+def test_mixing_of_texts_without_spaces(spark):
+    """A source whose keys are all large, and one row that is a third of the table: no range is much larger than others."""
+    rows = [(i, "x" * 500 + str(i), "wide") for i in range(1_500)] + [(9_999, "the same words again", "same")] * 1_500 + [(20_000 + i, f"a few words {i}", "prose") for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    order = [F.col("key"), F.col("doc_id").asc_nulls_first(), F.col("mark"), F.col("__uid")]
+    keys = mixing.materialize(mixing.keyed(mixing.numbered(docs)), "keyed")
+    sizes = [r["count"] for r in keys.repartitionByRange(12, F.col("source_key"), *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 2 * 4_500 / 12
+    got = mixing.mix(docs).collect()
+    for source, unit in (("wide", 1), ("same", 4), ("prose", 4)):
+        mine = [r for r in got if (r.doc_id < 9_999, r.doc_id == 9_999, r.doc_id > 9_999)[("wide", "same", "prose").index(source)]]
+        assert len(mine) == 1_500 and abs(sum(r.taken for r in mine) - mine[0].target) <= unit
+    assert sum(len(r.text.split()) for r in mixing.mix_rows(docs).collect()) == sum(r.taken for r in got)
+
+
 def slow_top(rows, k):
     v = [(i, a, [int(np.floor(64 * float(x))) for x in e]) for i, (a, e) in enumerate(rows) if e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
@@ -265,6 +280,21 @@ def test_secrets(spark, docs, empty, tmp_path):
     assert secrets.scan(empty).count() == 0
 
 
+def test_versions_and_paths(spark, tmp_path, monkeypatch):
+    ledger = str(tmp_path / "history")
+    files = lambda rows: spark.createDataFrame(rows, "path string, version int, text string")
+    first = [("a", 1, SECRET), ("b", 1, SECRET), ("c", 1, "clean"), (None, 1, None)]
+    spans = [(k, a, b) for a, _, k, b in slow_spans(SECRET)]
+    assert sorted(map(tuple, secrets.scan_versions(files(first), ledger).collect())) == sorted((p, 1, *s) for p in "ab" for s in spans)
+    assert spark.read.parquet(ledger).count() == 3
+    second = [("a", 2, SECRET), ("b", 2, "x " + SECRET), ("d", 2, SECRET), ("c", 2, "clean")]
+    for few in (secrets.FEW, 0):
+        monkeypatch.setattr(secrets, "FEW", few)
+        got = sorted(map(tuple, secrets.scan_versions(files(first + second), ledger).where("version = 2").collect()))
+        assert got == sorted([(p, 2, *s) for p in "ad" for s in spans] + [("b", 2, k, a + 2, b + 2) for k, a, b in spans])
+        assert spark.read.parquet(ledger).count() == 4  # only the changed text was scanned
+
+
 def test_redact(spark):
     table = spark.createDataFrame([(1, SECRET, 0, "b"), (2, "clean", 5, "b"), (3, None, None, "b")], "doc_id long, text string, n_chars long, blob string")
     got = {r.doc_id: r for r in secrets.redact(table).collect()}
@@ -302,7 +332,13 @@ def test_licenses(spark, docs, empty):
         "copyright (c) 2020 A. N. Author, all rights reserved", "copyright one two three four five six seven all rights reserved", "UNDER THE MIT LICENSEé", "cc by nc cc by nc",
         "licensed under the gnu general public license as published by the free software foundation either version 3", "licensed under the gnu general public license version 3",
     ]
-    table = docs.unionByName(spark.createDataFrame([(70_000 + i, t, "en", "a", 1, 1, "x", "y") for i, t in enumerate(extra)], SCHEMA))
+    whole = {}
+    for label, template in licenses.WHOLE:
+        text = re.sub(r"<<opt [^>]*>> ?", "", re.sub(r"<<var \d+>>", "Jane Doe", template))
+        words = text.split()
+        for some, wanted in ((text.capitalize() + ".", True), (" ".join(words[:30] + ["not"] + words[30:]), False), (" ".join(words[:-1]), False)):
+            whole[71_000 + len(whole)] = (label, wanted, some)
+    table = docs.unionByName(spark.createDataFrame([(70_000 + i, t, "en", "a", 1, 1, "x", "y") for i, t in enumerate(extra)] + [(i, w[2], "en", "a", 1, 1, "x", "y") for i, w in whole.items()], SCHEMA))
     want = []
     for r in table.collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or ""))
@@ -313,7 +349,7 @@ def test_licenses(spark, docs, empty):
             at += hits
             if hits:
                 base.add(label)
-                labels[label] = max(labels.get(label, 0), len(p) / 10)
+                labels[label] = max(labels.get(label, 0), len(p) / 20)
         if len(words) < 10_000:
             for a, (label, template) in zip(licenses.AUTOMATA, licenses.TEMPLATES):
                 if any(accepts_slowly(template, words, i) for i in range(len(words))):
@@ -322,6 +358,10 @@ def test_licenses(spark, docs, empty):
     got = [tuple(r) for r in licenses.scan(table).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert {g[6] for g in got} >= {"mit", "apache-2", "cc-by-nc", "gpl-3", "all-rights-reserved"}
+    for g in got:
+        if g[0] in whole:
+            label, wanted, _ = whole[g[0]]
+            assert (label in g[6].split(",")) == wanted and (g[7] == 1.0) == wanted
     assert licenses.scan(empty).count() == 0
 
 
@@ -391,6 +431,32 @@ def test_classifier(spark, docs, empty):
     assert classifier.score(empty, space).count() == 0
 
 
+def test_votes_against_brute_force():
+    """Ties of similarity go to the earlier labelled text; copies among the labelled ones make many."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(400, 8)).astype(np.float32)
+    vectors[50:250] = vectors[50]
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, 400).astype(float)
+    width = classifier.HASHED + classifier.LENGTHS
+    directions = np.zeros((width, 8), np.float32)
+    directions[:8] = np.eye(8)
+    space = classifier.Space(np.zeros(width, np.float32), directions, vectors, labels)
+    rows = np.zeros((60, width), np.float32)
+    rows[:, :8] = rng.normal(size=(60, 8))
+    rows[:20, :8] = vectors[50] + rng.normal(scale=0.01, size=(20, 8))
+    rows[20, :8] = 0
+    got = space.scores(rows)
+    for x, score in zip(rows[:, :8].astype(float), got):
+        cosines = np.round(vectors.astype(float) @ (x / (np.linalg.norm(x) + 1e-9)), classifier.DECIMALS)
+        near = sorted(range(400), key=lambda i: (-cosines[i], i))[: classifier.NEIGHBOURS]
+        weights = [max(cosines[i], 0) ** classifier.SHARPNESS + 1e-9 for i in near]
+        assert score == pytest.approx(sum(w * labels[i] for w, i in zip(weights, near)) / sum(weights), abs=2e-3)
+    assert len({s for s in got[:20].round(6)}) == 1
+    few = classifier.Space(space.mean, directions, vectors[:3], labels[:3])
+    assert few.scores(rows).shape == (60,)
+
+
 ODD = ["", "  a  b\n\n c\t", "a\n b", " x ", "héllo\x1c\x1d x\x85y\u00a0\u3000z", "a\x1c b", "日本語 \U0001f389\U0001f389", "a" * 3_000, "don't DON'T 'll x'", "  ", "\n \n  x", "\u0660\u0661 ²½ \u2167", "e\u0301. Été,\nX", "x" * 200 + " " + "y" * 200]
 
 
