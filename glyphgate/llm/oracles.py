@@ -64,7 +64,7 @@ def license_scan() -> str:
         f"list_filter(range(1, len(words) + 1), lambda i: {' AND '.join(f'words[i + {k}] = {_quoted(w)}' for k, w in enumerate(phrase.split()))})"
         for phrase, _ in licenses.PHRASES
     ]
-    base = [(label, f"len(p{no}) > 0", len(phrase.split()) / 10) for no, (phrase, label) in enumerate(licenses.PHRASES)]
+    base = [(label, f"len(p{no}) > 0", len(phrase.split()) / 20) for no, (phrase, label) in enumerate(licenses.PHRASES)]
     method = [(a.label, f"regexp_matches(joined, {_quoted(_template_pattern(t))})", a.weight) for a, (_, t) in zip(licenses.AUTOMATA, licenses.TEMPLATES)]
     case = lambda rows, value: ", ".join(f"CASE WHEN {test} THEN {value(label, weight)} END" for label, test, weight in rows)
     labels = lambda rows: f"array_to_string(list_sort(list_distinct(list_filter([{case(rows, lambda label, _: _quoted(label))}], lambda x: x IS NOT NULL))), ',')"
