@@ -78,8 +78,9 @@ def summary_lines(groups: DataFrame) -> DataFrame:
 
 def excerpt(text: Column, start: Column, end: Column, around: int = 32, most: int = 80) -> Column:
     """The line around a span, its ends cut to ``around`` characters, the span (its ends, if long) in double brackets, hidden characters escaped."""
-    before = F.regexp_extract(F.left(text, start.cast("int")), r"([^\r\n]*)\z", 1)
-    after = F.regexp_extract(F.substr(text, (end + 1).cast("int")), r"\A([^\r\n]*)", 1)
+    # No more of the text than may be shown is looked at.
+    before = F.element_at(F.split(F.right(F.left(text, start.cast("int")), F.lit(around + 1)), "[\r\n]", -1), -1)
+    after = F.get(F.split(F.substr(text, (end + 1).cast("int"), F.lit(around + 1)), "[\r\n]", -1), F.lit(0))
     inside = F.substr(text, (start + 1).cast("int"), (end - start).cast("int"))
     half = F.lit(most // 2)
     some = F.concat(X.diagnostic_text(F.left(inside, half)), F.lit(" ... "), X.diagnostic_text(F.right(inside, half)))
