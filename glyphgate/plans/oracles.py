@@ -15,8 +15,10 @@ from glyphgate.plans.corpora import planted_sql
 
 D = P.DUCKDB
 
-EVENTS = f"""
-  planted AS MATERIALIZED ({planted_sql()}),
+PLANTED = f"""
+  planted AS MATERIALIZED ({planted_sql()}),"""
+
+EVENTS = f"""{PLANTED}
   chars AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS idx FROM planted WHERE regexp_matches(text, '{P.UNPLAIN}')),
   near AS (
     SELECT doc_id, idx, ch, unicode(ch)::BIGINT AS cp, lag(ch) OVER w AS prev_ch, lead(ch) OVER w AS next_ch,
@@ -96,8 +98,7 @@ def _skeletons() -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
 
-WORDS = f"""
-  planted AS MATERIALIZED ({planted_sql()}),
+WORDS = f"""{PLANTED}
   words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM planted WHERE regexp_matches(text, '[^\\x00-\\x7F]')),
   long AS MATERIALIZED (SELECT *, NOT regexp_matches(token, '[^\\x00-\\x7F]') AS is_ascii FROM words WHERE length(token) + len(regexp_extract_all(token, '[\\x{{10000}}-\\x{{10FFFF}}]')) > 1),
   map(ch, nfd, mapped) AS (VALUES {_skeletons()}),
@@ -179,11 +180,132 @@ def _annotations() -> str:
       FROM (SELECT f.* EXCLUDE (cp), p.source, p.lang FROM found f JOIN planted p USING (doc_id))"""
 
 
+BIDI = f"""
+  ctl AS (SELECT doc_id, line, idx, cp, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS k FROM ev WHERE cp BETWEEN 8234 AND 8238 OR cp BETWEEN 8294 AND 8297),
+  walk AS (
+    SELECT DISTINCT doc_id, line, 0::BIGINT AS k, []::BIGINT[] AS opened, []::BOOLEAN[] AS isolate, []::BIGINT[] AS loose FROM ctl
+    UNION ALL
+    SELECT doc_id, line, c.k,
+      CASE WHEN cp = 8297 THEN (CASE WHEN outer_ > 0 THEN opened[1:outer_ - 1] ELSE opened END) WHEN cp = 8236 THEN (CASE WHEN inner_ THEN opened[1:len(opened) - 1] ELSE opened END) ELSE opened || [idx] END,
+      CASE WHEN cp = 8297 THEN (CASE WHEN outer_ > 0 THEN isolate[1:outer_ - 1] ELSE isolate END) WHEN cp = 8236 THEN (CASE WHEN inner_ THEN isolate[1:len(isolate) - 1] ELSE isolate END) ELSE isolate || [cp >= 8294] END,
+      CASE WHEN (cp = 8297 AND outer_ = 0) OR (cp = 8236 AND NOT inner_) THEN loose || [idx] ELSE loose END
+    FROM (SELECT *, CASE WHEN list_contains(isolate, true) THEN len(isolate) + 1 - list_position(list_reverse(isolate), true) ELSE 0 END AS outer_, len(isolate) > 0 AND NOT coalesce(isolate[-1], true) AS inner_ FROM walk) w
+      JOIN (SELECT doc_id, line, k - 1 AS before, k, idx, cp FROM ctl) c USING (doc_id, line) WHERE c.before = w.k),
+  unbalanced AS (SELECT doc_id, unnest(arg_max(loose || opened, k)) AS idx FROM walk GROUP BY doc_id, line)"""
+
+SELECTOR_FINDINGS = f"""
+  s1 AS (SELECT *, coalesce(start - lag(start) OVER (PARTITION BY doc_id ORDER BY start) <> 2, true) AS opens FROM carriers),
+  s2 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY start) AS stream FROM s1),
+  bytes AS (
+    SELECT doc_id, stream, b AS first, g.t AS text FROM (
+      SELECT doc_id, stream, min(start) AS b, decode(unhex(string_agg(hex, '' ORDER BY start))) AS t FROM s2 GROUP BY doc_id, stream HAVING count(*) >= 8 AND bool_and(is_utf8)) g WHERE NOT {_CLEAN}),
+  bits AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS r, count(*) OVER (PARTITION BY doc_id) AS total FROM carriers WHERE hex IN ('0e', '0f')),
+  spelled_bits AS (
+    SELECT doc_id, first, g.t AS text FROM (SELECT doc_id, min(b) AS first, string_agg(chr(v::INT), '' ORDER BY o) AS t FROM (
+      SELECT doc_id, (r - 1) // 8 AS o, min(start) AS b, sum((hex = '0f')::INT * (1 << ((7 - (r - 1) % 8))::INT)) AS v FROM bits WHERE total >= 64 GROUP BY ALL HAVING count(*) = 8) GROUP BY doc_id) g WHERE NOT {_CLEAN}),
+  judged AS (
+    SELECT v.*, coalesce(y.first, CASE WHEN v.start IN (SELECT b.start FROM bits b WHERE b.doc_id = v.doc_id) THEN x.first END) AS opening,
+      coalesce(y.text, CASE WHEN v.start IN (SELECT b.start FROM bits b WHERE b.doc_id = v.doc_id) THEN x.text END) AS streamed,
+      CASE WHEN NOT regexp_matches(v.t, '^[\\x00-\\x1F]*$') THEN v.t END AS plain
+    FROM vs v LEFT JOIN s2 USING (doc_id, start) LEFT JOIN bytes y ON y.doc_id = v.doc_id AND y.stream = s2.stream LEFT JOIN spelled_bits x ON x.doc_id = v.doc_id WHERE NOT v.ordinary),
+  selectors AS (
+    SELECT j.doc_id, CASE WHEN hidden THEN 'variation-selector-smuggling' ELSE 'variation-selector-stray' END AS rule, CASE WHEN hidden THEN 'error' ELSE 'warning' END AS severity,
+      j.start - (base_cp IS NOT NULL)::INT AS start_idx, (j.start + n)::BIGINT AS end_idx, coalesce(e.off, j.off) AS start_off, (j.off + w)::BIGINT AS end_off,
+      coalesce(e.line, o.line) AS start_line, coalesce(e.col, o.col) AS start_col,
+      CASE WHEN streamed IS NULL THEN plain WHEN j.start = j.opening THEN streamed END AS decoded,
+      j.start + (n > 1 AND plain IS NULL AND recognized_first)::INT AS removal_start
+    FROM (SELECT *, streamed IS NOT NULL OR (n > 1 AND plain IS NOT NULL) AS hidden FROM judged) j
+      JOIN (SELECT v.doc_id, v.start, sum(CASE WHEN c.cp > 65535 THEN 2 ELSE 1 END) AS w FROM vs v JOIN ev c ON c.doc_id = v.doc_id AND c.idx >= v.start AND c.idx < v.start + v.n GROUP BY ALL) l ON l.doc_id = j.doc_id AND l.start = j.start
+      JOIN ev o ON o.doc_id = j.doc_id AND o.idx = j.start
+      LEFT JOIN ev e ON e.doc_id = j.doc_id AND e.idx = j.start - 1 AND j.base_cp IS NOT NULL)"""
+
+
+def _named(points: str) -> str:
+    return f"[{_names()} for cp in {points}]"
+
+
+def _message() -> str:
+    return f"rule || ': ' || array_to_string({_named('cps[1:3]')}, ', ') || CASE WHEN decoded IS NULL THEN '' ELSE ' reads as ' || {_escaped('decoded')} END"
+
+
+_FILED = "(SELECT f.* EXCLUDE (cp), p.source, p.lang, p.text FROM found f JOIN planted p USING (doc_id))"
+
+
+def _json() -> str:
+    fixed = ", ".join(f"'{r}'" for r in sorted(P.NOT_FIXABLE))
+    listed = lambda x: f"'[' || array_to_string([to_json(v)::VARCHAR for v in {x}], ',') || ']'"
+    one = f"""'{{"start_off":' || start_off || ',"rule":"' || rule || '","severity":"' || severity || '","start":{{"line":' || start_line || ',"column":' || start_col || ',"offset":' || start_off || '}},"end_off":' || end_off
+      || ',"codePoints":' || {listed("[printf('U+%04X', cp) for cp in cps]")} || ',"names":' || {listed(_named('cps'))} || ',"message":' || to_json({_message()})::VARCHAR
+      || CASE WHEN decoded IS NULL THEN '' ELSE ',"decoded":' || to_json(decoded)::VARCHAR END || ',"fixable":' || CASE WHEN rule IN ({fixed}) THEN 'false' ELSE 'true' END || '}}'"""
+    return f"""SELECT doc_id, count(*) AS findings, '{{"doc_id":' || doc_id || ',"findings":[' || string_agg(one, ',' ORDER BY start_off, rule) || ']}}' AS json FROM (SELECT doc_id, start_off, rule, {one} AS one FROM {_FILED}) GROUP BY doc_id"""
+
+
+def _sarif() -> str:
+    return f"""SELECT doc_id, start_off, rule, '{{"ruleId":"' || rule || '","level":"' || CASE severity WHEN 'info' THEN 'note' ELSE severity END || '","message":{{"text":' || to_json({_message()})::VARCHAR
+      || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || replace(url_encode(concat_ws('/', source, lang, doc_id)), '%2F', '/') || '"}},"region":{{"startLine":' || start_line || ',"startColumn":' || start_col
+      || ',"endLine":' || start_line || ',"endColumn":' || (start_col + end_off - start_off) || '}}}}}}]}}' AS result FROM {_FILED}"""
+
+
+def _pretty(around: int = 32, most: int = 80) -> str:
+    inside = "substring(text, (start_idx + 1)::INT, (end_idx - start_idx)::INT)"
+    whole = f"""CASE WHEN length(before) > {around} THEN '... ' ELSE '' END || {_escaped(f'right(before, {around})')} || '[['
+      || CASE WHEN length(inside) > {most} THEN {_escaped(f'left(inside, {most // 2})')} || ' ... ' || {_escaped(f'right(inside, {most // 2})')} ELSE {_escaped('inside')} END
+      || ']]' || {_escaped(f'left(after, {around})')} || CASE WHEN length(after) > {around} THEN ' ...' ELSE '' END"""
+    return f"""SELECT doc_id, seq, start_line || ':' || start_col || '-' || start_line || ':' || (start_col + end_off - start_off) || ' ' || severity || ' ' || {_message()} || ' | ' || {whole} AS line FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_off, rule) - 1 AS seq, {inside} AS inside,
+        string_split_regex(right(substring(text, 1, start_idx::INT), {around + 1}), '[\r\n]')[-1] AS before, string_split_regex(substring(text, (end_idx + 1)::INT, {around + 1}), '[\r\n]')[1] AS after
+      FROM {_FILED})"""
+
+
+def _reveal() -> str:
+    short = " ".join(f"WHEN {cp} THEN '{name}'" for cp, name in sorted(P.ABBREVIATIONS.items()))
+    said = lambda points: f"[printf('U+%04X', cp) || ' ' || coalesce(CASE cp {short} END, {_names()}) for cp in {points}]"
+    label = f"CASE WHEN len(cps) > 4 THEN {said('cps[1:1]')}[1] || ' .. ' || {said('cps[-1:]')}[1] || ' (' || len(cps) || ' code points)' ELSE array_to_string({said('cps')}, ' ') END"
+    fixed = ", ".join(f"'{r}'" for r in sorted(P.NOT_FIXABLE))
+    return f"""SELECT doc_id, coalesce(shown, text) AS revealed FROM planted LEFT JOIN (
+        SELECT doc_id, string_agg(CASE WHEN c.chip IS NOT NULL THEN c.chip WHEN i.idx IS NOT NULL THEN '' ELSE ch END, '' ORDER BY idx) AS shown
+        FROM ev LEFT JOIN chips c USING (doc_id, idx) LEFT JOIN inner_ i USING (doc_id, idx) GROUP BY doc_id) USING (doc_id)""", f"""
+      chips AS (SELECT doc_id, start_idx AS idx, end_idx, '⟦' || {label} || '⟧' || CASE WHEN coalesce(decoded, '') = '' THEN '' ELSE ' → ' || {_escaped('to_json(decoded)::VARCHAR')} END AS chip
+        FROM (SELECT * EXCLUDE (cp) FROM found WHERE rule NOT IN ({fixed}))),
+      inner_ AS (SELECT doc_id, unnest(range(idx + 1, end_idx)) AS idx FROM chips)"""
+
+
+def _summary() -> str:
+    return f"""SELECT doc_id, severity || ' ' || rule || CASE WHEN cp IS NULL THEN '' ELSE ' ' || {_names()} END || ' x' || n || ', ' || CASE WHEN n = 1 THEN 'line ' || first_line ELSE 'lines ' || first_line || ' to ' || last_line END
+      || CASE WHEN decoded = '' THEN '' ELSE ', reads as ' || {_escaped('decoded')} END AS line FROM ({SUMMARY})"""
+
+
+SUMMARY = f"""SELECT doc_id, severity, rule, CASE WHEN rule IN ({', '.join(f"'{r}'" for r in P.BY_CHARACTER)}) THEN cp END AS cp, count(*) AS n, min(start_off) AS first_off, max(start_off) AS last_off,
+  arg_min(start_line, start_off) AS first_line, arg_max(start_line, start_off) AS last_line,
+  coalesce(array_to_string(list_sort(list_distinct(list(substring(decoded, 1, 120)) FILTER (decoded IS NOT NULL)))[1:3], '|'), '') AS decoded FROM found GROUP BY ALL"""
+
+PREVIEW = r"""
+  repaired AS (SELECT doc_id, text AS before, new AS after FROM planted JOIN (
+    SELECT doc_id, string_agg(CASE WHEN c.idx IS NULL THEN ch ELSE '' END, '' ORDER BY idx) AS new FROM ev LEFT JOIN {cut} c USING (doc_id, idx) GROUP BY doc_id) USING (doc_id) WHERE text <> new),
+  lined AS (SELECT doc_id, string_split_regex(before, '\r\n|\r|\n') AS a, string_split_regex(after, '\r\n|\r|\n') AS b FROM repaired)""".replace("{cut}", _CUT)
+
+FLAGGED = f"""
+  clashing AS (
+    SELECT doc_id, skeleton, unnest(list(token)) AS token FROM long JOIN spelled USING (token) WHERE is_ascii OR NOT regexp_matches(token, '^[\\x00-\\x7F\\x{{1D400}}-\\x{{1D7FF}}]*$')
+    GROUP BY doc_id, skeleton HAVING count(DISTINCT token) >= 2 AND count(DISTINCT nfd) >= 2 AND NOT bool_and(is_ascii)),
+  flagged AS (
+    SELECT doc_id, token, 'error' AS severity, skeleton FROM clashing
+    UNION ALL SELECT doc_id, token, 'warning', NULL FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{"".join(c for c in DOUBLES if 0x400 <= ord(c) < 0x530)}]')),
+  words_at AS (
+    SELECT *, {_before('length(gap)', "length(coalesce(hit, ''))")} AS start FROM (
+      SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
+        SELECT doc_id, string_split_regex(text, '{TOKEN}') AS gaps, regexp_extract_all(text, '{TOKEN}') AS hits FROM planted WHERE doc_id IN (SELECT doc_id FROM flagged)), range(1, len(gaps) + 1) AS r(i))),
+  lookalikes AS (
+    SELECT w.doc_id, 'confusable' AS rule, severity, start::BIGINT AS start_idx, (start + length(hit))::BIGINT AS end_idx, e.off AS start_off,
+      (e.off + length(hit) + len(regexp_extract_all(hit, '{_ASTRAL}')))::BIGINT AS end_off, e.line AS start_line, e.col AS start_col, skeleton
+    FROM words_at w JOIN flagged f ON f.doc_id = w.doc_id AND f.token = w.hit JOIN ev e ON e.doc_id = w.doc_id AND e.idx = w.start)"""
+
+
 def oracle_sql() -> dict[str, str]:
     single = {q: _over(f"SELECT {PLACE} FROM singles WHERE rule = '{r}'", f"{EVENTS}, {SINGLES}") for q, r in (("bidi_control", "bidi-control"), ("bidi_mark", "bidi-mark"), ("invisible", "invisible"), ("unusual_whitespace", "unusual-whitespace"), ("control_character", "control-character"))}
     off = ", ".join(f"'{r}'" for r, v in Q.OVERRIDES.items() if v is False)
     overridden = PLACE.replace("severity", "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in Q.OVERRIDES.items() if v) + " ELSE severity END AS severity")
-    by_char = ", ".join(f"'{r}'" for r in P.BY_CHARACTER)
+    revealed, chips = _reveal()
     allowed = f"NOT list_has_all({list(Q.ALLOWED)}, cps)"
     lookalikes = "".join(c for c in DOUBLES if 0x400 <= ord(c) < 0x530)
     vs = f"{EVENTS}, {SELECTOR_RUNS}"
@@ -191,6 +313,14 @@ def oracle_sql() -> dict[str, str]:
         "fast_path": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{P.UNPLAIN}')",
         "code_point_count": "SELECT doc_id, length(text)::BIGINT AS code_points, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS units FROM documents",
         "positions": _over("SELECT doc_id, idx, cp, off, line, col FROM ev WHERE regexp_matches(ch, '" + P.EVENT_CLASS + "')", EVENTS),
+        "bidi_unbalanced": "WITH RECURSIVE " + f"{EVENTS}, {BIDI} SELECT doc_id, 'bidi-unbalanced' AS rule, 'error' AS severity, idx AS start_idx, idx + 1 AS end_idx, off AS start_off, off + 1 AS end_off, line AS start_line, col AS start_col FROM unbalanced JOIN ev USING (doc_id, idx)",
+        "vs_findings": _over(f"SELECT {PLACE}, decoded, removal_start FROM selectors", f"{vs}, {SELECTOR_FINDINGS}"),
+        "confusable_findings": _over(f"SELECT {PLACE}, skeleton FROM lookalikes", f"{EVENTS}, {WORDS.replace(PLANTED, '', 1)}, {FLAGGED}"),
+        "reveal": _over(revealed, f"{FOUND}, {chips}"),
+        "fix_preview": _over("SELECT doc_id, i::BIGINT AS line, a[i] AS old, b[i] AS new FROM lined, range(1, len(a) + 1) AS r(i) WHERE a[i] <> b[i]", f"{FOUND}, {PREVIEW}"),
+        "report_json": _over(_json()),
+        "report_sarif": _over(_sarif()),
+        "report_pretty": _over(_pretty()),
         "tag_runs": _over("""SELECT doc_id, start, "end", has_base, valid, array_to_string(list_transform(tags, lambda c: printf('%X', c)), ' ') AS tags, decoded, off, line, col FROM runs""", f"{EVENTS}, {TAG_RUNS}"),
         "tag_smuggling": _over(f"SELECT {PLACE}, decoded, removal_start FROM tags", f"{EVENTS}, {TAG_RUNS}, {TAG_FINDINGS}"),
         "vs_runs": _over("SELECT doc_id, start, n, base_cp, hex, CASE WHEN NOT regexp_matches(t, '^[\\x00-\\x1F]*$') THEN t END AS decoded, recognized_first, ordinary, off FROM vs", vs),
@@ -242,11 +372,8 @@ def oracle_sql() -> dict[str, str]:
         "remove_pass": _over(_pass("CASE WHEN c.idx IS NULL THEN ch ELSE '' END")),
         "normalize_pass": _over(_pass("CASE WHEN c.idx IS NULL THEN ch WHEN NOT space THEN '' WHEN cp IN (133, 8232, 8233) THEN chr(10) ELSE ' ' END")),
         "severity_counts": _over("SELECT count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(*) AS total, count(DISTINCT doc_id) AS files FROM found"),
-        "summary_groups": _over(
-            f"""SELECT doc_id, severity, rule, CASE WHEN rule IN ({by_char}) THEN cp END AS cp, count(*) AS n, min(start_off) AS first_off, max(start_off) AS last_off,
-              arg_min(start_line, start_off) AS first_line, arg_max(start_line, start_off) AS last_line,
-              coalesce(array_to_string(list_sort(list_distinct(list(substring(decoded, 1, 120)) FILTER (decoded IS NOT NULL)))[1:3], '|'), '') AS decoded FROM found GROUP BY ALL"""
-        ),
+        "summary_groups": _over(SUMMARY),
+        "summary_lines": _over(_summary()),
         "census_rule_severity": _over("SELECT rule, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL"),
         "census_top_share": _over("SELECT round((SELECT sum(n) FROM (SELECT n FROM p ORDER BY n DESC, doc_id LIMIT 10)) / sum(n), 4) AS share, max(n) AS largest, sum(n)::BIGINT AS total FROM p", f"{FOUND}, p AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)"),
         "census_strata": _over("SELECT lang, count(*) AS docs, count(e) AS flagged, count(*) FILTER (e) AS error_docs FROM planted LEFT JOIN (SELECT doc_id, bool_or(severity = 'error') AS e FROM found GROUP BY doc_id) USING (doc_id) GROUP BY lang"),
