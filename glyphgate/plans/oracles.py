@@ -300,6 +300,24 @@ FLAGGED = f"""
       (e.off + length(hit) + len(regexp_extract_all(hit, '{_ASTRAL}')))::BIGINT AS end_off, e.line AS start_line, e.col AS start_col, skeleton
     FROM words_at w JOIN flagged f ON f.doc_id = w.doc_id AND f.token = w.hit JOIN ev e ON e.doc_id = w.doc_id AND e.idx = w.start)"""
 
+STYLED = f"""
+  SELECT doc_id, start::BIGINT AS start_idx, (start + length(hit))::BIGINT AS end_idx, off::BIGINT AS start_off, (off + length(hit) + len(regexp_extract_all(hit, '{_ASTRAL}')))::BIGINT AS end_off,
+    array_to_string([coalesce(list_filter({_folds()}, lambda f: f[1] = ch)[1][2], ch) for ch in string_split(hit, '')], '') AS decoded
+    FROM (SELECT *, {_before('length(gap)', "length(coalesce(hit, ''))")} AS start,
+    {_before(f"(length(gap) + len(regexp_extract_all(gap, '{_ASTRAL}')))", f"(length(coalesce(hit, '')) + len(regexp_extract_all(coalesce(hit, ''), '{_ASTRAL}')))")} AS off
+    FROM (SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
+    SELECT doc_id, string_split_regex(text, '{PASSAGE}') AS gaps, regexp_extract_all(text, '{PASSAGE}') AS hits FROM planted WHERE regexp_matches(text, '{PASSAGE}')), range(1, len(gaps) + 1) AS r(i)))
+    WHERE hit IS NOT NULL AND len(regexp_extract_all(hit, '[\\x{{1D400}}-\\x{{1D7FF}}]')) >= 3"""
+
+#: Findings of all rules.
+EVERY = f"""RECURSIVE {EVENTS}, {SINGLES}, {TAG_RUNS}, {TAG_FINDINGS}, {SELECTOR_RUNS}, {SELECTOR_FINDINGS}, {WORDS.replace(PLANTED, '', 1)}, {FLAGGED}, {BIDI}, styled AS ({STYLED}),
+  found AS MATERIALIZED (
+    SELECT *, rule NOT IN ({', '.join(f"'{r}'" for r in P.NOT_FIXABLE)}) AS fixable FROM (
+      SELECT * EXCLUDE (cps) FROM singles UNION ALL BY NAME SELECT * EXCLUDE (cps) FROM tags UNION ALL BY NAME SELECT * FROM selectors UNION ALL BY NAME SELECT * FROM lookalikes
+      UNION ALL BY NAME SELECT doc_id, 'bidi-unbalanced' AS rule, 'error' AS severity, idx AS start_idx, idx + 1 AS end_idx, off AS start_off, off + 1 AS end_off, line AS start_line, col AS start_col FROM unbalanced JOIN ev USING (doc_id, idx)
+      UNION ALL BY NAME SELECT t.doc_id, 'styled-text' AS rule, 'warning' AS severity, start_idx, end_idx, start_off, end_off, line AS start_line, col AS start_col, decoded FROM styled t JOIN ev ON ev.doc_id = t.doc_id AND ev.idx = t.start_idx))"""
+PAGES = EVERY.replace(PLANTED, f"\n  planted AS MATERIALIZED ({planted_sql("(SELECT page_id AS doc_id, html AS text, url AS source, 'html' AS lang FROM pages)")}),", 1)
+
 
 def oracle_sql() -> dict[str, str]:
     single = {q: _over(f"SELECT {PLACE} FROM singles WHERE rule = '{r}'", f"{EVENTS}, {SINGLES}") for q, r in (("bidi_control", "bidi-control"), ("bidi_mark", "bidi-mark"), ("invisible", "invisible"), ("unusual_whitespace", "unusual-whitespace"), ("control_character", "control-character"))}
@@ -321,6 +339,9 @@ def oracle_sql() -> dict[str, str]:
         "report_json": _over(_json()),
         "report_sarif": _over(_sarif()),
         "report_pretty": _over(_pretty()),
+        "scan": _over(f"SELECT {PLACE}, decoded, skeleton, fixable FROM found", EVERY),
+        "scan_pages": _over(f"SELECT {PLACE}, decoded, skeleton FROM found", PAGES),
+        "audit_sample": _over(f"SELECT {PLACE} FROM found ORDER BY sha256(concat_ws('|', doc_id, rule, start_off, 1)), doc_id, start_off, rule LIMIT 100", EVERY),
         "tag_runs": _over("""SELECT doc_id, start, "end", has_base, valid, array_to_string(list_transform(tags, lambda c: printf('%X', c)), ' ') AS tags, decoded, off, line, col FROM runs""", f"{EVENTS}, {TAG_RUNS}"),
         "tag_smuggling": _over(f"SELECT {PLACE}, decoded, removal_start FROM tags", f"{EVENTS}, {TAG_RUNS}, {TAG_FINDINGS}"),
         "vs_runs": _over("SELECT doc_id, start, n, base_cp, hex, CASE WHEN NOT regexp_matches(t, '^[\\x00-\\x1F]*$') THEN t END AS decoded, recognized_first, ordinary, off FROM vs", vs),
@@ -346,16 +367,7 @@ def oracle_sql() -> dict[str, str]:
               GROUP BY doc_id, skeleton HAVING count(DISTINCT token) >= 2 AND count(DISTINCT nfd) >= 2 AND NOT bool_and(is_ascii)""",
             WORDS,
         ),
-        "styled_text": _over(
-            f"""SELECT doc_id, start::BIGINT AS start_idx, (start + length(hit))::BIGINT AS end_idx, off::BIGINT AS start_off, (off + length(hit) + len(regexp_extract_all(hit, '{_ASTRAL}')))::BIGINT AS end_off,
-                array_to_string([coalesce(list_filter({_folds()}, lambda f: f[1] = ch)[1][2], ch) for ch in string_split(hit, '')], '') AS decoded
-              FROM (SELECT *, {_before('length(gap)', "length(coalesce(hit, ''))")} AS start,
-                      {_before(f"(length(gap) + len(regexp_extract_all(gap, '{_ASTRAL}')))", f"(length(coalesce(hit, '')) + len(regexp_extract_all(coalesce(hit, ''), '{_ASTRAL}')))")} AS off
-                    FROM (SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
-                      SELECT doc_id, string_split_regex(text, '{PASSAGE}') AS gaps, regexp_extract_all(text, '{PASSAGE}') AS hits FROM planted WHERE regexp_matches(text, '{PASSAGE}')), range(1, len(gaps) + 1) AS r(i)))
-              WHERE hit IS NOT NULL AND len(regexp_extract_all(hit, '[\\x{{1D400}}-\\x{{1D7FF}}]')) >= 3""",
-            f"planted AS MATERIALIZED ({planted_sql()})",
-        ),
+        "styled_text": _over(STYLED, PLANTED.rstrip(",")),
         "names": _over(f"SELECT DISTINCT cp, {_names()} AS name FROM ev WHERE regexp_matches(ch, '{P.EVENT_CLASS}')", EVENTS),
         "diagnostic_text": _over(
             f"""SELECT doc_id, coalesce(shown, text) AS shown FROM planted LEFT JOIN (
@@ -371,19 +383,19 @@ def oracle_sql() -> dict[str, str]:
         "merge_spans": _over('SELECT doc_id, start, "end" FROM spans', f"{FOUND}, {SPANS}"),
         "remove_pass": _over(_pass("CASE WHEN c.idx IS NULL THEN ch ELSE '' END")),
         "normalize_pass": _over(_pass("CASE WHEN c.idx IS NULL THEN ch WHEN NOT space THEN '' WHEN cp IN (133, 8232, 8233) THEN chr(10) ELSE ' ' END")),
-        "severity_counts": _over("SELECT count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(*) AS total, count(DISTINCT doc_id) AS files FROM found"),
+        "severity_counts": _over("SELECT count(*) FILTER (severity = 'error') AS error, count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(*) AS total, count(DISTINCT doc_id) AS files FROM found", EVERY),
         "summary_groups": _over(SUMMARY),
         "summary_lines": _over(_summary()),
-        "census_rule_severity": _over("SELECT rule, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL"),
-        "census_top_share": _over("SELECT round((SELECT sum(n) FROM (SELECT n FROM p ORDER BY n DESC, doc_id LIMIT 10)) / sum(n), 4) AS share, max(n) AS largest, sum(n)::BIGINT AS total FROM p", f"{FOUND}, p AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)"),
-        "census_strata": _over("SELECT lang, count(*) AS docs, count(e) AS flagged, count(*) FILTER (e) AS error_docs FROM planted LEFT JOIN (SELECT doc_id, bool_or(severity = 'error') AS e FROM found GROUP BY doc_id) USING (doc_id) GROUP BY lang"),
-        "split_rates": _over("SELECT CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END AS side, count(*) AS docs, count(f.doc_id) AS flagged FROM planted p LEFT JOIN (SELECT DISTINCT doc_id FROM found) f ON f.doc_id = p.doc_id GROUP BY side"),
-        "classify": _over(f"SELECT {_LABEL} AS label, rule, count(*) AS n FROM found GROUP BY ALL"),
+        "census_rule_severity": _over("SELECT rule, severity, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL", EVERY),
+        "census_top_share": _over("SELECT round((SELECT sum(n) FROM (SELECT n FROM p ORDER BY n DESC, doc_id LIMIT 10)) / sum(n), 4) AS share, max(n) AS largest, sum(n)::BIGINT AS total FROM p", f"{EVERY}, p AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)"),
+        "census_strata": _over("SELECT lang, count(*) AS docs, count(e) AS flagged, count(*) FILTER (e) AS error_docs FROM planted LEFT JOIN (SELECT doc_id, bool_or(severity = 'error') AS e FROM found GROUP BY doc_id) USING (doc_id) GROUP BY lang", EVERY),
+        "split_rates": _over("SELECT CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END AS side, count(*) AS docs, count(f.doc_id) AS flagged FROM planted p LEFT JOIN (SELECT DISTINCT doc_id FROM found) f ON f.doc_id = p.doc_id GROUP BY side", EVERY),
+        "classify": _over(f"SELECT {_LABEL} AS label, rule, count(*) AS n FROM found GROUP BY ALL", EVERY),
         "label_shares": _over(
             "SELECT label, count(*) AS findings, round(count(*) / (SELECT count(*) FROM l), 4) AS share, round(count(*) FILTER (doc_id <> big) / (SELECT count(*) FROM l, b WHERE doc_id <> big), 4) AS share_others FROM l, b GROUP BY label, big",
-            f"{FOUND}, l AS (SELECT doc_id, {_LABEL} AS label FROM found), b AS (SELECT doc_id AS big FROM l GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1)",
+            f"{EVERY}, l AS (SELECT doc_id, {_LABEL} AS label FROM found), b AS (SELECT doc_id AS big FROM l GROUP BY doc_id ORDER BY count(*) DESC, doc_id LIMIT 1)",
         ),
-        "harmless_errors": _over("SELECT count(*) AS error_docs, count(*) FILTER (NOT bad) AS harmless FROM (SELECT doc_id, bool_or(label IN ('H', 'O')) AS bad FROM l WHERE severity = 'error' GROUP BY doc_id)", f"{FOUND}, l AS (SELECT doc_id, severity, {_LABEL} AS label FROM found)"),
+        "harmless_errors": _over("SELECT count(*) AS error_docs, count(*) FILTER (NOT bad) AS harmless FROM (SELECT doc_id, bool_or(label IN ('H', 'O')) AS bad FROM l WHERE severity = 'error' GROUP BY doc_id)", f"{EVERY}, l AS (SELECT doc_id, severity, {_LABEL} AS label FROM found)"),
         "probe_classes": _over('SELECT probe, count(*) AS runs, sum("end" - start)::BIGINT AS chars, count(DISTINCT doc_id) AS docs FROM probes GROUP BY probe', f"planted AS MATERIALIZED ({planted_sql()}), {PROBES}"),
         "coverage": _over(
             """SELECT probe, count(*) AS runs, count(*) FILTER (covered) AS covered_runs, count(DISTINCT CASE WHEN NOT covered THEN doc_id END) AS docs_uncovered FROM (
@@ -391,11 +403,11 @@ def oracle_sql() -> dict[str, str]:
             f"{FOUND}, {SPANS}, {PROBES}",
         ),
         "scan_diff": _over(f"SELECT doc_id, start_off, rule, CASE WHEN o.x IS NULL THEN 'only_new' ELSE 'only_old' END AS side FROM (SELECT DISTINCT doc_id, start_off, rule, 1 AS x FROM found WHERE rule <> 'control-character') o FULL JOIN (SELECT DISTINCT doc_id, start_off, rule, 1 AS x FROM found WHERE {allowed}) n USING (doc_id, start_off, rule) WHERE o.x IS NULL OR n.x IS NULL"),
-        "source_stats": _over("SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(n) AS flagged, coalesce(sum(n), 0)::BIGINT AS findings FROM planted LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id) GROUP BY source"),
+        "source_stats": _over("SELECT source, count(*) AS documents, sum(strlen(text))::BIGINT AS bytes, count(n) AS flagged, coalesce(sum(n), 0)::BIGINT AS findings FROM planted LEFT JOIN (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id) USING (doc_id) GROUP BY source", EVERY),
         "manifest_digest": """WITH t AS (SELECT source, sha256(text) AS p, count(*) AS n FROM documents GROUP BY ALL),
             a AS (SELECT source, left(p, 6) AS q, sum(n) AS n, sha256(string_agg(p || ' ' || n, chr(10) ORDER BY p)) AS d FROM t GROUP BY ALL),
             b AS (SELECT source, left(q, 3) AS r, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY q)) AS d FROM a GROUP BY ALL)
           SELECT source, sum(n)::BIGINT AS documents, sha256(string_agg(d, chr(10) ORDER BY r)) AS digest FROM b GROUP BY source""",
         "inspection": _over("SELECT doc_id, length(text)::BIGINT AS code_points, coalesce(n, 0)::BIGINT AS findings, coalesce(places, '') AS places FROM planted LEFT JOIN (SELECT doc_id, max(c) AS n, string_agg(start_off::VARCHAR, ',' ORDER BY r) FILTER (r <= 300) AS places FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_off, rule) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM found) GROUP BY doc_id) USING (doc_id)"),
-        "census_rows": _over("SELECT doc_id, source, lang, count(*) AS n FROM found JOIN planted USING (doc_id) GROUP BY ALL"),
+        "census_rows": _over("SELECT doc_id, source, lang, count(*) AS n FROM found JOIN planted USING (doc_id) GROUP BY ALL", EVERY),
     }

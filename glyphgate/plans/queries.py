@@ -1,7 +1,8 @@
 """Registered queries for the text-integrity operators.
 
 Rules run over ``planted``: the documents with something hidden in fifteen of sixteen by one rule, since the tables
-hold no hidden character of their own. Analytics run over the findings of single characters and tags.
+hold no hidden character of their own. Census figures run over the findings of all rules; reports, policies and repairs of one pass
+over those of single characters and tags.
 """
 
 from __future__ import annotations
@@ -69,6 +70,14 @@ def _over_rows(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(base_rows(planted(spark, sf_dir)))
 
 
+def _over_scan(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(scan(planted(spark, sf_dir), keep=("doc_id", "source", "lang")))
+
+
+def _over_scanned(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(scanned(planted(spark, sf_dir)))
+
+
 def _on_planted(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(planted(spark, sf_dir))
 
@@ -251,20 +260,20 @@ def queries() -> dict[str, Query]:
         "sanitize_normalize": _on_planted(_sanitized("normalize")),
         "reveal": _over_rows(lambda r: repair.reveal(r.select("doc_id", "text", "findings"))),
         "fix_preview": _on_planted(_fix_preview),
-        "severity_counts": _over_findings(a.severity_counts),
+        "severity_counts": _over_scan(a.severity_counts),
         "summary_groups": _over_findings(a.summary_groups),
-        "census_rule_severity": _over_findings(a.rule_severity),
-        "census_top_share": _over_findings(lambda f: a.top_share(materialize(f.select("doc_id"), "findings"))),
-        "census_strata": _over_rows(lambda r: a.strata(r, "lang")),
-        "split_rates": _over_rows(lambda r: a.split_rates(r, "CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END")),
-        "classify": _over_findings(lambda f: a.classify(f).groupBy("label", "rule").agg(F.count("*").alias("n"))),
-        "label_shares": _over_findings(lambda f: a.label_shares(a.classify(materialize(f.select("doc_id", "rule", "severity", "decoded"), "findings")))),
-        "harmless_errors": _over_findings(lambda f: a.harmless_errors(a.classify(f))),
-        "audit_sample": _over_findings(lambda f: a.audit_sample(f).select(*PLACE)),
+        "census_rule_severity": _over_scan(a.rule_severity),
+        "census_top_share": _over_scan(lambda f: a.top_share(materialize(f.select("doc_id"), "findings"))),
+        "census_strata": _over_scanned(lambda r: a.strata(r, "lang")),
+        "split_rates": _over_scanned(lambda r: a.split_rates(r, "CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END")),
+        "classify": _over_scan(lambda f: a.classify(f).groupBy("label", "rule").agg(F.count("*").alias("n"))),
+        "label_shares": _over_scan(lambda f: a.label_shares(a.classify(materialize(f.select("doc_id", "rule", "severity", "decoded"), "findings")))),
+        "harmless_errors": _over_scan(lambda f: a.harmless_errors(a.classify(f))),
+        "audit_sample": _over_scan(lambda f: a.audit_sample(f).select(*PLACE)),
         "probe_classes": _on_planted(lambda d: a.probe_classes(a.probed(d))),
         "coverage": _over_rows(lambda r: a.coverage(a.probed(r))),
         "scan_diff": _over_findings(_diff),
-        "source_stats": _over_rows(a.source_stats),
+        "source_stats": _over_scanned(a.source_stats),
         "manifest_digest": lambda spark, sf_dir: a.manifest_digest(_docs(spark, sf_dir)),
         "context": _over_rows(a.context),
         "zero_width_payloads": _on_planted(payloads.zero_width_payloads),
@@ -273,7 +282,7 @@ def queries() -> dict[str, Query]:
         "report_annotations": _over_findings(lambda f: reports.annotations(_with_path(f), F.col("path"))),
         "report_json": _over_findings(reports.json_lines),
         "report_sarif": _over_findings(lambda f: reports.sarif_results(_with_path(f), F.col("path"))),
-        "census_rows": _over_rows(lambda r: reports.census_rows(r).select("doc_id", "source", "lang", "n")),
+        "census_rows": _over_scanned(lambda r: reports.census_rows(r).select("doc_id", "source", "lang", "n")),
         "scan": _on_planted(lambda d: scan(d).select(*PLACE, "decoded", "skeleton", "fixable")),
         "scan_pages": lambda spark, sf_dir: scan(_pages(spark, sf_dir)).select(*PLACE, "decoded", "skeleton"),
         "scan_conversations": lambda spark, sf_dir: scan(_turns(spark, sf_dir), keep=("doc_id", "turn")).select("turn", *PLACE, "decoded", "skeleton"),
