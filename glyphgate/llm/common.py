@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from glyphgate.functions.shipping import ship
 from glyphgate.plans.storage import materialize, new_path, shared_dir
 
-__all__ = ["WORD", "arrow_map", "discard", "materialize", "new_path", "number_rows", "read_table", "running_total", "shared_dir"]
+__all__ = ["WORD", "arrow_map", "discard", "materialize", "new_path", "number_rows", "number_within", "read_table", "running_total", "shared_dir"]
 
 #: Words are maximal runs of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,3 +68,25 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: str
     """Add the sum of ``value`` over the earlier rows of a bounded group."""
     before = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+
+
+def number_within(df: DataFrame, group: str, order: list[Column], name: str, size: str) -> tuple[DataFrame, DataFrame]:
+    """Add the gapless number ``name`` (from 0, in ``order``) within ``group`` and the group's row count ``size``.
+
+    Rows are range-partitioned by group and order, so a group of any size is spread over many tasks; only the counts of
+    (group, partition) are summed in order. ``group`` is never null. Also returns the written table that the result
+    reads, for ``discard``.
+    """
+    part, at = f"__{name}_part", f"__{name}_at"
+    kept = materialize(
+        df.repartitionByRange(F.col(group), *order)
+        .sortWithinPartitions(F.col(group), *order)
+        .withColumn(part, F.spark_partition_id())
+        .withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
+        "within",
+    )
+    # One row for each group and partition: a group has as many as there are partitions at most.
+    counts = kept.groupBy(group, part).agg(F.count("*").alias("__n"), F.min(at).alias("__first"))
+    counts = running_total(counts, [group], [part], "__n", "__start").withColumn(size, F.sum("__n").over(Window.partitionBy(group)))
+    met = kept.join(counts.select(group, part, (F.col("__start") - F.col("__first")).alias("__by"), size), [group, part])
+    return met.withColumn(name, F.col(at) + F.col("__by")).drop(part, at, "__by"), kept

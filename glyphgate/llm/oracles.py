@@ -114,10 +114,82 @@ def quality_rules() -> str:
         FROM j"""
 
 
+def collocations() -> str:
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    grams = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(w[i:i + {k - 1}], ' ') AS phrase FROM p, range(1, len(w) - {k} + 2) AS r(i)" for k in (1, 2, 3))
+    score = lambda a, l, r: f"(1000000::HUGEINT * {a} * {a} // ({l}::HUGEINT * {r}))"
+    return f"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+        p AS (
+          SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+          FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM ({grams}) GROUP BY lang, k, phrase),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+        cut AS (
+          SELECT c.lang, c.k, c.phrase, c.f, j, x.f AS l, y.f AS r, {score("c.f", "x.f", "y.f")} AS score
+          FROM c JOIN range(1, 3) AS s(j) ON j < c.k
+          JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:j], ' ')
+          JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[j + 1:], ' ')),
+        least_cut AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+        longer AS (
+          SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
+          GROUP BY lang, phrase)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.f DESC, b.phrase) AS rank, b.phrase, b.f AS a, l, r, n, score::BIGINT AS score
+        FROM least_cut b JOIN n ON n.lang = b.lang LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase
+        WHERE o.f IS NULL OR 100 * o.f < 50 * b.f
+        QUALIFY rank <= 2000"""
+
+
+def merkle_manifest() -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+
+    def levels(name: str, leaves: str) -> str:
+        return f"""
+        {name} AS (
+          SELECT tree, 0 AS level, i, h FROM {leaves} UNION ALL
+          SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS c FROM {name})
+          WHERE c > 1 GROUP BY tree, level, i // 3),
+        {name}_depth AS (SELECT tree, max(level) AS depth FROM {name} GROUP BY tree),
+        {name}_runs AS (SELECT tree, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM {name} GROUP BY tree, level, i // 3),
+        {name}_roots AS (SELECT n.tree, h FROM {name} n JOIN {name}_depth d ON n.tree = d.tree AND n.level = d.depth)"""
+
+    def fold(name: str, nodes: str, start: str) -> str:
+        left, right = "array_to_string(hs[1:(f.i % 3)], '')", "array_to_string(hs[(f.i % 3) + 2:], '')"
+        return f"""
+        {name} AS (
+          SELECT id, tree, 0 AS level, i, node, proof FROM {start} UNION ALL
+          SELECT id, f.tree, f.level + 1, f.i // 3, sha256({left} || node || {right}), proof || {left} || {right}
+          FROM {name} f JOIN {nodes}_depth d ON f.tree = d.tree AND f.level < d.depth JOIN {nodes}_runs r ON r.tree = f.tree AND r.level = f.level AND r.run = f.i // 3),
+        {name}_end AS (SELECT id, f.tree, node, proof FROM {name} f JOIN {nodes}_depth d ON f.tree = d.tree AND f.level = d.depth)"""
+
+    return f"""
+        WITH RECURSIVE base AS (SELECT *, {table} AS crc_table FROM documents),
+        e AS (
+          SELECT doc_id, coalesce('1' || source, '0') AS tree, {leaf("text")} AS h,
+            {leaf("CASE WHEN coalesce(" + crc + " & 1 = 0, false) THEN replace(text, chr(10), '') ELSE text END")} AS found FROM base),
+        leaves AS (
+          SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, h) AS id, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM e),
+        {levels("low", "leaves")},
+        tops AS (SELECT '' AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS i, h FROM low_roots),
+        {levels("high", "tops")},
+        low_start AS (SELECT id, tree, i, found AS node, '' AS proof FROM leaves),
+        {fold("low_fold", "low", "low_start")},
+        high_start AS (SELECT id, '' AS tree, t.i, node, proof FROM low_fold_end f JOIN tops t ON f.tree = t.of),
+        {fold("high_fold", "high", "high_start")}
+        SELECT doc_id, l.h AS leaf, t.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = r.h AS verified
+        FROM leaves l JOIN tops t ON t.of = l.tree JOIN high_fold_end f ON f.id = l.id JOIN high_roots r ON true"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_pivot_top_k": top_k(),
         "op5_secret_ledger": secret_scan(),
         "op6_license_templates": license_scan(),
         "op7_quality_rules": quality_rules(),
+        "op11_phrase_collocations": collocations(),
+        "op13_merkle_manifest": merkle_manifest(),
     }

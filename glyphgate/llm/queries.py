@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphgate.llm import bytebpe, classifier, licenses, mixing, quality, repair, secrets, sharding, simhash, topk
+from glyphgate.llm import bytebpe, classifier, licenses, merkle, mixing, packing, phrases, quality, repair, secrets, sharding, simhash, topk
 from glyphgate.llm.common import read_table
 
 
@@ -58,6 +58,18 @@ def op10_grammar_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -70,4 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_grammar_token_files": op10_grammar_token_files,
+        "op11_phrase_collocations": op11_phrase_collocations,
+        "op12_curve_packing": op12_curve_packing,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
