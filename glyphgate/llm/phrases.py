@@ -1,10 +1,11 @@
 """Collocations: phrases of two or three words that occur together far more often than their parts would let expect.
 
-Counting. A task keeps the phrases that it has seen in a HAT-trie: a branch for each language, below it containers, which
-are hash tables from the word ids of a phrase to its count. A container of over ``BURST`` phrases bursts into a branch
-with a container for each first word of them, one level further down, so the trie stays shallow and only frequent words
-have branches. Beyond ``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of
-all tasks are range-partitioned by language and phrase, so that a partition holds a range of prefixes, and merged there.
+Counting. A task keeps the phrases that it has seen in a HAT-trie: for each language a branch by the first word's id, and
+below it containers, which are hash tables from the word ids of a phrase to its count. Neighbouring words share a (hybrid)
+container. One of over ``BURST`` phrases bursts: a word that has half of it gets a (pure) container of its own, one level
+down, else two halves of the words get one each. So the trie stays shallow and only frequent words have branches. Beyond
+``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of all tasks are
+range-partitioned by language and phrase, so that a partition holds a range of prefixes, and merged there.
 
 A phrase occurs no more often than its parts. So words are counted first, then pairs of words that are frequent, then
 triples of pairs that are frequent (``LEAST`` times or more in a language). What is frequent goes to the tasks as a table
@@ -18,6 +19,8 @@ any length count whole. Empty table: no rows. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ LEAST = 10
 #: Phrases that a language's list has, and the share (of 100) of a phrase's occurrences that makes a longer one replace it.
 TOP, SHARE = 2000, 50
 #: Phrases of a container before it bursts, phrases and words that a task holds, words that are counted at a time.
-BURST, ENTRIES, WORDS, BATCH = 4096, 1_000_000, 1_000_000, 500_000
+BURST, ENTRIES, WORDS, BATCH = 1 << 16, 2_000_000, 1_000_000, 500_000
 #: Most bits of a table of what is frequent, as a power of two.
 BITS = 30
 #: Bits of a word id within a packed phrase.
@@ -50,53 +53,68 @@ def split(text: bytes) -> list[bytes]:
     return text.translate(_BYTES).replace(_MARK, b" \xff ").split()
 
 
-class Trie:
-    """Counts of packed phrases of one language: a container, or a branch of tries by first word id."""
+class Container:
+    """A hash table from packed phrases of ``length`` word ids to counts; a pure one belongs to one first word, which its keys leave out."""
+
+    __slots__ = ("length", "table", "word")
+
+    def __init__(self, length: int, word: int | None = None) -> None:
+        self.length, self.word, self.table = length, word, {}
+
+    def add(self, keys: list[int], counts: list[int]) -> None:
+        table = self.table
+        table.update(zip(keys, map(add, map(table.get, keys, repeat(0)), counts)))
 
-    __slots__ = ("branch", "length", "table")
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order, with the first word, and their counts."""
+        keys, counts = (np.fromiter(x, np.int64, len(self.table)) for x in (self.table.keys(), self.table.values()))
+        order = np.argsort(keys)
+        return keys[order] + ((self.word or 0) << WIDE * self.length), counts[order]
+
+
+class Trie:
+    """Counts of packed phrases of one language: containers for ranges of first words, in order."""
 
     def __init__(self, length: int) -> None:
-        self.length, self.table, self.branch = length, {}, None
+        self.length, self.low, self.containers = length, [0], [Container(length)]
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """Distinct keys, in order, and how often each was seen."""
-        if self.branch is None:
-            table = self.table
-            for key, n in zip(keys.tolist(), counts.tolist()):
-                table[key] = table.get(key, 0) + n
-            if len(table) > BURST and self.length > 1:
-                self.branch, self.table = {}, None
-                self._spread(*_ordered(table))
-        else:
-            self._spread(keys, counts)
-
-    def _spread(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        shift = WIDE * (self.length - 1)
+        ends = [*np.searchsorted(keys, np.array(self.low[1:], np.int64) << shift).tolist(), len(keys)]
+        full, a = [], 0
+        for at, (container, b) in enumerate(zip(self.containers, ends)):
+            if b > a:
+                some = keys[a:b] - (container.word << shift) if container.word is not None else keys[a:b]
+                container.add(some.tolist(), counts[a:b].tolist())
+                if len(container.table) > BURST and container.word is None and self.length > 1:
+                    full.append(at)
+            a = b
+        for at in reversed(full):
+            self._burst(at)
+
+    def _burst(self, at: int) -> None:
+        """Replace a container by one for its commonest first word, if that has half of it, or else by two halves."""
+        keys, counts = self.containers[at].items()
         shift = WIDE * (self.length - 1)
         first = keys >> shift
-        rest = keys - (first << shift)
-        begin = np.concatenate(([0], np.flatnonzero(np.diff(first)) + 1))
-        for word, a, b in zip(first[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]):
-            child = self.branch.get(word)
-            if child is None:
-                child = self.branch[word] = Trie(self.length - 1)
-            child.add(rest[a:b], counts[a:b])
+        middle = int(first[len(first) // 2])
+        a, b = np.searchsorted(first, [middle, middle + 1]).tolist()
+        if 2 * (b - a) >= len(first):
+            parts = [(None, self.low[at], 0, a), (middle, middle, a, b), (None, middle + 1, b, len(first))]
+        else:  # the middle word goes with the half that is smaller
+            cut, word = (a, middle) if a >= len(first) - b else (b, middle + 1)
+            parts = [(None, self.low[at], 0, cut), (None, word, cut, len(first))]
+        made = []
+        for word, low, x, y in parts:
+            child = Container(self.length if word is None else self.length - 1, word)
+            child.add((keys[x:y] - ((word or 0) << shift)).tolist(), counts[x:y].tolist())
+            made.append((low, child))
+        made = [m for k, m in enumerate(made) if k + 1 == len(made) or m[0] < made[k + 1][0]]  # ranges that hold a word
+        self.low[at : at + 1], self.containers[at : at + 1] = [low for low, _ in made], [child for _, child in made]
 
     def __len__(self) -> int:
-        return len(self.table) if self.branch is None else sum(map(len, self.branch.values()))
-
-    def items(self) -> tuple[np.ndarray, np.ndarray]:
-        """All keys in order, and their counts."""
-        if self.branch is None:
-            return _ordered(self.table)
-        shift = WIDE * (self.length - 1)
-        parts = [(word, *child.items()) for word, child in sorted(self.branch.items())]
-        return np.concatenate([k + (w << shift) for w, k, _ in parts] or [np.zeros(0, np.int64)]), np.concatenate([n for *_, n in parts] or [np.zeros(0, np.int64)])
-
-
-def _ordered(table: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = np.fromiter(table.keys(), np.int64, len(table)), np.fromiter(table.values(), np.int64, len(table))
-    order = np.argsort(keys)
-    return keys[order], counts[order]
+        return sum(len(c.table) for c in self.containers)
 
 
 class _Vocabulary(dict):
@@ -105,18 +123,17 @@ class _Vocabulary(dict):
     def __init__(self, lang: str, frequent: np.ndarray | None) -> None:
         super().__init__({_MARK: 0})
         self.words, self.hashes = [b""], [0]
-        self.start, self.frequent = xxhash.xxh64(lang.encode() + b" ", seed=42), frequent
+        self.start, self.frequent = lang.encode() + b" ", frequent
 
     def __missing__(self, word: bytes) -> int:
-        state = self.start.copy()
-        state.update(word)
-        code = state.intdigest()
-        if self.frequent is not None and not _holds(self.frequent, code):
-            self[word] = 0
-            return 0
+        if self.frequent is not None:
+            code = xxhash.xxh64_intdigest(self.start + word, 42)
+            if not _holds(self.frequent, code):
+                self[word] = 0
+                return 0
+            self.hashes.append(code)
         self[word] = no = len(self.words)
         self.words.append(word)
-        self.hashes.append(code)
         return no
 
 
@@ -181,23 +198,20 @@ class Counter:
 
     def spill(self, most: int) -> Iterator[pa.RecordBatch]:
         """Give out whole subtrees, the largest first, until ``most`` phrases are left."""
-        subtrees = []
-        for lang, trie in self.tries.items():
-            subtrees += [(len(trie), lang, None)] if trie.branch is None else [(len(child), lang, word) for word, child in trie.branch.items()]
-        total = sum(n for n, *_ in subtrees)
-        going: dict[str, list] = {}
-        for n, lang, word in sorted(subtrees, key=lambda s: -s[0]):
+        whole = [(len(c.table), lang, at) for lang, trie in self.tries.items() for at, c in enumerate(trie.containers)]
+        total = sum(n for n, *_ in whole)
+        going: dict[str, list[int]] = {}
+        for n, lang, at in sorted(whole, key=lambda s: -s[0]):
             if total <= most:
                 break
-            going.setdefault(lang, []).append(word)
+            going.setdefault(lang, []).append(at)
             total -= n
-        for lang, words in going.items():
-            if words == [None]:
-                yield from self._run(lang, *self.tries.pop(lang).items())
-                continue
-            trie, out = self.tries[lang], Trie(self.length)
-            out.branch, out.table = {word: trie.branch.pop(word) for word in words}, None
-            yield from self._run(lang, *out.items())
+        for lang, places in going.items():
+            held = self.tries[lang].containers
+            found = [held[at].items() for at in sorted(places)]
+            for at in places:
+                held[at].table = {}
+            yield from self._run(lang, *map(np.concatenate, zip(*found)))
 
     def eased(self) -> Iterator[pa.RecordBatch]:
         """Spill what goes beyond the bounds of phrases and words."""
@@ -212,8 +226,8 @@ class Counter:
                     del known[word]
 
 
-def counted(docs: DataFrame, length: int, words: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """lang, phrase and f of the phrases of ``length`` words, in which all words, and all neighbours, are frequent."""
+def counted(docs: DataFrame, length: int, least: int, words: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """lang, phrase and f, ``least`` or more, of the phrases of ``length`` words, in which all words, and all neighbours, are frequent."""
     frequent, joined = bit_table(words), bit_table(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +244,8 @@ def counted(docs: DataFrame, length: int, words: DataFrame | None = None, pairs:
     texts = docs.where("text IS NOT NULL").select(language(), F.col("text").cast("binary").alias("text"))
     runs = materialize(arrow_map(texts, run, "lang string, phrase string, f long"), "runs")
     # Of equal phrases there is at most one in each run.
-    merged = materialize(runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")), "phrases")
+    sums = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    merged = materialize(sums.where(F.col("f") >= least), "phrases")
     discard(runs)
     return merged
 
@@ -266,14 +281,11 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases."""
-    everything = counted(docs, 1)
+    everything = counted(docs, 1, 1)
     totals = everything.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = F.col("f") >= least
-    words = everything.where(frequent)
-    every_pair = counted(docs, 2, words)
-    pairs = every_pair.where(frequent)
-    every_triple = counted(docs, 3, words, pairs)
-    triples = every_triple.where(frequent)
+    words = everything.where(F.col("f") >= least)
+    pairs = counted(docs, 2, least, words)
+    triples = counted(docs, 3, least, words, pairs)
 
     def part(*at: int) -> Column:
         return F.array_join(F.slice(F.split("phrase", " "), at[0] + 1, len(at)), " ")
