@@ -15,21 +15,24 @@ table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glyphgate.functions.shipping import ship
 from glyphgate.llm import repair
 from glyphgate.llm.common import arrow_map, discard, materialize
 
 LENGTH = 2048
 BUCKETS, AXES, LEVELS = 256, 4, 12
 SEED = 11
+AT = [f"at{k}" for k in range(AXES)]
 
 
 def _flat_ids(own: repair.Encoder, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +56,14 @@ def vectors(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return logs / np.linalg.norm(logs, axis=1, keepdims=True) @ np.random.default_rng(SEED).standard_normal((BUCKETS, AXES))
 
 
+def id_bytes(tokenizer: str) -> int:
+    """Bytes of a stored id: two where all ids of the vocabulary fit, else four."""
+    return 2 if len(repair.encoder(tokenizer).width) <= 1 << 16 else 4
+
+
 def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """row, doc_id, n, ids (little-endian unsigned 32-bit) and the projected vector (at0, at1, ...) of each document."""
-    axes = [f"at{k}" for k in range(AXES)]
-    names = ["row", "doc_id", "n", "ids", *axes]
+    """row, doc_id, n, ids (little-endian) and the projected vector (at0, at1, ...) of each document."""
+    names, kept = ["row", "doc_id", "n", "ids", *AT], id_bytes(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = repair.encoder(tokenizer)
@@ -64,13 +71,13 @@ def encoded(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
             for rows in repair._slices(batch, repair.SLICE):
                 ids, lengths = _flat_ids(own, rows.column(2), end)
                 at = vectors(ids, lengths)
-                ends = np.concatenate(([0], np.cumsum(lengths))) * 4
-                raw = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                ends = np.concatenate(([0], np.cumsum(lengths))) * kept
+                raw = pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(f"<u{kept}"))])
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(lengths), raw, *[pa.array(at[:, k]) for k in range(AXES)]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"))
-    return arrow_map(numbered, run, f"row long, doc_id {kind}, n long, ids binary, {', '.join(f'{a} double' for a in axes)}")
+    return arrow_map(numbered, run, f"row long, doc_id {kind}, n long, ids binary, {', '.join(f'{a} double' for a in AT)}")
 
 
 def curve_keys(cells: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -103,60 +110,53 @@ def curve_keys(cells: np.ndarray, levels: int = LEVELS) -> np.ndarray:
 
 def on_curve(found: DataFrame) -> DataFrame:
     """Encoded documents with ``key`` instead of their vectors."""
-    axes = [f"at{k}" for k in range(AXES)]
-    row = found.agg(*[f(a) for a in axes for f in (F.avg, F.stddev_pop)]).first()  # eight numbers
+    row = found.agg(*[f(a) for a in AT for f in (F.avg, F.stddev_pop)]).first()  # eight numbers
     spread = [(row[2 * k] or 0.0, row[2 * k + 1] or 1.0) for k in range(AXES)]
     # About the normal distribution, so that the steps of an axis hold about as many documents each.
-    steps = [F.least(F.lit((1 << LEVELS) - 1), F.floor((1 << LEVELS) / (1 + F.exp(-1.702 * (F.col(a) - mean) / by)))).cast("long") for a, (mean, by) in zip(axes, spread)]
+    steps = [F.least(F.lit((1 << LEVELS) - 1), F.floor((1 << LEVELS) / (1 + F.exp(-1.702 * (F.col(a) - mean) / by)))).cast("long") for a, (mean, by) in zip(AT, spread)]
+    return found.select("row", "doc_id", "n", "ids", _keys(*steps).alias("key"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = np.stack([batch.column(4 + k).to_numpy() for k in range(AXES)], 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(curve_keys(cells))], [*batch.schema.names[:4], "key"])
 
-    kind = found.schema["doc_id"].dataType.simpleString()
-    return arrow_map(found.select("row", "doc_id", "n", "ids", *[s.alias(a) for s, a in zip(steps, axes)]), run, f"row long, doc_id {kind}, n long, ids binary, key long")
+def _cell_keys(*axes: pa.Array) -> pa.Array:
+    return pa.array(curve_keys(np.stack([a.to_numpy() for a in axes], 1)))
 
 
-class Cuts:
-    """The sequences of ``total`` ids: whole ones, then falling powers of two."""
+#: Only the cells go to Python; ids stay where they are.
+_keys = F.arrow_udf(_cell_keys, T.LongType())
 
-    def __init__(self, total: int, length: int = LENGTH) -> None:
-        self.length, self.whole = length, total // length
-        rest = total % length
-        sizes = [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        self.tail = self.whole * length + np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
 
-    def sequence(self, at: np.ndarray) -> np.ndarray:
-        """The sequence that holds each place."""
-        late = self.whole + np.searchsorted(self.tail, at, "right") - 1
-        return np.where(at < self.tail[0], at // self.length, late)
+def _before(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    total = 0
+    for n in batches:
+        upto = total + np.cumsum(n.to_numpy(), dtype=np.int64)
+        yield pa.array(upto - n.to_numpy())
+        total = int(upto[-1]) if len(upto) else total
 
-    def start(self, no: np.ndarray) -> np.ndarray:
-        """Where each sequence begins."""
-        late = self.tail[np.clip(no - self.whole, 0, len(self.tail) - 1)]
-        return np.where(no <= self.whole, no * self.length, late)
 
+#: The sum of the earlier rows of a partition, in the order that it has.
+before_in_partition = F.arrow_udf(_before, T.LongType()).asNondeterministic()
 
-def _placed(ordered: DataFrame) -> DataFrame:
-    """Sorted partitions with ``part`` and ``at``, how many ids of the partition come before the document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for batch in batches:
-            n = batch.column(2).to_numpy()
-            upto = before + np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - n)], ["part", "doc_id", "n", "ids", "at"])
-            before = int(upto[-1]) if len(upto) else before
-
-    kind = ordered.schema["doc_id"].dataType.simpleString()
-    return arrow_map(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids"), run, f"part int, doc_id {kind}, n long, ids binary, at long")
+def tail_cuts(total: int, length: int) -> list[int]:
+    """Where the sequences after the last whole one begin, and the end: falling powers of two."""
+    at, cuts = total - total % length, [total - total % length]
+    for bit in range(length.bit_length() - 1, -1, -1):
+        if (total - at) >> bit:
+            at += 1 << bit
+            cuts.append(at)
+    return cuts
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH) -> DataFrame:
-    """doc_id, start, length, ids, doc_tokens, sequence_id and offset of each piece; the tokenizer file is on every machine."""
+    """doc_id, start, length, ids, doc_tokens, sequence_id and offset of each piece; the tokenizer file is on every machine.
+
+    ``ids`` are little-endian numbers of ``id_bytes`` bytes each.
+    """
+    ship(docs.sparkSession)
+    kept = id_bytes(tokenizer)
     rows = materialize(encoded(docs.select("doc_id", "text"), tokenizer, end), "encoded")
-    placed = materialize(_placed(on_curve(rows).repartitionByRange("key", "row").sortWithinPartitions("key", "row")), "curve")
+    ordered = on_curve(rows).repartitionByRange("key", "row").sortWithinPartitions("key", "row")
+    placed = materialize(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids", before_in_partition("n").alias("at")), "curve")
     discard(rows)
     # One row for each partition meets on the driver and is sent back; no document is.
     starts, total = [], 0
@@ -164,28 +164,26 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH) ->
         starts.append((row["part"], total))
         total += row["n"]
     offsets = docs.sparkSession.createDataFrame(starts, T.StructType([T.StructField("part", T.IntegerType()), T.StructField("part_start", T.LongType())]))
-    cuts = Cuts(total, length)
-    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    whole, cuts = total // length, tail_cuts(total, length)
+    tail = F.array(*[F.lit(c).cast("long") for c in cuts])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            begin, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            first = cuts.sequence(begin)
-            pieces = cuts.sequence(begin + n - 1) - first + 1
-            owner = np.repeat(np.arange(len(n)), pieces)
-            no = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            at = cuts.start(no)
-            low, high = np.maximum(begin[owner], at), np.minimum((begin + n)[owner], cuts.start(no + 1))
-            ids = b"".join(batch.column(3).to_pylist())
-            # Pieces follow each other as the documents do.
-            ends = np.concatenate(([0], np.cumsum(high - low))) * 4
-            raw = pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
-            columns = [batch.column(0).take(pa.array(owner)), low - begin[owner], high - low, raw, n[owner], no, low - at]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+    def sequence(at: Column) -> Column:
+        late = whole + F.size(F.filter(tail, lambda c: c <= at)) - 1
+        return F.when(at < cuts[0], F.floor(at / length)).otherwise(late).cast("long")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    met = placed.join(F.broadcast(offsets), "part").select("doc_id", (F.col("part_start") + F.col("at")).alias("begin"), "n", "ids")
-    return arrow_map(met, run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    def start(no: Column) -> Column:
+        return F.when(no <= whole, no * length).otherwise(F.get(tail, (no - whole).cast("int")))
+
+    def piece(no: Column) -> Column:
+        low, high = F.greatest(F.col("begin"), start(no)), F.least(F.col("begin") + F.col("n"), start(no + 1))
+        skip = low - F.col("begin")
+        ids = F.substr(F.col("ids"), (kept * skip + 1).cast("int"), (kept * (high - low)).cast("int"))
+        return F.struct(skip.alias("start"), (high - low).alias("length"), ids.alias("ids"), no.alias("sequence_id"), (low - start(no)).alias("offset"))
+
+    met = placed.join(F.broadcast(offsets), "part").select("doc_id", "n", "ids", (F.col("part_start") + F.col("at")).alias("begin"))
+    pieces = F.transform(F.sequence(sequence(F.col("begin")), sequence(F.col("begin") + F.col("n") - 1)), piece)
+    found = met.select("doc_id", F.col("n").alias("doc_tokens"), F.inline(pieces))
+    return found.select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -196,7 +194,14 @@ def sequences(pieces: DataFrame) -> DataFrame:
     return found.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda n, x: n + x["length"]).alias("length"), joined.alias("ids"), F.col("p.doc_id").alias("doc_ids"))
 
 
+def _checksums(kept: int):
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{kept}").astype("<u4")) for x in ids], pa.int64())
+
+    return F.arrow_udf(run, T.LongType())
+
+
 def digests(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
-    """The pieces with the checksums of their ids instead of them."""
-    crc = F.crc32("ids").alias("ids_crc32")
+    """The pieces with the checksums of their ids, as unsigned 32-bit numbers, instead of them."""
+    crc = _checksums(id_bytes(tokenizer))(F.col("ids")).alias("ids_crc32")
     return pack(docs, tokenizer, end).select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")

@@ -124,9 +124,10 @@ def test_frequent_table_has_no_misses(spark):
 
 
 def test_packing(docs, rows, empty):
+    assert packing.id_bytes(TOKENIZER) == 2
     pieces = packing.pack(docs, TOKENIZER).collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    ids = lambda text: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+    ids = lambda text: np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u2")
     want = Counter((r.doc_id, ids(r.text).tobytes()) for r in rows)
     # Every id of every row lies in one piece; rows alike are told apart by their places.
     by_doc = defaultdict(list)
@@ -134,9 +135,9 @@ def test_packing(docs, rows, empty):
         by_doc[p.doc_id].append(p)
     for doc, found in by_doc.items():
         whole = sorted(k for (d, k), n in want.items() if d == doc for _ in range(n))
-        assert sum(map(len, whole)) == sum(len(p.ids) for p in found)
-        assert sorted(len(k) // 4 for k in whole) == sorted(p.doc_tokens for p in found if p.start == 0)
-        assert all(any(k[4 * p.start : 4 * (p.start + p.length)] == bytes(p.ids) and len(k) == 4 * p.doc_tokens for k in whole) for p in found)
+        assert sum(map(len, whole)) == sum(len(p.ids) for p in found) == 2 * sum(p.length for p in found)
+        assert sorted(len(k) // 2 for k in whole) == sorted(p.doc_tokens for p in found if p.start == 0)
+        assert all(any(k[2 * p.start : 2 * (p.start + p.length)] == bytes(p.ids) and len(k) == 2 * p.doc_tokens for k in whole) for p in found)
         for n in {p.doc_tokens for p in found}:
             places = sorted((p.start, p.start + p.length) for p in found if p.doc_tokens == n)
             assert sum(b - a for a, b in places) == n * sum(p.start == 0 for p in found if p.doc_tokens == n)
@@ -154,7 +155,7 @@ def test_packing(docs, rows, empty):
     assert all(n & (n - 1) == 0 and n <= packing.LENGTH for n in sizes)
     assert sum(n == packing.LENGTH for n in sizes) == sum(sizes) // packing.LENGTH
     crc = packing.digests(docs, TOKENIZER).select("doc_id", "start", "ids_crc32")
-    assert sorted((str(r.doc_id), r.start, r.ids_crc32) for r in crc.collect()) == sorted((str(p.doc_id), p.start, zlib.crc32(bytes(p.ids))) for p in pieces)
+    assert sorted((str(r.doc_id), r.start, r.ids_crc32) for r in crc.collect()) == sorted((str(p.doc_id), p.start, zlib.crc32(np.frombuffer(p.ids, "<u2").astype("<u4").tobytes())) for p in pieces)
     assert packing.pack(empty, TOKENIZER).collect() == []
     assert sorted(bytes(s.ids) for s in packing.sequences(docs.sparkSession.createDataFrame(pieces)).collect()) == sorted(
         b"".join(bytes(p.ids) for p in sorted(found, key=lambda p: p.offset)) for found in by_sequence.values()
