@@ -4,8 +4,11 @@ Counting. A task keeps the phrases that it has seen in a HAT-trie: for each lang
 below it containers, which are hash tables from the word ids of a phrase to its count. Neighbouring words share a (hybrid)
 container. One of over ``BURST`` phrases bursts: a word that has half of it gets a (pure) container of its own, one level
 down, else two halves of the words get one each. So the trie stays shallow and only frequent words have branches. Beyond
-``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of all tasks are
-range-partitioned by language and phrase, so that a partition holds a range of prefixes, and merged there.
+``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of all tasks are dealt out
+by language and prefix, which is the first two words (no single one, however common, meets in one task), and merged there.
+
+Texts are split once, into written blocks that hold their own words and the places of these as numbers; the three counts
+read the blocks, so a word is looked up once for each block and not wherever it stands.
 
 A phrase occurs no more often than its parts. So words are counted first, then pairs of words that are frequent, then
 triples of pairs that are frequent (``LEAST`` times or more in a language). What is frequent goes to the tasks as a table
@@ -35,8 +38,10 @@ from glyphgate.llm.common import arrow_map, discard, materialize, number_within
 LEAST = 10
 #: Phrases that a language's list has, and the share (of 100) of a phrase's occurrences that makes a longer one replace it.
 TOP, SHARE = 2000, 50
-#: Phrases of a container before it bursts, phrases and words that a task holds, words that are counted at a time.
-BURST, ENTRIES, WORDS, BATCH = 1 << 16, 2_000_000, 1_000_000, 500_000
+#: Phrases of a container before it bursts, phrases and words that a task holds, words of a block.
+BURST, ENTRIES, WORDS, BLOCK = 1 << 16, 2_000_000, 1_000_000, 1 << 18
+#: Languages of which a task keeps unfinished blocks.
+LANGUAGES = 64
 #: Most bits of a table of what is frequent, as a power of two.
 BITS = 30
 #: Bits of a word id within a packed phrase.
@@ -45,7 +50,8 @@ WIDE = 21
 # Ends of pieces become a byte that no text holds, A-Z become a-z.
 _MARK = b"\xff"
 _BYTES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d" + bytes(range(65, 91)), _MARK * 10 + bytes(range(97, 123)))
-_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_BLOCK = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("ids", pa.list_(pa.int32()))])
 
 
 def split(text: bytes) -> list[bytes]:
@@ -155,37 +161,27 @@ class Counter:
         self.length, self.frequent, self.pairs = length, words, pairs
         self.tries: dict[str, Trie] = {}
         self.known: dict[str, _Vocabulary] = {}
-        self.held: dict[str, list[np.ndarray]] = {}
-        self.size = 0
-
-    def add(self, lang: str, text: bytes) -> None:
-        known = self.known.get(lang)
-        if known is None:
-            known = self.known[lang] = _Vocabulary(lang, self.frequent)
-        words = split(text)
-        words.append(_MARK)
-        self.held.setdefault(lang, []).append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        self.size += len(words)
-
-    def count(self) -> None:
-        """Put the phrases of the words held into the tries."""
-        for lang, parts in self.held.items():
-            ids = np.concatenate(parts)
-            n = len(ids) - self.length + 1
-            if n <= 0:
-                continue
-            whole, keys = np.ones(n, bool), np.zeros(n, np.int64)
-            for k in range(self.length):
-                whole &= ids[k : n + k] > 0
-                keys = keys << WIDE | ids[k : n + k]
-            if self.pairs is not None:
-                codes = np.array(self.known[lang].hashes, np.uint64)[ids]
-                for k in range(self.length - 1):
-                    whole &= _holds(self.pairs, _paired(codes[k : n + k], codes[k + 1 : n + k + 1]))
-            found = np.unique(keys[whole], return_counts=True)
-            if len(found[0]):
-                self.tries.setdefault(lang, Trie(self.length)).add(*found)
-        self.held, self.size = {}, 0
+
+    def add(self, lang: str, words: list[bytes], places: np.ndarray) -> None:
+        """Put the phrases of a block into the trie of its language."""
+        if lang not in self.known:
+            self.known[lang] = _Vocabulary(lang, self.frequent)
+        known = self.known[lang]
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[places]
+        n = len(ids) - self.length + 1
+        if n <= 0:
+            return
+        whole, keys = np.ones(n, bool), np.zeros(n, np.int64)
+        for k in range(self.length):
+            whole &= ids[k : n + k] > 0
+            keys = keys << WIDE | ids[k : n + k]
+        if self.pairs is not None:
+            codes = np.array(known.hashes, np.uint64)[ids]
+            for k in range(self.length - 1):
+                whole &= _holds(self.pairs, _paired(codes[k : n + k], codes[k + 1 : n + k + 1]))
+        found = np.unique(keys[whole], return_counts=True)
+        if len(found[0]):
+            self.tries.setdefault(lang, Trie(self.length)).add(*found)
 
     def _run(self, lang: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         words = pa.array(self.known[lang].words, pa.binary())
@@ -193,8 +189,8 @@ class Counter:
         for at in range(0, len(keys), 1 << 16):
             some = keys[at : at + (1 << 16)]
             parts = [words.take(pa.array(some >> WIDE * k & mask)) for k in range(self.length - 1, -1, -1)]
-            phrase = pc.binary_join_element_wise(*parts, b" ") if self.length > 1 else parts[0]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), phrase.cast(pa.string()), pa.array(counts[at : at + (1 << 16)])], schema=_RUN)
+            joined = lambda p: (pc.binary_join_element_wise(*p, b" ") if len(p) > 1 else p[0]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), joined(parts[:2]), joined(parts), pa.array(counts[at : at + (1 << 16)])], schema=_RUN)
 
     def spill(self, most: int) -> Iterator[pa.RecordBatch]:
         """Give out whole subtrees, the largest first, until ``most`` phrases are left."""
@@ -226,28 +222,59 @@ class Counter:
                     del known[word]
 
 
-def counted(docs: DataFrame, length: int, least: int, words: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
-    """lang, phrase and f, ``least`` or more, of the phrases of ``length`` words, in which all words, and all neighbours, are frequent."""
+def blocks(docs: DataFrame) -> DataFrame:
+    """lang, words and ids of blocks: about ``BLOCK`` words of texts of a language, each as its place in ``words``; the mark is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+
+        def full(lang: str) -> pa.RecordBatch:
+            known, parts, _ = held.pop(lang)
+            ids = np.concatenate(parts)
+            columns = [pa.array([lang], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), pa.array(list(known), pa.binary()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))], schema=_BLOCK)
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = split(text.as_py())
+                words.append(_MARK)
+                if lang not in held:
+                    known = held[lang] = (_Numbers({_MARK: 0}), [], [0])
+                known, parts, size = held[lang]
+                parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                size[0] += len(words)
+                if size[0] >= BLOCK:
+                    yield full(lang)
+                elif len(held) > LANGUAGES:
+                    yield full(next(iter(held)))
+        for lang in list(held):
+            yield full(lang)
+
+    texts = docs.where("text IS NOT NULL").select(language(), F.col("text").cast("binary").alias("text"))
+    return arrow_map(texts, run, "lang string, words array<binary>, ids array<int>")
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = no = len(self)
+        return no
+
+
+def counted(found: DataFrame, length: int, least: int, words: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """lang, phrase and f, ``least`` or more, of the phrases of ``length`` words in blocks, in which all words, and all neighbours, are frequent."""
     frequent, joined = bit_table(words), bit_table(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Counter(length, frequent and np.frombuffer(frequent.value, np.uint8), joined and np.frombuffer(joined.value, np.uint8))
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own.add(lang, text.as_py())
-                if own.size >= BATCH:
-                    own.count()
-                    yield from own.eased()
-        own.count()
+            for lang, held, ids in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                own.add(lang, held.values.to_pylist(), ids.values.to_numpy())
+                yield from own.eased()
         yield from own.spill(0)
 
-    texts = docs.where("text IS NOT NULL").select(language(), F.col("text").cast("binary").alias("text"))
-    runs = materialize(arrow_map(texts, run, "lang string, phrase string, f long"), "runs")
-    # Of equal phrases there is at most one in each run.
-    sums = runs.repartitionByRange("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    merged = materialize(sums.where(F.col("f") >= least), "phrases")
-    discard(runs)
-    return merged
+    runs = arrow_map(found, run, "lang string, prefix string, phrase string, f long")
+    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
+    return materialize(merged.where(F.col("f") >= least).drop("prefix"), "phrases")
 
 
 def language() -> Column:
@@ -281,11 +308,13 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases."""
-    everything = counted(docs, 1, 1)
+    texts = materialize(blocks(docs), "blocks")
+    everything = counted(texts, 1, 1)
     totals = everything.groupBy("lang").agg(F.sum("f").alias("n"))
     words = everything.where(F.col("f") >= least)
-    pairs = counted(docs, 2, least, words)
-    triples = counted(docs, 3, least, words, pairs)
+    pairs = counted(texts, 2, least, words)
+    triples = counted(texts, 3, least, words, pairs)
+    discard(texts)
 
     def part(*at: int) -> Column:
         return F.array_join(F.slice(F.split("phrase", " "), at[0] + 1, len(at)), " ")

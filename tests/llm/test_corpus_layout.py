@@ -83,7 +83,7 @@ def test_collocations(docs, rows, empty):
 
 def test_tries_burst_and_spill(docs, rows, monkeypatch):
     """With small bounds every container bursts, subtrees spill and words are forgotten; no count changes."""
-    for name, value in (("BURST", 5), ("ENTRIES", 40), ("WORDS", 50), ("BATCH", 100)):
+    for name, value in (("BURST", 5), ("ENTRIES", 40), ("WORDS", 50)):
         monkeypatch.setattr(phrases, name, value)
     for length in (1, 2, 3):
         counter, found = phrases.Counter(length, None, None), defaultdict(Counter)
@@ -91,11 +91,9 @@ def test_tries_burst_and_spill(docs, rows, monkeypatch):
         for r in rows:
             if r.text is None:
                 continue
-            counter.add(r.lang or "und", r.text.encode())
-            if counter.size >= phrases.BATCH:
-                counter.count()
-                runs += counter.eased()
-        counter.count()
+            words = [b"\xff", *phrases.split(r.text.encode())]
+            counter.add(r.lang or "und", words, np.arange(1, len(words)))
+            runs += counter.eased()
         runs += counter.spill(0)
         assert length == 1 or len(runs) > 20
         for run in runs:
@@ -107,6 +105,20 @@ def test_tries_burst_and_spill(docs, rows, monkeypatch):
         assert found == {lang: c for lang, c in grams(rows, length).items() if c}
 
 
+def test_blocks(docs, rows, monkeypatch):
+    """Blocks of any size hold the words of all texts, and where pieces end."""
+    for name, value in (("BLOCK", 50), ("LANGUAGES", 1)):
+        monkeypatch.setattr(phrases, name, value)
+    got = defaultdict(list)
+    for b in phrases.blocks(docs.coalesce(1)).collect():
+        got[b.lang].append(b" ".join(bytes(b.words[i]) for i in b.ids))
+    want = defaultdict(list)
+    for r in docs.coalesce(1).collect():
+        if r.text is not None:
+            want[r.lang or "und"].append(b" ".join([*phrases.split(r.text.encode()), b"\xff"]))
+    assert {k: b" ".join(v) for k, v in got.items()} == {k: b" ".join(v) for k, v in want.items()}
+
+
 def test_frequent_table_has_no_misses(spark):
     """Spark sets the bits that the tasks look up."""
     words = [(lang, f"w{i}é") for lang in ("en", "und") for i in range(500)]
