@@ -1,68 +1,53 @@
 """Lookalike words: tokens, skeletons, mixed-script words and collisions within a document, as arrays of the row.
 
-Scripts are character classes, so all tests of a word are regular expressions: a word may mix scripts where one of the
-permitted classes covers it. Only the normal forms of tokens beyond ASCII come from an Arrow function; ASCII tokens are
-looked at only where a token beyond ASCII has an ASCII skeleton. Collisions are groups in a sorted array.
+What a token beyond ASCII looks like and which scripts it is read in comes from one Arrow function, which looks its
+characters up in broadcast tables and keeps the tokens of a worker. ASCII tokens are looked at only where a token beyond
+ASCII has an ASCII skeleton. Collisions are groups in a sorted array.
 """
 
 from __future__ import annotations
 
 import functools
-import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphgate.functions import properties as P
 from glyphgate.functions import rows
 from glyphgate.functions import text as X
-from glyphgate.functions.unicode_data import confusables, imitated, script_classes, scripts_of
+from glyphgate.functions.unicode_data import tables
 from glyphgate.operators.rules import span
+from glyphgate.operators.styled import READ_CLASS
 
 TOKEN = r"[\p{L}\p{M}\p{Nd}\p{Pc}][\p{L}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]*"
 CODE_TOKEN = r"[\p{L}\p{Nl}$_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}$\x{200C}\x{200D}]*"
 BEYOND_ASCII = r"[^\x00-\x7F]"
 #: ASCII characters that no token of text mode holds.
 _APART = r"[\x00-/:-@\[-\^`{-\x7F]+"
-# Script sets that may share a word, and scripts that Latin may be joined by.
-EAST_ASIAN_SETS = (("Latin", "Han", "Hiragana", "Katakana"), ("Latin", "Han", "Bopomofo"), ("Latin", "Han", "Hangul"))
-WITH_LATIN = tuple(
-    "Arabic Armenian Bengali Bopomofo Devanagari Ethiopic Georgian Gujarati Gurmukhi Hangul Han Hebrew Hiragana Kannada Katakana Khmer Lao Malayalam Myanmar Oriya "
-    "Sinhala Tamil Telugu Thaana Thai Tibetan".split()
-)
-_NEUTRAL = r"\p{IsCommon}\p{IsInherited}\p{IsUnknown}"
 #: Distinct words of one script that make a document one that is written in it.
 WRITTEN_IN = 10
-#: Tokens whose normal forms a worker keeps.
-KEPT_WORDS = 200_000
 
 
-def skeleton(token: str, folder: str | None = None) -> str:
-    table = confusables(folder)
-    return unicodedata.normalize("NFD", "".join(table.get(c, c) for c in unicodedata.normalize("NFD", token)))
-
-
-@functools.lru_cache(maxsize=KEPT_WORDS)
-def forms(token: str, folder: str | None = None) -> dict:
-    """Skeleton, normal form D, and the distinct script sets of the characters that have one."""
-    sets = sorted({tuple(sorted(s)) for c in token if (s := scripts_of(c, folder))})
-    return {"skeleton": skeleton(token, folder), "nfd": unicodedata.normalize("NFD", token), "sets": sets}
-
-
-_FORMS = pa.struct([("skeleton", pa.string()), ("nfd", pa.string()), ("sets", pa.list_(pa.list_(pa.string())))])
 _SETS = T.ArrayType(T.ArrayType(T.StringType()))
+_FORMS = pa.struct([("skeleton", pa.string()), ("nfd", pa.string()), ("sets", pa.list_(pa.list_(pa.string()))), ("mixed", pa.bool_()), ("turkic", pa.bool_())])
+_FORM = T.StructType([*[T.StructField(n, T.StringType()) for n in ("skeleton", "nfd")], T.StructField("sets", _SETS), *[T.StructField(n, T.BooleanType()) for n in ("mixed", "turkic")]])
 
 
 @functools.cache
+def _sent(context_id: str, folder: str | None):
+    return SparkSession.active().sparkContext.broadcast(tables(folder))
+
+
 def spell(folder: str | None = None):
-    """``forms`` of each token of a list, as an Arrow function."""
+    """The forms (``Tables.forms``) of each token of a list, as an Arrow function; the tables are broadcast, under a megabyte."""
+    known = _sent(SparkSession.active().sparkContext.applicationId, folder)
 
     def spelled(lists: pa.Array) -> pa.Array:
-        return pa.array([[forms(t, folder) for t in x] for x in lists.to_pylist()], pa.list_(_FORMS))
+        forms = known.value.forms
+        return pa.array([[forms(t) for t in x] for x in lists.to_pylist()], pa.list_(_FORMS))
 
-    return F.arrow_udf(spelled, T.ArrayType(T.StructType([*[T.StructField(n, T.StringType()) for n in ("skeleton", "nfd")], T.StructField("sets", _SETS)])))
+    return F.arrow_udf(spelled, T.ArrayType(_FORM))
 
 
 def _indexes(tokens: pa.Array, flagged: pa.Array) -> pa.Array:
@@ -77,47 +62,6 @@ def _indexes(tokens: pa.Array, flagged: pa.Array) -> pa.Array:
 indexes = F.arrow_udf(_indexes, T.ArrayType(T.IntegerType()))
 
 
-class Scripts:
-    """Tests of words by the script classes of an engine or of a folder of data files."""
-
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
-        self.folder, self.classes = folder, script_classes(spark, folder)
-        self.neutral = _NEUTRAL if folder is None else "".join(self.classes.get(n, "") for n in ("Common", "Inherited", "Unknown"))
-        self.own = {n: c for n, c in self.classes.items() if n not in ("Common", "Inherited", "Unknown")}
-
-    def _only(self, *sets: tuple[str, ...]) -> str:
-        """A pattern for words that one of the sets of scripts covers."""
-        return "^(?:" + "|".join("[" + "".join(self.own[n] for n in names if n in self.own) + self.neutral + "]*" for names in sets) + ")$"
-
-    def permitted(self, word: Column) -> Column:
-        """One script, an East Asian set, or Latin with one script that may join it covers all characters."""
-        return word.rlike(self._only(*((n,) for n in self.own), *EAST_ASIAN_SETS, *(("Latin", n) for n in WITH_LATIN)))
-
-    def holds_lookalike(self, word: Column) -> Column:
-        """A character that passes for ASCII stands in the word, or, among more others than ASCII, an ASCII one that passes for one of their script."""
-        passing = [c for c, to in confusables(self.folder).items() if ord(c) > 0x7F and to.isascii() and to.isalnum() and "Latin" not in scripts_of(c, self.folder)]
-        foreign, ascii_ = F.regexp_count(word, F.lit(BEYOND_ASCII)), F.regexp_count(word, F.lit("[0-9A-Za-z]"))
-        doubles: dict[str, list[str]] = {}
-        for target, names in imitated(self.folder).items():
-            for name in names - {"Latin"}:
-                doubles.setdefault(name, []).append(target)
-        reverse = F.lit(False)
-        for name in sorted(doubles):
-            if name in self.own:
-                most = 2 * F.regexp_count(word, F.lit(f"[{self.own[name]}]")) >= foreign
-                reverse = reverse | (most & word.rlike("[" + "".join(sorted(doubles[name])) + "]"))
-        return word.rlike("[" + P.char_class((), tuple(map(ord, passing))) + "]") | ((ascii_ < foreign) & reverse)
-
-    def mixed(self, token: Column) -> Column:
-        """True if a word between connectors mixes scripts and holds a lookalike."""
-        each = F.exists(F.split(token, r"\p{Pc}+"), lambda w: ~self.permitted(w) & self.holds_lookalike(w))
-        return F.when(token.rlike(self._only(("Latin",))), False).otherwise(each)
-
-    def turkic(self, token: Column) -> Column:
-        """A Latin token with a dotless or dotted i."""
-        return token.rlike("[ıİ]") & token.rlike(f"^[\\x00-\\x7F{self.own['Latin']}]*$")
-
-
 def signature(sets: Column) -> Column:
     """The one script that all script sets share, else all scripts joined; Latin for none."""
     shared = F.aggregate(sets, F.flatten(sets), lambda all_, s: F.array_intersect(all_, s))
@@ -156,16 +100,17 @@ def ascii_tokens(code: Column) -> Column:
 
 
 def with_words(df: DataFrame) -> DataFrame:
-    """Add ``__words``: (skeleton, token, nfd, sets) of each token of the array ``__tokens``, from its ``__forms``."""
+    """Add ``__words``: (skeleton, token, nfd, sets, mixed, turkic) of each token of the array ``__tokens``, from its ``__forms``."""
     both = F.arrays_zip(F.col("__tokens").alias("token"), F.col("__forms").alias("f"))
-    return rows.computed(df, {"__words": F.transform(both, lambda x: F.struct(x["f"]["skeleton"].alias("skeleton"), x["token"].alias("token"), x["f"]["nfd"].alias("nfd"), x["f"]["sets"].alias("sets")))}).drop("__forms")
+    form = lambda x, *names: [x["f"][n].alias(n) for n in names]
+    return rows.computed(df, {"__words": F.transform(both, lambda x: F.struct(*form(x, "skeleton"), x["token"].alias("token"), *form(x, "nfd", "sets", "mixed", "turkic")))}).drop("__forms")
 
 
-def with_collisions(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
+def with_collisions(df: DataFrame, code: Column) -> DataFrame:
     """Add ``__clashes``: (skeleton, token) of the tokens that another spelling in the row collides with; needs ``__words``, ``text``."""
-    styled = "^[\\x00-\\x7F" + P.char_class(P.STYLED, tuple(P.SMALL_CAPITALS)) + "]*$"
+    styled = "^[\\x00-\\x7F" + READ_CLASS[1:] + "*$"
     df = rows.computed(df, {"__other": F.filter("__words", lambda w: code | ~w["token"].rlike(styled))})
-    known = F.transform(ascii_tokens(code), lambda t: F.struct(ascii_skeleton(t).alias("skeleton"), t.alias("token"), t.alias("nfd"), F.array().cast("array<array<string>>").alias("sets")))
+    known = F.transform(ascii_tokens(code), lambda t: F.struct(ascii_skeleton(t).alias("skeleton"), t.alias("token"), t.alias("nfd"), F.array().cast("array<array<string>>").alias("sets"), F.lit(False).alias("mixed"), F.lit(False).alias("turkic")))
     meets_ascii = F.exists("__other", lambda w: ~w["skeleton"].rlike(BEYOND_ASCII))
     df = rows.computed(df, {"__sorted": F.array_sort(F.when(meets_ascii, F.concat("__other", known)).otherwise(F.col("__other")))})
     # Nearly all skeletons have one token: only those beside an equal one go on.
@@ -176,11 +121,11 @@ def with_collisions(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
     beside = F.arrays_zip(shared.alias("w"), rows.beside(shared, -1).alias("a"))
     df = rows.computed(df, {"__heads": F.filter(F.transform(beside, lambda x, i: F.when(~same(x, "a"), i)), lambda i: i.isNotNull())})
     bounds = F.arrays_zip(F.col("__heads").alias("a"), rows.beside(F.col("__heads"), 1).alias("b"))
-    signed = lambda w: F.struct(*[w[c].alias(c) for c in ("skeleton", "token", "nfd")], (~w["token"].rlike(BEYOND_ASCII)).alias("ascii"), signature(w["sets"]).alias("signature"), scripts.turkic(w["token"]).alias("turkic"))
+    signed = lambda w: F.struct(*[w[c].alias(c) for c in ("skeleton", "token", "nfd")], (~w["token"].rlike(BEYOND_ASCII)).alias("ascii"), signature(w["sets"]).alias("signature"), w["turkic"].alias("turkic"))
     groups = F.transform(bounds, lambda h: F.transform(F.slice(shared, h["a"] + 1, F.coalesce(h["b"], F.size(shared)) - h["a"]), signed))
     foreign = F.filter(F.transform("__other", lambda w: signature(w["sets"])), lambda s: (s != "Latin") & ~F.contains(s, F.lit("+")))
     some = F.size(shared) > 0
-    turkish = F.when(some, F.size(F.filter("__other", lambda w: scripts.turkic(w["token"]))) >= WRITTEN_IN)
+    turkish = F.when(some, F.size(F.filter("__other", lambda w: w["turkic"])) >= WRITTEN_IN)
     df = rows.computed(df, {"__groups": F.filter(groups, lambda g: F.exists(g, lambda w: ~w["ascii"])), "__foreign": F.when(some, foreign), "__turkish": turkish})
     written = F.filter(F.array_distinct("__foreign"), lambda s: F.size(F.filter("__foreign", lambda x: x == s)) >= WRITTEN_IN)
     df = rows.computed(df, {"__written": F.coalesce(written, F.array().cast("array<string>"))})
@@ -196,10 +141,10 @@ def with_collisions(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
     return rows.computed(df, {"__clashes": hits}).drop("__other", "__shared", "__heads", "__groups", "__foreign", "__turkish", "__written")
 
 
-def with_flagged(df: DataFrame, code: Column, scripts: Scripts) -> DataFrame:
+def with_flagged(df: DataFrame, code: Column) -> DataFrame:
     """Add ``__flagged``: (token, skeleton, severity) of the row's mixed and colliding tokens; needs ``__words`` and ``text``."""
-    df = with_collisions(df, code, scripts)
-    mixed = F.filter("__words", lambda w: scripts.mixed(w["token"]))
+    df = with_collisions(df, code)
+    mixed = F.filter("__words", lambda w: w["mixed"])
     warned = F.transform(mixed, lambda w: F.struct(w["token"].alias("token"), F.lit(None).cast("string").alias("skeleton"), F.lit("warning").alias("severity")))
     clash = F.transform("__clashes", lambda c: F.struct(c["token"].alias("token"), c["skeleton"].alias("skeleton"), F.lit("error").alias("severity")))
     return rows.computed(df, {"__flagged": F.concat(warned, clash)}).drop("__clashes")

@@ -6,10 +6,9 @@ import unicodedata
 
 from glyphgate.functions import properties as P
 from glyphgate.functions import text as X
-from glyphgate.functions.unicode_data import DOUBLES, confusables, variation_sequences
+from glyphgate.functions.unicode_data import tables, variation_sequences
 from glyphgate.operators import analytics, policy
 from glyphgate.operators.confusables import TOKEN
-from glyphgate.operators.styled import PASSAGE
 from glyphgate.plans import queries as Q
 from glyphgate.plans.corpora import planted_sql
 
@@ -91,17 +90,24 @@ def _names() -> str:
 
 def _skeletons() -> str:
     """(ch, nfd, mapped) of the characters that the planted documents can hold beyond ASCII, and ASCII sources."""
-    table, rows = confusables(), []
+    table, rows = tables().confusables, []
     for cp in (*range(0x30, 0x7B), *range(0xC0, 0x250), *range(0x370, 0x530), *range(0x600, 0x700), 0x200C, 0x5C71, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0), *range(0x1D400, 0x1D800)):
         nfd = unicodedata.normalize("NFD", chr(cp))
         rows.append((chr(cp), nfd, unicodedata.normalize("NFD", "".join(table.get(c, c) for c in nfd))))
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
 
 
+#: Stands for the rows of ``_skeletons``, which are made when the SQL is asked for.
+_SKELETONS = "@skeletons@"
+#: Cyrillic letters that pass for Latin ones.
+_CYRILLIC = "АВЕЅІЈКМНОРСТУХаеорсухѕіјһԁԛԝ"
+_STYLED = "[" + P.char_class(P.STYLED, tuple(P.SMALL_CAPITALS)) + "]"
+PASSAGE = _STYLED + r"+(?:[^\p{L}\p{N}]{1,3}" + _STYLED + "+)*"
+
 WORDS = f"""{PLANTED}
   words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM planted WHERE regexp_matches(text, '[^\\x00-\\x7F]')),
   long AS MATERIALIZED (SELECT *, NOT regexp_matches(token, '[^\\x00-\\x7F]') AS is_ascii FROM words WHERE length(token) + len(regexp_extract_all(token, '[\\x{{10000}}-\\x{{10FFFF}}]')) > 1),
-  map(ch, nfd, mapped) AS (VALUES {_skeletons()}),
+  map(ch, nfd, mapped) AS (VALUES {_SKELETONS}),
   spelled AS (SELECT token, string_agg(coalesce(mapped, ch0), '' ORDER BY i) AS skeleton, string_agg(coalesce(nfd, ch0), '' ORDER BY i) AS nfd
     FROM (SELECT token, unnest(string_split(token, '')) AS ch0, unnest(range(length(token))) AS i FROM (SELECT DISTINCT token FROM long)) LEFT JOIN map ON ch = ch0 GROUP BY token)"""
 
@@ -290,7 +296,7 @@ FLAGGED = f"""
     GROUP BY doc_id, skeleton HAVING count(DISTINCT token) >= 2 AND count(DISTINCT nfd) >= 2 AND NOT bool_and(is_ascii)),
   flagged AS (
     SELECT doc_id, token, 'error' AS severity, skeleton FROM clashing
-    UNION ALL SELECT doc_id, token, 'warning', NULL FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{"".join(c for c in DOUBLES if 0x400 <= ord(c) < 0x530)}]')),
+    UNION ALL SELECT doc_id, token, 'warning', NULL FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{_CYRILLIC}]')),
   words_at AS (
     SELECT *, {_before('length(gap)', "length(coalesce(hit, ''))")} AS start FROM (
       SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
@@ -325,9 +331,8 @@ def oracle_sql() -> dict[str, str]:
     overridden = PLACE.replace("severity", "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in Q.OVERRIDES.items() if v) + " ELSE severity END AS severity")
     revealed, chips = _reveal()
     allowed = f"NOT list_has_all({list(Q.ALLOWED)}, cps)"
-    lookalikes = "".join(c for c in DOUBLES if 0x400 <= ord(c) < 0x530)
     vs = f"{EVENTS}, {SELECTOR_RUNS}"
-    return single | {
+    found = single | {
         "fast_path": f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{P.UNPLAIN}')",
         "code_point_count": "SELECT doc_id, length(text)::BIGINT AS code_points, (length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')))::BIGINT AS units FROM documents",
         "positions": _over("SELECT doc_id, idx, cp, off, line, col FROM ev WHERE regexp_matches(ch, '" + P.EVENT_CLASS + "')", EVENTS),
@@ -360,7 +365,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tokens": _over(f"SELECT doc_id, len(w)::BIGINT AS tokens, len(list_distinct(w))::BIGINT AS spellings FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS w FROM planted)", f"planted AS ({planted_sql()})"),
         "skeleton": _over("SELECT DISTINCT token, skeleton FROM long JOIN spelled USING (token) WHERE NOT is_ascii", WORDS),
-        "confusable_mixed": _over(f"SELECT doc_id, token, 'Cyrillic+Latin' AS signature FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{lookalikes}]')", WORDS),
+        "confusable_mixed": _over(f"SELECT doc_id, token, 'Cyrillic+Latin' AS signature FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{_CYRILLIC}]')", WORDS),
         "confusable_collision": _over(
             """SELECT doc_id, skeleton, array_to_string(list_sort(list(token)), ' ') AS tokens FROM long JOIN spelled USING (token)
               WHERE is_ascii OR NOT regexp_matches(token, '^[\\x00-\\x7F\\x{1D400}-\\x{1D7FF}]*$')
@@ -411,3 +416,5 @@ def oracle_sql() -> dict[str, str]:
         "inspection": _over("SELECT doc_id, length(text)::BIGINT AS code_points, coalesce(n, 0)::BIGINT AS findings, coalesce(places, '') AS places FROM planted LEFT JOIN (SELECT doc_id, max(c) AS n, string_agg(start_off::VARCHAR, ',' ORDER BY r) FILTER (r <= 300) AS places FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_off, rule) AS r, count(*) OVER (PARTITION BY doc_id) AS c FROM found) GROUP BY doc_id) USING (doc_id)"),
         "census_rows": _over("SELECT doc_id, source, lang, count(*) AS n FROM found JOIN planted USING (doc_id) GROUP BY ALL", EVERY),
     }
+    skeletons = _skeletons()
+    return {name: sql.replace(_SKELETONS, skeletons) for name, sql in found.items()}

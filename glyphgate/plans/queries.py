@@ -145,13 +145,12 @@ def _skeleton(docs: DataFrame) -> DataFrame:
 
 
 def _mixed(docs: DataFrame) -> DataFrame:
-    scripts = confusables.Scripts(docs.sparkSession)
-    found = _each(_worded(docs), "__words").where(scripts.mixed(F.col("token")))
+    found = _each(_worded(docs), "__words").where("mixed")
     return found.select("doc_id", "token", confusables.signature(F.col("sets")).alias("signature"))
 
 
 def _collision(docs: DataFrame) -> DataFrame:
-    df = confusables.with_collisions(_worded(docs), F.lit(False), confusables.Scripts(docs.sparkSession))
+    df = confusables.with_collisions(_worded(docs), F.lit(False))
     found = _each(df, "__clashes")
     return found.groupBy("doc_id", "skeleton").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
 

@@ -42,18 +42,18 @@ def scanned(docs: DataFrame, code: bool | Column = False, folder: str | None = N
     code = F.lit(code) if isinstance(code, bool) else F.coalesce(code, F.lit(False))
     df, more = docs, {}
     if visible:
-        more["__passages"] = styled.wanted(F.col("__far"))
+        more["__islands"] = styled.wanted(F.col("__far"))
         df = rows.computed(df, {"__code": code, "__tokens": confusables.beyond_tokens(code)})
     df = rows.computed(decode.with_runs(df, folder, more), {"__controls": rules.bidi_controls()})
     read = {"__loose": rules.loose_controls(F.transform("__controls", lambda e: e["cp"]))}
     if visible:
-        read |= {"__read": styled.read(F.transform("__passages", lambda x: x["hit"])), "__forms": confusables.spell(folder)("__tokens")}
+        read["__forms"] = confusables.spell(folder)("__tokens")
     df = df.withColumns(read)
     parts = [rules.single_characters(), rules.bidi_unbalanced(F.col("__controls"), F.col("__loose")), decode.tag_smuggling(F.col("__tags")), decode.selector_findings(F.col("__selectors"))]
     if visible:
-        df = confusables.with_flagged(confusables.with_words(df), F.col("__code"), confusables.Scripts(docs.sparkSession, folder))
-        df = confusables.with_occurrences(df, F.col("__code"))
-        parts += [F.col("__confusables"), styled.styled_text(F.col("__passages"), F.col("__read"))]
+        df = confusables.with_flagged(confusables.with_words(df), F.col("__code"))
+        df = styled.with_passages(confusables.with_occurrences(df, F.col("__code")), "__islands", "__passages")
+        parts += [F.col("__confusables"), styled.styled_text(F.col("__passages"))]
     return placed(rows.computed(df, {"__spans": F.concat(*parts)}), "__spans").select(*[F.col(c) for c in docs.columns], "findings")
 
 

@@ -40,8 +40,8 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if filled >= cores else docs.repartition(cores)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back; this cuts the lineage."""
+def materialize(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back; this cuts the lineage. ``codec`` is for large tables."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(T.StructType([T.StructField(f.name, f.dataType) for f in df.schema])).parquet(path)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,4 +182,35 @@ def test_removal_leaves_bases(found):
     ],
 )
 def test_balance(points, loose):
-    assert [i for i, x in enumerate(unbalanced(points)) if x] == loose
+    assert np.flatnonzero(unbalanced(np.array(points, np.int64), np.zeros(len(points), np.int64))).tolist() == loose
+
+
+def slow_balance(points):
+    """Cut balanced parts out of a text until nothing changes; what is left, or goes alone, is loose."""
+    names = {0x2066: "i", 0x2067: "i", 0x2069: "I", 0x202A: "e", 0x202E: "e", 0x202C: "E", 0x0A: "n", 0x0D: "n"}
+    left, loose = [(i, names[p]) for i, p in enumerate(points)], []
+    while True:
+        text = "".join(c for _, c in left)
+        if found := re.search("(?:^|n)[eE]*(I)", text):  # ends no isolate
+            loose.append(left[found.start(1)][0])
+            cut = found.span(1)
+        elif found := re.search("eE", text):
+            cut = found.span()
+        elif found := re.search("i[eE]*I", text):
+            loose += [i for i, c in left[found.start() : found.end()] if c == "E"]
+            cut = found.span()
+        else:
+            return sorted(loose + [i for i, c in left if c != "n"])
+        left = left[: cut[0]] + left[cut[1] :]
+
+
+def test_balance_of_random_controls():
+    rng = random.Random(8)
+    rows = [[rng.choice((0x2066, 0x2067, 0x2069, 0x202A, 0x202E, 0x202C, 0x2069, 0x202C, 0x0A, 0x0D)) for _ in range(rng.randint(0, 40))] for _ in range(2000)]
+    want = list(map(slow_balance, rows))
+    flat, owner = np.array([p for r in rows for p in r]), np.array([i for i, r in enumerate(rows) for _ in r])
+    got = [[] for _ in rows]
+    begin = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    for at in np.flatnonzero(unbalanced(flat, owner)):
+        got[owner[at]].append(int(at - begin[owner[at]]))
+    assert got == want
