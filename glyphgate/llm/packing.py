@@ -154,9 +154,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, length: int = LENGTH) ->
     """
     ship(docs.sparkSession)
     kept = id_bytes(tokenizer)
-    rows = materialize(encoded(docs.select("doc_id", "text"), tokenizer, end), "encoded")
+    rows = materialize(encoded(docs.select("doc_id", "text"), tokenizer, end), "encoded", "zstd")
     ordered = on_curve(rows).repartitionByRange("key", "row").sortWithinPartitions("key", "row")
-    placed = materialize(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids", before_in_partition("n").alias("at")), "curve")
+    placed = materialize(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n", "ids", before_in_partition("n").alias("at")), "curve", "zstd")
     discard(rows)
     # One row for each partition meets on the driver and is sent back; no document is.
     starts, total = [], 0
