@@ -193,6 +193,16 @@ def tables(folder: str | None = None) -> Tables:
         gateway.shutdown()
 
 
+@functools.cache
+def _broadcast(application: str, folder: str | None):
+    return SparkContext._active_spark_context.broadcast(tables(folder))
+
+
+def shared_tables(folder: str | None = None):
+    """The tables as a broadcast of the running application, for Arrow functions; under a megabyte."""
+    return _broadcast(SparkContext._active_spark_context.applicationId, folder)
+
+
 @functools.cache
 def variation_sequences(folder: str | None = None) -> frozenset[tuple[int, int]]:
     """Registered (base, selector) pairs."""

@@ -7,16 +7,14 @@ ASCII has an ASCII skeleton. Collisions are groups in a sorted array.
 
 from __future__ import annotations
 
-import functools
-
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphgate.functions import rows
 from glyphgate.functions import text as X
-from glyphgate.functions.unicode_data import tables
+from glyphgate.functions.unicode_data import shared_tables
 from glyphgate.operators.rules import span
 from glyphgate.operators.styled import READ_CLASS
 
@@ -34,14 +32,9 @@ _FORMS = pa.struct([("skeleton", pa.string()), ("nfd", pa.string()), ("sets", pa
 _FORM = T.StructType([*[T.StructField(n, T.StringType()) for n in ("skeleton", "nfd")], T.StructField("sets", _SETS), *[T.StructField(n, T.BooleanType()) for n in ("mixed", "turkic")]])
 
 
-@functools.cache
-def _sent(context_id: str, folder: str | None):
-    return SparkSession.active().sparkContext.broadcast(tables(folder))
-
-
 def spell(folder: str | None = None):
     """The forms (``Tables.forms``) of each token of a list, as an Arrow function; the tables are broadcast, under a megabyte."""
-    known = _sent(SparkSession.active().sparkContext.applicationId, folder)
+    known = shared_tables(folder)
 
     def spelled(lists: pa.Array) -> pa.Array:
         forms = known.value.forms

@@ -14,8 +14,8 @@ from glyphgate.functions import properties as P
 from glyphgate.functions import rows
 from glyphgate.functions import text as X
 from glyphgate.functions.shipping import ship
-from glyphgate.plans.scan import scanned
-from glyphgate.plans.storage import materialize
+from glyphgate.functions.unicode_data import shared_tables, variation_sequences
+from glyphgate.operators.fixpoint import SPECIAL_CLASS, Repairer
 
 MODES = ("remove", "normalize", "keep")
 
@@ -72,31 +72,42 @@ def one_pass(found: DataFrame, mode: str = "remove", disabled: tuple[str, ...] =
     return out.select(*columns, "__fixed")
 
 
-def sanitize(docs: DataFrame, mode: str = "remove", disabled: tuple[str, ...] = (), allowed: tuple[int, ...] = ()) -> DataFrame:
+def repairer(mode: str = "remove", disabled: tuple[str, ...] = (), allowed: tuple[int, ...] = (), folder: str | None = None):
+    """(text, fixed, passes) of a text repaired to the end, as an Arrow function; null stays null.
+
+    Without ``folder`` a single ideographic variation selector after an ideograph stays, as no registry can tell whether
+    it belongs there.
+    """
+    options = (variation_sequences(folder), mode == "normalize", tuple(disabled), tuple(allowed), folder is None)
+    known = shared_tables(folder)
+
+    def repaired(texts: pa.Array) -> pa.Array:
+        own = Repairer(known.value, *options)
+        return pa.array([t and dict(zip(("text", "fixed", "passes"), own.repair(t))) for t in texts.to_pylist()], _REPAIRED)
+
+    return F.arrow_udf(repaired, T.StructType([T.StructField("text", T.StringType()), T.StructField("fixed", T.LongType()), T.StructField("passes", T.IntegerType())]))
+
+
+_REPAIRED = pa.struct([("text", pa.string()), ("fixed", pa.int64()), ("passes", pa.int32())])
+
+
+def sanitize(docs: DataFrame, mode: str = "remove", disabled: tuple[str, ...] = (), allowed: tuple[int, ...] = (), folder: str | None = None) -> DataFrame:
     """``docs`` repaired to the fixpoint, with ``fixed`` (findings repaired over all passes) and ``passes``.
 
-    Each pass scans only the rows that the one before changed; it removes or replaces a flagged character of each, so it
-    ends. Every row comes back once, in its other columns as it was.
+    One pass over the table: a text goes through all of its passes in one call, of which each looks only at what stood
+    beside the cuts of the one before. Texts without a character that a repair may touch never leave the engine. Every row
+    comes back once, in its other columns as it was; columns fixed and passes of ``docs`` are replaced.
     """
     if mode not in MODES:
         raise ValueError(mode)
-    begun = docs.withColumns({"fixed": F.lit(0).cast("long"), "passes": F.lit(0)})
+    columns = [c for c in docs.columns if c not in ("fixed", "passes")]
     if mode == "keep":
-        return begun
-    odd = F.coalesce(F.col("text").rlike(P.UNPLAIN), F.lit(False))
-    done, todo, no = [begun.where(~odd)], begun.where(odd), 0
-    while True:
-        after = materialize(one_pass(scanned(todo, visible=False), mode, disabled, allowed), "pass")
-        done.append(after.where("__fixed = 0").drop("__fixed"))
-        changed = after.where("__fixed > 0")
-        if changed.isEmpty():
-            break
-        no += 1
-        todo = changed.withColumns({"fixed": F.col("fixed") + F.col("__fixed"), "passes": F.lit(no)}).drop("__fixed")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
-    return out
+        return docs.select(*columns, F.lit(0).cast("long").alias("fixed"), F.lit(0).alias("passes"))
+    ship(docs.sparkSession)
+    odd = F.when(F.col("text").rlike(SPECIAL_CLASS), F.col("text"))
+    done = docs.withColumn("__repaired", repairer(mode, disabled, allowed, folder)(odd))
+    kept = [F.coalesce("__repaired.text", "text").alias("text") if c == "text" else F.col(c) for c in columns]
+    return done.select(*kept, F.coalesce("__repaired.fixed", F.lit(0)).cast("long").alias("fixed"), F.coalesce("__repaired.passes", F.lit(0)).cast("int").alias("passes"))
 
 
 def revealed(text: Column, findings: str = "findings") -> Column:

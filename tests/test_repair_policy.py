@@ -76,6 +76,52 @@ def test_random_texts_reach_a_fixpoint(spark):
     assert all([c for c in t if c in seen] == [c for c in done[i] if c in seen] for i, t in enumerate(texts))
 
 
+def by_passes(docs, mode="remove", disabled=(), allowed=()):
+    """Scan, repair once, and again, until nothing changes."""
+    total = {}
+    for no in range(60):
+        done = repair.one_pass(scanned(docs, visible=False), mode, disabled, allowed).collect()
+        for r in done:
+            fixed, passes = total.get(r.doc_id, (0, 0))
+            total[r.doc_id] = (fixed + r["__fixed"], no + 1 if r["__fixed"] else passes)
+        if not any(r["__fixed"] for r in done):
+            return {r.doc_id: (r.text, *total[r.doc_id]) for r in done}
+        docs = docs.sparkSession.createDataFrame([(r.doc_id, r.text) for r in done], "doc_id long, text string")
+    raise AssertionError("no end")
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"mode": "normalize"}, {"disabled": ("variation-selector-stray", "invisible")}, {"disabled": ("bidi-control",)}, {"disabled": ("variation-selector-smuggling", "bidi-unbalanced"), "allowed": (0xE0041, 0xA0, 0x202E)}],
+)
+def test_one_call_repairs_as_passes_do(spark, options):
+    rng = random.Random(len(str(options)))
+    alphabet = [*map(ord, "aZ9 .:!\n\r"), 0x200B, 0x200C, 0x200C, 0x200D, 0x61C, 0x202E, 0x202C, 0x2066, 0x2069, 0xA0, 0x3000, 0x85, 0x1B, 0xFE0F, 0xFE00, 0xE0101, 0xE0158, 0xE0041, 0xE007F, 0x1F3F4, 0x1F600, 0x644, 0x94D, 0x915, 0x430, 0xFEFF, 0x2800, 0x2801, 0xAB]
+    texts = ["".join(chr(rng.choice(alphabet)) for _ in range(rng.randint(1, 40))) for _ in range(400)]
+    flag = u(0x1F3F4) + "".join(chr(0xE0000 + ord(c)) for c in "gbsct") + u(0xE007F)
+    texts += [flag, flag + u(0xE0041), flag[:1] + u(0x200B) + flag[1:], "x" + u(0x200B, 0xFE0F, 0x200B, 0xFE0E), u(0x200B, 0xFEFF) + "a"]
+    bits = "".join("w" + (u(0xFE0F) if b == "1" else u(0xFE0E)) for c in "meet at 9" for b in f"{ord(c):08b}")
+    texts += [bits, "x" + bits + u(0x200B) + "w" + u(0xFE0F), "".join("y" + chr(0xE0100 + b - 16) for b in b"attackers"), "y" + u(0xE0150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.fixed, r.passes) for r in repair.sanitize(docs, **options).collect()}
+    want = by_passes(docs, **options)
+    assert {i: (texts[i], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+
+
+def test_ideographic_variants(spark):
+    """Without a registry one selector after an ideograph stays; what spells a text goes."""
+    assert fixed(spark, "\u845b" + u(0xE0100)).text == "\u845b" + u(0xE0100)
+    carried = "".join("\u5c71" + chr(0xE0100 + b - 16) for b in b"attackers")
+    assert fixed(spark, carried).text == "\u5c71" * 9
+    assert fixed(spark, "a" + u(0xE0100)).text == "a"
+
+
+def test_long_repairs(spark):
+    assert fixed(spark, "a" + u(0xFE0F, 0x200B) * 200_000 + "b").text == "ab"
+    row = fixed(spark, ":" + u(0x200B) + u(0x61C, 0x200C) * 20_000 + u(0x644))
+    assert row.text == ":" + u(0x644)
+
+
 def test_reveal(spark):
     docs = spark.createDataFrame([(1, f"a{u(0x202E)}b"), (2, "x"), (3, "z" + "".join(chr(0xE0000 + ord(c)) for c in "obey!"))], "doc_id long, text string")
     got = dict(repair.reveal(scanned(docs)).collect())
