@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,13 +95,48 @@ touched = F.arrow_udf(_touched, T.ArrayType(T.BooleanType()))
 merged = F.arrow_udf(_merged, T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 
 
-def computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+class Recipe:
+    """Steps of columns to add and drop, noted once and then applied to any table.
+
+    It stands in for a DataFrame while functions add their columns. Making the expressions of a scan takes thousands of
+    calls to the JVM, and they are the same for every table.
+    """
+
+    def __init__(self, session: SparkSession, columns: tuple[str, ...] = ("text",)) -> None:
+        self.sparkSession, self.columns, self.steps = session, list(columns), []
+
+    def _noted(self, kind: str, what, columns: list[str]) -> Recipe:
+        self.steps.append((kind, what))
+        self.columns = columns
+        return self
+
+    def computed(self, columns: dict[str, Column]) -> Recipe:
+        return self._noted("computed", columns, list(dict.fromkeys([*self.columns, *columns])))
+
+    def withColumns(self, columns: dict[str, Column]) -> Recipe:  # noqa: N802  as a DataFrame has it
+        return self._noted("with", columns, list(dict.fromkeys([*self.columns, *columns])))
+
+    def withColumn(self, name: str, column: Column) -> Recipe:  # noqa: N802
+        return self.withColumns({name: column})
+
+    def drop(self, *names: str) -> Recipe:
+        return self._noted("drop", names, [c for c in self.columns if c not in names])
+
+    def applied(self, df: DataFrame) -> DataFrame:
+        for kind, what in self.steps:
+            df = computed(df, what) if kind == "computed" else df.withColumns(what) if kind == "with" else df.drop(*what)
+        return df
+
+
+def computed(df: DataFrame | Recipe, columns: dict[str, Column]) -> DataFrame | Recipe:
     """``df`` with ``columns``, each computed once for a row, however often it is used.
 
     Below an Arrow function the optimizer puts a column's expression wherever the column stands, even within lambdas,
     where it is evaluated for each element. It does not look through a generator. (The outer form, as for an inner one
     it would test the array in a filter.)
     """
+    if isinstance(df, Recipe):
+        return df.computed(columns)
     kept = [c for c in df.columns if c not in columns]
     return df.select(*[F.col(c) for c in kept], F.inline_outer(F.array(F.struct(*[e.alias(n) for n, e in columns.items()]))))
 

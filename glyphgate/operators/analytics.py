@@ -1,11 +1,14 @@
 """Corpus analytics over findings: counts, shares, classifications, audits, coverage and differences.
 
-``findings`` are exploded findings; ``rows`` are documents with the array ``findings`` (``plans.scan.scanned``), so what
-needs both reads one row and joins nothing.
+``findings`` are exploded findings; ``rows`` are documents with the array ``findings`` (``plans.scan.scanned``). What counts
+documents, or needs all findings of one, counts rows and reads one row: rows with the same id, or none, stay apart, and
+only counts are shuffled.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +18,8 @@ from glyphgate.functions import text as X
 from glyphgate.functions.rows import computed, matches, touched
 from glyphgate.functions.shipping import ship
 from glyphgate.operators.repair import merged_spans
+from glyphgate.plans.storage import materialize
 
-SEVERITY_ORDER = "CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END"
 # Probe classes that are independent of the rules, as code point ranges.
 PROBES: dict[str, P.Ranges] = {
     "math-alphanumeric": ((0x1D400, 0x1D7FF),),
@@ -50,31 +53,55 @@ PROBE_PATTERNS = {name: f"[{P.char_class(r)}]+" for name, r in PROBES.items()} |
 }
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
-    count = lambda s: F.count_if(F.col("severity") == s).alias(s)
-    return findings.agg(count("error"), count("warning"), count("info"), F.count("*").alias("total"), F.count_distinct("doc_id").alias("files"))
+def _of(severity: str) -> Column:
+    return F.size(F.filter("findings", lambda f: f["severity"] == severity))
 
 
-def summary_groups(findings: DataFrame) -> DataFrame:
-    """Per document, severity, rule and (for rules about one character) character: count, first and last place, decoded."""
-    first_cp = F.when(F.col("rule").isin(*P.BY_CHARACTER), F.get("code_points", F.lit(0)))
-    grouped = findings.withColumn("cp", first_cp).groupBy("doc_id", "severity", "rule", "cp").agg(
-        F.count("*").alias("n"), F.min("start_off").alias("first_off"), F.max("start_off").alias("last_off"),
-        F.min_by("start_line", "start_off").alias("first_line"), F.max_by("start_line", "start_off").alias("last_line"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.substr("decoded", F.lit(1), F.lit(120)))), 1, 3), "|").alias("decoded"),
-    )
-    return grouped
+def severity_counts(rows: DataFrame) -> DataFrame:
+    count = lambda s: F.coalesce(F.sum(_of(s).cast("long")), F.lit(0)).alias(s)
+    whole = F.coalesce(F.sum(F.size("findings").cast("long")), F.lit(0)).alias("total")
+    return rows.agg(count("error"), count("warning"), count("info"), whole, F.count_if(F.size("findings") > 0).alias("files"))
+
+
+def counted_kinds(kind) -> Column:
+    """(kind, n) of each distinct ``kind`` of the row's findings."""
+    return F.transform(F.array_distinct(F.transform("findings", kind)), lambda k: F.struct(k.alias("kind"), F.size(F.filter("findings", lambda f: kind(f).eqNullSafe(k))).cast("long").alias("n")))
+
+
+def rule_severity(rows: DataFrame) -> DataFrame:
+    """Findings and documents by rule and severity."""
+    each = rows.select(F.explode(counted_kinds(lambda f: F.struct(f["rule"].alias("rule"), f["severity"].alias("severity")))).alias("x"))
+    return each.groupBy("x.kind.rule", "x.kind.severity").agg(F.sum("x.n").alias("findings"), F.count("*").alias("documents"))
 
 
-def rule_severity(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("rule", "severity").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+def summary_groups(rows: DataFrame) -> DataFrame:
+    """Per document, severity, rule and (for rules about one character) character: count, first and last place, decoded.
 
+    ``no`` orders a document's groups: errors, warnings, notes; the most frequent first, then by first place.
+    """
+    point = lambda f: F.when(f["rule"].isin(*P.BY_CHARACTER), F.get(f["code_points"], F.lit(0)))
+    kind = lambda f: F.struct(f["severity"].alias("severity"), f["rule"].alias("rule"), point(f).alias("cp"))
+    rank = lambda k: F.when(k["severity"] == "error", 0).when(k["severity"] == "warning", 1).otherwise(2)
+
+    def group(k: Column) -> Column:
+        own = F.filter("findings", lambda f: kind(f).eqNullSafe(k))
+        first, last = F.get(own, F.lit(0)), F.element_at(own, -1)
+        told = F.array_sort(F.array_distinct(F.filter(F.transform(own, lambda f: F.substr(f["decoded"], F.lit(1), F.lit(120))), lambda d: d.isNotNull())))
+        return F.struct(
+            rank(k).alias("rank"), (-F.size(own)).alias("less"), first["start_off"].alias("first_off"), k.alias("k"), F.size(own).cast("long").alias("n"), last["start_off"].alias("last_off"),
+            first["start_line"].alias("first_line"), last["start_line"].alias("last_line"), F.array_join(F.slice(told, 1, 3), "|").alias("decoded"),
+        )
+
+    groups = F.array_sort(F.transform(F.array_distinct(F.transform("findings", kind)), group))
+    each = rows.where(F.size("findings") > 0).select("doc_id", F.posexplode(groups).alias("no", "g"))
+    return each.select("doc_id", "no", "g.k.severity", "g.k.rule", "g.k.cp", *[f"g.{c}" for c in ("n", "first_off", "last_off", "first_line", "last_line", "decoded")])
 
-def top_share(findings: DataFrame, top: int = 10) -> DataFrame:
+
+def top_share(rows: DataFrame, top: int = 10) -> DataFrame:
     """Share of the ``top`` documents in all findings, and the most in one document."""
-    per_doc = findings.groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = per_doc.orderBy(F.desc("n"), "doc_id").limit(top).agg(F.sum("n").alias("top"))
-    whole = per_doc.agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
+    per_row = rows.select("doc_id", F.size("findings").cast("long").alias("n")).where("n > 0")
+    first = per_row.orderBy(F.desc("n"), "doc_id").limit(top).agg(F.sum("n").alias("top"))
+    whole = per_row.agg(F.sum("n").alias("total"), F.max("n").alias("largest"))
     return whole.crossJoin(F.broadcast(first)).select(F.round(F.col("top") / F.col("total"), 4).alias("share"), "largest", "total")  # one row each
 
 
@@ -102,28 +129,34 @@ LABELS = (
 )
 
 
-def classify(findings: DataFrame, labels: tuple[tuple[str, str], ...] = LABELS) -> DataFrame:
-    """Add ``label``; a finding that no rule labels is an error."""
-    out = F.when(F.expr(labels[0][1]), labels[0][0])
-    for label, condition in labels[1:]:
-        out = out.when(F.expr(condition), label)
-    return findings.withColumn("label", out.otherwise(F.raise_error(F.concat(F.lit("no label for rule "), F.col("rule")))))
+def labelled(rows: DataFrame) -> DataFrame:
+    """``rows`` with the label of each finding, in the array ``labels``."""
+    cases = " ".join(f"WHEN {re.sub(r'\b(rule|severity|decoded)\b', r'f.\1', condition)} THEN '{name}'" for name, condition in LABELS)
+    return rows.withColumn("labels", F.expr(f"transform(findings, f -> CASE {cases} ELSE raise_error(concat('no label for ', f.rule)) END)"))
+
+
+def classified(rows: DataFrame) -> DataFrame:
+    """Findings by label and rule."""
+    both = F.arrays_zip(F.col("labels").alias("label"), F.col("findings").alias("f"))
+    return labelled(rows).select(F.explode(both).alias("x")).groupBy("x.label", "x.f.rule").agg(F.count("*").alias("n"))
 
 
-def label_shares(labelled: DataFrame) -> DataFrame:
+def label_shares(rows: DataFrame) -> DataFrame:
     """Per label: findings, their share, and the share without the document that has most findings."""
-    per_doc = labelled.groupBy("doc_id", "label").agg(F.count("*").alias("n"))
-    big = per_doc.groupBy("doc_id").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "doc_id").limit(1).select("doc_id", F.lit(True).alias("big"))
-    marked = per_doc.join(F.broadcast(big), "doc_id", "left")
-    rolled = marked.groupBy("label").agg(F.sum("n").alias("findings"), F.sum(F.when(F.col("big").isNull(), F.col("n")).otherwise(0)).alias("others"))
+    counted = labelled(rows).where(F.size("findings") > 0).select("doc_id", F.size("labels").alias("all"), F.transform(F.array_distinct("labels"), lambda x: F.struct(x.alias("label"), F.size(F.filter("labels", lambda y: y == x)).cast("long").alias("n"))).alias("kinds"))
+    counted = materialize(counted, "labels")
+    each = counted.select(F.inline("kinds")).groupBy("label").agg(F.sum("n").alias("findings"))
+    big = counted.orderBy(F.desc("all"), "doc_id").limit(1).select(F.inline("kinds")).withColumnRenamed("n", "big")  # one document's few labels
+    rolled = each.join(F.broadcast(big), "label", "left").select("label", "findings", (F.col("findings") - F.coalesce("big", F.lit(0))).alias("others"))
     everything = Window.partitionBy(F.lit(1))  # one row for each label
     return rolled.select("label", "findings", F.round(F.col("findings") / F.sum("findings").over(everything), 4).alias("share"), F.round(F.col("others") / F.sum("others").over(everything), 4).alias("share_others"))
 
 
-def harmless_errors(labelled: DataFrame) -> DataFrame:
-    """Documents with an error, and those of them none of whose errors was labelled hidden or disguised."""
-    per_doc = labelled.where("severity = 'error'").groupBy("doc_id").agg(F.bool_or(F.col("label").isin("H", "O")).alias("bad"))
-    return per_doc.agg(F.count("*").alias("error_docs"), F.count_if(~F.col("bad")).alias("harmless"))
+def harmless_errors(rows: DataFrame) -> DataFrame:
+    """Documents with an error, and those of them none of whose errors is labelled hidden or disguised."""
+    errors = F.filter(F.arrays_zip(F.col("labels").alias("label"), F.col("findings").alias("f")), lambda x: x["f"]["severity"] == "error")
+    bad = F.exists(errors, lambda x: x["label"].isin("H", "O"))
+    return labelled(rows).agg(F.count_if(F.size(errors) > 0).alias("error_docs"), F.count_if((F.size(errors) > 0) & ~bad).alias("harmless"))
 
 
 def audit_sample(findings: DataFrame, size: int = 100, seed: int = 1) -> DataFrame:

@@ -12,9 +12,11 @@ TOOL = "glyphgate"
 SARIF_SCHEMA = "https://docs.oasis-open.org/sarif/sarif/v2.1.0/errata01/os/schemas/sarif-schema-2.1.0.json"
 
 
-def message() -> Column:
-    names = F.array_join(F.transform(F.slice("code_points", 1, 3), X.unicode_name), ", ")
-    return F.concat(F.col("rule"), F.lit(": "), names, F.when(F.col("decoded").isNotNull(), F.concat(F.lit(" reads as "), X.diagnostic_text(F.col("decoded")))).otherwise(""))
+def message(f: Column | None = None) -> Column:
+    """What a finding says, of columns or of the struct ``f``."""
+    get = F.col if f is None else lambda name: f[name]
+    names = F.array_join(F.transform(F.slice(get("code_points"), 1, 3), X.unicode_name), ", ")
+    return F.concat(get("rule"), F.lit(": "), names, F.when(get("decoded").isNotNull(), F.concat(F.lit(" reads as "), X.diagnostic_text(get("decoded")))).otherwise(""))
 
 
 def _data(text: Column) -> Column:
@@ -37,15 +39,16 @@ def annotations(findings: DataFrame, path: Column) -> DataFrame:
     return findings.select("doc_id", "start_off", "rule", line.alias("line"))
 
 
-def json_lines(findings: DataFrame) -> DataFrame:
+def json_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, findings, json): one JSON object for each document with findings, its findings in order."""
-    one = F.struct(
-        "start_off", "rule", "severity", F.struct(F.col("start_line").alias("line"), F.col("start_col").alias("column"), F.col("start_off").alias("offset")).alias("start"),
-        "end_off", F.transform("code_points", X.u_label).alias("codePoints"), F.transform("code_points", X.unicode_name).alias("names"), message().alias("message"),
-        "decoded", "skeleton", "fixable",
+    one = lambda f: F.struct(
+        f["start_off"].alias("start_off"), f["rule"].alias("rule"), f["severity"].alias("severity"),
+        F.struct(f["start_line"].alias("line"), f["start_col"].alias("column"), f["start_off"].alias("offset")).alias("start"), f["end_off"].alias("end_off"),
+        F.transform(f["code_points"], X.u_label).alias("codePoints"), F.transform(f["code_points"], X.unicode_name).alias("names"), message(f).alias("message"),
+        f["decoded"].alias("decoded"), f["skeleton"].alias("skeleton"), f["fixable"].alias("fixable"),
     )
-    rolled = findings.select("doc_id", one.alias("f")).groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("all"))
-    return rolled.select("doc_id", F.size("all").cast("long").alias("findings"), F.to_json(F.struct("doc_id", F.col("all").alias("findings"))).alias("json"))
+    some = rows.where(F.size("findings") > 0)
+    return some.select("doc_id", F.size("findings").cast("long").alias("findings"), F.to_json(F.struct("doc_id", F.transform("findings", one).alias("findings"))).alias("json"))
 
 
 def sarif_results(findings: DataFrame, path: Column) -> DataFrame:
@@ -58,22 +61,43 @@ def sarif_results(findings: DataFrame, path: Column) -> DataFrame:
     return findings.select("doc_id", "start_off", "rule", F.to_json(result).alias("result"))
 
 
-def sarif_logs(results: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(doc_id, log): a whole SARIF log for each document of ``sarif_results``; ``rules`` describes each rule."""
+def sarif_lines(results: DataFrame, rules: dict[str, str], order: list[str]) -> DataFrame:
+    """(part, key, line): the lines of one SARIF log over all of ``results``, in the order of (part, key).
+
+    Each result is a line, with a comma before all but the first; a head and a foot line stand around them. Nothing but
+    the smallest key is gathered. ``rules`` describes each rule.
+    """
+    keyed = results.select(F.struct(*order, "result").alias("key"), "result")
+    first = keyed.agg(F.min("key").alias("first"))  # one row
+    kind = keyed.schema["key"].dataType
     about = F.array(*[F.struct(F.lit(r).alias("id"), F.struct(F.lit(text).alias("text")).alias("shortDescription")) for r, text in sorted(rules.items())])
-    rolled = results.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_off", "rule", "result"))), lambda x: x["result"]), ",").alias("all"))
     driver = F.to_json(F.struct(F.struct(F.lit(TOOL).alias("name"), about.alias("rules")).alias("driver")))
-    log = F.concat(F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'), driver, F.lit(',"results":['), F.col("all"), F.lit("]}]}"))
-    return rolled.select("doc_id", log.alias("log"))
+    head = F.concat(F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":'), driver, F.lit(',"results":['))
+    smallest = first.first()["first"]
+    comma = F.when(F.col("key") == F.lit(None).cast(kind), "") if smallest is None else F.when(F.col("key") > _literal(smallest, kind), ",")
+    body = keyed.select(F.lit(1).alias("part"), "key", F.concat(F.coalesce(comma, F.lit("")), F.col("result")).alias("line"))
+    ends = results.sparkSession.range(2).select((F.col("id") * 2).cast("int").alias("part"), F.lit(None).cast(kind).alias("key"), F.when(F.col("id") == 0, head).otherwise("]}]}").alias("line"))
+    return body.unionByName(ends)
+
+
+def _literal(row, kind) -> Column:
+    return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kind.fields])
+
+
+def write_sarif(results: DataFrame, rules: dict[str, str], order: list[str], path: str) -> None:
+    """One SARIF log for a whole run: text files under ``path`` that, put together in the order of their names, are one JSON document."""
+    lines = sarif_lines(results, rules, order)
+    keys = [F.col("part"), F.col("key").asc_nulls_first()]
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("line").write.mode("errorifexists").text(path)
 
 
 def summary_lines(groups: DataFrame) -> DataFrame:
-    """(doc_id, line) of the groups of ``analytics.summary_groups``: one readable line for each kind of finding of a document."""
+    """(doc_id, no, line) of the groups of ``analytics.summary_groups``: one readable line for each kind of finding of a document."""
     place = lambda which: F.col(f"{which}_line").cast("string")
     where = F.when(F.col("n") == 1, F.concat(F.lit("line "), place("first"))).otherwise(F.concat(F.lit("lines "), place("first"), F.lit(" to "), place("last")))
     what = F.when(F.col("cp").isNotNull(), F.concat(F.lit(" "), X.unicode_name(F.col("cp")))).otherwise("")
     told = F.when(F.col("decoded") != "", F.concat(F.lit(", reads as "), X.diagnostic_text(F.col("decoded")))).otherwise("")
-    return groups.select("doc_id", F.concat(F.col("severity"), F.lit(" "), F.col("rule"), what, F.lit(" x"), F.col("n").cast("string"), F.lit(", "), where, told).alias("line"))
+    return groups.select("doc_id", "no", F.concat(F.col("severity"), F.lit(" "), F.col("rule"), what, F.lit(" x"), F.col("n").cast("string"), F.lit(", "), where, told).alias("line"))
 
 
 def excerpt(text: Column, start: Column, end: Column, around: int = 32, most: int = 80) -> Column:

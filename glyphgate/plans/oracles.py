@@ -277,13 +277,14 @@ def _reveal() -> str:
 
 
 def _summary() -> str:
-    return f"""SELECT doc_id, severity || ' ' || rule || CASE WHEN cp IS NULL THEN '' ELSE ' ' || {_names()} END || ' x' || n || ', ' || CASE WHEN n = 1 THEN 'line ' || first_line ELSE 'lines ' || first_line || ' to ' || last_line END
+    return f"""SELECT doc_id, no, severity || ' ' || rule || CASE WHEN cp IS NULL THEN '' ELSE ' ' || {_names()} END || ' x' || n || ', ' || CASE WHEN n = 1 THEN 'line ' || first_line ELSE 'lines ' || first_line || ' to ' || last_line END
       || CASE WHEN decoded = '' THEN '' ELSE ', reads as ' || {_escaped('decoded')} END AS line FROM ({SUMMARY})"""
 
 
-SUMMARY = f"""SELECT doc_id, severity, rule, CASE WHEN rule IN ({', '.join(f"'{r}'" for r in P.BY_CHARACTER)}) THEN cp END AS cp, count(*) AS n, min(start_off) AS first_off, max(start_off) AS last_off,
+SUMMARY = f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, n DESC, first_off, rule)::INTEGER - 1 AS no FROM (
+  SELECT doc_id, severity, rule, CASE WHEN rule IN ({', '.join(f"'{r}'" for r in P.BY_CHARACTER)}) THEN cp END AS cp, count(*) AS n, min(start_off) AS first_off, max(start_off) AS last_off,
   arg_min(start_line, start_off) AS first_line, arg_max(start_line, start_off) AS last_line,
-  coalesce(array_to_string(list_sort(list_distinct(list(substring(decoded, 1, 120)) FILTER (decoded IS NOT NULL)))[1:3], '|'), '') AS decoded FROM found GROUP BY ALL"""
+  coalesce(array_to_string(list_sort(list_distinct(list(substring(decoded, 1, 120)) FILTER (decoded IS NOT NULL)))[1:3], '|'), '') AS decoded FROM found GROUP BY ALL)"""
 
 PREVIEW = r"""
   repaired AS (SELECT doc_id, text AS before, new AS after FROM planted JOIN (

@@ -12,13 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphgate.functions import properties as P
 from glyphgate.functions import rows
 from glyphgate.functions import text as X
 from glyphgate.functions.shipping import ship
 from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules
 from glyphgate.plans.corpora import planted, planted_in
 from glyphgate.plans.scan import exploded, placed, scan, scanned
-from glyphgate.plans.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACE = ("doc_id", "rule", "severity", "start_idx", "end_idx", "start_off", "end_off", "start_line", "start_col")
@@ -201,15 +201,18 @@ def _diff(found: DataFrame) -> DataFrame:
     return analytics.scan_diff(found.where("rule <> 'control-character'"), policy.allow(found, list(ALLOWED)))
 
 
+def _sarif_run(found: DataFrame) -> DataFrame:
+    """The lines of one log for all documents, numbered."""
+    results = reports.sarif_results(_with_path(found), F.col("path"))
+    lines = reports.sarif_lines(results, {r: r for r in P.RULES}, ["doc_id", "start_off", "rule"])
+    return lines.select("part", "key.doc_id", "key.start_off", "key.rule", F.sha2("line", 256).alias("digest"))
+
+
 def _inspection_bundle(docs: DataFrame) -> DataFrame:
     found = analytics.inspection_bundle(scanned(docs.select("doc_id", "text")))
     return found.select("doc_id", "code_points", "n_findings", "n_error", "n_warning", "n_info", "preview", "sanitized", F.size("remaining").alias("n_remaining"))
 
 
-def _payload_audit(docs: DataFrame) -> DataFrame:
-    return payloads.payload_audit(payloads.decoded_payloads(docs), scan(docs))
-
-
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with something planted, their ids as doc_id."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"), F.col("url").alias("source"), F.lit("html").alias("lang"))
@@ -259,15 +262,15 @@ def queries() -> dict[str, Query]:
         "sanitize_normalize": _on_planted(_sanitized("normalize")),
         "reveal": _over_rows(lambda r: repair.reveal(r.select("doc_id", "text", "findings"))),
         "fix_preview": _on_planted(_fix_preview),
-        "severity_counts": _over_scan(a.severity_counts),
-        "summary_groups": _over_findings(a.summary_groups),
-        "census_rule_severity": _over_scan(a.rule_severity),
-        "census_top_share": _over_scan(lambda f: a.top_share(materialize(f.select("doc_id"), "findings"))),
+        "severity_counts": _over_scanned(a.severity_counts),
+        "summary_groups": _over_rows(a.summary_groups),
+        "census_rule_severity": _over_scanned(a.rule_severity),
+        "census_top_share": _over_scanned(a.top_share),
         "census_strata": _over_scanned(lambda r: a.strata(r, "lang")),
         "split_rates": _over_scanned(lambda r: a.split_rates(r, "CASE WHEN source LIKE 'src1%' THEN 'a' ELSE 'b' END")),
-        "classify": _over_scan(lambda f: a.classify(f).groupBy("label", "rule").agg(F.count("*").alias("n"))),
-        "label_shares": _over_scan(lambda f: a.label_shares(a.classify(materialize(f.select("doc_id", "rule", "severity", "decoded"), "findings")))),
-        "harmless_errors": _over_scan(lambda f: a.harmless_errors(a.classify(f))),
+        "classify": _over_scanned(a.classified),
+        "label_shares": _over_scanned(a.label_shares),
+        "harmless_errors": _over_scanned(a.harmless_errors),
         "audit_sample": _over_scan(lambda f: a.audit_sample(f).select(*PLACE)),
         "probe_classes": _on_planted(lambda d: a.probe_classes(a.probed(d))),
         "coverage": _over_rows(lambda r: a.coverage(a.probed(r))),
@@ -276,16 +279,17 @@ def queries() -> dict[str, Query]:
         "manifest_digest": lambda spark, sf_dir: a.manifest_digest(_docs(spark, sf_dir)),
         "context": _over_rows(a.context),
         "zero_width_payloads": _on_planted(payloads.zero_width_payloads),
-        "payload_audit": _on_planted(_payload_audit),
+        "payload_audit": _over_scanned(payloads.payload_audit),
         "inspection": _over_rows(a.inspection),
         "report_annotations": _over_findings(lambda f: reports.annotations(_with_path(f), F.col("path"))),
-        "report_json": _over_findings(reports.json_lines),
+        "report_json": _over_rows(reports.json_lines),
         "report_sarif": _over_findings(lambda f: reports.sarif_results(_with_path(f), F.col("path"))),
+        "sarif_run": _over_findings(_sarif_run),
         "census_rows": _over_scanned(lambda r: reports.census_rows(r).select("doc_id", "source", "lang", "n")),
         "scan": _on_planted(lambda d: scan(d).select(*PLACE, "decoded", "skeleton", "fixable")),
         "scan_pages": lambda spark, sf_dir: scan(_pages(spark, sf_dir)).select(*PLACE, "decoded", "skeleton"),
         "scan_conversations": lambda spark, sf_dir: scan(_turns(spark, sf_dir), keep=("doc_id", "turn")).select("turn", *PLACE, "decoded", "skeleton"),
         "inspection_bundle": _on_planted(_inspection_bundle),
-        "summary_lines": _over_findings(lambda f: reports.summary_lines(a.summary_groups(f))),
+        "summary_lines": _over_rows(lambda r: reports.summary_lines(a.summary_groups(r))),
         "report_pretty": _over_rows(reports.pretty),
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
@@ -23,7 +23,7 @@ def placed(df: DataFrame, spans: str) -> DataFrame:
         x["a"]["line"].alias("start_line"), x["a"]["col"].alias("start_col"), x["b"]["line"].alias("end_line"), x["b"]["col"].alias("end_col"),
         *[x["s"][c].alias(c) for c in ("code_points", "decoded", "skeleton", "removal_start", "removal_end")], (~x["s"]["rule"].isin(*P.NOT_FIXABLE)).alias("fixable"),
     )
-    return df.withColumn("findings", F.transform(first, one)).drop("__at", "__inner")
+    return df.withColumns({"findings": F.transform(first, one)}).drop("__at", "__inner")
 
 
 def exploded(df: DataFrame, *keep: str) -> DataFrame:
@@ -39,8 +39,20 @@ def scanned(docs: DataFrame, code: bool | Column = False, folder: str | None = N
     ``code`` says for all rows, or as a column for each, whether tokens are identifiers. ``folder`` holds Unicode data
     files. ``visible`` false leaves out lookalikes and styled text, which no repair changes.
     """
+    key = (docs.sparkSession.sparkContext.applicationId, code, folder, visible) if isinstance(code, bool) else None
+    recipe = _recipes.get(key) or _scan_recipe(docs.sparkSession, code, folder, visible)
+    if key:
+        _recipes[key] = recipe
+    return recipe.applied(docs).select(*[F.col(c) for c in docs.columns], "findings")
+
+
+#: Recipes by application and options.
+_recipes: dict[tuple | None, rows.Recipe] = {}
+
+
+def _scan_recipe(spark: SparkSession, code: bool | Column, folder: str | None, visible: bool) -> rows.Recipe:
     code = F.lit(code) if isinstance(code, bool) else F.coalesce(code, F.lit(False))
-    df, more = docs, {}
+    df, more = rows.Recipe(spark), {}
     if visible:
         more["__islands"] = styled.wanted(F.col("__far"))
         df = rows.computed(df, {"__code": code, "__tokens": confusables.beyond_tokens(code)})
@@ -54,7 +66,7 @@ def scanned(docs: DataFrame, code: bool | Column = False, folder: str | None = N
         df = confusables.with_flagged(confusables.with_words(df), F.col("__code"))
         df = styled.with_passages(confusables.with_occurrences(df, F.col("__code")), "__islands", "__passages")
         parts += [F.col("__confusables"), styled.styled_text(F.col("__passages"))]
-    return placed(rows.computed(df, {"__spans": F.concat(*parts)}), "__spans").select(*[F.col(c) for c in docs.columns], "findings")
+    return placed(rows.computed(df, {"__spans": F.concat(*parts)}), "__spans")
 
 
 def scan(docs: DataFrame, code: bool | Column = False, folder: str | None = None, visible: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
