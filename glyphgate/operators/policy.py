@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
@@ -80,12 +80,25 @@ def override(findings: DataFrame, rules: dict[str, str | bool]) -> DataFrame:
     return out.withColumn("severity", F.coalesce(F.element_at(table, F.col("rule")), F.col("severity")))
 
 
+def _holds(blocks: list[Block], path: str) -> list[Column]:
+    return [F.lit(True) if not b.files else F.greatest(*[F.col(path).rlike(glob_pattern(g)) for g in b.files], F.lit(False)) for b in blocks]
+
+
+def code_by_path(blocks: list[Block], path: str = "path") -> Column:
+    """Whether a path's text is code: the last matching block that says so decides, and prose is the default."""
+    code = F.lit(False)
+    for b, hit in zip(blocks, _holds(blocks, path)):
+        if b.code is not None:
+            code = F.when(hit, F.lit(b.code)).otherwise(code)
+    return F.coalesce(code, F.lit(False))
+
+
 def by_path(findings: DataFrame, blocks: list[Block], path: str = "path") -> DataFrame:
     """Apply ordered blocks: the last matching block that names a rule decides, allowed characters add up.
 
     A policy is a handful of blocks, so it becomes expressions of the plan; no join is needed.
     """
-    holds = [F.lit(True) if not b.files else F.greatest(*[F.col(path).rlike(glob_pattern(g)) for g in b.files], F.lit(False)) for b in blocks]
+    holds = _holds(blocks, path)
     severity, allowed = F.col("severity"), F.array().cast("array<long>")
     for b, hit in zip(blocks, holds):
         for rule, value in b.rules.items():

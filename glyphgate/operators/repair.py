@@ -168,14 +168,22 @@ changed_block = F.arrow_udf(_changed, _CHANGES)
 def fix_preview(pairs: DataFrame) -> DataFrame:
     """Other columns of ``pairs`` (before, after), and line, old and new of the lines that a repair changes.
 
-    Lines pair up where their number stays, else what lies between the common first and last lines is one change.
+    A repair adds a line only where it makes a line break of a line maker, so the line makers of a line tell how many
+    lines it became. Where these do not add up, what lies between the common first and last lines is one change.
     """
     ship(pairs.sparkSession)
     kept = [c for c in pairs.columns if c not in ("before", "after")]
     lines = lambda c: F.split(c, r"\r\n|\r|\n", -1)
+    makers = "[" + P.char_class((), P.LINE_MAKERS) + "]"
     both = rows.computed(pairs.where("before <> after"), {"__a": lines("before"), "__b": lines("after")})
-    paired = F.filter(F.transform(F.arrays_zip(F.col("__a").alias("a"), F.col("__b").alias("b")), lambda z, i: F.struct((i + 1).cast("long").alias("line"), z["a"].alias("old"), z["b"].alias("new"))), lambda x: x["old"] != x["new"])
+    added = F.size("__b") - F.size("__a")
+    more = F.when(added == 0, F.transform("__a", lambda x: F.lit(0).cast("long"))).otherwise(F.transform("__a", lambda x: F.regexp_count(x, F.lit(makers)).cast("long")))
+    both = rows.computed(both, {"__more": more}).withColumn("__upto", rows.running(F.transform("__more", lambda n: n + 1)))
+    told = F.col("__upto")[F.size("__upto") - 1] == F.size("__b")
+    one = lambda z, i: F.struct(
+        (i + 1).cast("long").alias("line"), z["a"].alias("old"), F.array_join(F.slice("__b", (z["upto"] - z["more"]).cast("int"), (z["more"] + 1).cast("int")), "\n").alias("new"),
+    )
+    paired = F.filter(F.transform(F.arrays_zip(F.col("__a").alias("a"), F.col("__more").alias("more"), F.col("__upto").alias("upto")), one), lambda x: x["old"] != x["new"])
     none = F.array().cast("array<string>")
-    uneven = F.size("__a") != F.size("__b")
-    both = both.withColumn("__block", changed_block(F.when(uneven, F.col("__a")).otherwise(none), F.when(uneven, F.col("__b")).otherwise(none)))
-    return both.select(*kept, F.explode(F.when(uneven, F.col("__block")).otherwise(paired)).alias("x")).select(*kept, "x.line", "x.old", "x.new")
+    both = both.withColumn("__block", changed_block(F.when(told, none).otherwise(F.col("__a")), F.when(told, none).otherwise(F.col("__b"))))
+    return both.select(*kept, F.explode(F.when(told, paired).otherwise(F.col("__block"))).alias("x")).select(*kept, "x.line", "x.old", "x.new")

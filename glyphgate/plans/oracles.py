@@ -366,6 +366,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "tokens": _over(f"SELECT doc_id, len(w)::BIGINT AS tokens, len(list_distinct(w))::BIGINT AS spellings FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS w FROM planted)", f"planted AS ({planted_sql()})"),
         "skeleton": _over("SELECT DISTINCT token, skeleton FROM long JOIN spelled USING (token) WHERE NOT is_ascii", WORDS),
+        "sql_skeleton": _over("SELECT DISTINCT token, skeleton FROM long JOIN spelled USING (token) WHERE NOT is_ascii", WORDS),
+        "json_corpus": """SELECT CASE WHEN outcome = 'kept' THEN role END AS role, outcome, count(*) AS n, sum(CASE WHEN outcome = 'kept' THEN units ELSE 0 END)::BIGINT AS units FROM (
+            SELECT role, units, CASE WHEN turn % 7 = 3 THEN 'malformed' WHEN text IS NULL THEN 'no text' WHEN units > 400 THEN 'too long' ELSE 'kept' END AS outcome
+            FROM (SELECT role, turn, text, length(text) + len(regexp_extract_all(text, '[\\x{10000}-\\x{10FFFF}]')) AS units FROM conversations)) GROUP BY ALL""",
         "confusable_mixed": _over(f"SELECT doc_id, token, 'Cyrillic+Latin' AS signature FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{_CYRILLIC}]')", WORDS),
         "confusable_collision": _over(
             """SELECT doc_id, skeleton, array_to_string(list_sort(list(token)), ' ') AS tokens FROM long JOIN spelled USING (token)

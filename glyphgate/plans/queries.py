@@ -13,12 +13,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
-from glyphgate.functions import rows
+from glyphgate.functions import rows, sql
 from glyphgate.functions import text as X
 from glyphgate.functions.shipping import ship
 from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules
 from glyphgate.plans.corpora import planted, planted_in
-from glyphgate.plans.scan import exploded, placed, scan, scanned
+from glyphgate.plans.scan import exploded, placed, scan, scan_by_policy, scanned
+from glyphgate.plans.storage import new_path
+from glyphgate.sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACE = ("doc_id", "rule", "severity", "start_idx", "end_idx", "start_off", "end_off", "start_line", "start_col")
@@ -201,6 +203,40 @@ def _diff(found: DataFrame) -> DataFrame:
     return analytics.scan_diff(found.where("rule <> 'control-character'"), policy.allow(found, list(ALLOWED)))
 
 
+def _policy_scan(docs: DataFrame) -> DataFrame:
+    """Texts of two sources are code; what their identifiers hide counts as an error there only."""
+    blocks = [*BLOCKS, policy.Block(files=("/src0/**", "/src3/**"), code=True), policy.Block(files=("/src3/fr/*",), code=False)]
+    return scan_by_policy(_with_path(docs), blocks).select("path", *PLACE, "skeleton")
+
+
+def _json_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as JSON lines, every seventh line broken, read again: documents and what was rejected."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    line = F.to_json(F.struct("conv_id", "turn", "role", "text"))
+    broken = F.when(F.col("turn") % 7 == 3, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
+    path = new_path(spark, "lines")
+    turns.select(line.alias("line")).withColumn("turn", F.get_json_object("line", "$.turn").cast("int")).select(broken.alias("value")).write.text(path)
+    found = corpus.read_json_lines(spark, path, "conv_id long, turn long, role string, text string", most_units=400)
+    kept = found.documents.select("role", F.lit("kept").alias("outcome"), utf16_units("text").alias("units"))
+    lost = found.rejected.select(F.lit(None).cast("string").alias("role"), F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("units"))
+    return kept.unionByName(lost).groupBy("role", "outcome").agg(F.count("*").alias("n"), F.sum("units").alias("units"))
+
+
+def utf16_units(name: str) -> Column:
+    return X.utf16_length(F.col(name))
+
+
+def _sql_skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The skeletons of all tokens beyond ASCII, through the SQL functions."""
+    sql.register(spark)
+    found = _tokens_beyond(planted(spark, sf_dir))
+    return spark.sql("SELECT token, skeleton(token) AS skeleton FROM {found}", found=found)
+
+
+def _tokens_beyond(docs: DataFrame) -> DataFrame:
+    return docs.select(F.explode(confusables.beyond_tokens(F.lit(False))).alias("token")).distinct()
+
+
 def _sarif_run(found: DataFrame) -> DataFrame:
     """The lines of one log for all documents, numbered."""
     results = reports.sarif_results(_with_path(found), F.col("path"))
@@ -284,6 +320,9 @@ def queries() -> dict[str, Query]:
         "report_annotations": _over_findings(lambda f: reports.annotations(_with_path(f), F.col("path"))),
         "report_json": _over_rows(reports.json_lines),
         "report_sarif": _over_findings(lambda f: reports.sarif_results(_with_path(f), F.col("path"))),
+        "policy_scan": _on_planted(_policy_scan),
+        "json_corpus": _json_corpus,
+        "sql_skeleton": _sql_skeleton,
         "sarif_run": _over_findings(_sarif_run),
         "census_rows": _over_scanned(lambda r: reports.census_rows(r).select("doc_id", "source", "lang", "n")),
         "scan": _on_planted(lambda d: scan(d).select(*PLACE, "decoded", "skeleton", "fixable")),

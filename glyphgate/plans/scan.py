@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphgate.functions import properties as P
 from glyphgate.functions import rows
-from glyphgate.operators import confusables, decode, events, rules, styled
+from glyphgate.operators import confusables, decode, events, policy, rules, styled
 from glyphgate.operators.rules import FINDING
 
 
@@ -72,3 +72,9 @@ def _scan_recipe(spark: SparkSession, code: bool | Column, folder: str | None, v
 def scan(docs: DataFrame, code: bool | Column = False, folder: str | None = None, visible: bool = True, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of ``docs`` and one row for each finding. Rows of plain text are dropped first."""
     return exploded(scanned(events.fast_path(docs), code, folder, visible), *keep)
+
+
+def scan_by_policy(docs: DataFrame, blocks: list[policy.Block], path: str = "path", keep: tuple[str, ...] = ("doc_id",), **options) -> DataFrame:
+    """The findings of documents with a ``path``, under a policy: its blocks say which texts are code before they are scanned, then grade and allow."""
+    found = scan(docs, code=policy.code_by_path(blocks, path), keep=tuple(dict.fromkeys((*keep, path))), **options)
+    return policy.by_path(found, blocks, path)
