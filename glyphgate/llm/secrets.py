@@ -26,6 +26,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glyphgate.functions import rows
 from glyphgate.llm.common import materialize, new_path
 
 # The base kinds, with letters in either case spelled out so that only ASCII letters match.
@@ -35,6 +36,8 @@ _LEAD = rf"(?:{_WORD})[\"']?\x20*[:=]\x20*[\"']?"
 ASSIGN = rf"{_LEAD}[A-Za-z0-9+/_.=-]+"
 VALUE = rf"^{_LEAD}([A-Za-z0-9+/_.=-]+)$"
 LEAST_VALUE = 8
+#: Matches that are summed up together, and characters of a stretch of text.
+PIECE, STRETCH = 128, 1024
 #: Unseen addresses that are broadcast at most, about 100 bytes each.
 FEW = 200_000
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -52,29 +55,52 @@ SPANS = "array<struct<start:long,no:int,kind:string,end:long>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
 
 
-def _kind_spans(text: Column, no: int, kind: str, pattern: str) -> Column:
-    """Spans of one kind. The fold keeps the position, the number of matches so far and the spans."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
-
-    def add(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["match"]), F.lit(0)).cast("long")
-        keep = x["match"].isNotNull()
+def _before(values: str, join, name: str) -> dict[str, dict[str, Column]]:
+    """Steps that compute ``name``: for each element of the array ``values`` what ``join`` makes of 0 and all earlier ones.
+
+    The array is cut into pieces of ``PIECE``: totals of the pieces are folded one by one, and within a piece each element
+    looks at the earlier ones of its piece, so the work grows with the elements and not with their square.
+    """
+    zero, long = F.lit(0).cast("long"), F.col(values)
+    pieces = F.transform(F.filter(F.sequence(F.lit(0), F.ceil(F.size(long) / PIECE).cast("int")), lambda k: k * PIECE < F.size(long)), lambda k: F.slice(long, k * PIECE + 1, F.lit(PIECE)))
+    totals = F.transform(f"{name}_p", lambda p: F.aggregate(p, zero, join))
+    heads = F.aggregate(totals, F.array(zero), lambda found, t: F.concat(found, F.array(join(F.element_at(found, -1), t))))
+    both = F.arrays_zip(F.col(f"{name}_p").alias("p"), F.slice(f"{name}_h", F.lit(1), F.size(f"{name}_p")).alias("head"))
+    each = F.transform(both, lambda x: F.transform(x["p"], lambda v, i: F.aggregate(F.slice(x["p"], F.lit(1), i), x["head"], join)))
+    return {"pieces": {f"{name}_p": pieces}, "heads": {f"{name}_h": heads}, "each": {name: F.flatten(each)}}
+
+
+def _computed(df: DataFrame, steps: list[dict[str, dict[str, Column]]]) -> DataFrame:
+    """The steps of several ``_before``, side by side."""
+    for stage in ("pieces", "heads", "each"):
+        df = rows.computed(df, {name: column for s in steps for name, column in s[stage].items()})
+    return df
+
+
+def with_found(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ``spans``: all spans of the column ``text`` by start, then kind; end is exclusive, in code points."""
+    kept, body = df.columns, F.col(text)
+    nothing = F.array().cast("array<string>")
+    cut = {}
+    for kind, pattern in RULES:
+        some = F.rlike(body, F.lit(pattern))
+        cut[f"__{kind}_gaps"] = F.when(some, F.split(body, pattern, -1)).otherwise(nothing)
+        cut[f"__{kind}_hits"] = F.when(some, F.regexp_extract_all(body, F.lit(pattern), F.lit(0))).otherwise(nothing)
+    df = rows.computed(df, cut)
+    long = lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("long")
+    sizes = {f"__{kind}_sizes": F.transform(F.arrays_zip(F.col(f"__{kind}_gaps").alias("gap"), F.col(f"__{kind}_hits").alias("hit")), long) for kind, _ in RULES}
+    df = _computed(rows.computed(df, sizes), [_before(f"__{kind}_sizes", lambda a, b: a + b, f"__{kind}_at") for kind, _ in RULES])
+
+    def spans(no: int, kind: str) -> Column:
+        n = F.size(f"__{kind}_hits")
+        each = F.arrays_zip(F.col(f"__{kind}_hits").alias("hit"), F.slice(f"__{kind}_gaps", F.lit(1), n).alias("gap"), F.slice(f"__{kind}_at", F.lit(1), n).alias("at"))
         if kind == "assign":
-            keep = keep & (F.length(F.regexp_extract(x["match"], VALUE, 1)) >= LEAST_VALUE)
-        span = F.struct(begin.alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
-
-    found = F.aggregate(both, start, add, lambda s: s["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(SPANS))
-
+            each = F.filter(each, lambda x: F.length(F.regexp_extract(x["hit"], VALUE, 1)) >= LEAST_VALUE)
+        begin = lambda x: x["at"] + F.length(x["gap"])
+        return F.transform(each, lambda x: F.struct(begin(x).alias("start"), F.lit(no).alias("no"), F.lit(kind).alias("kind"), (begin(x) + F.length(x["hit"])).alias("end")))
 
-def spans_of(text: Column) -> Column:
-    """All spans of a text by start, then kind; end is exclusive, in code points."""
-    return F.array_sort(F.concat(*[_kind_spans(text, no, kind, pattern) for no, (kind, pattern) in enumerate(RULES)]))
+    found = F.array_sort(F.concat(*[spans(no, kind) for no, (kind, _) in enumerate(RULES)])).cast(SPANS)
+    return rows.computed(df, {"spans": found}).select(*kept, "spans")
 
 
 def _addressed(docs: DataFrame) -> DataFrame:
@@ -96,7 +122,7 @@ def update_ledger(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION
         fresh = fresh.join(F.broadcast(unseen) if few else unseen, "blob", "left_semi")
     # Copies go before the shuffle: the first text of each blob is combined within each task.
     fresh = fresh.groupBy("blob").agg(F.first("body").alias("body"))
-    scanned = fresh.select("blob", F.lit(rule_version).alias("rule_version"), spans_of(F.col("body")).alias("spans"))
+    scanned = with_found(fresh, "body").select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     scanned.write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
@@ -140,15 +166,20 @@ def scan_versions(files: DataFrame, ledger: str, rule_version: str = RULE_VERSIO
 
 def redact(docs: DataFrame, ledger: str | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced; spans that overlap give one mark. ``n_chars``, if there, is brought up to date."""
-    found = with_spans(docs, ledger)
+    found = rows.computed(with_spans(docs, ledger), {"__ends": F.transform("__spans", lambda s: s["end"])})
+    found = _computed(found, [_before("__ends", lambda a, b: F.greatest(a, b), "__reach")])
     text = F.coalesce(F.col("text"), F.lit(""))
-
-    def add(state: Column, s: Column) -> Column:
-        piece = F.concat(F.substr(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int")), F.lit(mark))
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], piece)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    whole = F.aggregate("__spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), add, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
-    new = found.withColumn("__text", F.when(F.size("__spans") > 0, whole).otherwise(F.col("text")))
+    # A span that begins before an earlier one has ended is part of its mark.
+    apart = F.filter(F.arrays_zip(F.col("__spans").alias("s"), F.col("__reach").alias("reach")), lambda x: x["s"]["start"] >= x["reach"])
+    found = rows.computed(found, {"__blocks": F.when(F.size("__spans") > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0)))})
+
+    def between(a: Column, b: Column) -> Column:
+        """Characters a to b of the text, from its stretches: no more is walked over than is copied."""
+        low = lambda k: F.greatest(a - k * STRETCH, F.lit(0))
+        one = lambda k: F.substr(F.get("__blocks", k.cast("int")), (low(k) + 1).cast("int"), (F.least(b - k * STRETCH, F.lit(STRETCH)) - low(k)).cast("int"))
+        return F.when(b > a, F.array_join(F.transform(F.sequence(F.floor(a / STRETCH), F.floor((b - 1) / STRETCH)), one), "")).otherwise("")
+
+    pieces = F.concat(F.transform(apart, lambda x: between(x["reach"], x["s"]["start"])), F.array(between(F.array_max("__ends"), F.length(text).cast("long"))))
+    new = found.withColumn("__text", F.when(F.size("__spans") > 0, F.array_join(pieces, mark)).otherwise(F.col("text")))
     columns = [F.col("__text").alias("text") if c == "text" else F.length("__text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns]
     return new.select(*columns)
