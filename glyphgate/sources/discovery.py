@@ -2,7 +2,9 @@
 
 Paths are listed without their contents. Ignore rules are a table (folder, line, pattern, negated); each path meets the
 rules of the folders above it, and of those that match a path, or a folder on its way, the last line of the deepest folder
-decides. So rules are inherited down a tree of any size by one join on the folder.
+decides. So rules are inherited down a tree of any size by one join on the folder. Ignore files are settings: the driver
+finds them by name, level by level, and reads them. Spark's own listing leaves out files whose names begin with a dot or
+an underscore, so none of these is a document.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def discover(spark: SparkSession, targets: list[str], base: str, ignore_file: st
     empty = spark.createDataFrame([], "path string, doc_id long, text string, encoding string")
     if not outermost and not alone:
         return Discovery(empty, empty.select("path", F.lit("").alias("reason")), problems)
-    # Hidden names are read too, and a path with signs of a pattern is taken as it is.
+    # A path with signs of a pattern is taken as it is.
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([_literal(x) for x in (*outermost, *alone)])
     explicit = F.col("path").isin(files) if files else F.lit(False)
     listed = found.select("path", "length", explicit.alias("explicit"))
@@ -101,7 +103,9 @@ def discover(spark: SparkSession, targets: list[str], base: str, ignore_file: st
     pairs = listed.where("NOT explicit").select("path", F.explode(holding).alias("root"))
     never = r"(^|/)(" + "|".join(n.replace(".", r"\.") for n in NEVER) + ")/"
     open_ = pairs.where(~F.regexp_like(F.expr("substr(path, length(root) + 2)"), F.lit(never)))
-    rules = rules_of(found.where(F.endswith("path", F.lit(f"/{ignore_file}"))).select("path", "content"))
+    levels = F.size(F.split(F.expr("substr(path, length(root) + 2)"), "/"))
+    deepest = pairs.agg(F.max(levels)).first()[0] or 1
+    rules = rules_of(spark.createDataFrame(_ignore_files(spark, outermost, ignore_file, deepest), "path string, content string"))
     kept = open_.join(ignored(open_, rules), ["root", "path"], "left_anti").select("path").distinct()
     chosen = kept.unionByName(listed.where("explicit").select("path")).withColumn("chosen", F.lit(True))
     judged = listed.join(chosen, "path", "left").withColumn("reason", F.when(F.col("chosen").isNull(), "ignored").when(F.col("length") > LARGEST, "too large"))
@@ -114,5 +118,22 @@ def discover(spark: SparkSession, targets: list[str], base: str, ignore_file: st
     return Discovery(documents, skipped, bad.unionByName(problems))
 
 
+def _ignore_files(spark: SparkSession, roots: list[str], name: str, levels: int) -> list[tuple[str, str]]:
+    """(path, content) of the ignore files of ``levels`` levels of folders; one listing for each root and level."""
+    jvm, conf, out = spark._jvm, spark._jsc.hadoopConfiguration(), []
+    for root in roots:
+        for level in range(levels):
+            pattern = jvm.org.apache.hadoop.fs.Path(_literal(root) + "/*" * level + f"/{name}")
+            system = pattern.getFileSystem(conf)
+            for status in system.globStatus(pattern) or []:
+                if status.isFile():
+                    stream = system.open(status.getPath())
+                    try:
+                        out.append((status.getPath().toString(), jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                    finally:
+                        stream.close()
+    return out
+
+
 def _literal(path: str) -> str:
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
