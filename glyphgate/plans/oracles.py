@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from glyphgate.functions import properties as P
 from glyphgate.functions import text as X
 from glyphgate.functions.unicode_data import tables, variation_sequences
-from glyphgate.operators import analytics, policy
+from glyphgate.operators import analytics, policy, reports
 from glyphgate.operators.confusables import TOKEN
 from glyphgate.plans import queries as Q
 from glyphgate.plans.corpora import planted_sql
@@ -108,7 +109,7 @@ WORDS = f"""{PLANTED}
   words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS token FROM planted WHERE regexp_matches(text, '[^\\x00-\\x7F]')),
   long AS MATERIALIZED (SELECT *, NOT regexp_matches(token, '[^\\x00-\\x7F]') AS is_ascii FROM words WHERE length(token) + len(regexp_extract_all(token, '[\\x{{10000}}-\\x{{10FFFF}}]')) > 1),
   map(ch, nfd, mapped) AS (VALUES {_SKELETONS}),
-  spelled AS (SELECT token, string_agg(coalesce(mapped, ch0), '' ORDER BY i) AS skeleton, string_agg(coalesce(nfd, ch0), '' ORDER BY i) AS nfd
+  spelled AS MATERIALIZED (SELECT token, string_agg(coalesce(mapped, ch0), '' ORDER BY i) AS skeleton, string_agg(coalesce(nfd, ch0), '' ORDER BY i) AS nfd
     FROM (SELECT token, unnest(string_split(token, '')) AS ch0, unnest(range(length(token))) AS i FROM (SELECT DISTINCT token FROM long)) LEFT JOIN map ON ch = ch0 GROUP BY token)"""
 
 
@@ -292,13 +293,13 @@ PREVIEW = r"""
   lined AS (SELECT doc_id, string_split_regex(before, '\r\n|\r|\n') AS a, string_split_regex(after, '\r\n|\r|\n') AS b FROM repaired)""".replace("{cut}", _CUT)
 
 FLAGGED = f"""
-  clashing AS (
+  clashing AS MATERIALIZED (
     SELECT doc_id, skeleton, unnest(list(token)) AS token FROM long JOIN spelled USING (token) WHERE is_ascii OR NOT regexp_matches(token, '^[\\x00-\\x7F\\x{{1D400}}-\\x{{1D7FF}}]*$')
     GROUP BY doc_id, skeleton HAVING count(DISTINCT token) >= 2 AND count(DISTINCT nfd) >= 2 AND NOT bool_and(is_ascii)),
-  flagged AS (
+  flagged AS MATERIALIZED (
     SELECT doc_id, token, 'error' AS severity, skeleton FROM clashing
     UNION ALL SELECT doc_id, token, 'warning', NULL FROM long WHERE regexp_matches(token, '[A-Za-z\\x{{C0}}-\\x{{24F}}]') AND regexp_matches(token, '[{_CYRILLIC}]')),
-  words_at AS (
+  words_at AS MATERIALIZED (
     SELECT *, {_before('length(gap)', "length(coalesce(hit, ''))")} AS start FROM (
       SELECT doc_id, i, gaps[i] AS gap, hits[i] AS hit FROM (
         SELECT doc_id, string_split_regex(text, '{TOKEN}') AS gaps, regexp_extract_all(text, '{TOKEN}') AS hits FROM planted WHERE doc_id IN (SELECT doc_id FROM flagged)), range(1, len(gaps) + 1) AS r(i))),
@@ -326,6 +327,35 @@ EVERY = f"""RECURSIVE {EVENTS}, {SINGLES}, {TAG_RUNS}, {TAG_FINDINGS}, {SELECTOR
 PAGES = EVERY.replace(PLANTED, f"\n  planted AS MATERIALIZED ({planted_sql("(SELECT page_id AS doc_id, html AS text, url AS source, 'html' AS lang FROM pages)")}),", 1)
 
 
+#: Zero-width binary: of the commonest carriers, the first ordered pair whose bits spell printable ASCII of more than one character.
+ZERO_WIDTH = r"""
+  zw AS (SELECT doc_id, regexp_extract_all(text, '[\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]') AS cs FROM planted),
+  zw_some AS MATERIALIZED (SELECT * FROM zw WHERE len(cs) >= 64),
+  zw_rank AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, unicode(x)) AS rk FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(cs) AS x FROM zw_some) GROUP BY ALL) QUALIFY rk <= 4),
+  zw_bits AS (
+    SELECT a.doc_id, 10 * a.rk + b.rk AS tried, list_filter(list_transform(cs, lambda c: CASE c WHEN a.x THEN 0 WHEN b.x THEN 1 END), lambda v: v IS NOT NULL) AS v
+    FROM zw_rank a JOIN zw_rank b ON a.doc_id = b.doc_id AND a.x <> b.x JOIN zw_some s ON s.doc_id = a.doc_id),
+  zw_text AS (SELECT doc_id, tried, array_to_string([chr(list_sum([v[8 * k + j + 1] << (7 - j) for j in range(8)])::INT) for k in range(len(v) // 8)], '') AS payload FROM zw_bits),
+  zero_width AS (
+    SELECT doc_id, arg_min(payload, tried) AS payload FROM zw_text WHERE regexp_full_match(payload, '[\t\n\r\x20-\x7E]+') AND len(list_distinct(string_split(payload, ''))) > 1 GROUP BY doc_id)"""
+
+
+def _audit() -> str:
+    return r"""SELECT kind, count(*) AS payloads, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE f.doc_id = p.doc_id AND contains(f.decoded, p.payload))) AS reported FROM (
+        SELECT doc_id, 'tag-characters' AS kind, decoded AS payload FROM runs WHERE NOT valid AND decoded <> ''
+        UNION ALL SELECT doc_id, 'selector-bytes', t FROM vs WHERE n > 1 AND NOT regexp_matches(t, '^[\x00-\x1F]*$')
+        UNION ALL SELECT doc_id, 'selector-bits', text FROM spelled_bits
+        UNION ALL SELECT doc_id, 'zero-width-binary', payload FROM zero_width) p GROUP BY kind"""
+
+
+def _sarif_run() -> str:
+    driver = {"driver": {"name": reports.TOOL, "rules": [{"id": r, "shortDescription": {"text": r}} for r in sorted(P.RULES)]}}
+    head = f'{{"$schema":"{reports.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{json.dumps(driver, separators=(",", ":"))},"results":['
+    return f"""SELECT 1 AS part, doc_id, start_off, rule, sha256(CASE WHEN row_number() OVER (ORDER BY doc_id, start_off, rule, result) = 1 THEN '' ELSE ',' END || result) AS digest FROM ({_sarif()})
+      UNION ALL SELECT 0, NULL, NULL, NULL, sha256('{head}') UNION ALL SELECT 2, NULL, NULL, NULL, sha256(']}}]}}')"""
+
+
 def oracle_sql() -> dict[str, str]:
     single = {q: _over(f"SELECT {PLACE} FROM singles WHERE rule = '{r}'", f"{EVENTS}, {SINGLES}") for q, r in (("bidi_control", "bidi-control"), ("bidi_mark", "bidi-mark"), ("invisible", "invisible"), ("unusual_whitespace", "unusual-whitespace"), ("control_character", "control-character"))}
     off = ", ".join(f"'{r}'" for r, v in Q.OVERRIDES.items() if v is False)
@@ -345,6 +375,9 @@ def oracle_sql() -> dict[str, str]:
         "report_json": _over(_json()),
         "report_sarif": _over(_sarif()),
         "report_pretty": _over(_pretty()),
+        "sarif_run": _over(_sarif_run()),
+        "zero_width_payloads": _over("SELECT * FROM zero_width", f"{PLANTED} {ZERO_WIDTH}"),
+        "payload_audit": _over(_audit(), f"{EVERY}, {ZERO_WIDTH}"),
         "scan": _over(f"SELECT {PLACE}, decoded, skeleton, fixable FROM found", EVERY),
         "scan_pages": _over(f"SELECT {PLACE}, decoded, skeleton FROM found", PAGES),
         "audit_sample": _over(f"SELECT {PLACE} FROM found ORDER BY sha256(concat_ws('|', doc_id, rule, start_off, 1)), doc_id, start_off, rule LIMIT 100", EVERY),
