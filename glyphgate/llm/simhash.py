@@ -265,7 +265,9 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (u, v) whose whole sets have a similarity of 0.8 or more."""
     ends = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = materialize(shingle_sets(docs, materialize(nodes.select("node", "keeper").join(ends, "node"), "wanted")), "sets")
+    wanted = materialize(nodes.select("node", "keeper").join(ends, "node"), "wanted")
+    sets = materialize(shingle_sets(docs, wanted), "sets")
+    discard(wanted)
     left = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("a")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -279,6 +281,7 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = nodes.select("node", "n", F.explode("prefix").alias("token"))
     shared = materialize(rows.groupBy("token").agg(F.min("node").alias("one"), F.count("*").alias("held")).where("held > 1"), "shared")
     held = materialize(rows.join(shared, "token"), "held")
+    discard(shared)
     # Any true links do here, so only pairs that share much of their prefixes are tried.
     crowds = held.where((F.col("held") > CROWD) & (F.col("node") > F.col("one")))
     star = crowds.groupBy(F.col("node").alias("u"), F.col("one").alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
@@ -307,11 +310,20 @@ def near_copies(docs: DataFrame) -> DataFrame:
     often = some.groupBy("token").count().where(F.col("count") > CROWD // 8).orderBy(F.desc("count"), "token").limit(LAST).collect()
     marked = materialize(shingled(docs, np.array([r["token"] for r in often], np.int64).view(np.uint64)), "shingled")
     nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
+    # Prefixes are needed once for each set; what follows needs to know only which rows have which set.
+    places = materialize(marked.select("doc_id", "__mark", "node"), "places")
+    discard(marked)
     found = components(similar(docs, nodes))
     rooted = materialize(nodes.select("node", "least_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    members = rooted.join(materialize(named, "named"), "root").select("node", "root", "component_id")
-    return marked.select("doc_id", "__mark", "node").join(materialize(members, "members"), "node")
+    discard(nodes)
+    named = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "named")
+    members = materialize(rooted.join(named, "root").select("node", "root", "component_id"), "members")
+    discard(named)
+    discard(rooted)
+    out = materialize(places.join(members, "node"), "copies")
+    discard(places)
+    discard(members)
+    return out
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -320,7 +332,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     Rows that repeat an id within one component count as one document.
     """
     mark = F.xxhash64(F.col("text"))
-    found = near_copies(docs.select("doc_id", "text", mark.alias("__mark"))).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = found.groupBy("root").agg(F.min(F.struct("doc_id", "__mark")).alias("s")).select("s.doc_id", "s.__mark")
+    found = near_copies(docs.select("doc_id", "text", mark.alias("__mark")))
+    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("doc_id", "__mark")).alias("s")).select("s.doc_id", "s.__mark")
     stay = materialize(_keyed(stay).select(*KEYS), "stay")
+    discard(found)
     return _keyed(docs.withColumn("__mark", mark)).join(stay, KEYS, "left_semi").dropDuplicates(KEYS).select(*docs.columns)
