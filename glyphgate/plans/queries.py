@@ -16,7 +16,7 @@ from glyphgate.functions import properties as P
 from glyphgate.functions import rows, sql
 from glyphgate.functions import text as X
 from glyphgate.functions.shipping import ship
-from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules
+from glyphgate.operators import analytics, confusables, decode, events, payloads, policy, repair, reports, rules, styled
 from glyphgate.plans.corpora import planted, planted_in
 from glyphgate.plans.scan import exploded, placed, scan, scan_by_policy, scanned
 from glyphgate.plans.storage import new_path
@@ -157,8 +157,23 @@ def _collision(docs: DataFrame) -> DataFrame:
     return found.groupBy("doc_id", "skeleton").agg(F.array_join(F.array_sort(F.collect_list("token")), " ").alias("tokens"))
 
 
-def _of_rule(rule: str, code: bool = False) -> Callable[[DataFrame], DataFrame]:
-    return lambda docs: scan(docs, code=code).where(F.col("rule") == rule)
+def _styled(docs: DataFrame) -> DataFrame:
+    """Findings of styled text alone."""
+    df = rows.computed(events.with_events(events.fast_path(docs)), {"__far": decode.far_characters(F.col("text"))})
+    df = styled.with_passages(rows.matches(df, {"__islands": styled.wanted(F.col("__far"))}), "__islands", "__passages")
+    return _rule_findings(df, styled.styled_text(F.col("__passages")))
+
+
+def _lookalikes(code: bool) -> Callable[[DataFrame], DataFrame]:
+    """Findings of lookalikes alone, in prose or in code."""
+
+    def query(docs: DataFrame) -> DataFrame:
+        df = rows.computed(events.with_events(events.fast_path(docs)), {"__tokens": confusables.beyond_tokens(F.lit(code))})
+        df = confusables.with_words(df.withColumn("__forms", confusables.spell()("__tokens")))
+        df = confusables.with_occurrences(confusables.with_flagged(df, F.lit(code)), F.lit(code))
+        return _rule_findings(df, F.col("__confusables")).select(*PLACE, "skeleton")
+
+    return query
 
 
 def _names(docs: DataFrame) -> DataFrame:
@@ -283,9 +298,9 @@ def queries() -> dict[str, Query]:
         "skeleton": _on_planted(_skeleton),
         "confusable_mixed": _on_planted(_mixed),
         "confusable_collision": _on_planted(_collision),
-        "confusable_findings": _on_planted(lambda d: _of_rule("confusable")(d).select(*PLACE, "skeleton")),
-        "code_mode": _on_planted(lambda d: _of_rule("confusable", True)(d).select(*PLACE, "skeleton")),
-        "styled_text": _on_planted(lambda d: _of_rule("styled-text")(d).select("doc_id", "start_idx", "end_idx", "start_off", "end_off", "decoded")),
+        "confusable_findings": _on_planted(_lookalikes(False)),
+        "code_mode": _on_planted(_lookalikes(True)),
+        "styled_text": _on_planted(lambda d: _styled(d).select("doc_id", "start_idx", "end_idx", "start_off", "end_off", "decoded")),
         "names": _on_planted(_names),
         "diagnostic_text": _on_planted(lambda d: d.select("doc_id", X.diagnostic_text(F.col("text")).alias("shown"))),
         "policy_allow": _over_findings(lambda f: policy.allow(f, list(ALLOWED)).select(*PLACE)),
