@@ -21,12 +21,14 @@ more. The bits between two such texts are not bounded, so no radius of fingerpri
 exactly instead (``similar``), and only the components are shared with the above.
 
 1. Equal sets form one class. Any one order of all shingles will do: two sets of that similarity share a shingle among
-   the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with frequent shingles (estimated on an
-   eighth of the texts, which changes the cost only) last.
+   the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with frequent shingles (estimated on the
+   whole sets of an eighth of the texts, which changes the cost only) last, the more frequent the later.
 2. In a bucket (classes that share such a shingle) of over ``CROWD`` classes, all are compared with one of them first.
    The components of these links need no comparison inside, so a group of near copies is no square.
-3. In each bucket, classes outside its largest component meet all classes of other components; sizes and the number of
-   buckets that two classes share bound their common shingles, and what may reach 0.8 is decided by the whole sets.
+3. In each bucket, classes outside its largest component meet all classes of other components, block by block, so a
+   bucket of any size is spread over many tasks. Two sets differ in at least as many shingles as the bits in which
+   their parity sketches differ: a pair that this, or their sizes, keeps below 0.8 is never made. The number of buckets
+   that two classes share bounds their common shingles further, and what is left is decided by the whole sets.
 Texts without words form one class; with fewer than 5 words, the whole sequence is the one shingle.
 """
 
@@ -48,7 +50,10 @@ RADIUS = 3
 #: For ``deduplicate``: words of a shingle, classes that a bucket compares without a first round, frequent shingles put last.
 COPY_SHINGLE = 5
 CROWD = 64
-LAST = 20_000
+LAST = 100_000
+#: Rows of a bucket that meet in one task: at most ``BLOCK`` by ``BLOCK``. 64-bit words of a parity sketch.
+BLOCK = 2_048
+SKETCH = 8
 #: Fingerprints in one tile; two of them take 1 MB.
 TILE = 65_536
 #: Rows and columns of one exclusive-or inside a pair of tiles.
@@ -227,19 +232,35 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *arrays]).view(np.int64)))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bit i: whether an odd number of shingles fall to i. Each shingle in which two sets differ changes one bit at most."""
+    bits = np.bincount((shingles % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def ordered(shingles: np.ndarray, late: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sorted shingles with those of ``late`` (sorted, not empty) last, by their ``place``."""
+    at = np.minimum(np.searchsorted(late, shingles), len(late) - 1)
+    return shingles[np.argsort(np.where(late[at] == shingles, place[at], -1), kind="stable")]
+
+
 def shingled(docs: DataFrame, last: np.ndarray | None = None) -> DataFrame:
-    """doc_id, __mark, node (a digest of the text's shingle set), n (its size) and prefix (its first shingles in order)."""
-    late = np.sort(np.array([], np.uint64) if last is None else last)
+    """doc_id, __mark, node (a digest of the text's shingle set), n (its size), prefix (its first shingles in order) and
+    sketch. ``last`` holds frequent shingles, the most frequent first."""
+    last = np.array([0], np.uint64) if last is None or not len(last) else last
+    at = np.argsort(last)
+    late, place = last[at], len(last) - at
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
-            first = [x[np.argsort(np.isin(x, late), kind="stable")][: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), _lists(first)], ["doc_id", "__mark", "node", "n", "prefix"])
+            first = [ordered(x, late, place)[: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
+            columns = [*batch.columns[:2], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), _lists(first), _lists([sketch(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__mark", "node", "n", "prefix", "sketch"])
 
     narrow = docs.select("doc_id", "__mark", F.col("text").cast("binary").alias("__text"))
-    return arrow_map(narrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __mark long, node long, n int, prefix array<long>")
+    return arrow_map(narrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __mark long, node long, n int, prefix array<long>, sketch array<long>")
 
 
 def _keyed(df: DataFrame, at: str = "") -> DataFrame:
@@ -253,13 +274,25 @@ KEYS = ["__none", "__key", "__text_mark"]
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, tokens) for the (node, keeper) rows of ``wanted``, whose keeper names a row of ``docs`` that has the set."""
     held = _keyed(docs.select("doc_id", "__mark", "text")).join(_keyed(wanted, "keeper.").select("node", *KEYS), KEYS)
-    narrow = held.dropDuplicates(KEYS).select("node", F.col("text").cast("binary").alias("__text"))
+    return _sets(held.dropDuplicates(KEYS).select("node", "text"))
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(node, tokens), the shingle set of each row (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_set(t.as_py()) for t in batch.column(1)])], ["node", "tokens"])
 
-    return arrow_map(narrow, run, "node long, tokens array<long>")
+    return arrow_map(texts.select("node", F.col("text").cast("binary").alias("__text")), run, "node long, tokens array<long>")
+
+
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles of the most texts, the most frequent first, by whole sets of an eighth of the distinct texts."""
+    some = docs.where(F.pmod("__mark", F.lit(8)) == 0).select(F.col("__mark").alias("node"), "text").dropDuplicates(["node"])
+    counted = _sets(some).select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > CROWD // 8)
+    often = counted.orderBy(F.desc("count"), "token").limit(LAST).collect()  # LAST rows at most
+    return np.array([r["token"] for r in often], np.int64).view(np.uint64)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -287,16 +320,27 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     star = crowds.groupBy(F.col("node").alias("u"), F.col("one").alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
     star = materialize(star.where(20 * F.col("c") >= F.col("n")).select("u", "v"), "star")
     near = star if star.isEmpty() else _verified(star, docs, nodes)
-    parted = materialize(held.drop("one", "held").join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
+    parted = held.drop("one", "held").join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    parted = materialize(parted, "parted")
     discard(held)
-    most = parted.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts"))
-    mixed = materialize(parted.join(materialize(most.where("parts > 1").select("token", F.col("m.part").alias("main")), "most"), "token"), "mixed")
+    most = parted.groupBy("token", "part").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "part")).alias("m"), F.sum("c").alias("all"), F.count("*").alias("parts"))
+    most = most.where("parts > 1").select("token", F.col("m.part").alias("main"), F.col("all"), (F.col("all") - F.col("m.c")).alias("out"))
+    mixed = materialize(parted.join(materialize(most, "most"), "token").join(nodes.select("node", "sketch"), "node"), "mixed")
     discard(parted)
-    x = mixed.where("part <> main").select("token", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "part")])
-    y = mixed.select("token", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "part")])
+    # Each row of a bucket has a block; blocks of rows outside its main component meet all blocks.
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    mine = lambda c: F.pmod(F.xxhash64("node"), blocks(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+    side = lambda at: [F.col(c).alias(f"{at}_{c}") for c in ("node", "n", "part", "sketch")]
+    x = mixed.where("part <> main").select("token", mine("out").alias("row"), every("all").alias("column"), *side("x"))
+    y = mixed.select("token", every("out").alias("row"), mine("all").alias("column"), "main", *side("y"))
     once = (F.col("x_part") != F.col("y_part")) & ((F.col("y_part") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
     sizes = 5 * F.least("x_n", "y_n") >= 4 * F.greatest("x_n", "y_n")
-    met = x.join(y, "token").where(once & sizes).groupBy(F.greatest("x_node", "y_node").alias("u"), F.least("x_node", "y_node").alias("v"))
+    differ = sum(F.bit_count(F.col("x_sketch")[i].bitwiseXOR(F.col("y_sketch")[i])) for i in range(SKETCH))
+    # A similarity of 0.8 leaves at most a ninth of both sizes in one set only.
+    alike = 9 * differ <= F.col("x_n") + F.col("y_n")
+    meeting = (x["token"] == y["token"]) & (x["row"] == y["row"]) & (x["column"] == y["column"])
+    met = x.join(y, meeting & once & sizes & alike).groupBy(F.greatest("x_node", "y_node").alias("u"), F.least("x_node", "y_node").alias("v"))
     met = met.agg(F.count("*").alias("c"), F.first(F.greatest("x_n", "y_n")).alias("large"), F.first(F.col("x_n") + F.col("y_n")).alias("both"))
     # What two sets share beyond their prefixes' common shingles lies behind one of the prefixes: ceil(0.8 n) - 1 at most.
     met = materialize(met.where(9 * (F.col("c") + F.ceil(4 * F.col("large") / 5) - 1) >= 4 * F.col("both")).select("u", "v"), "met")
@@ -306,10 +350,8 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, __mark, root and component_id for each row of ``docs`` (doc_id, text, __mark)."""
-    some = shingled(docs.where(F.pmod("__mark", F.lit(8)) == 0)).dropDuplicates(["node"]).select(F.explode("prefix").alias("token"))
-    often = some.groupBy("token").count().where(F.col("count") > CROWD // 8).orderBy(F.desc("count"), "token").limit(LAST).collect()
-    marked = materialize(shingled(docs, np.array([r["token"] for r in often], np.int64).view(np.uint64)), "shingled")
-    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
+    marked = materialize(shingled(docs, frequent(docs)), "shingled")
+    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
     # Prefixes are needed once for each set; what follows needs to know only which rows have which set.
     places = materialize(marked.select("doc_id", "__mark", "node"), "places")
     discard(marked)

@@ -76,3 +76,28 @@ def test_a_far_fingerprint_does_not_save_a_near_copy(spark):
         raise AssertionError("no pair")
     got = simhash.deduplicate(spark.createDataFrame([(1, a, "s"), (2, b, "s"), (3, "other words " * 3, "s")], SCHEMA)).collect()
     assert sorted(r.doc_id for r in got) == [1, 3]
+
+
+def test_blocks_and_crowds_of_any_size_give_the_same(spark, monkeypatch):
+    rows = made_rows()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for crowd, block in ((2, 5), (1_000, 40)):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert sorted((r.doc_id for r in simhash.deduplicate(docs).collect()), key=str) == slow_kept(rows)
+
+
+def test_sketches_never_differ_in_more_bits_than_sets():
+    rng = random.Random(5)
+    for size in (0, 1, 40, 600, 3_000):
+        a = {rng.randrange(1 << 64) for _ in range(size)}
+        for change in (0, 1, 9, size):
+            b = set(list(a)[change:]) | {rng.randrange(1 << 64) for _ in range(change)}
+            x, y = (simhash.sketch(simhash.np.array(sorted(s), "<u8")) for s in (a, b))
+            assert len(x) == simhash.SKETCH and simhash.np.bitwise_count(x ^ y).sum() <= len(a ^ b)
+
+
+def test_order_puts_frequent_shingles_last():
+    late, place = simhash.np.array([2, 5, 9], "<u8"), simhash.np.array([3, 1, 2])
+    assert simhash.ordered(simhash.np.array([1, 2, 4, 5, 9, 10], "<u8"), late, place).tolist() == [1, 4, 10, 5, 9, 2]
+    assert simhash.ordered(simhash.np.array([], "<u8"), late, place).tolist() == []
