@@ -1,7 +1,8 @@
 """Collocations: phrases of two or three words that occur together far more often than their parts would let expect.
 
 Counting. A task keeps the phrases that it has seen in a HAT-trie: for each language a branch by the first word's id, and
-below it containers, which are hash tables from the word ids of a phrase to its count. Neighbouring words share a (hybrid)
+below it containers, which are hash tables from the word ids of a phrase to its count, in arrays of numbers (12 bytes a
+slot) and not as Python objects, so that two tasks fit beside an executor's heap. Neighbouring words share a (hybrid)
 container. One of over ``BURST`` phrases bursts: a word that has half of it gets a (pure) container of its own, one level
 down, else two halves of the words get one each. So the trie stays shallow and only frequent words have branches. Beyond
 ``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of all tasks are dealt out
@@ -12,8 +13,8 @@ read the blocks, so a word is looked up once for each block and not wherever it
 
 A phrase occurs no more often than its parts. So words are counted first, then pairs of words that are frequent, then
 triples of pairs that are frequent (``LEAST`` times or more in a language). What is frequent goes to the tasks as a table
-of bits by hash, with 32 bits for each frequent word or pair but ``BITS`` at most (128 MB); several may share a bit, so
-that a task may count what turns out to be rare, and the sums decide. Nothing frequent is ever left out.
+of bits by hash, in which each frequent word or pair sets ``PROBES`` of 8 bits for each or more, but of ``BITS`` at most (32 MB);
+others may find all theirs set, so that a task may count what turns out to be rare, and the sums decide. Nothing frequent is ever left out.
 
 Defined results. Null text: empty. Null lang: ``und``. Without words: no rows. Repeated rows: each counts. Words and texts of
 any length count whole. Empty table: no rows. Other columns are ignored.
@@ -21,9 +22,9 @@ any length count whole. Empty table: no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from itertools import repeat
-from operator import add
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphgate.llm.common import arrow_map, discard, materialize, number_within
+from glyphgate.llm.common import arrow_map, discard, materialize, number_within, records_per_batch
 
 #: Occurrences of a candidate.
 LEAST = 10
 #: Phrases that a language's list has, and the share (of 100) of a phrase's occurrences that makes a longer one replace it.
 TOP, SHARE = 2000, 50
 #: Phrases of a container before it bursts, phrases and words that a task holds, words of a block.
-BURST, ENTRIES, WORDS, BLOCK = 1 << 16, 2_000_000, 1_000_000, 1 << 18
+BURST, ENTRIES, WORDS, BLOCK = 1 << 16, 2_500_000, 500_000, 1 << 18
+#: Words counted before all is spilled, so that 32 bits hold every count of a task.
+COUNTED = 1 << 31
 #: Languages of which a task keeps unfinished blocks.
 LANGUAGES = 64
-#: Most bits of a table of what is frequent, as a power of two.
-BITS = 30
+#: Most bits of a table of what is frequent, as a power of two, and bits that each word or pair sets.
+BITS, PROBES = 28, 4
 #: Bits of a word id within a packed phrase.
 WIDE = 21
 
@@ -62,20 +65,47 @@ def split(text: bytes) -> list[bytes]:
 class Container:
     """A hash table from packed phrases of ``length`` word ids to counts; a pure one belongs to one first word, which its keys leave out."""
 
-    __slots__ = ("length", "table", "word")
+    __slots__ = ("counts", "keys", "length", "size", "word")
 
     def __init__(self, length: int, word: int | None = None) -> None:
-        self.length, self.word, self.table = length, word, {}
+        self.length, self.word = length, word
+        self.clear()
 
-    def add(self, keys: list[int], counts: list[int]) -> None:
-        table = self.table
-        table.update(zip(keys, map(add, map(table.get, keys, repeat(0)), counts)))
+    def __len__(self) -> int:
+        return self.size
+
+    def clear(self, slots: int = 64) -> None:
+        self.size, self.keys, self.counts = 0, np.zeros(slots, np.int64), np.zeros(slots, np.uint32)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct keys, none of them 0, and their counts."""
+        if 3 * (self.size + len(keys)) > 2 * len(self.keys):
+            held = self.keys > 0
+            old = self.keys[held], self.counts[held]
+            self.clear(1 << (3 * (len(old[0]) + len(keys)) // 2).bit_length())
+            self._put(*old)
+        self._put(keys, counts)
+
+    def _put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        last = len(self.keys) - 1
+        at = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - last.bit_length())).view(np.int64)
+        step = 0
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]  # where several want one slot, one of them gets it
+            mine = self.keys[at] == keys
+            self.counts[at[mine]] += counts[mine].astype(np.uint32)
+            self.size += int(np.count_nonzero(mine & free))
+            step += 1
+            rest = ~mine
+            keys, counts, at = keys[rest], counts[rest], (at[rest] + step) & last
 
     def items(self) -> tuple[np.ndarray, np.ndarray]:
         """All keys in order, with the first word, and their counts."""
-        keys, counts = (np.fromiter(x, np.int64, len(self.table)) for x in (self.table.keys(), self.table.values()))
+        held = np.flatnonzero(self.keys)
+        keys, counts = self.keys[held], self.counts[held]
         order = np.argsort(keys)
-        return keys[order] + ((self.word or 0) << WIDE * self.length), counts[order]
+        return keys[order] + ((self.word or 0) << WIDE * self.length), counts[order].astype(np.int64)
 
 
 class Trie:
@@ -92,8 +122,8 @@ class Trie:
         for at, (container, b) in enumerate(zip(self.containers, ends)):
             if b > a:
                 some = keys[a:b] - (container.word << shift) if container.word is not None else keys[a:b]
-                container.add(some.tolist(), counts[a:b].tolist())
-                if len(container.table) > BURST and container.word is None and self.length > 1:
+                container.add(some, counts[a:b])
+                if len(container) > BURST and container.word is None and self.length > 1:
                     full.append(at)
             a = b
         for at in reversed(full):
@@ -114,39 +144,47 @@ class Trie:
         made = []
         for word, low, x, y in parts:
             child = Container(self.length if word is None else self.length - 1, word)
-            child.add((keys[x:y] - ((word or 0) << shift)).tolist(), counts[x:y].tolist())
+            child.add(keys[x:y] - ((word or 0) << shift), counts[x:y])
             made.append((low, child))
         made = [m for k, m in enumerate(made) if k + 1 == len(made) or m[0] < made[k + 1][0]]  # ranges that hold a word
         self.low[at : at + 1], self.containers[at : at + 1] = [low for low, _ in made], [child for _, child in made]
 
     def __len__(self) -> int:
-        return sum(len(c.table) for c in self.containers)
+        return sum(map(len, self.containers))
 
 
 class _Vocabulary(dict):
-    """Word ids of a language from 1; 0 for the end of a piece and for words that are not frequent."""
+    """Word ids of a language from 1; 0 for the end of a piece and for words that are not frequent, which are not kept."""
 
     def __init__(self, lang: str, frequent: np.ndarray | None) -> None:
         super().__init__({_MARK: 0})
-        self.words, self.hashes = [b""], [0]
+        self.words, self.hashes = [b""], array("Q", [0])
         self.start, self.frequent = lang.encode() + b" ", frequent
 
     def __missing__(self, word: bytes) -> int:
-        if self.frequent is not None:
-            code = xxhash.xxh64_intdigest(self.start + word, 42)
-            if not _holds(self.frequent, code):
-                self[word] = 0
-                return 0
-            self.hashes.append(code)
-        self[word] = no = len(self.words)
-        self.words.append(word)
-        return no
-
-
-def _holds(bits: np.ndarray, code):
-    """Whether the table of bits holds a hash, or for each of many."""
-    at = code & (len(bits) * 8 - 1)
-    return bits[at >> 3] >> (at & 7) & 1 if isinstance(code, int) else (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return self.of([word])[0]
+
+    def of(self, words: list[bytes]) -> list[int]:
+        """The ids of words; new ones that are frequent get the next."""
+        fresh = [w for w in words if w not in self]
+        if self.frequent is not None and fresh:
+            codes = np.fromiter((xxhash.xxh64_intdigest(self.start + w, 42) for w in fresh), np.uint64, len(fresh))
+            some = _holds(self.frequent, codes)
+            fresh = list(compress(fresh, some.tolist()))
+            self.hashes.frombytes(codes[some].tobytes())
+        self.update(zip(fresh, range(len(self.words), len(self.words) + len(fresh))))
+        self.words += fresh
+        return [self.get(w, 0) for w in words]
+
+
+def _holds(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each of many hashes whether the table of bits holds it."""
+    last = len(bits) * 8 - 1
+    out, by = np.ones(len(code), bool), code >> np.uint64(32) | np.uint64(1)
+    for k in range(PROBES):
+        at = (code + np.uint64(k) * by) & np.uint64(last)
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
 def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,13 +199,15 @@ class Counter:
         self.length, self.frequent, self.pairs = length, words, pairs
         self.tries: dict[str, Trie] = {}
         self.known: dict[str, _Vocabulary] = {}
+        self.seen = 0
 
     def add(self, lang: str, words: list[bytes], places: np.ndarray) -> None:
         """Put the phrases of a block into the trie of its language."""
         if lang not in self.known:
             self.known[lang] = _Vocabulary(lang, self.frequent)
         known = self.known[lang]
-        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))[places]
+        ids = np.array(known.of(words), np.int64)[places]
+        self.seen += len(ids)
         n = len(ids) - self.length + 1
         if n <= 0:
             return
@@ -183,8 +223,7 @@ class Counter:
         if len(found[0]):
             self.tries.setdefault(lang, Trie(self.length)).add(*found)
 
-    def _run(self, lang: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        words = pa.array(self.known[lang].words, pa.binary())
+    def _run(self, lang: str, words: pa.Array, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         mask = (1 << WIDE) - 1
         for at in range(0, len(keys), 1 << 16):
             some = keys[at : at + (1 << 16)]
@@ -194,7 +233,7 @@ class Counter:
 
     def spill(self, most: int) -> Iterator[pa.RecordBatch]:
         """Give out whole subtrees, the largest first, until ``most`` phrases are left."""
-        whole = [(len(c.table), lang, at) for lang, trie in self.tries.items() for at, c in enumerate(trie.containers)]
+        whole = [(len(c), lang, at) for lang, trie in self.tries.items() for at, c in enumerate(trie.containers)]
         total = sum(n for n, *_ in whole)
         going: dict[str, list[int]] = {}
         for n, lang, at in sorted(whole, key=lambda s: -s[0]):
@@ -203,23 +242,22 @@ class Counter:
             going.setdefault(lang, []).append(at)
             total -= n
         for lang, places in going.items():
-            held = self.tries[lang].containers
-            found = [held[at].items() for at in sorted(places)]
-            for at in places:
-                held[at].table = {}
-            yield from self._run(lang, *map(np.concatenate, zip(*found)))
+            held, words = self.tries[lang].containers, pa.array(self.known[lang].words, pa.binary())
+            for at in sorted(places):
+                found = held[at].items()
+                held[at].clear()
+                yield from self._run(lang, words, *found)
 
     def eased(self) -> Iterator[pa.RecordBatch]:
-        """Spill what goes beyond the bounds of phrases and words."""
+        """Spill what goes beyond the bounds of phrases, words and counts."""
+        if self.seen >= COUNTED:
+            yield from self.spill(0)
+            self.seen = 0
         if sum(map(len, self.tries.values())) > ENTRIES:
             yield from self.spill(ENTRIES // 2)
-        if sum(map(len, self.known.values())) > WORDS:
-            if sum(len(v.words) for v in self.known.values()) > WORDS // 2:
-                yield from self.spill(0)
-                self.known = {}
-            for known in self.known.values():  # forget the words that are not frequent; a later one is looked up again
-                for word in [w for w, no in known.items() if not no and w != _MARK]:
-                    del known[word]
+        if sum(len(v.words) for v in self.known.values()) > WORDS:
+            yield from self.spill(0)
+            self.known = {}
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -272,9 +310,11 @@ def counted(found: DataFrame, length: int, least: int, words: DataFrame | None =
                 yield from own.eased()
         yield from own.spill(0)
 
-    runs = arrow_map(found, run, "lang string, prefix string, phrase string, f long")
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
-    return materialize(merged.where(F.col("f") >= least).drop("prefix"), "phrases")
+    # A block is a megabyte or two: without this all those of a task would go to Python as one batch, held by the JVM, off its heap, and by Python.
+    with records_per_batch(found.sparkSession, 2):
+        runs = arrow_map(found, run, "lang string, prefix string, phrase string, f long")
+        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
+        return materialize(merged.where(F.col("f") >= least).drop("prefix"), "phrases")
 
 
 def language() -> Column:
@@ -286,12 +326,14 @@ def bit_table(found: DataFrame | None):
     if found is None:
         return None
     count = found.count()
-    bits = min(BITS, max(18, (32 * count - 1).bit_length()))
+    bits = min(BITS, max(18, (8 * count - 1).bit_length()))
     codes = [F.xxhash64(F.concat("lang", F.lit(" "), F.get(F.split("phrase", " "), F.lit(k)))) for k in (0, 1)]
     turned = F.shiftleft(codes[1], 1).bitwiseOR(F.shiftrightunsigned(codes[1], 63))
     code = F.when(F.instr("phrase", " ") > 0, codes[0].bitwiseXOR(turned)).otherwise(codes[0])
-    at = found.select(code.bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
-    # Chunks of 32,768 bits: 4 KB each, and 128 MB in all at most.
+    last, by = F.lit((1 << bits) - 1), F.shiftrightunsigned("code", 32).bitwiseOR(F.lit(1))
+    places = [(F.col("code").bitwiseAND(last) + k * by).bitwiseAND(last) for k in range(PROBES)]
+    at = found.select(code.alias("code")).select(F.explode(F.array(*places)).alias("at"))
+    # Chunks of 32,768 bits: 4 KB each, and 32 MB in all at most.
     chunks = at.groupBy(F.shiftright("at", 15).alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).collect()
     out = bytearray(1 << bits - 3)
     for row in chunks:
