@@ -5,8 +5,9 @@ Each is written as Parquet in the shared folder and read again by the next, so t
 held and no earlier stage.
 
 1. quality_rules: documents that the rules reject go; frequent lines of a host are cut from those that stay.
-2. simhash_near_dedup: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked, exactly and
-   without fingerprints; of each component the document with the smallest id stays.
+2. simhash_near_dedup: SimHash fingerprints of the sets of five-word shingles within 8 bits propose pairs; whole sets decide (a
+   Jaccard similarity of 0.8 or more); pairs that fingerprints miss are found by common shingles; of each component the document
+   with the smallest id stays.
 3. secret_scan: every span found is replaced by a mark.
 4. source_mixing: each document comes as often as the mix takes it, none for those it leaves out.
 5. byte_bpe: each document of the mix is encoded and decoded; ids and bytes are returned as digests.

@@ -17,9 +17,11 @@ smallest; a component with null ids only has a null id. An empty table gives an
 input are ignored by ``near_duplicates`` and kept by ``deduplicate``.
 
 ``deduplicate``, the pipeline's stage, links by another rule: 5-word shingle sets with a Jaccard similarity of 0.8 or
-more. The bits between two such texts are not bounded, so no radius of fingerprints finds them all; the links are found
-exactly instead (``similar``), and only the components are shared with the above.
+more. SimHash proposes most of them: each set has a fingerprint as above, all fingerprints within ``COPY_RADIUS`` bits are
+found by the same tiles (``near_fingerprints``), and each proposed pair is decided by its whole sets. The bits between
+two such texts are not bounded, so no radius finds them all: what is not yet connected is found exactly (``similar``).
 
+0. Fingerprints are those of the sets. What SimHash links needs no comparison in any bucket below.
 1. Equal sets form one class. Any one order of all shingles will do: two sets of that similarity share a shingle among
    the first n - ceil(0.8 n) + 1 of each. The order is that of the hashes, with frequent shingles (estimated on the
    whole sets of an eighth of the texts, which changes the cost only) last, the more frequent the later.
@@ -49,6 +51,8 @@ SEED = 42
 RADIUS = 3
 #: For ``deduplicate``: words of a shingle, classes that a bucket compares without a first round, frequent shingles put last.
 COPY_SHINGLE = 5
+#: Bits between fingerprints of sets that are compared: a similarity of 0.9 leaves about 6.6 bits, one of 0.8 about 9.7.
+COPY_RADIUS = 8
 CROWD = 64
 LAST = 100_000
 #: Rows of a bucket that meet in one task: at most ``BLOCK`` by ``BLOCK``. 64-bit words of a parity sketch.
@@ -76,12 +80,14 @@ def shingle_hashes(text: bytes | None, size: int) -> list[int]:
 
 def fingerprint(text: bytes | None, size: int = SHINGLE) -> int:
     """The SimHash of one UTF-8 text."""
-    hashes = shingle_hashes(text, size)
-    if not hashes:
-        return 0
+    return majority(np.array(shingle_hashes(text, size), dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[at : at + (1 << 16)], dtype="<u8")
+        block = hashes[at : at + (1 << 16)]
         bits += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(bits * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
@@ -245,8 +251,8 @@ def ordered(shingles: np.ndarray, late: np.ndarray, place: np.ndarray) -> np.nda
 
 
 def shingled(docs: DataFrame, last: np.ndarray | None = None) -> DataFrame:
-    """doc_id, __mark, node (a digest of the text's shingle set), n (its size), prefix (its first shingles in order) and
-    sketch. ``last`` holds frequent shingles, the most frequent first."""
+    """doc_id, __mark, node (a digest of the text's shingle set), n (its size), fp (its SimHash), prefix (its first shingles
+    in order) and sketch. ``last`` holds frequent shingles, the most frequent first."""
     last = np.array([0], np.uint64) if last is None or not len(last) else last
     at = np.argsort(last)
     late, place = last[at], len(last) - at
@@ -256,11 +262,12 @@ def shingled(docs: DataFrame, last: np.ndarray | None = None) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], dtype=np.uint64).view(np.int64)
             first = [ordered(x, late, place)[: len(x) - -(-4 * len(x) // 5) + 1] for x in sets]
-            columns = [*batch.columns[:2], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), _lists(first), _lists([sketch(x) for x in sets])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__mark", "node", "n", "prefix", "sketch"])
+            fps = np.array([majority(x) for x in sets], dtype=np.uint64).view(np.int64)
+            columns = [*batch.columns[:2], pa.array(nodes), pa.array([len(x) for x in sets], pa.int32()), pa.array(fps), _lists(first), _lists([sketch(x) for x in sets])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "__mark", "node", "n", "fp", "prefix", "sketch"])
 
     narrow = docs.select("doc_id", "__mark", F.col("text").cast("binary").alias("__text"))
-    return arrow_map(narrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __mark long, node long, n int, prefix array<long>, sketch array<long>")
+    return arrow_map(narrow, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __mark long, node long, n int, fp long, prefix array<long>, sketch array<long>")
 
 
 def _keyed(df: DataFrame, at: str = "") -> DataFrame:
@@ -309,8 +316,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
+def near_fingerprints(nodes: DataFrame, radius: int = COPY_RADIUS) -> DataFrame:
+    """Rows (u, v) of ``nodes`` (node, fp), u > v, that connect exactly what fingerprints within ``radius`` bits connect."""
+    classes = materialize(nodes.groupBy("fp").agg(F.min("node").alias("one")), "classes")
+    found = links(classes, radius)
+    for end in ("u", "v"):
+        found = found.join(classes.select(F.col("fp").alias(end), F.col("one").alias(f"{end}_one")), end)
+    same = nodes.join(classes, "fp").select(F.col("node").alias("u"), F.col("one").alias("v"))
+    pairs = found.select(F.greatest("u_one", "v_one").alias("u"), F.least("u_one", "v_one").alias("v")).union(same).where("u > v")
+    out = materialize(pairs.distinct(), "proposed")
+    discard(classes)
+    return out
+
+
 def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (u, v) of ``nodes`` that connect exactly what links of a similarity of 0.8 or more connect."""
+    proposed = near_fingerprints(nodes)
     rows = nodes.select("node", "n", F.explode("prefix").alias("token"))
     shared = materialize(rows.groupBy("token").agg(F.min("node").alias("one"), F.count("*").alias("held")).where("held > 1"), "shared")
     held = materialize(rows.join(shared, "token"), "held")
@@ -318,7 +339,9 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     # Any true links do here, so only pairs that share much of their prefixes are tried.
     crowds = held.where((F.col("held") > CROWD) & (F.col("node") > F.col("one")))
     star = crowds.groupBy(F.col("node").alias("u"), F.col("one").alias("v")).agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    star = materialize(star.where(20 * F.col("c") >= F.col("n")).select("u", "v"), "star")
+    # Both kinds are decided together, so that a text moves once.
+    star = materialize(star.where(20 * F.col("c") >= F.col("n")).select("u", "v").union(proposed).distinct(), "star")
+    discard(proposed)
     near = star if star.isEmpty() else _verified(star, docs, nodes)
     parted = held.drop("one", "held").join(components(near).withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     parted = materialize(parted, "parted")
@@ -351,7 +374,7 @@ def similar(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, __mark, root and component_id for each row of ``docs`` (doc_id, text, __mark)."""
     marked = materialize(shingled(docs, frequent(docs)), "shingled")
-    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
+    nodes = materialize(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min(F.struct("doc_id", "__mark")).alias("keeper"), F.min("doc_id").alias("least_id")), "nodes")
     # Prefixes are needed once for each set; what follows needs to know only which rows have which set.
     places = materialize(marked.select("doc_id", "__mark", "node"), "places")
     discard(marked)

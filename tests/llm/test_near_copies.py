@@ -101,3 +101,41 @@ def test_order_puts_frequent_shingles_last():
     late, place = simhash.np.array([2, 5, 9], "<u8"), simhash.np.array([3, 1, 2])
     assert simhash.ordered(simhash.np.array([1, 2, 4, 5, 9, 10], "<u8"), late, place).tolist() == [1, 4, 10, 5, 9, 2]
     assert simhash.ordered(simhash.np.array([], "<u8"), late, place).tolist() == []
+
+
+def test_fingerprints_propose_what_their_radius_connects(spark):
+    rows = made_rows()
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t, _) in enumerate(rows)], "doc_id long, text string, __mark long").repartition(3)
+    found = simhash.shingled(docs).select("node", "fp").distinct()
+    nodes = [(r.node, r.fp & (1 << 64) - 1) for r in found.collect()]
+    assert {f for _, f in nodes} >= {simhash.majority(simhash.shingle_set((t or "").encode())) for _, t, _ in rows[:50]}
+    root = {n: n for n, _ in nodes}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (a, x) in enumerate(nodes):
+        for b, y in nodes[:i]:
+            if (x ^ y).bit_count() <= simhash.COPY_RADIUS:
+                root[find(a)] = find(b)
+    want, connected = {}, {n: n for n, _ in nodes}
+    for n, _ in nodes:
+        want.setdefault(find(n), set()).add(n)
+    root = connected
+    for r in simhash.near_fingerprints(found).collect():
+        root[find(r.u)] = find(r.v)
+    got = {}
+    for n, _ in nodes:
+        got.setdefault(find(n), set()).add(n)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 1 < len(got) < len(nodes)
+
+
+def test_the_stage_decides_what_fingerprints_propose(spark, monkeypatch):
+    """The stage takes its first pairs from fingerprints, and a wrong one of them links nothing."""
+    calls, propose = [], simhash.near_fingerprints
+    monkeypatch.setattr(simhash, "near_fingerprints", lambda nodes: (calls.append(1), propose(nodes, 64))[1])
+    rows = made_rows()
+    got = simhash.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert calls and sorted((r.doc_id for r in got), key=str) == slow_kept(rows)
