@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from glyphgate.functions.shipping import ship
-from glyphgate.plans.storage import materialize, new_path, shared_dir
+from glyphgate.plans.storage import materialize, new_path, records_per_batch, shared_dir
 
 __all__ = ["WORD", "arrow_map", "discard", "materialize", "new_path", "number_rows", "number_within", "read_table", "records_per_batch", "running_total", "shared_dir"]
 
@@ -32,18 +31,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-@contextmanager
-def records_per_batch(spark: SparkSession, most: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows, for tables of few and large rows; the session's own value comes back."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, most)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def arrow_map(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` after the package has been sent to the executors."""
     ship(df.sparkSession)
