@@ -7,6 +7,7 @@ container. One of over ``BURST`` phrases bursts: a word that has half of it gets
 down, else two halves of the words get one each. So the trie stays shallow and only frequent words have branches. Beyond
 ``ENTRIES`` phrases a task spills its largest subtrees, whole and sorted, as runs of rows. The runs of all tasks are dealt out
 by language and prefix, which is the first two words (no single one, however common, meets in one task), and merged there.
+The prefix is no column of a run, as the rows that a task writes are held in the executor's heap.
 
 Texts are split once, into written blocks that hold their own words and the places of these as numbers; the three counts
 read the blocks, so a word is looked up once for each block and not wherever it stands.
@@ -40,7 +41,9 @@ LEAST = 10
 #: Phrases that a language's list has, and the share (of 100) of a phrase's occurrences that makes a longer one replace it.
 TOP, SHARE = 2000, 50
 #: Phrases of a container before it bursts, phrases and words that a task holds, words of a block.
-BURST, ENTRIES, WORDS, BLOCK = 1 << 16, 2_500_000, 500_000, 1 << 18
+BURST, ENTRIES, WORDS, BLOCK = 1 << 16, 1_000_000, 300_000, 1 << 18
+#: Texts that go to Python at a time.
+TEXTS = 200
 #: Words counted before all is spilled, so that 32 bits hold every count of a task.
 COUNTED = 1 << 31
 #: Languages of which a task keeps unfinished blocks.
@@ -53,7 +56,7 @@ WIDE = 21
 # Ends of pieces become a byte that no text holds, A-Z become a-z.
 _MARK = b"\xff"
 _BYTES = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d" + bytes(range(65, 91)), _MARK * 10 + bytes(range(97, 123)))
-_RUN = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+_RUN = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
 _BLOCK = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.binary())), ("ids", pa.list_(pa.int32()))])
 
 
@@ -228,8 +231,8 @@ class Counter:
         for at in range(0, len(keys), 1 << 16):
             some = keys[at : at + (1 << 16)]
             parts = [words.take(pa.array(some >> WIDE * k & mask)) for k in range(self.length - 1, -1, -1)]
-            joined = lambda p: (pc.binary_join_element_wise(*p, b" ") if len(p) > 1 else p[0]).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), joined(parts[:2]), joined(parts), pa.array(counts[at : at + (1 << 16)])], schema=_RUN)
+            phrase = (pc.binary_join_element_wise(*parts, b" ") if len(parts) > 1 else parts[0]).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), phrase, pa.array(counts[at : at + (1 << 16)])], schema=_RUN)
 
     def spill(self, most: int) -> Iterator[pa.RecordBatch]:
         """Give out whole subtrees, the largest first, until ``most`` phrases are left."""
@@ -310,10 +313,11 @@ def counted(found: DataFrame, length: int, least: int, words: DataFrame | None =
                 yield from own.eased()
         yield from own.spill(0)
 
-    # A block is a megabyte or two: without this all those of a task would go to Python as one batch, held by the JVM, off its heap, and by Python.
+    # A block is a megabyte or two: without this all those of a task would be read at once, and go to Python as one batch, held by the JVM, off its heap, and by Python.
     with records_per_batch(found.sparkSession, 2):
-        runs = arrow_map(found, run, "lang string, prefix string, phrase string, f long")
-        merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f"))
+        runs = arrow_map(found, run, "lang string, phrase string, f long")
+        prefix = F.substring_index("phrase", " ", 2) if length > 2 else F.col("phrase")
+        merged = runs.repartition("lang", prefix).groupBy("lang", prefix.alias("prefix"), "phrase").agg(F.sum("f").alias("f"))
         return materialize(merged.where(F.col("f") >= least).drop("prefix"), "phrases")
 
 
@@ -350,7 +354,8 @@ def _score(a: Column, left: Column, right: Column) -> Column:
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's best phrases."""
-    texts = materialize(blocks(docs), "blocks")
+    with records_per_batch(docs.sparkSession, TEXTS):  # not all texts of a task at once
+        texts = materialize(blocks(docs), "blocks")
     everything = counted(texts, 1, 1)
     totals = everything.groupBy("lang").agg(F.sum("f").alias("n"))
     words = everything.where(F.col("f") >= least)

@@ -54,3 +54,39 @@ def test_blocks_go_to_python_few_at_a_time(spark, monkeypatch):
     texts = spark.createDataFrame([("en", [b"\xff", b"a", b"b"], [1, 2, 0])] * 9, "lang string, words array<binary>, ids array<int>").coalesce(1)
     assert {r.phrase: r.f for r in phrases.counted(texts, 2, 1).collect()} == {"a b": 9}
     assert seen == [2] and spark.conf.get(key) == before
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_hold_no_word_twice(spark, monkeypatch):
+    """What a task writes has a phrase alone, and is dealt out once; blocks are read few at a time."""
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", []
+    before, write = spark.conf.get(key), phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, label: (seen.append((int(spark.conf.get(key)), plan(df))), write(df, label))[1])
+    texts = spark.createDataFrame([("e n", [b"\xff", b"a", b"b", b"c"], [1, 2, 3, 0])] * 9, "lang string, words array<binary>, ids array<int>")
+    for length, phrase in ((1, "a"), (2, "a b"), (3, "a b c")):
+        assert {(r.lang, r.phrase): r.f for r in phrases.counted(texts, length, 1).collect()}["e n", phrase] == 9
+    assert all(size == 2 and p.count("Exchange") == 1 and p.split("MapInArrow")[1].split("]")[0].count("#") == 7 for size, p in seen) and len(seen) == 3
+    assert spark.conf.get(key) == before
+
+
+def test_texts_go_to_python_few_at_a_time(spark, monkeypatch):
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    write = phrases.materialize
+    monkeypatch.setattr(phrases, "materialize", lambda df, label, *a: (seen.setdefault(label, int(spark.conf.get(key))), write(df, label, *a))[1])
+    phrases.collocations(spark.createDataFrame([("en", "a b c")], "lang string, text string")).collect()
+    assert seen["blocks"] == 200
+
+
+def test_a_task_holds_few_words_and_phrases():
+    """Of 1,200,000 words that differ some 300,000 at a time, 500,000 before."""
+    own, most, given = phrases.Counter(1, None, None), 0, 0
+    for k in range(12):
+        words = [b"\xff", *(b"%d" % i for i in range(k * 100_000, (k + 1) * 100_000))]
+        own.add("en", words, np.arange(1, len(words)))
+        given += sum(len(run) for run in own.eased())
+        most = max(most, sum(map(len, own.tries.values())), sum(len(v.words) for v in own.known.values()))
+    given += sum(len(run) for run in own.spill(0))
+    assert most <= 400_000 and given == 1_200_000
