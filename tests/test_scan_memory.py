@@ -56,3 +56,20 @@ def test_the_bundle_sends_few_texts_at_a_time(spark, monkeypatch):
     assert len(found) == 6 and found[2, None] == (0, None) and found[3, 5] == (0, "plain") and found[1, 22][1] == "café pаypal paypal  x"
     want = {(r.doc_id, r.n): r.found for r in scanned(docs).select("doc_id", F.length("text").alias("n"), F.size("findings").alias("found")).collect()}
     assert {k: n for k, (n, _) in found.items()} == want
+
+
+def test_spans_without_places_are_the_findings(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    pairs = lambda df: sorted((str(r.doc_id), str(r.text), sorted((f.rule, f.severity, f.start_idx, f.end_idx) for f in r.findings)) for r in df.collect())
+    assert pairs(scanned(docs, places=False)) == pairs(scanned(docs)) and steps(scanned(docs, places=False)) == 2
+
+
+def test_top_share_scans_once(spark, monkeypatch):
+    """The scan is written as counts and read twice; it was made twice."""
+    seen, write = [], analytics.materialize
+    monkeypatch.setattr(analytics, "materialize", lambda df, *a: (seen.append(steps(df)), write(df, *a))[1])
+    docs = spark.createDataFrame(TEXTS, "doc_id int, text string")
+    sizes = [len(r.findings) for r in scanned(docs).collect()]
+    found = analytics.top_share(scanned(docs, places=False), top=1)
+    assert steps(found) == 0 and seen == [2]
+    assert found.collect() == [(round(max(sizes) / sum(sizes), 4), max(sizes), sum(sizes))]
